@@ -8,9 +8,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import line_dedup
-
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    from . import line_dedup, near_dedup, packing, token_counts
+
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op5_packing": packing.op5_packing,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

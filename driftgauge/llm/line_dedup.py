@@ -2,12 +2,12 @@
 
 A *line* is a physical line, cut further behind each ``". "``, ``"! "`` and ``"? "``
 so that a passage inside a paragraph is seen too. Lines are compared without outer
-white space; lines without a word are no lines, but go when a deleted run encloses
-them.
+white space. A piece without a word, or equal to the line before it, belongs to that
+line and shares its fate, so a word said a hundred times in a row is one line.
 
 A run of lines that holds ``min_words`` words or more and whose whole content stands
 already at an earlier place, by (doc_id, place), is deleted. Earlier places may be in
-the same document and may overlap the run, so a line repeated over and over leaves
+the same document and may overlap the run, so a passage repeated over and over leaves
 one copy. Nothing shorter is ever deleted.
 
 1. Winnowing: of each ``window`` consecutive line hashes the smallest is selected,
@@ -20,7 +20,7 @@ one copy. Nothing shorter is ever deleted.
    repeated run, and their content hashes (128 bits) tell the first place of each.
 4. Spans whose content has an earlier place merge into runs and are cut out.
 
-Texts are read twice and moved twice by document; lines are moved only as hashes, and
+Texts are read twice and moved once, to be cut; lines are moved only as hashes, and
 never per pair of places, so a passage of n copies makes n rows.
 
 Nulls: a null text stays null with no lines. Rows alike in id and text are one
@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, table
+from .common import doc_key, stored, table
 
 CUT = "\x1e"
 ENDS = ("\n", ". ", "! ", "? ")
@@ -55,7 +55,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<pos, h1, h2, wc>> of the lines that hold a word."""
+    """array<struct<pos, end, h1, h2, wc>>: piece indexes, hashes and words of the lines."""
 
     def line(x: Column, i: Column) -> Column:
         bare = F.btrim(x, F.lit(BLANK))
@@ -66,43 +66,55 @@ def _lines(text: Column) -> Column:
             F.regexp_count(x, F.lit(WORD)).alias("wc"),
         )
 
-    return F.filter(F.transform(pieces(text), line), lambda u: u["wc"] > 0)
+    def fresh(u: Column) -> Column:
+        return F.filter(u, lambda x, i: (i == 0) | (x["h1"] != F.get(u, i - 1)["h1"]) | (x["h2"] != F.get(u, i - 1)["h2"]))
+
+    def ended(u: Column, n: Column) -> Column:
+        return F.transform(
+            u, lambda x, i: F.struct(x["pos"].alias("pos"), (F.coalesce(F.get(u, i + 1)["pos"], n) - 1).alias("end"), *[x[c].alias(c) for c in ("h1", "h2", "wc")])
+        )
+
+    def whole(parts: Column) -> Column:
+        worded = F.filter(F.transform(parts, line), lambda u: u["wc"] > 0)
+        return _let(_let(worded, fresh), lambda u: ended(u, F.size(parts)))
+
+    return _let(pieces(text), whole)
 
 
 def _selected(lines: Column, window: int, long_words: int) -> Column:
     """Places (from 0) and hashes chosen by winnowing."""
 
-    def choose(u: Column) -> Column:
-        def at(i: Column, k: int) -> Column:
-            return F.get(u, i + k)["h1"]
+    def smallest(h: Column) -> Column:
+        def place(_x: Column, i: Column) -> Column:
+            near = [F.get(h, i + k) for k in range(window)]
+            low = F.least(*near) if window > 1 else near[0]
+            return F.when(i + window <= F.size(h), i + F.array_position(F.array(*near), low).cast("int") - 1)
 
-        def smallest(_x: Column, i: Column) -> Column:
-            low = F.least(*[at(i, k) for k in range(window)]) if window > 1 else at(i, 0)
-            place = reduce(lambda rest, k: F.when(at(i, k) == low, i + k).otherwise(rest), reversed(range(window)), F.lit(None).cast("int"))
-            return F.when(i + window <= F.size(u), place)
+        return F.transform(h, place)
 
-        minima = F.filter(F.transform(u, smallest), lambda p: p.isNotNull())
-        alone = F.filter(F.transform(u, lambda x, i: F.when(x["wc"] >= long_words, i)), lambda p: p.isNotNull())
-        return F.transform(F.array_distinct(F.concat(minima, alone)), lambda p: F.struct(p.alias("p"), F.get(u, p)["h1"].alias("h")))
+    def choose(u: Column) -> Column:
+        alone = F.transform(u, lambda x, i: F.when(x["wc"] >= long_words, i))
+        places = F.array_distinct(F.concat(_let(F.transform(u, lambda x: x["h1"]), smallest), alone))
+        return F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.struct(p.alias("p"), F.get(u, p)["h1"].alias("h")))
 
     return _let(lines, choose)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
-    """(k1, k2, a, b, n): line indexes a..b, n lines with words, of each run to delete."""
-    base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines = _lines(F.col("_text"))
-    chosen = base.select("k1", "k2", F.inline(_selected(lines, window, (min_words + 1) // 2)))
+    """(k1, k2, a, b, n): pieces a..b, n lines, of each run to delete."""
+    key = ["k1", "k2"]
+    base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("lines"))
+    base = stored(base, "lines")
+    chosen = base.select("k1", "k2", F.inline(_selected(F.col("lines"), window, (min_words + 1) // 2)))
     twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = chosen.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("p").alias("hits"))
+    places = chosen.join(twice, "h").groupBy(*key).agg(F.collect_set("p").alias("hits"))
 
-    key = ["k1", "k2"]
     rows = (
         base.join(places, key)
-        .select(*key, "_id", "hits", F.posexplode(lines).alias("p", "u"))
+        .select(*key, "_id", "hits", F.posexplode("lines").alias("p", "u"))
         .select(*key, "_id", "p", "u.*", F.array_contains("hits", F.col("p")).cast("int").alias("hit"))
         .groupBy(*key, "p")
-        .agg(*[F.first(c).alias(c) for c in ("_id", "pos", "h1", "h2", "wc", "hit")])
+        .agg(*[F.first(c).alias(c) for c in ("_id", "pos", "end", "h1", "h2", "wc", "hit")])
     )
     by_place = Window.partitionBy(*key).orderBy("p")
     rows = rows.withColumn("e", F.sum("wc").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
@@ -111,16 +123,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bwd = Window.partitionBy(*key).orderBy("e").rangeBetween(1 - min_words, 0)
 
     def span(w, kind: int) -> Column:
-        first, last = (F.col("pos"), F.max("pos").over(w)) if kind == 0 else (F.min("pos").over(w), F.col("pos"))
-        p = F.col("p") if kind == 0 else F.min("p").over(w)
         return F.struct(
             F.lit(kind).alias("kind"),
-            F.xxhash64(F.collect_list("h1").over(w)).alias("w1"),
-            F.xxhash64(F.lit(7), F.collect_list("h2").over(w)).alias("w2"),
-            p.alias("p"),
-            first.alias("a"),
-            last.alias("b"),
-            F.count("*").over(w).alias("n"),
+            F.collect_list("h1").over(w).alias("l1"),
+            F.collect_list("h2").over(w).alias("l2"),
+            (F.col("p") if kind == 0 else F.min("p").over(w)).alias("p"),
+            (F.col("pos") if kind == 0 else F.min("pos").over(w)).alias("a"),
+            (F.max("end").over(w) if kind == 0 else F.col("end")).alias("b"),
             F.sum("wc").over(w).alias("words"),
             F.max("hit").over(w).alias("hit"),
         )
@@ -129,7 +138,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows.select(*key, "_id", span(fwd, 0).alias("f"), span(bwd, 1).alias("g"))
         .select(*key, "_id", F.inline(F.array("f", "g")))
         .where((F.col("words") >= min_words) & (F.col("hit") == 1))
-        .drop("words", "hit")
+        .select(*key, "_id", "kind", "p", "a", "b", F.size("l1").alias("n"), F.xxhash64("l1").alias("w1"), F.xxhash64(F.lit(7), "l2").alias("w2"))
     )
     where = F.struct("_id", "k1", "k2", "p")
     first = spans.groupBy("kind", "w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -146,8 +155,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
     """``docs`` with repeated runs cut out of the text.
 
-    Every row and column stays; added are ``lines_deleted`` (lines with words) and
-    ``runs_deleted`` (array of line index ranges ``a``..``b`` of the old text). Columns
+    Every row and column stays; added are ``lines_deleted`` and
+    ``runs_deleted`` (ranges ``a``..``b`` of ``pieces`` of the old text). Columns
     of ``docs`` with these names are replaced.
     """
     docs = docs.drop("lines_deleted", "runs_deleted")
@@ -179,7 +188,9 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(replace(replace(replace(replace(text, chr(10), chr(10)||chr(30)), '. ', '. '||chr(30)), '! ', '! '||chr(30)), '? ', '? '||chr(30)), chr(30)) AS ps FROM documents),
 x AS (SELECT doc_id, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM d),
 u AS (SELECT doc_id, pos, trim(x, ' '||chr(9)||chr(10)||chr(13)) AS l, len(regexp_extract_all(x, '[^ \t\r\n]+')) AS wc FROM x),
-v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p, sum(wc) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM u WHERE wc > 0),
+u2 AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY pos) AS l0 FROM u WHERE wc > 0),
+n0 AS (SELECT doc_id, len(ps) AS n FROM d),
+v AS (SELECT doc_id, pos, l, wc, coalesce(lead(pos) OVER o, n) - 1 AS fin, row_number() OVER o - 1 AS p, sum(wc) OVER o AS e FROM u2 JOIN n0 USING (doc_id) WHERE l IS DISTINCT FROM l0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 w AS (SELECT *, e - wc AS s FROM v),
 f AS (SELECT doc_id, 0 AS kind, p, p + count(*) OVER r - 1 AS q, sum(wc) OVER r AS words, list(l) OVER r AS c FROM w
       WINDOW r AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 0 PRECEDING AND 24 FOLLOWING)),
@@ -188,8 +199,8 @@ b AS (SELECT doc_id, 1 AS kind, min(p) OVER r AS p, p AS q, sum(wc) OVER r AS wo
 s AS (SELECT * FROM f WHERE words >= 25 UNION ALL SELECT * FROM b WHERE words >= 25),
 later AS (SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY kind, c ORDER BY doc_id, p) AS rn FROM s) WHERE rn > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM later),
-gp AS (SELECT g.doc_id, g.p, v.pos FROM gone g JOIN v USING (doc_id, p)),
-isl AS (SELECT doc_id, min(pos) AS a, max(pos) AS b, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gp) GROUP BY doc_id, g),
+gp AS (SELECT g.doc_id, g.p, v.pos, v.fin FROM gone g JOIN v USING (doc_id, p)),
+isl AS (SELECT doc_id, min(pos) AS a, max(fin) AS b, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gp) GROUP BY doc_id, g),
 kept AS (SELECT x.doc_id, string_agg(x.x, '' ORDER BY x.pos) AS t FROM x WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.doc_id = x.doc_id AND x.pos BETWEEN isl.a AND isl.b) GROUP BY 1),
 n AS (SELECT doc_id, sum(n) AS n, count(*) AS r FROM isl GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text, coalesce(n.n, 0)::BIGINT AS lines_deleted, coalesce(n.r, 0)::BIGINT AS n_runs
