@@ -8,11 +8,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import line_dedup, near_dedup, packing, token_counts
+    from . import decontamination, line_dedup, near_dedup, packing, token_counts, toxicity
 
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
+        "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
         "op7_token_counts": token_counts.op7_token_counts,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }

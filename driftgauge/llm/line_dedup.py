@@ -1,6 +1,6 @@
 """Line dedup: winnowed line hashes find repeated runs, later ones are deleted.
 
-A *line* is a physical line, cut further behind each ``". "``, ``"! "`` and ``"? "``
+Words are counted as blanks plus one. A *line* is a physical line, cut further behind each ``". "``, ``"! "`` and ``"? "``
 so that a passage inside a paragraph is seen too. Lines are compared without outer
 white space. A piece without a word, or equal to the line before it, belongs to that
 line and shares its fate, so a word said a hundred times in a row is one line.
@@ -14,10 +14,10 @@ one copy. Nothing shorter is ever deleted.
    and so is each line that alone has half the words. A run of ``min_words`` words
    has ``window`` lines or a line with half of its words, so two equal runs share a
    selected hash at the same place (the guarantee of winnowing).
-2. The selected hashes that occur more than once are joined back to their places.
-3. Extension: around such places the shortest spans of ``min_words`` words are taken
-   forwards and backwards from every line. Their union is the whole of each maximal
-   repeated run, and their content hashes (128 bits) tell the first place of each.
+2. The selected hashes that occur more than once are joined back to their documents.
+3. Extension: in these the shortest spans of ``min_words`` words are taken forwards and
+   backwards from every line. Their union is the whole of each maximal repeated run, and
+   their content hashes (two of 64 bits) tell the first place of each.
 4. Spans whose content has an earlier place merge into runs and are cut out.
 
 Texts are read twice and moved once, to be cut; lines are moved only as hashes, and
@@ -39,7 +39,6 @@ from .common import doc_key, stored, table
 CUT = "\x1e"
 ENDS = ("\n", ". ", "! ", "? ")
 BLANK = " \t\r\n"
-WORD = "[^ \\t\\r\\n]+"
 
 
 def pieces(text: Column) -> Column:
@@ -55,113 +54,118 @@ def _let(value: Column, body) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """array<struct<pos, end, h1, h2, wc>>: piece indexes, hashes and words of the lines."""
+    """struct<pos, h1, h2, wc, n>: piece indexes, hashes and words of the lines, and the pieces' number."""
 
     def line(x: Column, i: Column) -> Column:
         bare = F.btrim(x, F.lit(BLANK))
-        return F.struct(
-            i.alias("pos"),
-            F.xxhash64(F.lit(1), bare).alias("h1"),
-            F.xxhash64(F.lit(2), bare).alias("h2"),
-            F.regexp_count(x, F.lit(WORD)).alias("wc"),
-        )
+        words = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+        return F.struct(i.alias("pos"), bare.alias("l"), F.xxhash64(bare).alias("h1"), F.when(bare == "", 0).otherwise(words).alias("wc"))
 
     def fresh(u: Column) -> Column:
-        return F.filter(u, lambda x, i: (i == 0) | (x["h1"] != F.get(u, i - 1)["h1"]) | (x["h2"] != F.get(u, i - 1)["h2"]))
+        return F.filter(u, lambda x, i: (i == 0) | (x["h1"] != F.get(u, i - 1)["h1"]))
 
-    def ended(u: Column, n: Column) -> Column:
-        return F.transform(
-            u, lambda x, i: F.struct(x["pos"].alias("pos"), (F.coalesce(F.get(u, i + 1)["pos"], n) - 1).alias("end"), *[x[c].alias(c) for c in ("h1", "h2", "wc")])
+    def split(u: Column, n: Column) -> Column:
+        return F.struct(
+            F.transform(u, lambda x: x["pos"]).alias("pos"),
+            F.transform(u, lambda x: x["h1"]).alias("h1"),
+            F.transform(u, lambda x: F.hash(x["l"])).alias("h2"),
+            F.transform(u, lambda x: x["wc"]).alias("wc"),
+            n.alias("n"),
         )
 
     def whole(parts: Column) -> Column:
         worded = F.filter(F.transform(parts, line), lambda u: u["wc"] > 0)
-        return _let(_let(worded, fresh), lambda u: ended(u, F.size(parts)))
+        return _let(_let(worded, fresh), lambda u: split(u, F.size(parts)))
 
     return _let(pieces(text), whole)
 
 
-def _selected(lines: Column, window: int, long_words: int) -> Column:
-    """Places (from 0) and hashes chosen by winnowing."""
+def _selected(window: int, long_words: int) -> Column:
+    """Hashes chosen by winnowing, each with as many copies as places."""
 
-    def smallest(h: Column) -> Column:
-        def place(_x: Column, i: Column) -> Column:
-            near = [F.get(h, i + k) for k in range(window)]
-            low = F.least(*near) if window > 1 else near[0]
-            return F.when(i + window <= F.size(h), i + F.array_position(F.array(*near), low).cast("int") - 1)
+    def smallest(_x: Column, i: Column) -> Column:
+        near = [F.get("h1", i + k) for k in range(window)]
+        low = F.least(*near) if window > 1 else near[0]
+        return F.when(i + window <= F.size("h1"), i + F.array_position(F.array(*near), low).cast("int") - 1)
 
-        return F.transform(h, place)
+    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, i))
+    places = F.array_distinct(F.concat(F.transform("h1", smallest), alone))
+    return F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.get("h1", p))
 
-    def choose(u: Column) -> Column:
-        alone = F.transform(u, lambda x, i: F.when(x["wc"] >= long_words, i))
-        places = F.array_distinct(F.concat(_let(F.transform(u, lambda x: x["h1"]), smallest), alone))
-        return F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.struct(p.alias("p"), F.get(u, p)["h1"].alias("h")))
 
-    return _let(lines, choose)
+def _spans(min_words: int) -> Column:
+    """array<struct<a, b, w1, w2>>: the shortest spans of ``min_words`` words that begin or end at each line."""
 
+    def reach(i: Column, way: int) -> Column:
+        """How many further lines it takes, or null."""
+        out, total = F.when(F.lit(False), F.lit(0)), F.lit(0)
+        steps = []
+        for m in range(min_words):
+            total = total + F.get("wc", i + way * m)
+            steps.append((m, total >= min_words))
+        out = F.when(steps[0][1], F.lit(0))
+        for m, enough in steps[1:]:
+            out = out.when(enough, F.lit(m))
+        return out
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
-    """(k1, k2, a, b, n): pieces a..b, n lines, of each run to delete."""
-    key = ["k1", "k2"]
-    base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("lines"))
-    base = stored(base, "lines")
-    chosen = base.select("k1", "k2", F.inline(_selected(F.col("lines"), window, (min_words + 1) // 2)))
-    twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = chosen.join(twice, "h").groupBy(*key).agg(F.collect_set("p").alias("hits"))
-
-    rows = (
-        base.join(places, key)
-        .select(*key, "_id", "hits", F.posexplode("lines").alias("p", "u"))
-        .select(*key, "_id", "p", "u.*", F.array_contains("hits", F.col("p")).cast("int").alias("hit"))
-        .groupBy(*key, "p")
-        .agg(*[F.first(c).alias(c) for c in ("_id", "pos", "end", "h1", "h2", "wc", "hit")])
-    )
-    by_place = Window.partitionBy(*key).orderBy("p")
-    rows = rows.withColumn("e", F.sum("wc").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("s", F.col("e") - F.col("wc"))
-    fwd = Window.partitionBy(*key).orderBy("s").rangeBetween(0, min_words - 1)
-    bwd = Window.partitionBy(*key).orderBy("e").rangeBetween(1 - min_words, 0)
+    fwd = F.transform("wc", lambda x, i: F.struct(i.alias("p"), reach(i, 1).alias("m")))
+
+    def behind(x: Column, i: Column) -> Column:
+        # a span that begins with one line less is a forward span already
+        return F.when(x < min_words, _let(reach(i, -1), lambda m: F.struct((i - m).alias("p"), F.when(_words(i - m, i) - x >= min_words, m).alias("m"))))
+
+    def _words(a: Column, b: Column) -> Column:
+        return F.aggregate(F.slice("wc", a + 1, b - a + 1), F.lit(0), lambda t, x: t + x)
 
-    def span(w, kind: int) -> Column:
+    bwd = F.transform("wc", behind)
+    found = F.filter(F.concat(fwd, bwd), lambda s: s["m"].isNotNull())
+
+    def span(s: Column) -> Column:
+        p, n = s["p"], s["m"] + 1
         return F.struct(
-            F.lit(kind).alias("kind"),
-            F.collect_list("h1").over(w).alias("l1"),
-            F.collect_list("h2").over(w).alias("l2"),
-            (F.col("p") if kind == 0 else F.min("p").over(w)).alias("p"),
-            (F.col("pos") if kind == 0 else F.min("pos").over(w)).alias("a"),
-            (F.max("end").over(w) if kind == 0 else F.col("end")).alias("b"),
-            F.sum("wc").over(w).alias("words"),
-            F.max("hit").over(w).alias("hit"),
+            F.get("pos", p).alias("a"),
+            (F.coalesce(F.get("pos", p + n), F.col("n")) - 1).alias("b"),
+            F.xxhash64(F.slice("h1", p + 1, n)).alias("w1"),
+            F.xxhash64(F.lit(7), F.slice("h2", p + 1, n)).alias("w2"),
         )
 
-    spans = (
-        rows.select(*key, "_id", span(fwd, 0).alias("f"), span(bwd, 1).alias("g"))
-        .select(*key, "_id", F.inline(F.array("f", "g")))
-        .where((F.col("words") >= min_words) & (F.col("hit") == 1))
-        .select(*key, "_id", "kind", "p", "a", "b", F.size("l1").alias("n"), F.xxhash64("l1").alias("w1"), F.xxhash64(F.lit(7), "l2").alias("w2"))
-    )
-    where = F.struct("_id", "k1", "k2", "p")
-    first = spans.groupBy("kind", "w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = spans.join(first, ["kind", "w1", "w2"]).where(where > F.col("first")).select(*key, "p", "n", "a", "b")
-    later = later.withColumn("q", F.col("p") + F.col("n") - 1)
+    return F.transform(found, span)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
+    """(k1, k2, a, b): the pieces a..b of each run to delete."""
+    key = ["k1", "k2"]
+    base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("u"))
+    base = stored(base.select(*key, "_id", "u.*"), "lines")
+
+    chosen = base.select("k1", F.explode(_selected(window, (min_words + 1) // 2)).alias("h"))
+    twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    places = chosen.join(twice, "h").select("k1").distinct()
+
+    lines = ["pos", "h1", "h2", "wc", "n"]
+    near = base.join(places, "k1").groupBy(*key, "_id").agg(F.first(F.struct(*lines)).alias("u")).select(*key, "_id", "u.*")
+    spans = near.select(*key, "_id", F.inline(_spans(min_words)))
+    where = F.struct("_id", "k1", "k2", "a")
+    first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select(*key, "a", "b")
 
     order = Window.partitionBy(*key).orderBy("a", "b")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce((F.col("p") > F.max("q").over(before) + 1).cast("int"), F.lit(1))
+    fresh = F.coalesce((F.col("a") > F.max("b").over(before) + 1).cast("int"), F.lit(1))
     runs = later.withColumn("new", fresh).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*key, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), (F.max("q") - F.min("p") + 1).alias("n")).drop("run")
+    return runs.groupBy(*key, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
     """``docs`` with repeated runs cut out of the text.
 
-    Every row and column stays; added are ``lines_deleted`` and
-    ``runs_deleted`` (ranges ``a``..``b`` of ``pieces`` of the old text). Columns
+    Every row and column stays; added are ``lines_deleted`` (pieces cut)
+    and ``runs_deleted`` (ranges ``a``..``b`` of ``pieces`` of the old text). Columns
     of ``docs`` with these names are replaced.
     """
     docs = docs.drop("lines_deleted", "runs_deleted")
     runs = repeated_runs(docs, id_col, text_col, min_words, window)
-    cuts = runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"), F.sum("n").alias("_n"))
+    cuts = runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"), F.sum(F.col("b") - F.col("a") + 1).alias("_n"))
     k1, k2 = doc_key(id_col, text_col)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), k1, k2)
     joined = keyed.join(cuts, ["k1", "k2"], "left")
@@ -187,7 +191,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(replace(replace(replace(replace(text, chr(10), chr(10)||chr(30)), '. ', '. '||chr(30)), '! ', '! '||chr(30)), '? ', '? '||chr(30)), chr(30)) AS ps FROM documents),
 x AS (SELECT doc_id, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM d),
-u AS (SELECT doc_id, pos, trim(x, ' '||chr(9)||chr(10)||chr(13)) AS l, len(regexp_extract_all(x, '[^ \t\r\n]+')) AS wc FROM x),
+u AS (SELECT doc_id, pos, trim(x, ' '||chr(9)||chr(10)||chr(13)) AS l, CASE WHEN trim(x, ' '||chr(9)||chr(10)||chr(13)) = '' THEN 0 ELSE len(trim(x, ' '||chr(9)||chr(10)||chr(13))) - len(replace(trim(x, ' '||chr(9)||chr(10)||chr(13)), ' ', '')) + 1 END AS wc FROM x),
 u2 AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY pos) AS l0 FROM u WHERE wc > 0),
 n0 AS (SELECT doc_id, len(ps) AS n FROM d),
 v AS (SELECT doc_id, pos, l, wc, coalesce(lead(pos) OVER o, n) - 1 AS fin, row_number() OVER o - 1 AS p, sum(wc) OVER o AS e FROM u2 JOIN n0 USING (doc_id) WHERE l IS DISTINCT FROM l0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
@@ -200,7 +204,7 @@ s AS (SELECT * FROM f WHERE words >= 25 UNION ALL SELECT * FROM b WHERE words >=
 later AS (SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY kind, c ORDER BY doc_id, p) AS rn FROM s) WHERE rn > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM later),
 gp AS (SELECT g.doc_id, g.p, v.pos, v.fin FROM gone g JOIN v USING (doc_id, p)),
-isl AS (SELECT doc_id, min(pos) AS a, max(fin) AS b, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gp) GROUP BY doc_id, g),
+isl AS (SELECT doc_id, min(pos) AS a, max(fin) AS b, max(fin) - min(pos) + 1 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gp) GROUP BY doc_id, g),
 kept AS (SELECT x.doc_id, string_agg(x.x, '' ORDER BY x.pos) AS t FROM x WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.doc_id = x.doc_id AND x.pos BETWEEN isl.a AND isl.b) GROUP BY 1),
 n AS (SELECT doc_id, sum(n) AS n, count(*) AS r FROM isl GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text, coalesce(n.n, 0)::BIGINT AS lines_deleted, coalesce(n.r, 0)::BIGINT AS n_runs
