@@ -10,7 +10,10 @@ from __future__ import annotations
 def queries() -> dict:
     from . import decontamination, line_dedup, near_dedup, packing, token_counts, toxicity
 
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
