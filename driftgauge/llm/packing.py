@@ -18,11 +18,14 @@ packed each on their own. Other columns of ``docs`` are not kept.
 from __future__ import annotations
 
 import heapq
+import json
+from array import array
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,36 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .token_counts import tokenizer
 
-CACHE = 400_000
+CACHE = 1_000_000
+MARK = b"\xff"
+
+
+def word_encoder(tok):
+    """A faster twin of the tokenizer for single lower-case words of Latin-1 letters, or None.
+
+    A byte that no UTF-8 text has stands for the word end. Merges by rank need ids that
+    grow with the merges.
+    """
+    state = json.loads(tok.to_str())
+    model = state["model"]
+    end = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not end or model.get("continuing_subword_prefix"):
+        return None
+    vocab = model["vocab"]
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if made != sorted(made):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    ranks = {}
+    for token, i in vocab.items():
+        body, tail = (token[: -len(end)], MARK) if token.endswith(end) else (token, b"")
+        if all(c in byte for c in body):
+            ranks[bytes(byte[c] for c in body) + tail] = i
+    if any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
 
 class WordIds:
@@ -42,21 +74,34 @@ class WordIds:
 
     def __init__(self, path: str, end: int):
         self.tok = tokenizer(path)
+        self.word = word_encoder(self.tok)
         self.end = np.uint32(end).tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.marks = {m: self.ids([m])[0] for m in ",."}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        bare = {w[:-1] if w[-1] in ",." and w[:-1].isalpha() and w.isascii() else w for w in words}
-        need = [w for w in bare if w not in self.known]
-        for i in range(0, len(need), 8192):
-            part = need[i : i + 8192]
-            self.known.update(zip(part, self.ids(part), strict=True))
-        for w in words - bare:
-            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
+        known, marks, word, slow = self.known, self.marks, self.word, []
+        for w in words:
+            tail = w[-1] if w[-1] in marks else ""
+            low = (w[:-1] if tail else w).lower()
+            if word is None or not low.isalpha() or len(low) != len(w) - len(tail):
+                slow.append(w)
+                continue
+            ids = known.get(low)
+            if ids is None:
+                try:
+                    raw = low.encode("latin-1").decode("latin-1").encode()
+                except UnicodeEncodeError:
+                    slow.append(w)
+                    continue
+                ids = known[low] = array("I", word(raw + MARK)).tobytes()
+            known[w] = ids + marks[tail] if tail else ids
+        for i in range(0, len(slow), 8192):
+            part = slow[i : i + 8192]
+            known.update(zip(part, self.ids(part), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
@@ -75,14 +120,8 @@ _encoders: dict[tuple, WordIds] = {}
 
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids."""
-    out = [(s, capacity) for s in range(0, n - capacity + 1, capacity)]
-    at = len(out) * capacity
-    k = ceil((n - at) / grain)
-    for i in range(k):
-        size = (n - at) // (k - i)
-        out.append((at, size))
-        at += size
-    return out
+    at = n - n % capacity
+    return [(s, capacity) for s in range(0, at, capacity)] + [(s, min(grain, n - s)) for s in range(at, n, grain)]
 
 
 def _pieces(path: str, end: int, capacity: int, grain: int):
@@ -113,7 +152,7 @@ def _pieces(path: str, end: int, capacity: int, grain: int):
     return run
 
 
-def cut_documents(docs: DataFrame, path: str, end: int = 1, capacity: int = 2048, grain: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, end: int = 1, capacity: int = 2048, grain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, doc_tokens, piece, ids) of each piece; ids are little-endian 32-bit."""
     kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -173,7 +212,7 @@ def balance(sizes: np.ndarray, capacity: int) -> np.ndarray:
         n += 1
 
 
-def assign_windows(pieces: DataFrame, capacity: int = 2048, windows: int = 96) -> DataFrame:
+def assign_windows(pieces: DataFrame, capacity: int = 2048, windows: int = 128) -> DataFrame:
     """``pieces`` (with ``piece`` and ``length``) with ``sequence_id`` and ``offset``."""
     pieces = pieces.drop("sequence_id", "offset")
     rest = pieces.where(F.col("length") < capacity)

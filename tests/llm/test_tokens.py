@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftgauge.llm.packing import balance, cut_documents, cuts, differencing, digest, pack_documents
+from driftgauge.llm.packing import WordIds, balance, cuts, differencing, digest, pack_documents
 from driftgauge.llm.token_counts import Splitter, count_tokens, op7_token_counts
 
 ODD = [
@@ -99,7 +99,17 @@ def test_differencing_is_near_equal():
     assert balance(np.array([4, 5, 6, 7, 8]), 16).max() == 1  # 30 in two windows of 16
 
 
+def test_fast_words_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = WordIds(path, 1)
+    assert words.word is not None
+    vocab = sorted({t.removesuffix("</w>") for t in words.tok.get_vocab()})
+    texts = [*[t for t in ODD if t], " ".join(vocab), " ".join(v.upper() for v in vocab), "ªº µß ÿ ñandú. Ünder, it's e.g.,"]
+    want = [[*e.ids, 1] for e in words.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [list(np.frombuffer(x, "<u4")) for x in words(texts)] == want
+
+
 def test_cuts():
     assert cuts(1, 8, 4) == [(0, 1)]
     assert cuts(16, 8, 4) == [(0, 8), (8, 8)]
-    assert cuts(21, 8, 4) == [(0, 8), (8, 8), (16, 2), (18, 3)]
+    assert cuts(21, 8, 4) == [(0, 8), (8, 8), (16, 4), (20, 1)]
