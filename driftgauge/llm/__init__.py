@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import decontamination, line_dedup, near_dedup, packing, token_counts, toxicity
+    from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, token_counts, toxicity
 
     import corpus_pipeline
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 

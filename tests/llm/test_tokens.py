@@ -82,7 +82,7 @@ def test_packing(spark, sf, odd):
     assert digest(plain.limit(0)).count() == 0
     whole = pack_documents(plain, public_tokenizers.path("word_bpe_49k.json"))
     assert whole.where("octet_length(ids) <> 4 * length").count() == 0
-    assert digest(odd).count() == plain.count() + 1  # a repeated row is packed again
+    assert digest(odd).count() == digest(plain).count() + 1  # a repeated row is packed again
 
 
 def test_differencing_is_near_equal():
