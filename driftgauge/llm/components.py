@@ -26,8 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ``links`` holds 64-bit nodes. Each step's links are written to the shared folder;
     only their number and checksum reach the driver.
     """
-    e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    before = None
+    e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e, before = stored(e.distinct(), "links"), None
     while True:
         e = stored(_small(_large(e)).distinct(), "links")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

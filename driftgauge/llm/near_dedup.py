@@ -205,7 +205,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
             break
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        new = both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long")
+        new = stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), "links")
         links = new if links is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         comps = components(links)
 
