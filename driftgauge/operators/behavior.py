@@ -74,11 +74,11 @@ def extract_api_calls(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
 
 
 def _events(report: Column, fields: dict[str, str], base: str) -> Column:
-    made = []
-    for field, event in fields.items():
+    def of(field: str, event: str) -> Column:
         values = F.coalesce(_list(report, f"{base}.{field}"), F.array().cast("array<variant>"))
-        made.append(F.transform(F.filter(values, lambda v: ~_falsy(v)), lambda v, e=event: F.struct(F.lit(e).alias("event"), _text(v).alias("path"))))
-    return F.concat(*made)
+        return F.transform(F.filter(values, lambda v: ~_falsy(v)), lambda v: F.struct(F.lit(event).alias("event"), _text(v).alias("path")))
+
+    return F.concat(*[of(f, e) for f, e in fields.items()])
 
 
 # Report fields and the events they stand for.

@@ -13,32 +13,39 @@ WORD = r"(?Ud)\b\w+\b"
 WORD2 = r"(?Ud)\b\w\w+\b"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for use inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _runs(units: Column, k: int, sep: str) -> Column:
+    """All runs of k units, joined; none where there are fewer."""
+    if k == 1:
+        return units
+    some = F.transform(F.sequence(F.lit(1), F.size(units) - (k - 1)), lambda i: F.array_join(F.slice(units, i, F.lit(k)), sep))
+    return F.when(F.size(units) >= k, some).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(units: Column, low: int, high: int, sep: str) -> Column:
-    n = F.size(units)
-    per = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(units, i, F.lit(k)), sep))).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)]
-    return F.concat(*per)
+    return _let(units, lambda u: F.concat(*[_runs(u, k, sep) for k in range(low, high + 1)]))
 
 
 def grams(text: Column, analyzer: str = "word", ngram: tuple[int, int] = (1, 1), pattern: str = WORD2) -> Column:
-    """n-grams of the lower-case text: ``word``, ``char`` (blanks runs are one) or ``char_wb`` (within padded words)."""
+    """n-grams of the lower-case text: ``word``, ``char`` (runs of blanks are one) or ``char_wb`` (within padded words)."""
     low = F.lower(text)
     if analyzer == "word":
         return _grams(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), *ngram, " ")
     if analyzer == "char":
         return _grams(F.split(F.regexp_replace(low, r"(?U)\s\s+", " "), ""), *ngram, "")
-    padded = F.transform(F.filter(F.split(low, r"(?U)\s+"), lambda w: w != ""), lambda w: F.split(F.concat(F.lit(" "), w, F.lit(" ")), ""))
+    words = F.filter(F.split(low, r"(?U)\s+"), lambda w: w != "")
 
     def of_word(w: Column) -> Column:
-        # a word shorter than n gives itself once, at its first such n
-        n = F.size(w)
-        per = []
-        for k in range(ngram[0], ngram[1] + 1):
-            long = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(w, i, F.lit(k)), ""))
-            once = F.array(F.array_join(w, "")) if k == ngram[0] else F.array().cast("array<string>")
-            per.append(F.when(n >= k, long).otherwise(once))
-        return F.concat(*per)
-
-    return F.flatten(F.transform(padded, of_word))
+        # a padded word shorter than the least n gives itself once
+        units = F.split(F.concat(F.lit(" "), w, F.lit(" ")), "")
+        short = F.when(F.length(w) + 2 < ngram[0], F.array(F.concat(F.lit(" "), w, F.lit(" ")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(short, _grams(units, *ngram, ""))
+
+    return F.flatten(F.transform(words, of_word))
 
 
 def gram_counts(docs: DataFrame, id_col: str, text: str = "text", **how) -> DataFrame:
