@@ -10,15 +10,16 @@ with exact copies.
    keeps its first arrival; a shingle stops as soon as its next arrival is later than
    every register's. Registers of two texts agree with the probability Jaccard.
 3. Banding: ``bands`` groups of ``rows`` registers. A pair of similarity 0.8 shares a
-   band with probability 1 - (1 - 0.8^4)^24 > 0.99999.
-4. A bucket larger than ``block`` is dealt into blocks and each pair of blocks is a
+   band with probability 1 - (1 - 0.8^4)^20 > 0.9999.
+4. A bucket larger than ``BLOCK`` is dealt into blocks and each pair of blocks is a
    group, so no task holds a whole hot bucket. In a group signatures are compared in
-   numpy; pairs that agree in under ``0.6`` of the registers (five standard deviations
+   numpy; pairs that agree in under 0.6 of the registers (over four standard deviations
    below 0.8) or whose set sizes forbid 0.8 fall away, exactly or beyond doubt.
-5. Verification in rounds: each node sends its closest pairs first (1, then 7, then 56,
-   then all the rest), and only pairs whose nodes aren't yet in one component. Every
-   pair that could join two components is verified, but a class of n near copies takes
-   about n verifications, not n squared.
+5. Verification, on whole texts. First each node's closest pair in its groups, which
+   joins most classes; then, in every group where nodes of two components still have
+   such a pair, all these pairs, the closest first, until they are joined. A pair is left
+   out only when its nodes are joined already, so no link that matters is lost, and a
+   group of n nodes sends under n links.
 
 Nulls: texts without a word (null, empty, white space) are in no class but their own.
 Texts of under five words have one shingle, all their words. A class is named by its
@@ -29,22 +30,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 from .components import components
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 LOW = 0.6
-BLOCK = 1024
-ROUNDS = ((0, 1), (1, 8), (8, 64), (64, 1 << 30))
+BLOCK = 512
 _U = np.uint64
-_known: dict[str, int] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -52,19 +48,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_ODD = _U(0x9E3779B97F4A7C15)
+_BACK = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_ODD, _BACK)):
+            step = np.full(2 * n, base, _U)
+            step[0] = 1
+            _powers[k] = np.multiply.accumulate(step)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def shingles(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and their counts."""
-    if len(_known) > 500_000:
-        _known.clear()
-    tokens = text.split()
-    for w in set(tokens).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    h = np.fromiter(map(_known.__getitem__, tokens), _U, len(tokens))
-    n = max(len(h) - words + 1, min(len(h), 1))
-    out = np.zeros(n, _U)
-    for k in range(min(words, len(h))):
-        out = out * _U(0x9E3779B97F4A7C15) + h[k : k + n]
-    return np.unique(mix(out), return_counts=True)
+    """Distinct shingle hashes and their counts. Words are parted by ASCII white space.
+
+    A polynomial hash of the bytes, by prefix sums: a shingle is a stretch of bytes from
+    its first word's first to its last word's last, with single blanks between words.
+    """
+    raw = b" ".join(text.encode("utf-8", "surrogatepass").split())
+    if not raw:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.flatnonzero(data == 32)
+    starts, ends = np.r_[0, blank + 1], np.r_[blank, len(data)]
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=total[1:])
+    k = min(words, len(starts))
+    a, b = starts[: len(starts) - k + 1], ends[k - 1 :]
+    return np.unique(mix((total[b] - total[a]) * down[a]), return_counts=True)
 
 
 def probminhash(items: np.ndarray, weights: np.ndarray, m: int = M) -> np.ndarray:
@@ -104,37 +120,120 @@ def _signatures(batches):
         )
 
 
-def _pairs(threshold: float, lo: int, hi: int):
-    """Pairs (a, b) of each group: for each node its lo-th to hi-th closest in another component."""
+class Group:
+    """The nodes of one group, with what tells which pairs it has to judge."""
+
+    def __init__(self, rows: list[dict], band: int, threshold: float):
+        self.rows, self.band, self.threshold = rows, band, threshold
+        self.node = np.array([x["node"] for x in rows], np.int64)
+        self.comp = np.array([x["comp"] for x in rows], np.int64)
+        self.side = np.array([x["side"] for x in rows], np.int32)
+        self.size = np.array([x["size"] for x in rows], np.float64)
+        self.sig = np.frombuffer(b"".join(x["sig"] for x in rows), np.uint16).reshape(len(rows), M)
+        self.crossed = bool(self.side.min() != self.side.max())
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes behind i that may be linked to it and aren't yet, and the registers they share.
+
+        A pair that shares several bands is judged in the first of them alone.
+        """
+        js = np.arange(i + 1, len(self.node))
+        ok = self.comp[js] != self.comp[i]
+        if self.crossed:
+            ok &= self.side[js] != self.side[i]
+        ok &= np.minimum(self.size[js], self.size[i]) >= self.threshold * np.maximum(self.size[js], self.size[i]) - 1e-9
+        js = js[ok]
+        equal = self.sig[js] == self.sig[i]
+        same = equal.sum(1)
+        js, equal, same = js[same >= LOW * M], equal[same >= LOW * M], same[same >= LOW * M]
+        first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == self.band
+        return js[first], same[first]
+
+
+def _closest(threshold: float):
+    """For each node of a group the node closest to it: pairs (a, b)."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for rows, band in zip(batch.column("members").to_pylist(), batch.column("band").to_pylist(), strict=True):
+                g = Group(rows, band, threshold)
+                best = np.zeros(len(rows), np.int64)
+                with_ = np.full(len(rows), -1)
+                for i in range(len(rows)):
+                    js, same = g.near(i)
+                    if len(js):
+                        k = same.argmax()
+                        if same[k] > best[i]:
+                            best[i], with_[i] = same[k], js[k]
+                        better = same > best[js]
+                        best[js[better]], with_[js[better]] = same[better], i
+                at = np.flatnonzero(with_ >= 0)
+                a.append(np.minimum(g.node[at], g.node[with_[at]]))
+                b.append(np.maximum(g.node[at], g.node[with_[at]]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def _open(threshold: float):
+    """(g, band, node) of nodes that still have a pair to be judged in their group."""
+
+    def run(batches):
+        for batch in batches:
+            names, bands, nodes = [], [], []
+            for g, rows, band in zip(*[batch.column(c).to_pylist() for c in ("g", "members", "band")], strict=True):
+                x = Group(rows, band, threshold)
+                has = np.zeros(len(rows), bool)
+                for i in range(len(rows)):
+                    js, _ = x.near(i)
+                    has[i] |= len(js) > 0
+                    has[js] = True
+                got = x.node[has].tolist()
+                names += [g] * len(got)
+                bands += [band] * len(got)
+                nodes += got
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bands, pa.int32()), pa.array(nodes, pa.int64())], names=["g", "band", "node"])
+
+    return run
+
+
+def _judged(threshold: float):
+    """Links (a, b) that join the components of a group: its pairs are verified, the closest first,
+    but for those whose nodes are joined already, so that n nodes give under n links."""
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            for group in batch.column(0).to_pylist():
-                node = np.array([x["node"] for x in group], np.int64)
-                comp = np.array([x["comp"] for x in group], np.int64)
-                side = np.array([x["side"] for x in group], np.int32)
-                size = np.array([x["size"] for x in group], np.float64)
-                sig = np.frombuffer(b"".join(x["sig"] for x in group), np.uint16).reshape(len(group), M)
-                names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
-                if len(names) < 2:
-                    continue
-                crossed = side.min() != side.max()
-                for i in np.flatnonzero(where != count.argmax()) if count.max() > 1 else range(len(node)):
-                    ok = (comp != comp[i]) if not crossed else (side != side[i]) & (comp != comp[i])
-                    ok &= (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
-                    js = np.flatnonzero(ok)
-                    if not len(js):
+            a, b = [], []
+            for rows, band in zip(batch.column("members").to_pylist(), batch.column("band").to_pylist(), strict=True):
+                g = Group(rows, band, threshold)
+                up = {int(c): int(c) for c in g.comp}
+
+                def find(c, up=up):
+                    while up[c] != c:
+                        up[c] = c = up[up[c]]
+                    return c
+
+                pairs = []
+                for i in range(len(rows)):
+                    js, same = g.near(i)
+                    pairs.append(np.stack([-same, np.full(len(js), i), js]))
+                pairs = np.concatenate(pairs, axis=1)
+                sets: dict[int, np.ndarray] = {}
+                for i, j in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
+                    p, q = find(int(g.comp[i])), find(int(g.comp[j]))
+                    if p == q:
                         continue
-                    same = (sig[js] == sig[i]).sum(1)
-                    close = same >= LOW * M
-                    js, same = js[close], same[close]
-                    if len(js) > lo:
-                        js = js[np.lexsort((node[js], -same))[lo:hi]]
-                        out_a.append(np.minimum(node[i], node[js]))
-                        out_b.append(np.maximum(node[i], node[js]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                    x, y = (sets.setdefault(k, sets.get(k) if k in sets else shingles(rows[k]["text"])[0]) for k in (i, j))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                        up[p] = q
+                        a.append(min(rows[i]["node"], rows[j]["node"]))
+                        b.append(max(rows[i]["node"], rows[j]["node"]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -155,16 +254,19 @@ def _verify(threshold: float):
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
-    """(g, members): sets of nodes that share a band; array<struct<node, side>>."""
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.join(shared, "band").withColumn("n", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    rows = rows.select("band", "node", "side", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    rows = rows.groupBy("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    rows = rows.agg(F.sort_array(F.collect_list(F.struct("node", "side"))).alias("members"))
-    rows = rows.select("members", F.struct(F.xxhash64("members.node"), F.xxhash64(F.lit(3), "members.node"), "i", "j").alias("g")).where(F.size("members") > 1)
-    return rows.groupBy("g").agg(F.first("members").alias("members"))
+    """(g, band, members): sets of nodes that share a band; array<struct<node, side>>.
+
+    A set that several bands have alike is one group, that of the first band.
+    """
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1")
+    rows = rows.join(shared, ["band", "value"]).withColumn("n", F.ceil(F.col("c") / BLOCK).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    rows = rows.select("band", "value", "node", "side", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    rows = rows.groupBy("band", "value", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("node", "side"))).alias("members")).where(F.size("members") > 1)
+    rows = rows.groupBy(F.xxhash64("members.node", "i", "j").alias("h1"), F.xxhash64(F.lit(3), "members.node", "i", "j").alias("h2"))
+    return rows.agg(F.min("band").alias("band"), F.first("members").alias("members")).select(F.monotonically_increasing_id().alias("g"), "band", "members")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,27 +289,26 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
     texts = stored(texts.select("node", "text").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     sigs = nodes.select("node", "size", "sig")
-    comps, links = None, None
-    for lo, hi in ROUNDS:
-        rows = groups.select("g", F.inline("members"))
-        if comps is None:
-            rows = rows.withColumn("comp", F.col("node"))
-        else:
-            rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            split = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-            rows = rows.join(split, "g")
-        full = rows.join(sigs, "node").groupBy("g").agg(F.collect_list(F.struct("node", "side", "comp", "size", "sig")).alias("members"))
-        pairs = stored(full.select("members").mapInArrow(_pairs(threshold, lo, hi), "a long, b long").distinct(), "pairs")
-        if pairs.isEmpty():
-            if comps is not None and lo:
-                break
-            comps = pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-            break
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        new = stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), "links")
-        links = new if links is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        comps = components(links)
+    member = ["node", "side", "comp", "size", "sig"]
+    rows = groups.select("g", "band", F.inline("members"))
+
+    def gathered(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.groupBy("g", "band").agg(F.collect_list(F.struct(*columns)).alias("members"))
+
+    first = gathered(rows.withColumn("comp", F.col("node")).join(sigs, "node"), member)
+    pairs = first.select("band", "members").mapInArrow(_closest(threshold), "a long, b long").distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    comps = components(stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), "links"))
+
+    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
+    rows = stored(rows.join(split, "g").join(sigs, "node"), "rows")
+    left = stored(gathered(rows, member).mapInArrow(_open(threshold), "g long, band int, node long"), "open")
+    last = gathered(rows.join(left, ["g", "band", "node"]).join(texts, "node"), [*member, "text"])
+    links = last.select("band", "members").mapInArrow(_judged(threshold), "a long, b long")
+    links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    comps = components(links)
 
     named = nodes.select("node", "id", "t1", "t2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("class_id"))
