@@ -124,7 +124,7 @@ def top_families(df: DataFrame, k: int, family: str = "family", seen: str = "pos
 
 def fold_seed(family: Column, base: int = 42) -> Column:
     """The first 8 hexadecimal digits of md5(family) as a number, plus the base seed."""
-    return F.conv(F.substring(F.md5(family), 1, 8), 16, 10).cast("long") + F.lit(base)
+    return F.conv(F.substring(F.md5(family.cast("string")), 1, 8), 16, 10).cast("long") + F.lit(base)
 
 
 def lofo_folds(mal: DataFrame, families: DataFrame, val_ratio: float, id_col: str, family: str = "family", seed: int = 42) -> DataFrame:
