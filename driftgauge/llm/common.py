@@ -33,7 +33,16 @@ def stored(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing needs any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def doc_key(doc_id: str, text: str) -> list[Column]:

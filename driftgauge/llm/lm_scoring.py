@@ -9,8 +9,8 @@ before and the word two before (hashed), the last two classes (n-gram) and the c
 one and three before (skip).
 
 1. Blocks of documents keep their own word list; a document is a row of places in it.
-2. Word lists are counted over all training documents (partial sums by block), which
-   gives every word's count, class and probabilities, and joined back to their blocks.
+2. Word lists of all blocks meet by word, sorted, which gives every word its count over
+   all training documents; the counts go back and are joined with their block.
 3. Each document becomes bytes: a class and a hash per token, and the sums of the
    context-free parts. These coded documents go to the shared folder.
 4. Training: each of ``ROUNDS`` rounds takes another part of all training documents, so
@@ -29,17 +29,17 @@ every probability is that of an unseen word.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 END = b" "
 SLOTS = 4096
+ENDING_OF_END = 1 << 16
 #: Rows of the model: bias, word before, word two before, class pair, skip pair.
 FEATURES = 1 + 4 * SLOTS
 ROUNDS = 4
@@ -49,16 +49,14 @@ BATCH = 16_384
 
 def _blocks(block_chars: int):
     names = ["block", "doc_id", "held", "trains", "seq", "words", "counts"]
-    kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
     def run(batches):
-        name, place, rows, size, counts = uuid.uuid4().hex, {END: 0}, [], 0, []
+        block, place, rows, size = TaskContext.get().partitionId() << 24, {END: 0}, [], 0
+        counts = np.zeros(1 << 16, np.int32)
 
         def out():
-            total = np.zeros(len(place), np.int64)
-            for c in counts:
-                total[: len(c)] += c
-            rows.append((name, None, None, None, None, list(place), total))
+            rows.append((block, None, None, None, None, list(place), counts[: len(place)]))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -69,49 +67,86 @@ def _blocks(block_chars: int):
                 seq = np.zeros(len(words) + 1, np.uint32)
                 seq[:-1] = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
                 if trains:
-                    counts.append(np.bincount(seq))
-                    if len(counts) > 64:
-                        total = np.zeros(len(place), np.int64)
-                        for c in counts:
-                            total[: len(c)] += c
-                        counts[:] = [total]
-                rows.append((name, doc, held, trains, seq.tobytes(), None, None))
+                    if len(place) > len(counts):
+                        counts = np.concatenate([counts, np.zeros(len(place), np.int32)])
+                    own = np.bincount(seq)
+                    hit = np.flatnonzero(own)
+                    counts[hit] += own[hit].astype(np.int32)
+                rows.append((block, doc, held, trains, seq.tobytes(), None, None))
                 size += len(text or "")
                 if size >= block_chars:
                     yield out()
-                    name, place, rows, size, counts = uuid.uuid4().hex, {END: 0}, [], 0, []
+                    block, place, rows, size = block + 1, {END: 0}, [], 0
+                    counts = np.zeros(1 << 16, np.int32)
         if rows:
             yield out()
 
     return run
 
 
-def _code(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Documents of a block with what its word list says of each token."""
-    at = words.column("at").to_numpy()
-    size = int(at.max()) + 1 if len(at) else 1
-
-    def by_place(name, kind):
-        out = np.zeros(size, kind)
-        out[at] = words.column(name).to_numpy()
-        return out
-
-    cls, slot, known = by_place("cls", np.uint8), by_place("slot", np.uint16), by_place("known", np.int64)
-    inside, base = by_place("inside", np.float64), by_place("base", np.float64)
-    seqs = [np.frombuffer(s, np.uint32) for s in docs.column("seq").to_pylist()]
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "held": docs.column("held"),
-            "trains": docs.column("trains"),
-            "n_tokens": pa.array([len(s) for s in seqs], pa.int64()),
-            "n_known": pa.array([int(known[s].sum()) for s in seqs], pa.int64()),
-            "base_score": pa.array([float(base[s].sum()) for s in seqs], pa.float64()),
-            "inside": pa.array([float(inside[s].sum()) for s in seqs], pa.float64()),
-            "cls": pa.array([cls[s].tobytes() for s in seqs], pa.binary()),
-            "slot": pa.array([slot[s].tobytes() for s in seqs], pa.binary()),
-        }
-    )
+def _totals(batches):
+    """(block, at, c, first) of rows sorted by word: c is the word's count over all blocks, first marks its first row."""
+
+    def told(rows):
+        word, block, at, c, slot, ending = rows
+        new = np.r_[True, word[1:] != word[:-1]]
+        total = np.add.reduceat(c, np.flatnonzero(new))
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at), pa.array(total[np.cumsum(new) - 1]), pa.array(slot), pa.array(ending), pa.array(new)], names=["part", "at", "c", "slot", "ending", "first"])
+
+    kept = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        word = np.array(batch.column("word").to_pylist(), object)
+        rows = [word, *[batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "at", "c", "slot", "ending")]]
+        rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+        cut = int(np.flatnonzero(rows[0] == rows[0][-1])[0])  # the last word may go on in the next batch
+        if cut:
+            yield told([x[:cut] for x in rows])
+        kept = [x[cut:] for x in rows]
+    if kept is not None:
+        yield told(kept)
+
+
+def _code(sizes: dict, n: int, v: int):
+    """Documents of a block with what its words say of each token; ``sizes``: ending -> (class, tokens, words)."""
+    classes = np.full(1 << 17, 62, np.uint8)
+    totals = np.zeros(64)
+    for ending, (k, tokens, kinds) in sizes.items():
+        if ending >= 0:
+            classes[ending] = k
+        totals[k] = tokens + 0.5 * (kinds + 1)
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        at = words.column("at").to_numpy()
+        size = int(at.max()) + 1 if len(at) else 1
+
+        def by_place(name, kind):
+            out = np.zeros(size, kind)
+            out[at] = words.column(name).to_numpy()
+            return out
+
+        c, slot = by_place("c", np.int64), by_place("slot", np.uint16)
+        cls = classes[by_place("ending", np.int64)]
+        inside = np.log10((c + 0.5) / totals[cls])
+        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        known = (c > 0).astype(np.int64)
+        seqs = [np.frombuffer(s, np.uint32) for s in docs.column("seq").to_pylist()]
+        return pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "held": docs.column("held"),
+                "trains": docs.column("trains"),
+                "n_tokens": pa.array([len(s) for s in seqs], pa.int64()),
+                "n_known": pa.array([int(known[s].sum()) for s in seqs], pa.int64()),
+                "base_score": pa.array([float(base[s].sum()) for s in seqs], pa.float64()),
+                "inside": pa.array([float(inside[s].sum()) for s in seqs], pa.float64()),
+                "cls": pa.array([cls[s].tobytes() for s in seqs], pa.binary()),
+                "slot": pa.array([slot[s].tobytes() for s in seqs], pa.binary()),
+            }
+        )
+
+    return run
 
 
 CODED = "doc_id string, held boolean, trains boolean, n_tokens long, n_known long, base_score double, inside double, cls binary, slot binary"
@@ -262,40 +297,46 @@ def _score(sent, end_slot: int):
     return run
 
 
-def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; ``held`` rows don't train."""
     kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), (~held & F.col(id_col).isNotNull()).alias("t"), F.col(text_col).cast("string").alias("text"))
     base = base.select("doc_id", "held", F.coalesce("t", F.lit(False)).alias("trains"), "text")
-    blocks = stored(base.mapInArrow(_blocks(block_chars), "block string, doc_id string, held boolean, trains boolean, seq binary, words array<binary>, counts array<long>"), "words")
+    blocks = stored(base.mapInArrow(_blocks(block_chars), "block long, doc_id string, held boolean, trains boolean, seq binary, words array<binary>, counts array<int>"), "words")
 
     lists = blocks.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
-    lists = lists.select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    words = stored(lists.groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    ending = F.when(F.col("word") == F.lit(END), F.lit(END)).otherwise(F.substring("word", -2, 2))
-    words = words.withColumn("ending", ending)
-    n, v = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    lists = lists.select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("c"))
+    # the last two bytes of a word as a number; the end of a text has a number of its own
+    ending = F.when(F.col("word") == F.lit(END), F.lit(ENDING_OF_END)).otherwise(F.conv(F.hex(F.substring("word", -2, 2)), 16, 10).cast("int"))
+    lists = lists.withColumns({"slot": F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int"), "ending": ending})
+    sorted_ = lists.repartition("word").sortWithinPartitions("word")
+    counted = stored(sorted_.mapInArrow(_totals, "part long, at int, c long, slot int, ending int, first boolean"), "counts")
+
+    one = counted.where("first")
+    n, v = one.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = n or 0, v or 0
-    common = words.where(F.col("word") != F.lit(END)).groupBy("ending").agg(F.sum("c").alias("c")).where("c > 0").orderBy(F.desc("c"), "ending").limit(61).collect()
-    classes = {END: 0} | {bytes(r.ending): k + 1 for k, r in enumerate(common)}
-    named = F.create_map(*[F.lit(x) for e, k in classes.items() for x in (e.hex(), k)])
-    words = words.withColumn("cls", F.coalesce(F.try_element_at(named, F.lower(F.hex("ending"))), F.lit(62)))
-    per = {r.cls: (r.n, r.v) for r in words.groupBy("cls").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()}
-    totals = F.create_map(*[F.lit(x) for k in range(63) for x in (k, float((per.get(k, (0, 0))[0] or 0) + 0.5 * (per.get(k, (0, 0))[1] + 1)))])
-    half = F.col("c") + F.lit(0.5)
-    known = words.select(
-        "word",
-        F.col("cls"),
-        F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot"),
-        (F.col("c") > 0).cast("int").alias("known"),
-        F.log10(half / F.element_at(totals, F.col("cls"))).alias("inside"),
-        F.log10(half / F.lit(n + 0.5 * (v + 1))).alias("base"),
-    )
-    placed = lists.join(known, "word").select(F.col("block").alias("part"), "at", "cls", "slot", "known", "inside", "base")
+    per = one.groupBy("ending").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"))
+    # endings are 65,537 at most
+    per = sorted(((r.n, r.v, r.ending) for r in per.collect()), key=lambda r: (-r[0], r[2]))
+    sizes, rest = {}, [0, 0]
+    for k, v_, e in per:
+        if e == ENDING_OF_END:
+            sizes[e] = (0, k, v_)
+        elif len(sizes) - (ENDING_OF_END in sizes) < 61 and k > 0:
+            sizes[e] = (1 + len(sizes) - (ENDING_OF_END in sizes), k, v_)
+        else:
+            rest = [rest[0] + k, rest[1] + v_]
+    sizes.setdefault(ENDING_OF_END, (0, 0, 0))
+    sizes[-1] = (62, *rest)
     rows = blocks.where("words is null").select("block", "doc_id", "held", "trains", "seq")
-    coded = stored(rows.groupBy("block").cogroup(placed.groupBy("part")).applyInArrow(_code, CODED), "coded")
-
-    tokens = np.array([per.get(k, (0, 0))[0] or 0 for k in range(64)], np.float64)
+    placed = counted.select("part", "at", "c", "slot", "ending")
+    coded = stored(rows.groupBy("block").cogroup(placed.groupBy("part")).applyInArrow(_code(sizes, n, v), CODED), "coded")
+    discard(blocks)
+    discard(counted)
+
+    tokens = np.zeros(64)
+    for k, c, _ in sizes.values():
+        tokens[k] = c
     spark = docs.sparkSession
     end_slot = spark.range(1).select(F.pmod(F.xxhash64(F.lit(END)), F.lit(SLOTS))).first()[0]
     model = spark.sparkContext.broadcast(train(coded, tokens, end_slot, n))
