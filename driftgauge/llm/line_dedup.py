@@ -5,20 +5,21 @@ so that a passage inside a paragraph is seen too. Lines are compared without out
 white space. A piece without a word, or equal to the line before it, belongs to that
 line and shares its fate, so a word said a hundred times in a row is one line.
 
-A run of lines that holds ``min_words`` words or more and whose whole content stands
-already at an earlier place, by (doc_id, place), is deleted. Earlier places may be in
-the same document and may overlap the run, so a passage repeated over and over leaves
-one copy. Nothing shorter is ever deleted.
-
-1. Winnowing: of each ``window`` consecutive line hashes the smallest is selected,
-   and so is each line that alone has half the words. A run of ``min_words`` words
-   has ``window`` lines or a line with half of its words, so two equal runs share a
-   selected hash at the same place (the guarantee of winnowing).
-2. The selected hashes that occur more than once are joined back to their documents.
-3. Extension: in these the shortest spans of ``min_words`` words are taken forwards and
-   backwards from every line. Their union is the whole of each maximal repeated run, and
-   their content hashes (two of 64 bits) tell the first place of each.
-4. Spans whose content has an earlier place merge into runs and are cut out.
+A run is three lines or more in which every three neighbours hold ``min_words`` words, or
+one line of ``long_words``. A run whose whole content stands already at an earlier place,
+by (doc_id, place), is deleted. Earlier places may be in the same document and may
+overlap the run, so a passage repeated over and over leaves one copy. Nothing shorter is
+ever deleted.
+
+1. Winnowing: of the two pairs of neighbours in each such three lines the pair with the
+   smaller hash is the fingerprint, and each long line is one of its own. Equal runs hold
+   equal threes or an equal long line, so they share a fingerprint at the same place (the
+   guarantee of winnowing), while a line is in few of them.
+2. Fingerprints that occur more than once are joined back to their documents.
+3. Extension: in these all threes and long lines are taken, forwards and backwards from
+   the fingerprints. Their union is the whole of each maximal repeated run, and their
+   content hashes (two, of independent line hashes) tell the first place of each.
+4. Those whose content has an earlier place merge into runs and are cut out.
 
 Texts are read twice and moved once, to be cut; lines are moved only as hashes, and
 never per pair of places, so a passage of n copies makes n rows.
@@ -80,48 +81,30 @@ def _lines(text: Column) -> Column:
     return _let(pieces(text), whole)
 
 
-def _selected(window: int, long_words: int) -> Column:
-    """Hashes chosen by winnowing, each with as many copies as places."""
+def _words_of_three(i: Column) -> Column:
+    """Words of three lines from i on; null near the end."""
+    return F.get("wc", i) + F.get("wc", i + 1) + F.get("wc", i + 2)
 
-    def smallest(_x: Column, i: Column) -> Column:
-        near = [F.get("h1", i + k) for k in range(window)]
-        low = F.least(*near) if window > 1 else near[0]
-        return F.when(i + window <= F.size("h1"), i + F.array_position(F.array(*near), low).cast("int") - 1)
 
-    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, i))
-    places = F.array_distinct(F.concat(F.transform("h1", smallest), alone))
-    return F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.get("h1", p))
+def _two(i: Column) -> Column:
+    return F.xxhash64(F.get("h1", i), F.get("h1", i + 1))
 
 
-def _spans(min_words: int) -> Column:
-    """array<struct<a, b, w1, w2>>: the shortest spans of ``min_words`` words that begin or end at each line."""
+def _selected(min_words: int, long_words: int) -> Column:
+    """Fingerprints chosen by winnowing: of the two line pairs in each three lines the one with the smaller hash."""
+    lower = lambda _x, i: F.when(_words_of_three(i) >= min_words, F.when(_two(i) <= _two(i + 1), i).otherwise(i + 1))
+    places = F.array_distinct(F.filter(F.transform("wc", lower), lambda p: p.isNotNull()))
+    alone = F.filter(F.transform("wc", lambda x, i: F.when(x >= long_words, F.xxhash64(F.lit(13), F.get("h1", i)))), lambda h: h.isNotNull())
+    return F.concat(F.transform(places, _two), alone)
 
-    def reach(i: Column, way: int) -> Column:
-        """How many further lines it takes, or null."""
-        out, total = F.when(F.lit(False), F.lit(0)), F.lit(0)
-        steps = []
-        for m in range(min_words):
-            total = total + F.get("wc", i + way * m)
-            steps.append((m, total >= min_words))
-        out = F.when(steps[0][1], F.lit(0))
-        for m, enough in steps[1:]:
-            out = out.when(enough, F.lit(m))
-        return out
 
-    fwd = F.transform("wc", lambda x, i: F.struct(i.alias("p"), reach(i, 1).alias("m")))
-
-    def behind(x: Column, i: Column) -> Column:
-        # a span that begins with one line less is a forward span already
-        return F.when(x < min_words, _let(reach(i, -1), lambda m: F.struct((i - m).alias("p"), F.when(_words(i - m, i) - x >= min_words, m).alias("m"))))
-
-    def _words(a: Column, b: Column) -> Column:
-        return F.aggregate(F.slice("wc", a + 1, b - a + 1), F.lit(0), lambda t, x: t + x)
-
-    bwd = F.transform("wc", behind)
-    found = F.filter(F.concat(fwd, bwd), lambda s: s["m"].isNotNull())
+def _spans(min_words: int, long_words: int) -> Column:
+    """array<struct<a, b, w1, w2>>: every three lines with ``min_words`` words and every line with ``long_words``."""
+    three = F.transform("wc", lambda _x, i: F.when(_words_of_three(i) >= min_words, F.struct(i.alias("p"), F.lit(3).alias("n"))))
+    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, F.struct(i.alias("p"), F.lit(1).alias("n"))))
 
     def span(s: Column) -> Column:
-        p, n = s["p"], s["m"] + 1
+        p, n = s["p"], s["n"]
         return F.struct(
             F.get("pos", p).alias("a"),
             (F.coalesce(F.get("pos", p + n), F.col("n")) - 1).alias("b"),
@@ -129,22 +112,22 @@ def _spans(min_words: int) -> Column:
             F.xxhash64(F.lit(7), F.slice("h2", p + 1, n)).alias("w2"),
         )
 
-    return F.transform(found, span)
+    return F.transform(F.filter(F.concat(three, alone), lambda s: s.isNotNull()), span)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25) -> DataFrame:
     """(k1, k2, a, b): the pieces a..b of each run to delete."""
     key = ["k1", "k2"]
     base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("u"))
     base = stored(base.select(*key, "_id", "u.*"), "lines")
 
-    chosen = base.select("k1", F.explode(_selected(window, (min_words + 1) // 2)).alias("h"))
+    chosen = base.select("k1", F.explode(_selected(min_words, long_words)).alias("h"))
     twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     places = chosen.join(twice, "h").select("k1").distinct()
 
     lines = ["pos", "h1", "h2", "wc", "n"]
     near = base.join(places, "k1").groupBy(*key, "_id").agg(F.first(F.struct(*lines)).alias("u")).select(*key, "_id", "u.*")
-    spans = near.select(*key, "_id", F.inline(_spans(min_words)))
+    spans = near.select(*key, "_id", F.inline(_spans(min_words, long_words)))
     where = F.struct("_id", "k1", "k2", "a")
     first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select(*key, "a", "b")
@@ -156,7 +139,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.groupBy(*key, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, window: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25) -> DataFrame:
     """``docs`` with repeated runs cut out of the text.
 
     Every row and column stays; added are ``lines_deleted`` (pieces cut)
@@ -164,7 +147,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``docs`` with these names are replaced.
     """
     docs = docs.drop("lines_deleted", "runs_deleted")
-    runs = repeated_runs(docs, id_col, text_col, min_words, window)
+    runs = repeated_runs(docs, id_col, text_col, min_words, long_words)
     cuts = runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"), F.sum(F.col("b") - F.col("a") + 1).alias("_n"))
     k1, k2 = doc_key(id_col, text_col)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), k1, k2)
@@ -194,14 +177,10 @@ x AS (SELECT doc_id, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM d),
 u AS (SELECT doc_id, pos, trim(x, ' '||chr(9)||chr(10)||chr(13)) AS l, CASE WHEN trim(x, ' '||chr(9)||chr(10)||chr(13)) = '' THEN 0 ELSE len(trim(x, ' '||chr(9)||chr(10)||chr(13))) - len(replace(trim(x, ' '||chr(9)||chr(10)||chr(13)), ' ', '')) + 1 END AS wc FROM x),
 u2 AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY pos) AS l0 FROM u WHERE wc > 0),
 n0 AS (SELECT doc_id, len(ps) AS n FROM d),
-v AS (SELECT doc_id, pos, l, wc, coalesce(lead(pos) OVER o, n) - 1 AS fin, row_number() OVER o - 1 AS p, sum(wc) OVER o AS e FROM u2 JOIN n0 USING (doc_id) WHERE l IS DISTINCT FROM l0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-w AS (SELECT *, e - wc AS s FROM v),
-f AS (SELECT doc_id, 0 AS kind, p, p + count(*) OVER r - 1 AS q, sum(wc) OVER r AS words, list(l) OVER r AS c FROM w
-      WINDOW r AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 0 PRECEDING AND 24 FOLLOWING)),
-b AS (SELECT doc_id, 1 AS kind, min(p) OVER r AS p, p AS q, sum(wc) OVER r AS words, list(l) OVER r AS c FROM w
-      WINDOW r AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 24 PRECEDING AND 0 FOLLOWING)),
-s AS (SELECT * FROM f WHERE words >= 25 UNION ALL SELECT * FROM b WHERE words >= 25),
-later AS (SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY kind, c ORDER BY doc_id, p) AS rn FROM s) WHERE rn > 1),
+v AS (SELECT doc_id, pos, l, wc, coalesce(lead(pos) OVER o, n) - 1 AS fin, row_number() OVER o - 1 AS p, 0 AS e FROM u2 JOIN n0 USING (doc_id) WHERE l IS DISTINCT FROM l0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+s3 AS (SELECT doc_id, p, p + 2 AS q, wc + lead(wc) OVER o + lead(wc, 2) OVER o AS words, [l, lead(l) OVER o, lead(l, 2) OVER o] AS c FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, p, q, c FROM s3 WHERE words >= 15 UNION ALL SELECT doc_id, p, p, [l] FROM v WHERE wc >= 25),
+later AS (SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, p) AS rn FROM s) WHERE rn > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM later),
 gp AS (SELECT g.doc_id, g.p, v.pos, v.fin FROM gone g JOIN v USING (doc_id, p)),
 isl AS (SELECT doc_id, min(pos) AS a, max(fin) AS b, max(fin) - min(pos) + 1 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gp) GROUP BY doc_id, g),
