@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns and placeholders, in the order in which they apply.
 HASH_RULES = [
@@ -94,7 +95,7 @@ def ablation_conditions(df: DataFrame, text: str = "text", conditions: dict | No
 
 
 _HEADING = re.compile(r"(?m)^##+\s+(.+?)\s*$")
-SECTIONS = "array<struct<pos int, heading string, block string>>"
+SECTIONS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("block", T.StringType())]))
 
 
 @F.pandas_udf(SECTIONS)
@@ -106,13 +107,13 @@ def sections(texts: pd.Series) -> pd.Series:
             return None
         found = list(_HEADING.finditer(text))
         if not found:
-            return [(0, "__all__", text)]
+            return [{"pos": 0, "heading": "__all__", "block": text}]
         parts = [("__preamble__", text[: found[0].start()])] if found[0].start() else []
         ends = [m.start() for m in found[1:]] + [len(text)]
         parts += [(m.group(1).strip(), text[m.start() : e]) for m, e in zip(found, ends, strict=True)]
         return [{"pos": i, "heading": h, "block": b} for i, (h, b) in enumerate(parts)]
 
-    return texts.map(lambda t: [dict(zip(("pos", "heading", "block"), x, strict=True)) if isinstance(x, tuple) else x for x in cut(t)] if t is not None else None)
+    return texts.map(cut)
 
 
 def split_sections(df: DataFrame, text: str = "text") -> DataFrame:
