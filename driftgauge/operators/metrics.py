@@ -169,7 +169,7 @@ def evaluate_at(scores: DataFrame, taus: DataFrame, keys: list[str], lenient: bo
 def bin_of(score: Column, bins: int = 50) -> Column:
     """Bin of equal bins on [0, 1], the last closed; null outside. Edges are those of linspace."""
     k = F.least(F.floor(score * bins), F.lit(bins - 1)).cast("int")
-    edges = F.array(*[F.lit(float(i) / bins) for i in range(bins + 1)])
+    edges = F.array(*[F.lit(float(e)) for e in np.linspace(0, 1, bins + 1)])
     k = F.when((F.get(edges, k + 1) <= score) & (k < bins - 1), k + 1).when(score < F.get(edges, k), k - 1).otherwise(k)
     return F.when((score >= 0) & (score <= 1), k)
 
@@ -261,4 +261,4 @@ def bootstrap_ci(scores: DataFrame, taus: DataFrame, keys: list[str], n: int = 1
         return pd.DataFrame(out, columns=["lo", "hi"])
 
     salt = F.xxhash64(*keys, "y")
-    return per.withColumn("ci", draw("m", "hits", salt)).select(*keys, "y", "m", div(F.col("hits"), F.col("m")).alias("rate"), "ci.lo", "ci.hi")
+    return per.withColumn("ci", draw("m", "hits", salt)).select(*keys, "y", "m", div(F.col("hits"), F.col("m")).alias("rate"), *[F.coalesce(f"ci.{c}", F.lit(float("nan"))).alias(c) for c in ("lo", "hi")])

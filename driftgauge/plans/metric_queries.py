@@ -146,7 +146,7 @@ def evaluate(spark, d):
     return z5(M.evaluate_at(s.where("split = 'test'"), t, ["layer"]))
 
 
-_BIN = "CASE WHEN score >= 0 AND score <= 1 THEN CASE WHEN (k + 1) / 50.0::DOUBLE <= score AND k < 49 THEN k + 1 WHEN score < k / 50.0::DOUBLE THEN k - 1 ELSE k END END"
+_BIN = "CASE WHEN score >= 0 AND score <= 1 THEN CASE WHEN (k + 1) * (1 / 50.0::DOUBLE) <= score AND k < 49 THEN k + 1 WHEN score < k * (1 / 50.0::DOUBLE) THEN k - 1 ELSE k END END"
 _HIST = f"h AS (SELECT *, {_BIN} AS bin FROM (SELECT *, least(floor(score * 50), 49)::INT AS k FROM s))"
 
 
