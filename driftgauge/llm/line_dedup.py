@@ -25,7 +25,8 @@ Texts are read twice and moved once, to be cut; lines are moved only as hashes,
 never per pair of places, so a passage of n copies makes n rows.
 
 Nulls: a null text stays null with no lines. Rows alike in id and text are one
-document and get the same result each. A null id orders before all others.
+document and get the same result each. A null id orders before all others; documents
+that share an id are in the order in which Spark reads them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, stored, table
+from .common import discard, doc_key, stored, table
 
 CUT = "\x1e"
 ENDS = ("\n", ". ", "! ", "? ")
@@ -117,26 +118,29 @@ def _spans(min_words: int, long_words: int) -> Column:
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25) -> DataFrame:
     """(k1, k2, a, b): the pieces a..b of each run to delete."""
-    key = ["k1", "k2"]
     base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("u"))
-    base = stored(base.select(*key, "_id", "u.*"), "lines")
+    base = stored(base.select(F.monotonically_increasing_id().alias("d"), "k1", "k2", "_id", "u.*"), "lines")
 
-    chosen = base.select("k1", F.explode(_selected(min_words, long_words)).alias("h"))
+    chosen = base.select("d", F.explode(_selected(min_words, long_words)).alias("h"))
     twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = chosen.join(twice, "h").select("k1").distinct()
+    places = chosen.join(twice, "h").select("d").distinct()
 
-    lines = ["pos", "h1", "h2", "wc", "n"]
-    near = base.join(places, "k1").groupBy(*key, "_id").agg(F.first(F.struct(*lines)).alias("u")).select(*key, "_id", "u.*")
-    spans = near.select(*key, "_id", F.inline(_spans(min_words, long_words)))
-    where = F.struct("_id", "k1", "k2", "a")
+    # rows alike in id and text stand for one document, the first of them
+    one = base.groupBy("k1", "k2").agg(F.min("d").alias("d")).select("d")
+    near = base.drop("k1", "k2").join(places, "d").join(one, "d")
+    spans = near.select("d", "_id", F.inline(_spans(min_words, long_words)))
+    where = F.struct("_id", "d", "a")
     first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select(*key, "a", "b")
+    later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select("d", "a", "b")
 
-    order = Window.partitionBy(*key).orderBy("a", "b")
+    order = Window.partitionBy("d").orderBy("a", "b")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce((F.col("a") > F.max("b").over(before) + 1).cast("int"), F.lit(1))
     runs = later.withColumn("new", fresh).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*key, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+    runs = runs.groupBy("d", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    out = stored(runs.join(base.select("d", "k1", "k2"), "d").select("k1", "k2", "a", "b"), "runs")
+    discard(base)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25) -> DataFrame:
@@ -167,7 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "lines_deleted", F.size("runs_deleted").cast("long").alias("n_runs"))
 
 
