@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-DEGREE = 24
-ORDERS = 4
+DEGREE = 32
+ORDERS = 6
 STRETCH = 256
-STEPS = 3
-BEAM = 32
+STEPS = 5
+BEAM = 48
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
