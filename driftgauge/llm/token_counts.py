@@ -117,8 +117,9 @@ def _blocks(path: str, block_chars: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 found = Counter(split(text))
-                for p in found.keys() - place.keys():
-                    place[p] = len(place)
+                for p in found:
+                    if p not in place:
+                        place[p] = len(place)
                 idx = np.fromiter(map(place.__getitem__, found), np.uint32, len(found))
                 rows.append((block, doc, len(text.encode("utf-8", "surrogatepass")), packed(idx, np.fromiter(found.values(), np.uint32, len(found))), None))
                 size += len(text)
