@@ -15,6 +15,7 @@ def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op1_line_dedup_words": line_dedup.op1_line_dedup_words,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_chat_formatting": chat_format.op3_chat_formatting,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -30,4 +31,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import chat_format, line_dedup
 
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_chat_formatting": chat_format.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op1_line_dedup_words": line_dedup.ORACLE_WORDS, "op3_chat_formatting": chat_format.ORACLE}

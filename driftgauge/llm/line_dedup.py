@@ -21,6 +21,13 @@ ever deleted.
    content hashes (two, of independent line hashes) tell the first place of each.
 4. Those whose content has an earlier place merge into runs and are cut out.
 
+With ``run_words`` a run is also any number of lines that hold so many words together, so
+lists, verse and code in lines of a few words are seen (op1_line_dedup_words; the SQL of
+op1_line_dedup and the brute force of the pipeline hold the rule without). Then winnowing
+is over all threes, and two neighbours that hold ``run_words`` are a fingerprint too: equal
+runs hold equal threes, or are two lines or one. The shortest such spans, from each
+line forwards and backwards, join the threes and long lines in step 3.
+
 Texts are read twice and moved once, to be cut; lines are moved only as hashes, and
 never per pair of places, so a passage of n copies makes n rows.
 
@@ -91,16 +98,47 @@ def _two(i: Column) -> Column:
     return F.xxhash64(F.get("h1", i), F.get("h1", i + 1))
 
 
-def _selected(min_words: int, long_words: int) -> Column:
+def _selected(min_words: int, long_words: int, run_words: int | None = None) -> Column:
     """Fingerprints chosen by winnowing: of the two line pairs in each three lines the one with the smaller hash."""
+    if run_words is not None:
+        # three lines of few words can be part of a run, and a run can be two lines or one
+        min_words, long_words = 0, min(long_words, run_words)
     lower = lambda _x, i: F.when(_words_of_three(i) >= min_words, F.when(_two(i) <= _two(i + 1), i).otherwise(i + 1))
-    places = F.array_distinct(F.filter(F.transform("wc", lower), lambda p: p.isNotNull()))
+    places = F.transform("wc", lower)
+    if run_words is not None:
+        places = F.concat(places, F.transform("wc", lambda x, i: F.when(x + F.get("wc", i + 1) >= run_words, i)))
+    places = F.array_distinct(F.filter(places, lambda p: p.isNotNull()))
     alone = F.filter(F.transform("wc", lambda x, i: F.when(x >= long_words, F.xxhash64(F.lit(13), F.get("h1", i)))), lambda h: h.isNotNull())
     return F.concat(F.transform(places, _two), alone)
 
 
-def _spans(min_words: int, long_words: int) -> Column:
-    """array<struct<a, b, w1, w2>>: every three lines with ``min_words`` words and every line with ``long_words``."""
+def _run_spans(run_words: int) -> Column:
+    """array<struct<p, n>>: the shortest spans of ``run_words`` words that begin or end at each line."""
+
+    def reach(i: Column, way: int) -> Column:
+        """How many further lines it takes, or null."""
+        total = F.get("wc", i)
+        out = F.when(total >= run_words, F.lit(0))
+        for m in range(1, run_words):
+            total = total + F.get("wc", i + way * m)
+            out = out.when(total >= run_words, F.lit(m))
+        return out
+
+    def words(p: Column, n: Column) -> Column:
+        return F.aggregate(F.slice("wc", p + 1, n), F.lit(0), lambda t, x: t + x)
+
+    def ahead(_x: Column, i: Column) -> Column:
+        return _let(reach(i, 1), lambda m: F.when(m.isNotNull(), F.struct(i.alias("p"), (m + 1).alias("n"))))
+
+    def behind(_x: Column, i: Column) -> Column:
+        # a span that has enough words without its last line isn't a forward span
+        return _let(reach(i, -1), lambda m: F.when((m > 0) & (words(i - m, m) >= run_words), F.struct((i - m).alias("p"), (m + 1).alias("n"))))
+
+    return F.concat(F.transform("wc", ahead), F.transform("wc", behind))
+
+
+def _spans(min_words: int, long_words: int, run_words: int | None = None) -> Column:
+    """array<struct<a, b, w1, w2>>: every three lines with ``min_words`` words, every line with ``long_words`` and the spans of ``run_words``."""
     three = F.transform("wc", lambda _x, i: F.when(_words_of_three(i) >= min_words, F.struct(i.alias("p"), F.lit(3).alias("n"))))
     alone = F.transform("wc", lambda x, i: F.when(x >= long_words, F.struct(i.alias("p"), F.lit(1).alias("n"))))
 
@@ -113,22 +151,25 @@ def _spans(min_words: int, long_words: int) -> Column:
             F.xxhash64(F.lit(7), F.slice("h2", p + 1, n)).alias("w2"),
         )
 
-    return F.transform(F.filter(F.concat(three, alone), lambda s: s.isNotNull()), span)
+    found = F.concat(three, alone)
+    if run_words is not None:
+        found = F.array_distinct(F.concat(found, _run_spans(run_words)))
+    return F.transform(F.filter(found, lambda s: s.isNotNull()), span)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25, run_words: int | None = None) -> DataFrame:
     """(k1, k2, a, b): the pieces a..b of each run to delete."""
     base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("u"))
     base = stored(base.select(F.monotonically_increasing_id().alias("d"), "k1", "k2", "_id", "u.*"), "lines")
 
-    chosen = base.select("d", F.explode(_selected(min_words, long_words)).alias("h"))
+    chosen = base.select("d", F.explode(_selected(min_words, long_words, run_words)).alias("h"))
     twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     places = chosen.join(twice, "h").select("d").distinct()
 
     # rows alike in id and text stand for one document, the first of them
     one = base.groupBy("k1", "k2").agg(F.min("d").alias("d")).select("d")
     near = base.drop("k1", "k2").join(places, "d").join(one, "d")
-    spans = near.select("d", "_id", F.inline(_spans(min_words, long_words)))
+    spans = near.select("d", "_id", F.inline(_spans(min_words, long_words, run_words)))
     where = F.struct("_id", "d", "a")
     first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select("d", "a", "b")
@@ -143,7 +184,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25, run_words: int | None = None) -> DataFrame:
     """``docs`` with repeated runs cut out of the text.
 
     Every row and column stays; added are ``lines_deleted`` (pieces cut)
@@ -151,7 +192,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``docs`` with these names are replaced.
     """
     docs = docs.drop("lines_deleted", "runs_deleted")
-    runs = repeated_runs(docs, id_col, text_col, min_words, long_words)
+    runs = repeated_runs(docs, id_col, text_col, min_words, long_words, run_words)
     cuts = runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cuts"), F.sum(F.col("b") - F.col("a") + 1).alias("_n"))
     k1, k2 = doc_key(id_col, text_col)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), k1, k2)
@@ -170,11 +211,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op1_line_dedup(spark: SparkSession, sf_dir: str, run_words: int | None = None) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=run_words)
     return out.select("doc_id", "text", "lines_deleted", F.size("runs_deleted").cast("long").alias("n_runs"))
 
 
+def op1_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 25 words over any number of lines are cut too."""
+    return op1_line_dedup(spark, sf_dir, run_words=25)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(replace(replace(replace(replace(text, chr(10), chr(10)||chr(30)), '. ', '. '||chr(30)), '! ', '! '||chr(30)), '? ', '? '||chr(30)), chr(30)) AS ps FROM documents),
 x AS (SELECT doc_id, unnest(ps) AS x, unnest(range(len(ps))) AS pos FROM d),
@@ -193,3 +239,13 @@ n AS (SELECT doc_id, sum(n) AS n, count(*) AS r FROM isl GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.t, '') END AS text, coalesce(n.n, 0)::BIGINT AS lines_deleted, coalesce(n.r, 0)::BIGINT AS n_runs
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+_RUNS = """
+w AS (SELECT doc_id, p, l, wc, sum(wc) OVER (PARTITION BY doc_id ORDER BY p) AS e, sum(wc) OVER (PARTITION BY doc_id ORDER BY p) - wc AS s FROM v),
+f AS (SELECT doc_id, p, p + count(*) OVER r - 1 AS q, sum(wc) OVER r AS words, list(l) OVER r AS c FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 0 PRECEDING AND 24 FOLLOWING)),
+b AS (SELECT doc_id, min(p) OVER r AS p, p AS q, sum(wc) OVER r AS words, list(l) OVER r AS c FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 24 PRECEDING AND 0 FOLLOWING)),
+sr AS (SELECT * FROM s UNION SELECT doc_id, p, q, c FROM f WHERE words >= 25 UNION SELECT doc_id, p, q, c FROM b WHERE words >= 25),
+later AS"""
+
+#: The rule with ``run_words``: the spans of 25 words besides those of ORACLE.
+ORACLE_WORDS = ORACLE.replace("\nlater AS", _RUNS).replace("FROM s) WHERE rn > 1", "FROM sr) WHERE rn > 1")

@@ -3,7 +3,7 @@ import duckdb
 from driftgauge.llm.chat_format import ORACLE as CHAT_SQL
 from driftgauge.llm.chat_format import render_chats
 from driftgauge.llm.license_scan import patience, rising, scan_licenses, words
-from driftgauge.llm.line_dedup import ORACLE, dedup_lines
+from driftgauge.llm.line_dedup import ORACLE, ORACLE_WORDS, dedup_lines, op1_line_dedup_words
 
 P = "The first sentence of a passage has some words. The second one goes on for a while. A third ends it all here now."
 
@@ -58,6 +58,24 @@ def test_line_dedup_equals_brute_force(spark, sf):
     assert P not in got[2] and P in got[1] and got[4] == got[5]
 
 
+def test_line_dedup_finds_runs_of_short_lines(spark):
+    verse = "".join(f"Go {i}!\n" for i in range(20))
+    rows = [(1, f"Before it.\n{verse}"), (2, f"Other.\n{verse}Then more."), (3, "Go 1!\nGo 2!\nGo 3!\n"), (4, "w " * 13 + "a.\n" + "v " * 13 + "b."), (5, "w " * 13 + "a.\n" + "v " * 13 + "b."), (6, "Say it. Now go on. Do come back soon. " * 30), (7, P), (8, P)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df, run_words=25).collect()}
+    assert got == dict(rows) | {2: "Other.\nThen more.", 5: "", 6: got[6], 8: ""} and len(got[6]) < 100
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: r[1] for r in con.execute(ORACLE_WORDS).fetchall()} == got
+
+
+def test_line_dedup_words_equals_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert {tuple(r) for r in op1_line_dedup_words(spark, d).collect()} == set(con.execute(ORACLE_WORDS).fetchall())
+
+
 def test_line_dedup_edge_rows(spark):
     rows = [(1, P), (1, P), (None, P), (None, None), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as runs_deleted", "2 as k1")
