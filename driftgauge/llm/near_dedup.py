@@ -5,10 +5,12 @@ is ``threshold`` or more; classes are the connected components of all links, tog
 with exact copies.
 
 1. Copies of a text collapse to one node, by a 128-bit hash, with partial aggregation.
-2. ProbMinHash: the shingles of a text, weighted 1 + ln(count), are Poisson processes
+2. ProbMinHash: the distinct shingles of a text, all of weight 1, are Poisson processes
    with their weight as rate. Each arrival falls into one register and a register
    keeps its first arrival; a shingle stops as soon as its next arrival is later than
-   every register's. Registers of two texts agree with the probability Jaccard.
+   every register's. Registers of two texts agree with the probability Jaccard,
+   which for equal weights is the Jaccard similarity of the sets, however often a
+   shingle is repeated.
 3. Banding: ``bands`` groups of ``rows`` registers. A pair of similarity 0.8 shares a
    band with probability 1 - (1 - 0.8^4)^20 > 0.9999.
 4. A bucket larger than ``BLOCK`` is dealt into blocks and each pair of blocks is a
@@ -105,13 +107,13 @@ def _signatures(batches):
     for batch in batches:
         size, sig, band = [], [], []
         for text in batch.column("text").to_pylist():
-            items, counts = shingles(text or "")
+            items, _ = shingles(text or "")
             size.append(len(items))
             if not len(items):
                 sig.append(b"")
                 band.append([])
                 continue
-            who = probminhash(items, 1 + np.log(counts))
+            who = probminhash(items, np.ones(len(items)))
             sig.append(who.astype(np.uint16).tobytes())
             band.append(mix((who.reshape(BANDS, ROWS) * odd).sum(1, dtype=_U) + salt).view(np.int64))
         yield pa.RecordBatch.from_arrays(

@@ -55,6 +55,15 @@ def test_classes_equal_brute_force(spark, sf, monkeypatch):
     assert nd.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_repeated_blocks_keep_their_links(spark):
+    rows = []
+    for i in range(20):
+        block, tail = " ".join(f"b{i}_{k}" for k in range(20)), " ".join(f"t{i}_{k}" for k in range(80))
+        rows += [(2 * i, f"{block} {block} {tail}"), (2 * i + 1, f"{block} " * 1000 + tail)]
+    got = dict(nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     errors = []
