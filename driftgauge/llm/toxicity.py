@@ -52,6 +52,16 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out or [(0, 0)]
 
 
+def worded(text: str, low: str) -> list[tuple[int, int, set[str]]]:
+    """Spans of the sentences of ``text``, which are cut before they are lowered, and their distinct words.
+
+    ``low`` is the lowered text; it can be longer than the text (a capital dotted I
+    becomes two characters), and then each sentence is lowered by itself.
+    """
+    same = len(low) == len(text)
+    return [(a, b, set(WORD.findall(low, a, b) if same else WORD.findall(text[a:b].lower()))) for a, b in sentences(text)]
+
+
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -81,9 +91,8 @@ class Scorer:
         if not any(map(self.chunk, set(low.split()))):
             return 0.0, []
         clean, found = 0.0, []
-        spans = sentences(text) if len(low) == len(text) else [(0, len(text))]
-        for a, b in spans:
-            s = sum(map(self.word, set(WORD.findall(low, a, b) if len(spans) > 1 else WORD.findall(low))))
+        for a, b, own in worded(text, low):
+            s = sum(map(self.word, own))
             if s:
                 z = s + self.bias
                 clean -= np.logaddexp(0, z)
@@ -97,11 +106,11 @@ def _bags(batches):
     for batch in batches:
         ends, feats = [], []
         for text in batch.column(1).to_pylist():
-            low = (text or "").lower()
+            text = text or ""
             f: list[int] = []
             e = []
-            for a, b in sentences(low):
-                f += {x for w in set(WORD.findall(low, a, b)) for x in features(w)}
+            for _, _, own in worded(text, text.lower()):
+                f += {x for w in own for x in features(w)}
                 e.append(len(f))
             feats.append(np.array(f, np.int32).tobytes())
             ends.append(np.array(e, np.int32).tobytes())

@@ -67,6 +67,19 @@ def test_toxicity_held_out(spark):
     assert auc > 0.75 and (neg >= 0.7).mean() < 0.03
 
 
+def test_toxicity_of_texts_that_lower_longer():
+    weights = np.zeros(1 << T.BITS, np.float32)
+    for word, w in (("mild", 2.0), ("grub", 12.0), ("plain", 2.0), ("some", 2.0), ("other", 2.0), ("more", 2.0)):
+        weights[T.features(word)[0]] = w
+    score = T.Scorer(weights, -8.0)
+    clean = "İstanbul is mild. It is plain. Take some. The other one. Have more."
+    for text in (clean, clean + " You grub! İ."):
+        p, found = score(text)
+        same, places = score(text.replace("İ", "I"))
+        assert abs(p - same) < 1e-9 and [x[:2] for x in found] == [x[:2] for x in places]
+    assert score(clean)[0] < 0.1 and [text[a:b].strip() for a, b, _ in found] == ["You grub!"]
+
+
 def test_toxicity_locates_and_edges(spark):
     good, bad = "The day was fine. We went on.", "The day was fine. You are a vile grub. We went on."
     docs = [(i, bad if i % 3 == 0 else good + f" Number {i}.") for i in range(150)] + [(200, None), (201, ""), (None, bad)]
