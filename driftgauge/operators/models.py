@@ -6,6 +6,8 @@ the probability of class 1, or a value that rises with it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -132,17 +134,39 @@ def newton_logreg(x: np.ndarray, y: np.ndarray, c: float, balanced: bool = True,
     return w[:d], float(w[d])
 
 
+def _large_logreg(df: DataFrame, keys: list[str], grid) -> DataFrame:
+    """``grouped_logreg`` of one large group: a distributed fit for each C."""
+    rows = df.select(*keys, "sample_id", "split", F.col("y").cast("int").alias("y"), "features").cache()
+    train, val, rest = rows.where("split = 'train'"), rows.where("split = 'val'"), rows.where(~F.col("split").eqNullSafe("train"))
+    columns = [*keys, "sample_id", "split", "y", "c", "score"]
+    if train.select("y").distinct().count() < 2:
+        out = rest.withColumns({"c": F.lit(None).cast("double"), "score": F.lit(None).cast("double")})
+    else:
+        best = None
+        for c in grid:
+            head = fit_logreg(train, c)
+            row = M.confusion(head.score(val), [], 0.5).first() if len(grid) > 1 else None
+            f1 = (row.macro_f1 if row else None) or 0.0
+            if best is None or f1 > best[0]:
+                best = (f1, c, head)
+        out = best[2].score(rest).withColumn("c", F.lit(float(best[1])))
+    rows.unpersist()
+    return out.select(*columns)
+
+
 def grouped_logreg(df: DataFrame, keys: list[str], grid=(0.01, 0.1, 1.0), max_train: int = 20_000) -> DataFrame:
     """Scores of the val and test rows of each group (say, layer and fold) from a head of its own.
 
-    For many small groups: one grouped job instead of a job per fit. Needs columns
-    sample_id, split, y, features. C is the first of the grid with the best macro F1 on
-    val. A group is fitted in one task, so the rows are counted first and more than
-    ``max_train`` in a group are refused: large groups are for ``fit_logreg``.
+    Needs columns sample_id, split, y, features. C is the first of the grid with the best
+    macro F1 on val. Small groups are one grouped job, each fitted in one task; the rows
+    are counted first, and a group of more than ``max_train`` is fitted by ``fit_logreg``,
+    over the whole cluster, with the same columns.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_train:
-        raise ValueError(f"a group has {largest} rows; fit it with fit_logreg")
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_train).collect()
+    if large:
+        own = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys], F.lit(True)) for r in large]
+        small = df.where(~reduce(lambda a, b: a | b, own))
+        return reduce(DataFrame.unionByName, [_large_logreg(df.where(o), keys, grid) for o in own], grouped_logreg(small, keys, grid, max_train))
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     kind = df.schema["sample_id"].dataType.simpleString()
 

@@ -236,3 +236,23 @@ def test_reports_and_split_spec(spark, tmp_path):
     assert docs.count() == 2 and sorted((x.fold, x.split, x.doc_id) for x in folds.collect()) == [("f", "test", 1), ("f", "train", 0)]
     spec.write_text('{"docs": [{"path": "p", "label": 1}], "folds": {"g": {"train_indices": [0]}}}')
     assert [(x.fold, x.split, x.doc_id) for x in S.read_split_spec(spark, str(spec))[1].collect()] == [("g", "train", 0)]
+
+
+def test_large_groups_are_fitted_too(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, n in ((1, 240), (None, 200), (3, 30)):
+        x = rng.normal(size=(n, 3))
+        y = (x[:, 0] + rng.normal(size=n) > 0).astype(int)
+        rows += [(g, i, ("train", "train", "val", "test")[i % 4], int(y[i]), x[i].tolist()) for i in range(n)]
+    rows += [(4, i, ("train", "val")[i % 2], 1, [0.0, 1.0, 2.0]) for i in range(80)]
+    df = spark.createDataFrame(rows, "layer int, sample_id long, split string, y int, features array<double>")
+    want = {(r.layer, r.sample_id): r for r in L.grouped_logreg(df, ["layer"]).collect()}
+    out = L.grouped_logreg(df, ["layer"], max_train=50)
+    got = {(r.layer, r.sample_id): r for r in out.collect()}
+    assert out.columns == ["layer", "sample_id", "split", "y", "c", "score"] and got.keys() == want.keys()
+    for k, r in got.items():
+        assert (r.split, r.y) == (want[k].split, want[k].y)
+        assert np.allclose(np.array([r.c, r.score], float), np.array([want[k].c, want[k].score], float), atol=0.01, equal_nan=True)
+    scores = L.cv_scores(df.where("layer = 1"), ["layer"], k=2, max_train=50)
+    assert scores.count() == 240
