@@ -5,9 +5,14 @@ that rises in both is kept. Between neighbouring anchors, equal words next to an
 are taken first, then the gap is aligned in the same way, until a gap has no anchors.
 Coverage is the share of the template's words that are aligned.
 
+Words that stand twice in a text are no anchors, so each text is also cut into stretches of
+up to three template lengths that hold enough template words. In a stretch the
+longest common subsequence is taken, at the place where it is shortest, and what lies
+before and behind is searched again. All places are reported; the best coverage counts.
+
 A template is aligned only with texts that hold a given share of its distinct words,
 counted, not sampled: coverage can't reach ``least`` otherwise, as each aligned word is
-a word of the text. That is the only filter, and it is exact.
+a word of the text. Stretches are filtered in the same way; both filters are exact.
 
 One narrow pass over all whole texts; templates are parameters of the job, a handful of
 short texts. The alignment works on the part of the text that lies between the first and
@@ -31,8 +36,21 @@ from .common import table
 
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
-#: Short license notices as they stand in files.
+_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NO_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+#: License notices as they stand in files, and whole short licenses.
 TEMPLATES = {
+    "mit-full": _GRANT,
+    "bsd-2-clause": _BSD + _BSD_END,
+    "bsd-3-clause": _BSD + _NO_NAMES + _BSD_END,
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "lgpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
@@ -88,13 +106,60 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def lcs_ends(a: list[str], masks: dict[str, int], n: int) -> tuple[int, int]:
+    """The longest common subsequence of ``a`` and a template of ``n`` words, and where in ``a`` it is first complete.
+
+    Bit-parallel: a zero bit is a template word at which the subsequence grows.
+    """
+    full = (1 << n) - 1
+    row, best, end = full, 0, 0
+    for i, w in enumerate(a):
+        if (m := masks.get(w)) is not None:
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+            if (now := n - row.bit_count()) > best:
+                best, end = now, i + 1
+    return best, end
+
+
+def masks_of(template: list[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for j, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def places(own: list[str], template: list[str], least: float) -> list[tuple[int, int, int]]:
+    """(begin, end, aligned words) of the places of ``own`` that cover the template enough."""
+    n, count, need = len(template), Counter(template), least * len(template)
+    ahead, back = masks_of(template), masks_of(template[::-1])
+    found: list[tuple[int, int, int]] = []
+    a = 0
+    while a < len(own):
+        b = min(a + 3 * n, len(own))
+        have = Counter(w for w in own[a:b] if w in count)
+        best, end = lcs_ends(own[a:b], ahead, n) if sum(min(c, count[w]) for w, c in have.items()) >= need else (0, 0)
+        if best < need:
+            a += n
+            continue
+        begin = a + end - lcs_ends(own[a : a + end][::-1], back, n)[1]
+        before = [(a + x, a + y, k) for x, y, k in places(own[a:begin], template, least)]
+        found += before
+        if begin < a + n or b == len(own):
+            found.append((begin, a + end, best))
+            a += end
+        else:  # it may go on behind b; the next stretch holds the whole of it
+            a = max([a + n, *[y for _, y, _ in before]])
+    return found
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
         self.templates = [(n, w, Counter(w)) for n, w in ((n, words(t)) for n, t in sorted(templates.items())) if w]
 
-    def __call__(self, text: str) -> list[tuple[str, float, int]]:
-        """(template, coverage, aligned words) of each template covered enough."""
+    def __call__(self, text: str) -> list[tuple[str, float, int, list[dict]]]:
+        """(template, coverage, aligned words, places by word) of each template covered enough."""
         low = text.lower()
         found, own = [], None
         for name, template, count in self.templates:
@@ -105,14 +170,21 @@ class Scanner:
             if sum(min(n, have[x]) for x, n in count.items()) < self.least * len(template):
                 continue
             at = [i for i, w in enumerate(own) if w in count]
-            n = len(patience(own[at[0] : at[-1] + 1], template))
+            pairs = patience(own[at[0] : at[-1] + 1], template)
+            where = places(own, template, self.least)
+            n = max([len(pairs), *[k for _, _, k in where]])
             if n >= self.least * len(template):
-                found.append((name, n / len(template), n))
+                where = where or [(at[0] + pairs[0][0], at[0] + pairs[-1][0] + 1, n)]
+                found.append((name, n / len(template), n, [{"begin": a, "end": b} for a, b, _ in where]))
         return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license, coverage, n_words) of each text and template with a coverage of ``least`` or more."""
+    """(id, license, coverage, n_words, places) of each text and template with a coverage of ``least`` or more.
+
+    ``places`` are ranges of the text's words.
+    """
+    spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -120,10 +192,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
         for batch in batches:
             rows = [(r, *x) for r, t in enumerate(batch.column(1).to_pylist()) if t for x in scan(t)]
             if rows:
-                at, name, cover, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(name), pa.array(cover), pa.array(n, pa.int32())], names=["doc", "license", "coverage", "n_words"])
+                at, name, cover, n, where = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(name), pa.array(cover), pa.array(n, pa.int32()), pa.array(where, spans)], names=["doc", "license", "coverage", "n_words", "places"])
 
-    out = base.mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, license string, coverage double, n_words int")
+    out = base.mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, license string, coverage double, n_words int, places array<struct<begin: int, `end`: int>>")
     return out.withColumnRenamed("doc", id_col)
 
 

@@ -2,7 +2,7 @@ import duckdb
 
 from driftgauge.llm.chat_format import ORACLE as CHAT_SQL
 from driftgauge.llm.chat_format import render_chats
-from driftgauge.llm.license_scan import patience, rising, scan_licenses, words
+from driftgauge.llm.license_scan import TEMPLATES, Scanner, patience, rising, scan_licenses, words
 from driftgauge.llm.line_dedup import ORACLE, ORACLE_WORDS, dedup_lines, op1_line_dedup_words
 
 P = "The first sentence of a passage has some words. The second one goes on for a while. A third ends it all here now."
@@ -110,6 +110,22 @@ def test_patience():
     assert patience([], ["a"]) == [] and patience(["a"] * 3000, ["a"] * 3000)[-1] == (2999, 2999)
 
 
+def test_licenses_that_stand_twice(spark):
+    grant, plain = TEMPLATES["mit-grant"], "Plain words stand here and there. "
+    texts = [plain + grant + ". " + plain, plain + grant + ". " + plain + grant + ". " + plain, f"{grant}. " * 5, (plain * 300 + grant + ". ") * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(df).collect() if r.license == "mit-grant"}
+    assert [(got[d].coverage, len(got[d].places)) for d in range(4)] == [(1.0, 1), (1.0, 2), (1.0, 5), (1.0, 2)]
+    for d, t in enumerate(texts):
+        assert all(words(t)[p.begin : p.end] == words(grant) for p in got[d].places)
+
+
+def test_real_licenses_are_held():
+    scan = Scanner(TEMPLATES, 0.8)
+    for name in ("mit-full", "bsd-2-clause", "bsd-3-clause", "isc", "mpl-2.0-notice", "lgpl-3.0-notice", "agpl-3.0-notice", "cc-by-4.0"):
+        assert (name, 1.0) in {x[:2] for x in scan(f"Copyright (c) someone.\n{TEMPLATES[name]}\nMore.")}
+
+
 def test_licenses(spark):
     rows = [(1, "Code.\nReleased under the MIT license, friend."), (2, "Licensed under the Apache\nLicense,  Version 2.0!"), (3, "license"), (4, None), (5, ""), (6, "the " * 20_000), (None, "Licensed under CC BY-NC 4.0."), (1, "Released under the MIT License.")]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, coverage double")
