@@ -1,121 +1,240 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A class is a word ending: the
-61 two-byte endings with most training tokens have one each, the end of a text has its
-own, all other words share one; within a class words have their smoothed share of the
-class's training tokens, unseen words together half a count. P(class | history) is a
-softmax in two levels of eight, with a weight row for every active feature: the word
-before and the word two before (hashed), the last two classes (n-gram) and the classes
-one and three before (skip).
-
-1. Blocks of documents keep their own word list; a document is a row of places in it.
-2. Word lists of all blocks meet by word, sorted, which gives every word its count over
-   all training documents; the counts go back and are joined with their block.
-3. Each document becomes bytes: a class and a hash per token, and the sums of the
-   context-free parts. These coded documents go to the shared folder.
+P(word | history) = P(class | history) * P(unit | class, history) * P(word | unit). A class
+is a word ending: the 61 two-byte endings with most training tokens have one each, the end
+of a text has its own, all other words share one. The 63 most frequent training words of a
+class are units of their own; its 64th unit holds the rest, in which words have their
+smoothed share of the training tokens and unseen words together half a count. Both
+factors are learnt softmaxes, each in two levels of eight. At every node on the way to a
+word, these hashed features of the history have a row of eight weights:
+
+- for the class: the word before (n-gram) and the word two before (skip), the last two
+  classes (n-gram) and the classes one and three before (skip), and a bias;
+- for the unit: the word before (n-gram), the word two before (skip), and a bias.
+
+The rows of a level are a power of two, at least a sixteenth of the distinct words,
+``LEAST_ROWS`` to ``max_rows``; the bound is there because the model is broadcast.
+
+1. Texts become 64-bit word hashes in numpy. Blocks of documents keep their own list of
+   distinct words; a document is a row of places in it.
+2. The counts of all blocks are summed by word; a second join brings them back to each
+   block's list. Both go by word with Spark's own aggregation and join, so that a
+   frequent word, one row for each block, is combined before the shuffle and, in the
+   join, split by adaptive execution.
+3. Each document becomes two numbers for each token, its leaf of the tree and its hash as
+   history, and the sums of what doesn't depend on the history. These coded documents go
+   to the shared folder.
 4. Training: each of ``ROUNDS`` rounds takes another part of all training documents, so
    each training token is used once. A task goes through its documents in minibatches
    and returns the rows it moved; rows are averaged over the tasks, weighted by use, in
-   a grouped job by slices of the model. The model (1.2 million floats at most) alone
-   reaches the driver; what is counted and sent follows the corpus.
+   a grouped job by slices of the model. The number of tasks is tokens over
+   ``tokens_per_task``, at every size. The model alone reaches the driver.
 5. Scoring is one narrow pass in numpy batches.
 
-Tokens: words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, then one end.
+Tokens: words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z lower-cased, then one end. Words are
+told apart by 64-bit hashes: among 10^8 distinct words, two share one with odds of 1 in 4,000.
 
 Nulls: a null text is empty, with the end alone; a null id is held out of nothing and
 trains nothing. Repeated rows count as often as they stand. Without training documents
-every probability is that of an unseen word.
+every probability is that of an unseen word. Only the id and the text are read, so other
+columns can't clash. A very long text is a few arrays of numbers, gone through in slices.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table
+from .near_dedup import mix, powers
 
-END = b" "
-SLOTS = 4096
-ENDING_OF_END = 1 << 16
-#: Rows of the model: bias, word before, word two before, class pair, skip pair.
-FEATURES = 1 + 4 * SLOTS
+_U = np.uint64
+#: The end of a text, as a word hash, and as an ending.
+END, ENDING_OF_END = _U(0), 1 << 16
+CLASSES = UNITS = 64
+REST = UNITS - 1
 ROUNDS = 4
-SLICES = 16
-BATCH = 16_384
-
-
-def _blocks(block_chars: int):
-    names = ["block", "doc_id", "held", "trains", "seq", "words", "counts"]
-    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+SLICES = 4
+BATCH = 65_536
+LEAST_ROWS = 4096
+#: Nodes of each level of the tree.
+NODES = (1, 8, 64, 512)
+IMPOSSIBLE = -60.0
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_CHUNK = 1 << 18
+
+
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts or binaries, end to end, and the offsets; null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    body = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return body[at[0] : at[-1]], at - at[0]
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes from numbers laid end to end; ``ends`` counts numbers."""
+    at = np.r_[0, ends].astype(np.int64) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and endings of all tokens of a column of texts, and where each text's tokens end."""
+    data, at = raw(column)
+    data = _LOWER[data]
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = _WORD[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    bounds = at[1:-1]
+    first[bounds] = inside[bounds]
+    starts = np.flatnonzero(first)
+    # a word ends before the next byte that is a blank or begins another text
+    stop = ~inside
+    stop[bounds] = True
+    stop[-1] = True
+    stops = np.flatnonzero(stop)
+    ends = stops[np.searchsorted(stops, starts, "right")]
+    h = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + _CHUNK, "right")))
+        part = data[a : ends[j - 1]]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, _U)
+        np.cumsum((part.astype(_U) + _U(1)) * up[: len(part)], out=total[1:])
+        s = starts[i:j] - a
+        h[i:j] = mix((total[ends[i:j] - a] - total[s]) * down[s])
+        i = j
+    n = np.searchsorted(starts, at[1:])  # words up to the end of each text
+    docs = np.arange(len(n))
+    place = np.arange(len(starts)) + np.repeat(docs, np.diff(n, prepend=0))
+    word, ending = np.full(len(starts) + len(n), END), np.full(len(starts) + len(n), ENDING_OF_END, np.int32)
+    word[place] = h
+    last = data[ends - 1].astype(np.int32)
+    ending[place] = last | np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)].astype(np.int32) << 8, 0)
+    return word, ending, n + docs + 1
+
+
+BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.string()), ("held", pa.bool_()), ("trains", pa.bool_()), ("seq", pa.binary()), ("words", pa.list_(pa.int64())), ("endings", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+BLOCK_DDL = "block long, doc_id string, held boolean, trains boolean, seq binary, words array<long>, endings array<int>, counts array<long>"
+
+
+def _blocks(block_tokens: int):
+    """Rows of documents, as places in the list of their block, and a row with the list of each block."""
+
+    def out(block: int, parts: list):
+        word, ending = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        lengths = np.concatenate([np.diff(p[2], prepend=0) for p in parts])
+        doc, held, trains = (pa.concat_arrays([p[3][k] for p in parts]) for k in range(3))
+        order = np.argsort(word)
+        new = np.r_[True, word[order[1:]] != word[order[:-1]]]
+        place = np.empty(len(word), np.uint32)
+        place[order] = np.cumsum(new) - 1
+        one = order[new]
+        used = np.repeat(trains.to_numpy(zero_copy_only=False).astype(bool), lengths)
+        count = np.bincount(place[used], minlength=len(one))
+        n, none = len(doc), pa.nulls
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), doc, held, trains, binaries(place, np.cumsum(lengths)), *[none(n, BLOCK.field(k).type) for k in (5, 6, 7)]], schema=BLOCK
+        )
+        lists = [pa.array([x], BLOCK.field(k).type) for k, x in ((5, word[one].view(np.int64)), (6, ending[one]), (7, count))]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *[none(1, BLOCK.field(k).type) for k in range(1, 5)], *lists], schema=BLOCK)
 
     def run(batches):
-        block, place, rows, size = TaskContext.get().partitionId() << 24, {END: 0}, [], 0
-        counts = np.zeros(1 << 16, np.int32)
-
-        def out():
-            rows.append((block, None, None, None, None, list(place), counts[: len(place)]))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
+        block, parts, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            for doc, held, trains, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                for w in set(words).difference(place):
-                    place[w] = len(place)
-                seq = np.zeros(len(words) + 1, np.uint32)
-                seq[:-1] = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
-                if trains:
-                    if len(place) > len(counts):
-                        counts = np.concatenate([counts, np.zeros(len(place), np.int32)])
-                    own = np.bincount(seq)
-                    hit = np.flatnonzero(own)
-                    counts[hit] += own[hit].astype(np.int32)
-                rows.append((block, doc, held, trains, seq.tobytes(), None, None))
-                size += len(text or "")
-                if size >= block_chars:
-                    yield out()
-                    block, place, rows, size = block + 1, {END: 0}, [], 0
-                    counts = np.zeros(1 << 16, np.int32)
-        if rows:
-            yield out()
+            a = 0
+            while a < len(batch):
+                # as many texts as fit, by their bytes; one at least
+                b = a + 1
+                room = 8 * (block_tokens - size)
+                lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3).slice(a)), 0).to_numpy(zero_copy_only=False))
+                b = a + max(1, int(np.searchsorted(lengths, room, "right")))
+                piece = batch.slice(a, b - a)
+                parts.append((*tokens_of(piece.column(3)), [piece.column(k) for k in range(3)]))
+                size += len(parts[-1][0])
+                a = b
+                if size >= block_tokens or a < len(batch):
+                    yield from out(block, parts)
+                    block, parts, size = block + 1, [], 0
+        if parts:
+            yield from out(block, parts)
 
     return run
 
 
-def _totals(batches):
-    """(block, at, c, first) of rows sorted by word: c is the word's count over all blocks, first marks its first row."""
-
-    def told(rows):
-        word, block, at, c, slot, ending = rows
-        new = np.r_[True, word[1:] != word[:-1]]
-        total = np.add.reduceat(c, np.flatnonzero(new))
-        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at), pa.array(total[np.cumsum(new) - 1]), pa.array(slot), pa.array(ending), pa.array(new)], names=["part", "at", "c", "slot", "ending", "first"])
-
-    kept = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        word = np.array(batch.column("word").to_pylist(), object)
-        rows = [word, *[batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "at", "c", "slot", "ending")]]
-        rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-        cut = int(np.flatnonzero(rows[0] == rows[0][-1])[0])  # the last word may go on in the next batch
-        if cut:
-            yield told([x[:cut] for x in rows])
-        kept = [x[cut:] for x in rows]
-    if kept is not None:
-        yield told(kept)
-
-
-def _code(sizes: dict, n: int, v: int):
-    """Documents of a block with what its words say of each token; ``sizes``: ending -> (class, tokens, words)."""
-    classes = np.full(1 << 17, 62, np.uint8)
-    totals = np.zeros(64)
-    for ending, (k, tokens, kinds) in sizes.items():
-        if ending >= 0:
-            classes[ending] = k
-        totals[k] = tokens + 0.5 * (kinds + 1)
+class Lexicon:
+    """The tree: a class for each ending, a leaf for each frequent word, and the shares in the rest of a class."""
+
+    def __init__(self, per: list[tuple[int, int, int]], head: list[tuple[int, int, int]], classes: dict[int, int]):
+        """``per`` has (ending, tokens, words), ``head`` (hash, class, tokens) of frequent words, most frequent first."""
+        self.of_ending = np.full(ENDING_OF_END + 1, CLASSES - 2, np.int64)
+        for e, k in classes.items():
+            self.of_ending[e] = k
+        tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+        for e, n, v in per:
+            tokens[self.of_ending[e]] += n
+            kinds[self.of_ending[e]] += v
+        self.n, self.v = int(tokens.sum()), int(kinds.sum())
+        leaf, share, seen = {}, np.zeros((CLASSES, UNITS)), np.zeros(CLASSES, np.int64)
+        for h, k, c in head:
+            leaf[h] = k * UNITS + int(seen[k])
+            share[k, seen[k]] = c
+            seen[k] += 1
+            tokens[k] -= c
+            kinds[k] -= 1
+        self.rest = tokens + 0.5 * (kinds + 1)  # half a count for each word, and one half for all unseen
+        share[:, REST] = self.rest
+        share[0, REST] = 0
+        share[0, 0] = max(share[0, 0], 0.5)
+        self.share = share
+        order = sorted(leaf)
+        self.words, self.leaves = np.array(order, np.int64), np.array([leaf[h] for h in order], np.int64)
+
+    def leaf(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        out = self.of_ending[endings] * UNITS + REST
+        out[endings == ENDING_OF_END] = 0
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            out = np.where(self.words[at] == words, self.leaves[at], out)
+        return out
+
+    def biases(self) -> list[np.ndarray]:
+        """Log shares of the eight branches of every node."""
+        s, out = self.share.reshape(8, 8, 8, 8), []
+        for level in range(4):
+            t = s.sum(tuple(range(level + 1, 4))).reshape(-1, 8)
+            whole = t.sum(1, keepdims=True)
+            out.append(np.where(t > 0, np.log(np.maximum(t, 1e-9) / np.maximum(whole, 1e-9)), np.where(whole > 0, IMPOSSIBLE, 0.0)).astype(np.float32))
+        return out
+
+
+CODED = "doc_id string, held boolean, trains boolean, n_tokens long, n_known long, base_score double, inside double, leaf binary, slot binary"
+
+
+def slots(words: np.ndarray) -> np.ndarray:
+    """24 bits of a word hash, as history."""
+    return (words.view(_U) >> _U(40)).astype(np.uint32)
+
+
+def _code(lexicon: Lexicon):
+    """Documents of a block with what its words say of each token."""
+    n, v = lexicon.n, lexicon.v
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         at = words.column("at").to_numpy()
@@ -126,112 +245,129 @@ def _code(sizes: dict, n: int, v: int):
             out[at] = words.column(name).to_numpy()
             return out
 
-        c, slot = by_place("c", np.int64), by_place("slot", np.uint16)
-        cls = classes[by_place("ending", np.int64)]
-        inside = np.log10((c + 0.5) / totals[cls])
+        c, word, ending = by_place("c", np.int64), by_place("word", np.int64), by_place("ending", np.int64)
+        leaf, slot = lexicon.leaf(word, ending).astype(np.uint16), slots(word)
+        in_rest = (leaf % UNITS == REST) & (ending != ENDING_OF_END)
+        inside = np.where(in_rest, np.log10((c + 0.5) / lexicon.rest[leaf // UNITS]), 0.0)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        known = (c > 0).astype(np.int64)
-        seqs = [np.frombuffer(s, np.uint32) for s in docs.column("seq").to_pylist()]
+        known = (c > 0).astype(np.float64)
+        data, offsets = raw(docs.column("seq").combine_chunks())
+        seq = data.view(np.uint32) if data.flags.c_contiguous else np.ascontiguousarray(data).view(np.uint32)
+        ends = offsets[1:] // 4
+        starts = offsets[:-1] // 4
+        total = lambda x: np.add.reduceat(x[seq], starts)  # noqa: E731  each document has a token, its end
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
                 "held": docs.column("held"),
                 "trains": docs.column("trains"),
-                "n_tokens": pa.array([len(s) for s in seqs], pa.int64()),
-                "n_known": pa.array([int(known[s].sum()) for s in seqs], pa.int64()),
-                "base_score": pa.array([float(base[s].sum()) for s in seqs], pa.float64()),
-                "inside": pa.array([float(inside[s].sum()) for s in seqs], pa.float64()),
-                "cls": pa.array([cls[s].tobytes() for s in seqs], pa.binary()),
-                "slot": pa.array([slot[s].tobytes() for s in seqs], pa.binary()),
+                "n_tokens": pa.array(ends - starts),
+                "n_known": pa.array(total(known).astype(np.int64)),
+                "base_score": pa.array(total(base)),
+                "inside": pa.array(total(inside)),
+                "leaf": binaries(leaf[seq], ends),
+                "slot": binaries(slot[seq], ends),
             }
         )
 
     return run
 
 
-CODED = "doc_id string, held boolean, trains boolean, n_tokens long, n_known long, base_score double, inside double, cls binary, slot binary"
-
-
-def contexts(cls: list[np.ndarray], slot: list[np.ndarray], end_slot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows (n, 5) and target classes of the tokens of whole documents."""
-    pad = [np.zeros(3, np.int64)]
-    c = np.concatenate([x for d in cls for x in (*pad, d)])
-    s = np.concatenate([x for d in slot for x in (pad[0] + end_slot, d)])
-    lengths = np.array([len(d) for d in cls])
-    starts = np.cumsum(lengths + 3) - lengths
-    at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    rows = np.empty((len(at), 5), np.int64)
-    rows[:, 0] = 0
-    rows[:, 1] = 1 + s[at - 1]
-    rows[:, 2] = 1 + SLOTS + s[at - 2]
-    rows[:, 3] = 1 + 2 * SLOTS + c[at - 1] * 64 + c[at - 2]
-    rows[:, 4] = 1 + 3 * SLOTS + c[at - 1] * 64 + c[at - 3]
-    return rows, c[at]
-
-
-def level(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities (n, 8) of a softmax over the summed weight rows."""
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+def contexts(leaf: np.ndarray, slot: np.ndarray, starts: np.ndarray, a: int, b: int) -> list[np.ndarray]:
+    """Hashes of the history of tokens a..b of documents laid end to end: [class features, unit features]."""
+
+    def back(x: np.ndarray, k: int, pad) -> np.ndarray:
+        out = np.full(b - a, pad, _U)
+        low = max(a - k, 0)
+        out[low + k - a :] = x[low : b - k] if b > k else 0
+        for j in range(k):  # the first k tokens of a document
+            p = starts + j
+            out[p[(p >= a) & (p < b)] - a] = pad
+        return out
+
+    cls = leaf >> 6
+    w1, w2 = back(slot, 1, _U(0)), back(slot, 2, _U(0))
+    c1, c2, c3 = (back(cls, k, _U(0)) for k in (1, 2, 3))
+    own = [(w1 << _U(3)) | _U(1), (w2 << _U(3)) | _U(2)]
+    more = [(((c1 << _U(6)) | c2) << _U(3)) | _U(3), (((c1 << _U(6)) | c3) << _U(3)) | _U(4)]
+    spread = lambda x: x * _U(0x9E3779B97F4A7C15)
+    own = [spread(x) for x in own]
+    return [*own, *[spread(x) for x in more]]
+
+
+def rows_at(features: list[np.ndarray], level: int, node: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Weight rows of a level: the node's bias and its hashed features."""
+    salt = (node.astype(_U) + _U(1 + 1000 * level)) * _U(0xD6E8FEB86659FD93)
+    use = features if level < 2 else features[:2]
+    return [node, *[(((f ^ salt) * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - bits)).astype(np.int64) + NODES[level] for f in use]]
+
+
+def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities (n, 8) over the summed weight rows."""
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
     z -= z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def class_log_prob(model, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    top, low = model
-    g, j, i = target >> 3, target & 7, np.arange(len(target))
-    return level(top, rows)[i, g] + level(low, rows * 8 + g[:, None])[i, j]
+def levels(leaf: np.ndarray):
+    """(level, node, branch) on the way to each leaf."""
+    leaf = leaf.astype(np.int64)
+    return [(k, leaf >> (12 - 3 * k), (leaf >> (9 - 3 * k)) & 7) for k in range(4)]
 
 
-def descend(weights: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float, ridge: float = 2.0) -> None:
+def log_prob(model: list[np.ndarray], bits: int, features: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+    at = np.arange(len(leaf))
+    out = np.zeros(len(leaf))
+    for k, node, branch in levels(leaf):
+        out += log_softmax(model[k], rows_at(features, k, node, bits))[at, branch]
+    return out
+
+
+def descend(weights: np.ndarray, used: np.ndarray, rows: list[np.ndarray], target: np.ndarray, rate: float, ridge: float = 2.0) -> None:
     """One step down the log loss of a minibatch, scaled by how often a row is used in it."""
-    d = np.exp(level(weights, rows))
-    d[np.arange(len(target)), target] -= 1
-    flat = rows.ravel()
-    count = np.bincount(flat, minlength=len(weights))
+    d = np.exp(log_softmax(weights, rows)).T.astype(np.float64)
+    d[target, np.arange(len(target))] -= 1
+    count = np.bincount(rows[0], minlength=len(weights))
+    for r in rows[1:]:
+        count += np.bincount(r, minlength=len(weights))
     hit = np.flatnonzero(count)
-    spread = np.repeat(d, rows.shape[1], axis=0)
-    for k in range(8):
-        g = np.bincount(flat, weights=spread[:, k], minlength=len(weights))[hit]
-        weights[hit, k] -= (rate * g / (count[hit] + ridge)).astype(np.float32)
+    scale = rate / (count[hit] + ridge)
+    for b in range(8):
+        g = np.bincount(rows[0], weights=d[b], minlength=len(weights))
+        for r in rows[1:]:
+            g += np.bincount(r, weights=d[b], minlength=len(weights))
+        weights[hit, b] -= (scale * g[hit]).astype(np.float32)
     used += count
 
 
-def _documents(batches, size: int):
-    """Lists of documents of about ``size`` tokens in all."""
-    cls, slot, n = [], [], 0
-    for batch in batches:
-        for c, s in zip(batch.column("cls").to_pylist(), batch.column("slot").to_pylist(), strict=True):
-            c = np.frombuffer(c, np.uint8)
-            cls.append(c.astype(np.int64))
-            slot.append(np.frombuffer(s, np.uint16).astype(np.int64))
-            n += len(c)
-            if n >= size:
-                yield cls, slot
-                cls, slot, n = [], [], 0
-    if cls:
-        yield cls, slot
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves and slots of the documents of a batch end to end, and where each begins."""
+    leaf, at = raw(batch.column("leaf"))
+    slot, _ = raw(batch.column("slot"))
+    return np.frombuffer(leaf.tobytes(), np.uint16), np.frombuffer(slot.tobytes(), np.uint32), at[:-1] // 2
 
 
-def _train_part(sent, end_slot: int, rate: float):
+def _train_part(sent, bits: int, rate: float):
     def run(batches):
         start = sent.value
         model = [w.copy() for w in start]
         used = [np.zeros(len(w), np.int64) for w in model]
-        for cls, slot in _documents(batches, BATCH):
-            rows, target = contexts(cls, slot, end_slot)
-            for a in range(0, len(rows), 4 * BATCH):  # one very long document
-                r, t = rows[a : a + 4 * BATCH], target[a : a + 4 * BATCH]
-                descend(model[0], used[0], r, t >> 3, rate)
-                descend(model[1], used[1], r * 8 + (t >> 3)[:, None], t & 7, rate)
-        for k in range(2):
-            for part in np.array_split(np.arange(len(model[k])), SLICES):
+        for batch in batches:
+            leaf, slot, starts = _flat(batch)
+            for a in range(0, len(leaf), BATCH):
+                b = min(a + BATCH, len(leaf))
+                features = contexts(leaf, slot, starts, a, b)
+                for k, node, branch in levels(leaf[a:b]):
+                    descend(model[k], used[k], rows_at(features, k, node, bits), branch, rate)
+        for k in range(4):
+            for s, part in enumerate(np.array_split(np.arange(len(model[k])), SLICES)):
                 hit = part[used[k][part] > 0]
                 if len(hit):
-                    moved = model[k][hit] - start[k][hit]
+                    moved = (model[k][hit] - start[k][hit]).astype(np.float16)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k * SLICES + int(part[0] * SLICES // len(model[k]))], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (hit.astype(np.int32), used[k][hit].astype(np.float64), moved.astype(np.float32))]],
+                        [pa.array([k * SLICES + s], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (hit.astype(np.int32), used[k][hit].astype(np.float32), moved)]],
                         names=["slice", "idx", "used", "moved"],
                     )
 
@@ -244,104 +380,92 @@ MOVED = "slice int, idx binary, used binary, moved binary"
 def _average(parts: pa.Table) -> pa.Table:
     """The moves of one slice of the model, averaged by use."""
     idx = [np.frombuffer(x, np.int32) for x in parts.column("idx").to_pylist()]
-    used = [np.frombuffer(x, np.float64) for x in parts.column("used").to_pylist()]
-    moved = [np.frombuffer(x, np.float32).reshape(-1, 8) for x in parts.column("moved").to_pylist()]
+    used = [np.frombuffer(x, np.float32) for x in parts.column("used").to_pylist()]
+    moved = [np.frombuffer(x, np.float16).reshape(-1, 8) for x in parts.column("moved").to_pylist()]
     rows = np.unique(np.concatenate(idx))
     total, weight = np.zeros((len(rows), 8)), np.zeros(len(rows))
     for i, u, m in zip(idx, used, moved, strict=True):
         at = np.searchsorted(rows, i)
-        total[at] += u[:, None] * m
+        total[at] += u[:, None].astype(np.float64) * m
         weight[at] += u
-    return pa.table({"slice": parts.column("slice").slice(0, 1), "idx": pa.array([rows.astype(np.int32).tobytes()]), "used": pa.array([weight.tobytes()]), "moved": pa.array([(total / weight[:, None]).astype(np.float32).tobytes()])})
+    return pa.table({"slice": parts.column("slice").slice(0, 1), "idx": pa.array([rows.astype(np.int32).tobytes()]), "used": pa.array([weight.astype(np.float32).tobytes()]), "moved": pa.array([(total / weight[:, None]).astype(np.float16).tobytes()])})
 
 
-def train(coded: DataFrame, class_tokens: np.ndarray, end_slot: int, tokens: int, tokens_per_task: int = 8_000_000) -> list[np.ndarray]:
-    """The two weight tables, from the coded documents that train."""
+def train(coded: DataFrame, lexicon: Lexicon, bits: int, tokens_per_task: int = 4_000_000) -> list[np.ndarray]:
+    """The weight rows of the four levels, from the coded documents that train."""
     spark = coded.sparkSession
-    share = (class_tokens.reshape(8, 8) + 0.5).astype(np.float64)
-    top, low = np.zeros((FEATURES, 8), np.float32), np.zeros((FEATURES * 8, 8), np.float32)
-    top[0] = np.log(share.sum(1) / share.sum())
-    low[:8] = np.log(share / share.sum(1, keepdims=True))
-    model = [top, low]
-    rows = coded.where("trains").select("doc_id", "cls", "slot")
-    tasks = max(1, round(tokens / ROUNDS / tokens_per_task))
+    model = [np.vstack([b, np.zeros((1 << bits, 8), np.float32)]) for b in lexicon.biases()]
+    rows = coded.where("trains").select("doc_id", "leaf", "slot")
+    tasks = ceil(max(lexicon.n, 1) / ROUNDS / tokens_per_task)
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
-        part = rows.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "cls"), F.lit(ROUNDS)) == k).select("cls", "slot")
-        part = part.coalesce(max(tasks, 6)) if tasks > 1 else part.coalesce(1)
-        moves = part.mapInArrow(_train_part(sent, end_slot, 0.8 / (1 + k)), MOVED)
+        part = rows.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "leaf"), F.lit(ROUNDS)) == k).select("leaf", "slot").coalesce(tasks)
+        moves = part.mapInArrow(_train_part(sent, bits, 0.8 / (1 + k)), MOVED)
         model = [w.copy() for w in model]
         for r in moves.groupBy("slice").applyInArrow(_average, MOVED).collect():
             idx = np.frombuffer(r.idx, np.int32)
-            model[r.slice // SLICES][idx] += np.frombuffer(r.moved, np.float32).reshape(-1, 8)
+            model[r.slice // SLICES][idx] += np.frombuffer(r.moved, np.float16).reshape(-1, 8)
         sent.unpersist()
     return model
 
 
-def _score(sent, end_slot: int):
+def _score(sent, bits: int):
     names = ["doc_id", "held", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches):
+        model = sent.value
         for batch in batches:
-            lengths = batch.column("n_tokens").to_pylist()
-            got = []
-            for cls, slot in _documents([batch], 4 * BATCH):
-                rows, target = contexts(cls, slot, end_slot)
-                log = np.concatenate([class_log_prob(sent.value, rows[a : a + 4 * BATCH], target[a : a + 4 * BATCH]) for a in range(0, len(rows), 4 * BATCH)])
-                ends = np.cumsum([len(c) for c in cls])
-                got += list(np.add.reduceat(log.astype(np.float64), ends - [len(c) for c in cls]) / np.log(10))
-            score = np.array(got) + batch.column("inside").to_numpy()
-            assert len(lengths) == len(score)
+            if not len(batch):
+                continue
+            leaf, slot, starts = _flat(batch)
+            log = np.empty(len(leaf))
+            for a in range(0, len(leaf), BATCH):
+                b = min(a + BATCH, len(leaf))
+                log[a:b] = log_prob(model, bits, contexts(leaf, slot, starts, a, b), leaf[a:b])
+            score = np.add.reduceat(log, starts) / np.log(10) + batch.column("inside").to_numpy()
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], pa.array(score)], names=names)
 
     return run
 
 
-def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; ``held`` rows don't train."""
-    kind = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), (~held & F.col(id_col).isNotNull()).alias("t"), F.col(text_col).cast("string").alias("text"))
-    base = base.select("doc_id", "held", F.coalesce("t", F.lit(False)).alias("trains"), "text")
-    blocks = stored(base.mapInArrow(_blocks(block_chars), "block long, doc_id string, held boolean, trains boolean, seq binary, words array<binary>, counts array<int>"), "words")
-
-    lists = blocks.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
-    lists = lists.select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("c"))
-    # the last two bytes of a word as a number; the end of a text has a number of its own
-    ending = F.when(F.col("word") == F.lit(END), F.lit(ENDING_OF_END)).otherwise(F.conv(F.hex(F.substring("word", -2, 2)), 16, 10).cast("int"))
-    lists = lists.withColumns({"slot": F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int"), "ending": ending})
-    sorted_ = lists.repartition("word").sortWithinPartitions("word")
-    counted = stored(sorted_.mapInArrow(_totals, "part long, at int, c long, slot int, ending int, first boolean"), "counts")
-
-    one = counted.where("first")
-    n, v = one.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n, v = n or 0, v or 0
-    per = one.groupBy("ending").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"))
+def coded_documents(docs: DataFrame, held: Column, id_col: str, text_col: str, block_tokens: int) -> tuple[DataFrame, Lexicon]:
+    """Steps 1 to 3."""
+    base = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.coalesce(~held & F.col(id_col).isNotNull(), F.lit(False)).alias("trains"), F.col(text_col).cast("string").alias("text"))
+    blocks = stored(base.mapInArrow(_blocks(block_tokens), BLOCK_DDL), "words")
+
+    lists = blocks.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("at", "x"))
+    lists = lists.select("block", "at", F.col("x.words").alias("word"), F.col("x.endings").alias("ending"), F.col("x.counts").alias("c"))
+    counted = stored(lists.groupBy("word").agg(F.sum("c").alias("c"), F.min("ending").alias("ending")), "counts")
     # endings are 65,537 at most
-    per = sorted(((r.n, r.v, r.ending) for r in per.collect()), key=lambda r: (-r[0], r[2]))
-    sizes, rest = {}, [0, 0]
-    for k, v_, e in per:
-        if e == ENDING_OF_END:
-            sizes[e] = (0, k, v_)
-        elif len(sizes) - (ENDING_OF_END in sizes) < 61 and k > 0:
-            sizes[e] = (1 + len(sizes) - (ENDING_OF_END in sizes), k, v_)
-        else:
-            rest = [rest[0] + k, rest[1] + v_]
-    sizes.setdefault(ENDING_OF_END, (0, 0, 0))
-    sizes[-1] = (62, *rest)
+    per = [(r.ending, r.n, r.v) for r in counted.groupBy("ending").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()]
+    frequent = sorted((r for r in per if r[1] > 0 and r[0] != ENDING_OF_END), key=lambda r: (-r[1], r[0]))[: CLASSES - 3]
+    classes = {ENDING_OF_END: 0} | {e: 1 + i for i, (e, _, _) in enumerate(frequent)}
+    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in classes.items() for x in kv]), F.col("ending")), F.lit(CLASSES - 2))
+    by_count = Window.partitionBy("class").orderBy(F.desc("c"), "word")
+    head = counted.where("c > 0").select("word", "c", number.alias("class")).withColumn("r", F.row_number().over(by_count)).where(F.col("r") < UNITS)
+    # 63 words of each of 63 classes at most
+    lexicon = Lexicon(per, [(r.word, r["class"], r.c) for r in head.orderBy("class", "r").collect()], classes)
+
+    back = lists.drop("c").join(counted.select("word", "c"), "word").select(F.col("block").alias("part"), "at", "word", "ending", "c")
     rows = blocks.where("words is null").select("block", "doc_id", "held", "trains", "seq")
-    placed = counted.select("part", "at", "c", "slot", "ending")
-    coded = stored(rows.groupBy("block").cogroup(placed.groupBy("part")).applyInArrow(_code(sizes, n, v), CODED), "coded")
+    coded = stored(rows.groupBy("block").cogroup(back.groupBy("part")).applyInArrow(_code(lexicon), CODED), "coded")
     discard(blocks)
     discard(counted)
+    return coded, lexicon
 
-    tokens = np.zeros(64)
-    for k, c, _ in sizes.values():
-        tokens[k] = c
-    spark = docs.sparkSession
-    end_slot = spark.range(1).select(F.pmod(F.xxhash64(F.lit(END)), F.lit(SLOTS))).first()[0]
-    model = spark.sparkContext.broadcast(train(coded, tokens, end_slot, n))
-    out = coded.mapInArrow(_score(model, end_slot), "doc_id string, held boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("doc_id").cast(kind).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+def row_bits(words: int, max_rows: int) -> int:
+    """Bits of the rows of a level."""
+    return int(ceil(log2(min(max(words / 16, LEAST_ROWS), max_rows))))
+
+
+def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 5_000_000, max_rows: int = 1 << 17) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; ``held`` rows don't train."""
+    coded, lexicon = coded_documents(docs, held, id_col, text_col, block_tokens)
+    bits = row_bits(lexicon.v, max_rows)
+    model = docs.sparkSession.sparkContext.broadcast(train(coded, lexicon, bits))
+    out = coded.mapInArrow(_score(model, bits), "doc_id string, held boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,9 @@
-import math
 import random
-import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from driftgauge.llm import decontamination as D
-from driftgauge.llm import lm_scoring as LM
 from driftgauge.llm import toxicity as T
 from driftgauge.llm.neighbours import Index, op9_nearest_neighbours
 
@@ -114,36 +109,6 @@ def test_gradient_is_that_of_the_loss():
         assert g[k] == pytest.approx((loss(w + e) - loss(w - e)) / 2e-6, abs=1e-5)
 
 
-def test_lm_scores(spark):
-    rows = [(i, t) for i, t in enumerate(["A b c a", "a B c", "b c a b", "", None, "zzz new", "a  b\tc\x0bd"] * 6)] + [(None, "a b")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
-    out = LM.score_documents(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1).collect()
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    toks = {d: [w.decode() for w in (t or "").encode().lower().split()] + [" "] for d, t in rows}
-    c = Counter(w for d, ws in toks.items() if d is not None and not held(d) for w in ws)
-    n, v = sum(c.values()), len(c)
-    assert len(out) == len(rows)
-    for r in out:
-        ws = toks[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert r.score < 0
-    assert LM.score_documents(df.limit(0), F.lit(False)).count() == 0
-
-
-def test_lm_beats_the_base_on_held_out(spark):
-    out = LM.op8_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > out[1]
-
-
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    model = [rng.standard_normal((LM.FEATURES, 8)).astype(np.float32), rng.standard_normal((LM.FEATURES * 8, 8)).astype(np.float32)]
-    rows, _ = LM.contexts([np.array([3, 5, 0])], [np.array([7, 8, 9])], 1)
-    total = sum(np.exp(LM.class_log_prob(model, rows, np.full(3, k))) for k in range(64))
-    assert np.allclose(total, 1, atol=1e-4)
-
-
 def test_neighbours_recall_and_contract(spark):
     d = "/root/testdata/sf0.01"
     e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
