@@ -39,7 +39,7 @@ def test_leaks_equal_brute_force(spark):
     want = set()
     for d, t in rows:
         for i, x in enumerate(items):
-            if x and x.strip() and t and len(t) < 10_000 and edit_search(D.plain(x), D.flat(t)) <= int(0.06 * len(D.plain(x))):
+            if x and x.strip() and t and len(t) < 10_000 and edit_search(D.plain(x), D.plain(t)) <= int(0.06 * len(D.plain(x))):
                 want.add((d, i))
     got = D.find_leaks(df, b).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
@@ -54,6 +54,33 @@ def test_leaks_equal_brute_force(spark):
     assert D.find_leaks(df, b.limit(0)).count() == 0 and D.find_leaks(df.limit(0), b).count() == 0
 
 
+def test_leaks_in_any_white_space(spark):
+    blanks = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    item = "Nine Grey foxes, İ and é, crossed the frozen river at dawn"
+    rows = []
+    for k, w in enumerate(blanks):
+        rows.append((k, f"{w}{w}so it is {w} told:{w}" + item.replace(" ", w + w) + f"{w}and more{w}"))
+    rows.append((200, "nothing" + "".join(blanks) + "here"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, "\x1c" + item + "\x0b"), (2, item.lower())], "item_id long, text string")
+    got = {r.doc_id: r for r in D.find_leaks(df, b).collect()}
+    assert set(got) == set(range(len(blanks)))
+    for k, t in rows[:-1]:
+        r = got[k]
+        assert r.item_id == 1 and r.distance == 0 and D.plain(t[r.begin : r.end]) == D.plain(item)
+    for _, t in rows:
+        assert len(D.places(t)) == len(D.plain(t)) and all(D.plain(t[i]) in ("", D.plain(t)[j][:1]) or t[i] == "İ" for j, i in enumerate(D.places(t)))
+    assert {r.doc_id for r in D.without_leaks(df, b).collect()} == {200}
+
+
+def test_leaks_of_one_item_many_times():
+    item = "a short sentence that is said again and again"
+    find = D.Finder([("x", item)], 0.06)
+    text = "\x0c".join([item] * 10_000)
+    found = find(text)
+    assert len(found) == 10_000 and all(text[a:b] == item and d == 0 for _, a, b, d in found)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = T.op4_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
