@@ -146,6 +146,19 @@ def test_sections(spark):
     assert sorted(got[1]) == [(0, "__preamble__", "pre\n"), (1, "A B", "## A B\nx\n\n"), (2, "C", "### C\ny")]
     assert got[2] == [(0, "__all__", "# one\nplain")]
     assert 4 not in got
+    odd = ["", "##\n## B\nx", "##  \n## K \x1c\ny", "a\n## H  \n\n## K", "## \x0bS\u3000T\t\r\nz", "x ## no\n##no\n### $1 \\ \u2028 q\nb", "## é" + " y" * 50_000]
+    want = [
+        [("__all__", "")],
+        [("## B", "##\n## B\nx")],
+        [("## K", "##  \n## K \x1c\ny")],
+        [("__preamble__", "a\n"), ("H", "## H  \n\n"), ("K", "## K")],
+        [("S\u3000T", "## \x0bS\u3000T\t\r\nz")],
+        [("__preamble__", "x ## no\n##no\n"), ("$1 \\ \u2028 q", "### $1 \\ \u2028 q\nb")],
+        [(odd[6][3:], odd[6])],
+    ]
+    parts = spark.createDataFrame(list(enumerate(odd)), "id int, text string").select("id", T.sections(F.col("text")).alias("s")).orderBy("id").collect()
+    assert [[(x.heading, x.block) for x in r.s] for r in parts] == want
+    assert all([x.pos for x in r.s] == list(range(len(r.s))) for r in parts)
     masked = {r.id: r.text for r in T.mask_sections(df, ["A B"]).collect()}
     assert masked[1] == "pre\n## A B\n[MASKED_A_B]\n### C\ny"
     assert T.masking_variants(df).where("id = 1").count() == 18
