@@ -1,27 +1,37 @@
 """Near-duplicates: ProbMinHash signatures, banding, exact verification, components.
 
-Two texts are linked when the Jaccard similarity of their sets of five-word shingles
-is ``threshold`` or more; classes are the connected components of all links, together
-with exact copies.
+Two texts are linked when the similarity of their five-word shingles is ``threshold`` or
+more; classes are the connected components of all links, together with exact copies. The
+similarity is the probability Jaccard of the shingles' weights, which for equal weights is
+the Jaccard similarity of their sets. Weights are all 1 by default, so that a repeated
+passage doesn't hide a near copy; with ``weighted`` they are the shingles' counts.
+Signatures, filters and verification are of the same measure in either case.
 
 1. Copies of a text collapse to one node, by a 128-bit hash, with partial aggregation.
-2. ProbMinHash: the distinct shingles of a text, all of weight 1, are Poisson processes
-   with their weight as rate. Each arrival falls into one register and a register
-   keeps its first arrival; a shingle stops as soon as its next arrival is later than
-   every register's. Registers of two texts agree with the probability Jaccard,
-   which for equal weights is the Jaccard similarity of the sets, however often a
-   shingle is repeated.
+2. ProbMinHash: the distinct shingles of a text are Poisson processes with their weight as
+   rate. Each arrival falls into one register and a register keeps its first arrival; a
+   shingle stops as soon as its next arrival is later than every register's. Two texts
+   agree in a register with a probability that is their probability Jaccard.
 3. Banding: ``bands`` groups of ``rows`` registers. A pair of similarity 0.8 shares a
-   band with probability 1 - (1 - 0.8^4)^20 > 0.9999.
-4. A bucket larger than ``BLOCK`` is dealt into blocks and each pair of blocks is a
-   group, so no task holds a whole hot bucket. In a group signatures are compared in
-   numpy; pairs that agree in under 0.6 of the registers (over four standard deviations
-   below 0.8) or whose set sizes forbid 0.8 fall away, exactly or beyond doubt.
+   band with probability 1 - (1 - 0.8^4)^20 > 0.9999. Registers are cut to 16 bits, and a
+   band is its four registers, so bands and signatures never disagree.
+4. The nodes of a bucket are a group. A bucket larger than ``BLOCK`` is dealt into blocks
+   of that size, each with the bucket's smallest node: n nodes make n / ``BLOCK`` groups.
+   In a group signatures are compared in numpy; pairs that agree in under 0.6 of the
+   registers fall away (over four standard deviations below 0.8), and for sets pairs
+   whose sizes forbid 0.8.
 5. Verification, on whole texts. First each node's closest pair in its groups, which
-   joins most classes; then, in every group where nodes of two components still have
-   such a pair, all these pairs, the closest first, until they are joined. A pair is left
-   out only when its nodes are joined already, so no link that matters is lost, and a
-   group of n nodes sends under n links.
+   joins most classes. Then, in every group where nodes of two components still have
+   such a pair, all these pairs, the closest first, until they are joined. In a bucket of
+   several blocks, the nodes outside its largest component (few, for copies of a
+   template) meet all blocks of the bucket; so each pair of different components is
+   compared, and a class with n texts in a bucket isn't compared n^2 times.
+   A pair is left out only when its nodes are joined already, and a group of n nodes
+   sends under n links.
+
+What is missed: a pair that shares no band (under 1 in 10,000 at 0.8) or agrees in under 0.6
+of the registers (under 1 in 50,000 at 0.8); either is found through a third text in a
+class of more than two.
 
 Nulls: texts without a word (null, empty, white space) are in no class but their own.
 Texts of under five words have one shingle, all their words. A class is named by its
@@ -32,10 +42,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -43,6 +53,8 @@ M = BANDS * ROWS
 LOW = 0.6
 BLOCK = 512
 _U = np.uint64
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -101,32 +113,61 @@ def probminhash(items: np.ndarray, weights: np.ndarray, m: int = M) -> np.ndarra
     return who
 
 
-def _signatures(batches):
-    odd = mix(np.arange(1, ROWS + 1, dtype=_U)) | _U(1)
+def set_jaccard(x, y) -> float:
+    both = len(np.intersect1d(x[0], y[0], assume_unique=True))
+    return both / (len(x[0]) + len(y[0]) - both)
+
+
+def probability_jaccard(x, y) -> float:
+    """Sum over common items i of 1 / sum over all items j of max(x_j / x_i, y_j / y_i)."""
+    items, inverse = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    a, b = (np.bincount(i, w, len(items)) for i, w in ((inverse[: len(x[0])], x[1]), (inverse[len(x[0]) :], y[1])))
+    with np.errstate(divide="ignore"):
+        ratio = a / b
+    order = np.argsort(ratio, kind="stable")
+    a, b, ratio = a[order], b[order], ratio[order]
+    # where the ratio is that of i or more, x decides; below it, y
+    first = np.searchsorted(ratio, ratio, "left")
+    more, less = np.cumsum(a[::-1])[::-1], np.r_[0, np.cumsum(b)]
+    common = (a > 0) & (b > 0)
+    return float((1 / (more[first] / np.where(common, a, 1) + less[first] / np.where(common, b, 1)))[common].sum())
+
+
+def similar(x, y, threshold: float, weighted: bool) -> bool:
+    return (probability_jaccard if weighted else set_jaccard)(x, y) >= threshold - 1e-9
+
+
+def _signatures(weighted: bool):
     salt = mix(np.arange(100, 100 + BANDS, dtype=_U))
-    for batch in batches:
-        size, sig, band = [], [], []
-        for text in batch.column("text").to_pylist():
-            items, _ = shingles(text or "")
-            size.append(len(items))
-            if not len(items):
-                sig.append(b"")
-                band.append([])
-                continue
-            who = probminhash(items, np.ones(len(items)))
-            sig.append(who.astype(np.uint16).tobytes())
-            band.append(mix((who.reshape(BANDS, ROWS) * odd).sum(1, dtype=_U) + salt).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("t1"), batch.column("t2"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-            names=["id", "t1", "t2", "size", "sig", "bands"],
-        )
+
+    def run(batches):
+        for batch in batches:
+            size, sig, band = [], [], []
+            for text in batch.column("text").to_pylist():
+                items, counts = shingles(text or "")
+                size.append(len(items))
+                if not len(items):
+                    sig.append(b"")
+                    band.append([])
+                    continue
+                cut = probminhash(items, counts.astype(np.float64) if weighted else np.ones(len(items))).astype(np.uint16)
+                sig.append(cut.tobytes())
+                # the four registers of a band are its 64 bits
+                band.append(mix(cut.view(_U) + salt).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("t1"), batch.column("t2"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+                names=["id", "t1", "t2", "size", "sig", "bands"],
+            )
+
+    return run
 
 
 class Group:
     """The nodes of one group, with what tells which pairs it has to judge."""
 
-    def __init__(self, rows: list[dict], band: int, threshold: float):
-        self.rows, self.band, self.threshold = rows, band, threshold
+    def __init__(self, rows: list[dict], band: int, least: float):
+        """``least`` is the smallest share of a set's size that the other can have; 0 for weighted shingles."""
+        self.rows, self.band, self.least = rows, band, least
         self.node = np.array([x["node"] for x in rows], np.int64)
         self.comp = np.array([x["comp"] for x in rows], np.int64)
         self.side = np.array([x["side"] for x in rows], np.int32)
@@ -143,7 +184,7 @@ class Group:
         ok = self.comp[js] != self.comp[i]
         if self.crossed:
             ok &= self.side[js] != self.side[i]
-        ok &= np.minimum(self.size[js], self.size[i]) >= self.threshold * np.maximum(self.size[js], self.size[i]) - 1e-9
+        ok &= np.minimum(self.size[js], self.size[i]) >= self.least * np.maximum(self.size[js], self.size[i]) - 1e-9
         js = js[ok]
         equal = self.sig[js] == self.sig[i]
         same = equal.sum(1)
@@ -152,14 +193,14 @@ class Group:
         return js[first], same[first]
 
 
-def _closest(threshold: float):
+def _closest(least: float):
     """For each node of a group the node closest to it: pairs (a, b)."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
             for rows, band in zip(batch.column("members").to_pylist(), batch.column("band").to_pylist(), strict=True):
-                g = Group(rows, band, threshold)
+                g = Group(rows, band, least)
                 best = np.zeros(len(rows), np.int64)
                 with_ = np.full(len(rows), -1)
                 for i in range(len(rows)):
@@ -179,14 +220,14 @@ def _closest(threshold: float):
     return run
 
 
-def _open(threshold: float):
+def _open(least: float):
     """(g, band, node) of nodes that still have a pair to be judged in their group."""
 
     def run(batches):
         for batch in batches:
             names, bands, nodes = [], [], []
             for g, rows, band in zip(*[batch.column(c).to_pylist() for c in ("g", "members", "band")], strict=True):
-                x = Group(rows, band, threshold)
+                x = Group(rows, band, least)
                 has = np.zeros(len(rows), bool)
                 for i in range(len(rows)):
                     js, _ = x.near(i)
@@ -202,7 +243,7 @@ def _open(threshold: float):
     return run
 
 
-def _judged(threshold: float):
+def _judged(threshold: float, weighted: bool, least: float):
     """Links (a, b) that join the components of a group: its pairs are verified, the closest first,
     but for those whose nodes are joined already, so that n nodes give under n links."""
 
@@ -210,7 +251,7 @@ def _judged(threshold: float):
         for batch in batches:
             a, b = [], []
             for rows, band in zip(batch.column("members").to_pylist(), batch.column("band").to_pylist(), strict=True):
-                g = Group(rows, band, threshold)
+                g = Group(rows, band, least)
                 up = {int(c): int(c) for c in g.comp}
 
                 def find(c, up=up):
@@ -223,14 +264,15 @@ def _judged(threshold: float):
                     js, same = g.near(i)
                     pairs.append(np.stack([-same, np.full(len(js), i), js]))
                 pairs = np.concatenate(pairs, axis=1)
-                sets: dict[int, np.ndarray] = {}
+                sets: dict[int, tuple] = {}
                 for i, j in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
                     p, q = find(int(g.comp[i])), find(int(g.comp[j]))
                     if p == q:
                         continue
-                    x, y = (sets.setdefault(k, sets.get(k) if k in sets else shingles(rows[k]["text"])[0]) for k in (i, j))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = shingles(rows[k]["text"])
+                    if similar(sets[i], sets[j], threshold, weighted):
                         up[p] = q
                         a.append(min(rows[i]["node"], rows[j]["node"]))
                         b.append(max(rows[i]["node"], rows[j]["node"]))
@@ -240,51 +282,112 @@ def _judged(threshold: float):
     return run
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, weighted: bool):
     def run(batches):
         for batch in batches:
             last, keep, x = None, [], None
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 if ta != last:
-                    last, x = ta, shingles(ta)[0]
-                y = shingles(tb)[0]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+                    last, x = ta, shingles(ta)
+                keep.append(similar(x, shingles(tb), threshold, weighted))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """(g, band, members): sets of nodes that share a band; array<struct<node, side>>.
+def _blocks_of(node: str, c: Column) -> Column:
+    """The block of a node, where ``c`` nodes are dealt into blocks."""
+    return F.pmod(F.xxhash64(node), F.ceil(c / BLOCK)).cast("int")
+
+
+def _groups(buckets: DataFrame) -> DataFrame:
+    """(g, band, members): the nodes of a bucket, or of a block of it; array<struct<node, side>>.
 
     A set that several bands have alike is one group, that of the first band.
     """
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1")
-    rows = rows.join(shared, ["band", "value"]).withColumn("n", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    rows = rows.select("band", "value", "node", "side", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    rows = rows.groupBy("band", "value", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    rows = rows.agg(F.sort_array(F.collect_list(F.struct("node", "side"))).alias("members")).where(F.size("members") > 1)
-    rows = rows.groupBy(F.xxhash64("members.node", "i", "j").alias("h1"), F.xxhash64(F.lit(3), "members.node", "i", "j").alias("h2"))
+    rows = buckets.withColumn("block", _blocks_of("node", F.col("c")))
+    # each block of a large bucket has the bucket's smallest node
+    every = F.when((F.col("c") > BLOCK) & (F.col("node") == F.col("least")), F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1)).otherwise(F.array("block"))
+    rows = rows.select("band", "value", "node", F.explode(every).alias("block")).groupBy("band", "value", "block")
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("node", F.lit(0).alias("side")))).alias("members")).where(F.size("members") > 1)
+    rows = rows.groupBy(F.xxhash64("members.node").alias("h1"), F.xxhash64(F.lit(3), "members.node").alias("h2"))
     return rows.agg(F.min("band").alias("band"), F.first("members").alias("members")).select(F.monotonically_increasing_id().alias("g"), "band", "members")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _crossed(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """(g, band, node, side, comp): in buckets of several blocks and components, the nodes outside the
+    largest component, block by block, together with each block of the bucket.
+    """
+    rows = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("c")).where("top.n < c")
+    rows = rows.drop("c", "least").join(sizes, ["band", "value"]).withColumn("few", F.col("comp") != F.col("top.comp"))
+    number = lambda c: F.ceil(c / BLOCK).cast("int")
+    n_few, n_many = number(F.col("c") - F.col("top.n")), number(F.col("top.n"))
+    rows = rows.select("band", "value", "node", "comp", "few", n_few.alias("nf"), n_many.alias("nm"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("few"), F.col("nf")).otherwise(F.col("nm"))).cast("int")
+    rows = rows.withColumn("own", own)
+    # blocks 0 .. nf - 1 hold the few, the others the many; (i, j) with i <= j, i of the few
+    few = F.transform(F.sequence(F.lit(0), F.col("nf") + F.col("nm") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    many = F.transform(F.sequence(F.lit(0), F.col("nf") - 1), lambda k: F.struct(k.alias("i"), (F.col("nf") + F.col("own")).alias("j")))
+    rows = rows.select("band", "value", "node", "comp", F.when(F.col("few"), F.col("own")).otherwise(F.col("nf") + F.col("own")).alias("side"), F.explode(F.when(F.col("few"), few).otherwise(many)).alias("x"))
+    # negative, to keep clear of the other groups' numbers
+    g = -1 - F.shiftrightunsigned(F.xxhash64("band", "value", "x.i", "x.j"), 1)
+    return rows.select(g.alias("g"), "band", "node", "side", "comp")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
     """(id, class_id) for each row of ``docs``: the smallest id of its class."""
+    named = _classes(docs, threshold, id_col, text_col, weighted)
+    smallest = named.groupBy("comp").agg(F.min("id").alias("class_id"))
+    named = named.join(smallest, "comp").select("t1", "t2", "class_id", F.lit(True).alias("known"))
+    out = _base(docs, id_col, text_col).select("id", "t1", "t2").join(named, ["t1", "t2"], "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
+    """``docs`` with one row of each class: the smallest id, a null id last, and of rows alike in id the
+    first text by hash. Rows without a word all stay, as each is a class of its own.
+    """
+    named = _classes(docs, threshold, id_col, text_col, weighted)
+    chosen = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("x")).select("x.id", "x.t1", "x.t2")
+    t1, t2 = _text_keys(text_col)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), t1, t2)
+    kept = keyed.join(chosen.withColumnRenamed("id", "_i"), ["t1", "t2"]).where(F.col("_id").eqNullSafe(F.col("_i")))
+    # rows alike in id and text: their number is combined before the shuffle, and few rows meet
+    twice = kept.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2")
+    once = kept.join(twice, ["t1", "t2"], "left_anti").select("_row")
+    one = kept.join(twice, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("_row").alias("_row")).select("_row")
+    blank = keyed.where(~F.coalesce(F.col("_row")[text_col].cast("string").rlike("\\S"), F.lit(False))).select("_row")
+    return once.unionByName(one).unionByName(blank).select("_row.*")
+
+
+def _text_keys(text_col: str) -> list[Column]:
+    text = F.col(f"`{text_col}`").cast("string")
+    return [F.xxhash64(F.lit(5), text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")]
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), *_text_keys(text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, weighted: bool) -> DataFrame:
+    """(id, t1, t2, comp) of each distinct text with a word, with its smallest id."""
     if threshold < 0.75:
         raise ValueError("the bands are laid out for a threshold of 0.75 or more")
-    text = F.col(text_col).cast("string")
-    t1, t2 = F.xxhash64(F.lit(5), text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2")
-    base = docs.select(F.col(id_col).alias("id"), t1, t2, text.alias("text"))
+    least = 0.0 if weighted else threshold
+    base = _base(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, t1 long, t2 long, size int, sig binary, bands array<long>"
-    signed = base.where(text.rlike("\\S")).mapInArrow(_signatures, schema).where("size > 0")
+    signed = base.where(F.col("text").rlike("\\S")).mapInArrow(_signatures(weighted), schema).where("size > 0")
     one = signed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first(F.struct("size", "sig", "bands")).alias("x"))
     nodes = stored(one.select(F.monotonically_increasing_id().alias("node"), "id", "t1", "t2", "x.*"), "nodes")
 
-    groups = stored(_groups(nodes), "groups")
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    shared = placed.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1")
+    buckets = placed.join(shared, ["band", "value"])
+    groups = stored(_groups(buckets), "groups")
+    large = stored(buckets.where(F.col("c") > BLOCK), "large")
     wanted = groups.select(F.explode("members.node").alias("node")).distinct()
     wanted = nodes.select("node", F.col("id").alias("_i"), F.col("t1").alias("_1"), F.col("t2").alias("_2")).join(wanted, "node")
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("_i")) & (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
@@ -298,25 +401,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
         return rows.groupBy("g", "band").agg(F.collect_list(F.struct(*columns)).alias("members"))
 
     first = gathered(rows.withColumn("comp", F.col("node")).join(sigs, "node"), member)
-    pairs = first.select("band", "members").mapInArrow(_closest(threshold), "a long, b long").distinct()
+    pairs = first.select("band", "members").mapInArrow(_closest(least), "a long, b long").distinct()
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    comps = components(stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long"), "links"))
+    comps = components(stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, weighted), "a long, b long"), "links"))
 
     rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    rows = stored(rows.join(split, "g").join(sigs, "node"), "rows")
-    left = stored(gathered(rows, member).mapInArrow(_open(threshold), "g long, band int, node long"), "open")
+    rows = rows.join(split, "g").select("g", "band", "node", "side", "comp").unionByName(_crossed(large, comps))
+    rows = stored(rows.join(sigs, "node"), "rows")
+    left = stored(gathered(rows, member).mapInArrow(_open(least), "g long, band int, node long"), "open")
     last = gathered(rows.join(left, ["g", "band", "node"]).join(texts, "node"), [*member, "text"])
-    links = last.select("band", "members").mapInArrow(_judged(threshold), "a long, b long")
+    links = last.select("band", "members").mapInArrow(_judged(threshold, weighted, least), "a long, b long")
     links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    comps = components(links)
-
-    named = nodes.select("node", "id", "t1", "t2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.groupBy("comp").agg(F.min("id").alias("class_id"))
-    named = named.join(smallest, "comp").select("t1", "t2", "class_id", F.lit(True).alias("known"))
-    out = base.select("id", "t1", "t2").join(named, ["t1", "t2"], "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    named = stored(nodes.select("node", "id", "t1", "t2").join(components(links), "node", "left").select("id", "t1", "t2", F.coalesce("comp", "node").alias("comp")), "classes")
+    for spent in (nodes, groups, large, texts, rows, left):
+        discard(spent)
+    return named
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,54 @@ def test_repeated_blocks_keep_their_links(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+def test_weighted_links_are_of_the_measure_that_is_hashed(spark):
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        a, b = rng.integers(0, 4, n).astype(float), rng.integers(0, 4, n).astype(float)
+        a[0] = b[0] = 1
+        items = np.arange(n, dtype=np.uint64)
+        true = sum(1 / np.maximum(a / a[i], b / b[i]).sum() for i in range(n) if a[i] and b[i])
+        assert abs(nd.probability_jaccard((items[a > 0], a[a > 0]), (items[b > 0], b[b > 0])) - true) < 1e-9
+    words = [f"w{k}" for k in range(204)]
+    near = [*words[:190], "x", *words[191:]]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50] * 200 + words)), (3, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(nd.near_duplicate_classes(df).collect()) == {1: 1, 2: 1, 3: 1}
+    assert dict(nd.near_duplicate_classes(df, weighted=True).collect()) == {1: 1, 2: 2, 3: 1}
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near = text.replace("w7 ", "q ")
+    rows = [(1, text, "a"), (1, text, "a"), (1, near, "b"), (2, text, "c"), (3, "other words that are all on their own here", "d"), (None, text, "e"), (None, "no id but words of its own in here", "f"), (4, None, "g"), (4, None, "g"), (5, " ", "h"), (6, "x y", "i"), (7, "x y", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t1 string")
+    got = nd.one_of_each_class(df)
+    assert got.columns == df.columns
+    out = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    first = [x for x in out if x[0] == "1"]
+    assert len(first) == 1 and first[0][1] in (text, near)
+    assert [x for x in out if x[0] != "1"] == sorted([("3", rows[4][1]), ("None", rows[6][1]), ("4", "None"), ("4", "None"), ("5", " "), ("6", "x y")])
+    assert nd.one_of_each_class(df.limit(0)).count() == 0
+
+
+def test_a_large_bucket_of_two_classes(spark, monkeypatch):
+    """Blocks of a bucket meet only through nodes outside its largest component."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    rng = random.Random(8)
+    rows, common = [], [f"c{k}" for k in range(60)]
+    for i in range(60):
+        own = list(common)
+        # a chain: neighbours are near, ends are not
+        for k in range(i // 4):
+            own[k * 3] = f"v{k}"
+        own[59] = f"e{i % 4}"
+        rows.append((i, " ".join(own)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(a), str(b)) for a, b in nd.near_duplicate_classes(df).collect()) == classes(rows)
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     errors = []
