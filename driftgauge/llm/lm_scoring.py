@@ -21,9 +21,9 @@ The rows of a level are a power of two, at least a sixteenth of the distinct wor
    block's list. Both go by word with Spark's own aggregation and join, so that a
    frequent word, one row for each block, is combined before the shuffle and, in the
    join, split by adaptive execution.
-3. Each document becomes two numbers for each token, its leaf of the tree and its hash as
-   history, and the sums of what doesn't depend on the history. These coded documents go
-   to the shared folder.
+3. Each document becomes a number for each token, its leaf of the tree or its class and
+   17 bits of its hash, and the sums of what doesn't depend on the history. These coded
+   documents go to the shared folder, in planes of bytes, which pack well.
 4. Training: each of ``ROUNDS`` rounds takes another part of all training documents, so
    each training token is used once. A task goes through its documents in minibatches
    and returns the rows it moved; rows are averaged over the tasks, weighted by use, in
@@ -91,6 +91,18 @@ def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def planes(values: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Rows of numbers in three columns: the low byte, the next one and the two high ones of each number."""
+    return [binaries(x, ends) for x in (values.astype(np.uint8), (values >> 8).astype(np.uint8), (values >> 16).astype(np.uint16))]
+
+
+def whole(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``planes`` end to end, and the offsets of the rows."""
+    (low, at), (mid, _), (high, _) = map(raw, columns)
+    high = np.frombuffer(high.tobytes(), np.uint16)
+    return low | mid.astype(np.uint32) << 8 | high.astype(np.uint32) << 16, at
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and endings of all tokens of a column of texts, and where each text's tokens end."""
     data, at = raw(column)
@@ -130,8 +142,8 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, ending, n + docs + 1
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.string()), ("held", pa.bool_()), ("trains", pa.bool_()), ("seq", pa.binary()), ("words", pa.list_(pa.int64())), ("endings", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-BLOCK_DDL = "block long, doc_id string, held boolean, trains boolean, seq binary, words array<long>, endings array<int>, counts array<long>"
+BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.string()), ("held", pa.bool_()), ("trains", pa.bool_()), ("low", pa.binary()), ("mid", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.int64())), ("endings", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+BLOCK_DDL = "block long, doc_id string, held boolean, trains boolean, low binary, mid binary, high binary, words array<long>, endings array<int>, counts array<long>"
 
 
 def _blocks(block_tokens: int):
@@ -145,15 +157,19 @@ def _blocks(block_tokens: int):
         new = np.r_[True, word[order[1:]] != word[order[:-1]]]
         place = np.empty(len(word), np.uint32)
         place[order] = np.cumsum(new) - 1
-        one = order[new]
+        # frequent words get small numbers
+        by_count = np.argsort(-np.bincount(place), kind="stable")
+        number = np.empty(len(by_count), np.uint32)
+        number[by_count] = np.arange(len(by_count))
+        place, one = number[place], order[new][by_count]
         used = np.repeat(trains.to_numpy(zero_copy_only=False).astype(bool), lengths)
         count = np.bincount(place[used], minlength=len(one))
         n, none = len(doc), pa.nulls
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), doc, held, trains, binaries(place, np.cumsum(lengths)), *[none(n, BLOCK.field(k).type) for k in (5, 6, 7)]], schema=BLOCK
+            [pa.array(np.full(n, block)), doc, held, trains, *planes(place, np.cumsum(lengths)), *[none(n, BLOCK.field(k).type) for k in (7, 8, 9)]], schema=BLOCK
         )
-        lists = [pa.array([x], BLOCK.field(k).type) for k, x in ((5, word[one].view(np.int64)), (6, ending[one]), (7, count))]
-        yield pa.RecordBatch.from_arrays([pa.array([block]), *[none(1, BLOCK.field(k).type) for k in range(1, 5)], *lists], schema=BLOCK)
+        lists = [pa.array([x], BLOCK.field(k).type) for k, x in ((7, word[one].view(np.int64)), (8, ending[one]), (9, count))]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *[none(1, BLOCK.field(k).type) for k in range(1, 7)], *lists], schema=BLOCK)
 
     def run(batches):
         block, parts, size = TaskContext.get().partitionId() << 24, [], 0
@@ -224,12 +240,17 @@ class Lexicon:
         return out
 
 
-CODED = "doc_id string, held boolean, trains boolean, n_tokens long, n_known long, base_score double, inside double, leaf binary, slot binary"
+CODED = "doc_id string, held boolean, trains boolean, n_tokens long, n_known long, base_score double, inside double, low binary, mid binary, high binary"
 
 
-def slots(words: np.ndarray) -> np.ndarray:
-    """24 bits of a word hash, as history."""
-    return (words.view(_U) >> _U(40)).astype(np.uint32)
+def coded(words: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """A number for each word: its leaf, or for words in the rest of a class the class and 17 bits of the hash."""
+    rest = CLASSES * UNITS + ((words.view(_U) >> _U(47)) << _U(6) | (leaf >> 6).astype(_U))
+    return np.where((leaf & REST) == REST, rest, leaf.astype(_U)).astype(np.uint32)
+
+
+def leaves(code: np.ndarray) -> np.ndarray:
+    return np.where(code < CLASSES * UNITS, code, (code & 63) << 6 | REST)
 
 
 def _code(lexicon: Lexicon):
@@ -246,15 +267,14 @@ def _code(lexicon: Lexicon):
             return out
 
         c, word, ending = by_place("c", np.int64), by_place("word", np.int64), by_place("ending", np.int64)
-        leaf, slot = lexicon.leaf(word, ending).astype(np.uint16), slots(word)
-        in_rest = (leaf % UNITS == REST) & (ending != ENDING_OF_END)
-        inside = np.where(in_rest, np.log10((c + 0.5) / lexicon.rest[leaf // UNITS]), 0.0)
+        leaf = lexicon.leaf(word, ending)
+        code = coded(word, leaf)
+        inside = np.where((leaf & REST) == REST, np.log10((c + 0.5) / lexicon.rest[leaf >> 6]), 0.0)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         known = (c > 0).astype(np.float64)
-        data, offsets = raw(docs.column("seq").combine_chunks())
-        seq = data.view(np.uint32) if data.flags.c_contiguous else np.ascontiguousarray(data).view(np.uint32)
-        ends = offsets[1:] // 4
-        starts = offsets[:-1] // 4
+        seq, offsets = whole([docs.column(k).combine_chunks() for k in ("low", "mid", "high")])
+        starts, ends = offsets[:-1], offsets[1:]
+        low, mid, high = planes(code[seq], ends)
         total = lambda x: np.add.reduceat(x[seq], starts)  # noqa: E731  each document has a token, its end
         return pa.table(
             {
@@ -265,34 +285,34 @@ def _code(lexicon: Lexicon):
                 "n_known": pa.array(total(known).astype(np.int64)),
                 "base_score": pa.array(total(base)),
                 "inside": pa.array(total(inside)),
-                "leaf": binaries(leaf[seq], ends),
-                "slot": binaries(slot[seq], ends),
+                "low": low,
+                "mid": mid,
+                "high": high,
             }
         )
 
     return run
 
 
-def contexts(leaf: np.ndarray, slot: np.ndarray, starts: np.ndarray, a: int, b: int) -> list[np.ndarray]:
-    """Hashes of the history of tokens a..b of documents laid end to end: [class features, unit features]."""
-
-    def back(x: np.ndarray, k: int, pad) -> np.ndarray:
-        out = np.full(b - a, pad, _U)
-        low = max(a - k, 0)
-        out[low + k - a :] = x[low : b - k] if b > k else 0
-        for j in range(k):  # the first k tokens of a document
-            p = starts + j
-            out[p[(p >= a) & (p < b)] - a] = pad
+def contexts(code: np.ndarray, starts: np.ndarray, a: int, b: int) -> list[np.ndarray]:
+    """Hashes of the history of tokens a..b of documents laid end to end: two of words, two of classes."""
+    low = max(a - 3, 0)
+    past = code[low:b]
+    cls = leaves(past) >> 6
+    firsts = [(p := starts + j)[(p >= a) & (p < b)] - a for j in range(3)]
+
+    def back(x: np.ndarray, k: int) -> np.ndarray:
+        """What stands k tokens before; before the first token of a document stands an end, 0."""
+        out = np.zeros(b - a, _U)
+        skip = max(low + k - a, 0)
+        out[skip:] = x[a + skip - k - low : b - k - low]
+        for p in firsts[:k]:
+            out[p] = 0
         return out
 
-    cls = leaf >> 6
-    w1, w2 = back(slot, 1, _U(0)), back(slot, 2, _U(0))
-    c1, c2, c3 = (back(cls, k, _U(0)) for k in (1, 2, 3))
-    own = [(w1 << _U(3)) | _U(1), (w2 << _U(3)) | _U(2)]
-    more = [(((c1 << _U(6)) | c2) << _U(3)) | _U(3), (((c1 << _U(6)) | c3) << _U(3)) | _U(4)]
-    spread = lambda x: x * _U(0x9E3779B97F4A7C15)
-    own = [spread(x) for x in own]
-    return [*own, *[spread(x) for x in more]]
+    w1, w2, c1, c2, c3 = back(past, 1), back(past, 2), back(cls, 1), back(cls, 2), back(cls, 3)
+    values = [w1 << _U(3) | _U(1), w2 << _U(3) | _U(2), (c1 << _U(6) | c2) << _U(3) | _U(3), (c1 << _U(6) | c3) << _U(3) | _U(4)]
+    return [x * _U(0x9E3779B97F4A7C15) for x in values]
 
 
 def rows_at(features: list[np.ndarray], level: int, node: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -302,13 +322,15 @@ def rows_at(features: list[np.ndarray], level: int, node: np.ndarray, bits: int)
     return [node, *[(((f ^ salt) * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - bits)).astype(np.int64) + NODES[level] for f in use]]
 
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log probabilities (n, 8) over the summed weight rows."""
+def shares(weights: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Summed weight rows, their exponentials (8, n), shifted by the largest, and the sums of these."""
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(0)
+    e = np.exp(z)
+    return z, e, e.sum(0)
 
 
 def levels(leaf: np.ndarray):
@@ -321,32 +343,35 @@ def log_prob(model: list[np.ndarray], bits: int, features: list[np.ndarray], lea
     at = np.arange(len(leaf))
     out = np.zeros(len(leaf))
     for k, node, branch in levels(leaf):
-        out += log_softmax(model[k], rows_at(features, k, node, bits))[at, branch]
+        z, _, whole = shares(model[k], rows_at(features, k, node, bits))
+        out += z[branch, at] - np.log(whole)
     return out
 
 
 def descend(weights: np.ndarray, used: np.ndarray, rows: list[np.ndarray], target: np.ndarray, rate: float, ridge: float = 2.0) -> None:
     """One step down the log loss of a minibatch, scaled by how often a row is used in it."""
-    d = np.exp(log_softmax(weights, rows)).T.astype(np.float64)
+    _, d, whole = shares(weights, rows)
+    d = np.divide(d, whole, dtype=np.float64)
     d[target, np.arange(len(target))] -= 1
     count = np.bincount(rows[0], minlength=len(weights))
     for r in rows[1:]:
         count += np.bincount(r, minlength=len(weights))
     hit = np.flatnonzero(count)
     scale = rate / (count[hit] + ridge)
+    move = np.empty((len(hit), 8), np.float32)
     for b in range(8):
         g = np.bincount(rows[0], weights=d[b], minlength=len(weights))
         for r in rows[1:]:
             g += np.bincount(r, weights=d[b], minlength=len(weights))
-        weights[hit, b] -= (scale * g[hit]).astype(np.float32)
+        move[:, b] = scale * g[hit]
+    weights[hit] -= move
     used += count
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves and slots of the documents of a batch end to end, and where each begins."""
-    leaf, at = raw(batch.column("leaf"))
-    slot, _ = raw(batch.column("slot"))
-    return np.frombuffer(leaf.tobytes(), np.uint16), np.frombuffer(slot.tobytes(), np.uint32), at[:-1] // 2
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The coded tokens of the documents of a batch end to end, and where each document begins."""
+    code, at = whole([batch.column(k) for k in ("low", "mid", "high")])
+    return code, at[:-1]
 
 
 def _train_part(sent, bits: int, rate: float):
@@ -355,11 +380,11 @@ def _train_part(sent, bits: int, rate: float):
         model = [w.copy() for w in start]
         used = [np.zeros(len(w), np.int64) for w in model]
         for batch in batches:
-            leaf, slot, starts = _flat(batch)
-            for a in range(0, len(leaf), BATCH):
-                b = min(a + BATCH, len(leaf))
-                features = contexts(leaf, slot, starts, a, b)
-                for k, node, branch in levels(leaf[a:b]):
+            code, starts = _flat(batch)
+            for a in range(0, len(code), BATCH):
+                b = min(a + BATCH, len(code))
+                features = contexts(code, starts, a, b)
+                for k, node, branch in levels(leaves(code[a:b])):
                     descend(model[k], used[k], rows_at(features, k, node, bits), branch, rate)
         for k in range(4):
             for s, part in enumerate(np.array_split(np.arange(len(model[k])), SLICES)):
@@ -395,11 +420,11 @@ def train(coded: DataFrame, lexicon: Lexicon, bits: int, tokens_per_task: int =
     """The weight rows of the four levels, from the coded documents that train."""
     spark = coded.sparkSession
     model = [np.vstack([b, np.zeros((1 << bits, 8), np.float32)]) for b in lexicon.biases()]
-    rows = coded.where("trains").select("doc_id", "leaf", "slot")
+    rows = coded.where("trains").select("doc_id", "low", "mid", "high")
     tasks = ceil(max(lexicon.n, 1) / ROUNDS / tokens_per_task)
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
-        part = rows.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "leaf"), F.lit(ROUNDS)) == k).select("leaf", "slot").coalesce(tasks)
+        part = rows.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "low"), F.lit(ROUNDS)) == k).select("low", "mid", "high").coalesce(tasks)
         moves = part.mapInArrow(_train_part(sent, bits, 0.8 / (1 + k)), MOVED)
         model = [w.copy() for w in model]
         for r in moves.groupBy("slice").applyInArrow(_average, MOVED).collect():
@@ -417,11 +442,11 @@ def _score(sent, bits: int):
         for batch in batches:
             if not len(batch):
                 continue
-            leaf, slot, starts = _flat(batch)
-            log = np.empty(len(leaf))
-            for a in range(0, len(leaf), BATCH):
-                b = min(a + BATCH, len(leaf))
-                log[a:b] = log_prob(model, bits, contexts(leaf, slot, starts, a, b), leaf[a:b])
+            code, starts = _flat(batch)
+            log = np.empty(len(code))
+            for a in range(0, len(code), BATCH):
+                b = min(a + BATCH, len(code))
+                log[a:b] = log_prob(model, bits, contexts(code, starts, a, b), leaves(code[a:b]))
             score = np.add.reduceat(log, starts) / np.log(10) + batch.column("inside").to_numpy()
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], pa.array(score)], names=names)
 
@@ -447,7 +472,7 @@ def coded_documents(docs: DataFrame, held: Column, id_col: str, text_col: str, b
     lexicon = Lexicon(per, [(r.word, r["class"], r.c) for r in head.orderBy("class", "r").collect()], classes)
 
     back = lists.drop("c").join(counted.select("word", "c"), "word").select(F.col("block").alias("part"), "at", "word", "ending", "c")
-    rows = blocks.where("words is null").select("block", "doc_id", "held", "trains", "seq")
+    rows = blocks.where("words is null").select("block", "doc_id", "held", "trains", "low", "mid", "high")
     coded = stored(rows.groupBy("block").cogroup(back.groupBy("part")).applyInArrow(_code(lexicon), CODED), "coded")
     discard(blocks)
     discard(counted)

@@ -47,6 +47,10 @@ class Plain:
         ending = w[-1] | (w[-2] << 8 if len(w) > 1 else 0)
         return int(self.lexicon.of_ending[ending]) * 64 + 63
 
+    def code(self, w):
+        leaf = self.leaf(w)
+        return leaf if leaf % 64 < 63 else 4096 + (word_hash(w) >> 47) * 64 + leaf // 64
+
     def log_p(self, history, w):
         leaf = self.leaf(w)
         total = self.log_leaf(history, leaf)
@@ -56,7 +60,7 @@ class Plain:
 
     def log_leaf(self, history, leaf):
         past = [None, None, None, *history][-3:]
-        slot = [word_hash(x) >> 40 for x in past]
+        slot = [self.code(x) for x in past]
         cls = [0 if len(history) < k else self.leaf(history[-k]) >> 6 for k in (1, 2, 3)]
         values = [slot[2] << 3 | 1, slot[1] << 3 | 2, (cls[0] << 6 | cls[1]) << 3 | 3, (cls[0] << 6 | cls[2]) << 3 | 4]
         total = 0.0
