@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftgauge.llm.common import stored, table
 from driftgauge.llm.decontamination import without_leaks
 from driftgauge.llm.line_dedup import dedup_lines
-from driftgauge.llm.near_dedup import near_duplicate_classes
+from driftgauge.llm.near_dedup import one_of_each_class
 from driftgauge.llm.packing import digest
 from driftgauge.llm.toxicity import fitted, score_toxicity
 
@@ -30,9 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; all without a class or an id."""
-    kept = near_duplicate_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each class, that with the smallest id; all rows without a word."""
+    return one_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
