@@ -16,16 +16,17 @@ Signatures, filters and verification are of the same measure in either case.
    band with probability 1 - (1 - 0.8^4)^20 > 0.9999. Registers are cut to 16 bits, and a
    band is its four registers, so bands and signatures never disagree.
 4. The nodes of a bucket are a group. A bucket larger than ``BLOCK`` is dealt into blocks
-   of that size, each with the bucket's smallest node: n nodes make n / ``BLOCK`` groups.
+   of that size, in each band in another way: n nodes make n / ``BLOCK`` groups.
    In a group signatures are compared in numpy; pairs that agree in under 0.6 of the
    registers fall away (over four standard deviations below 0.8), and for sets pairs
    whose sizes forbid 0.8.
 5. Verification, on whole texts. First each node's closest pair in its groups, which
    joins most classes. Then, in every group where nodes of two components still have
-   such a pair, all these pairs, the closest first, until they are joined. In a bucket of
-   several blocks, the nodes outside its largest component (few, for copies of a
-   template) meet all blocks of the bucket; so each pair of different components is
-   compared, and a class with n texts in a bucket isn't compared n^2 times.
+   such a pair, all these pairs, the closest first, until they are joined. Last, in
+   buckets of several blocks, the nodes outside the largest component (few, for copies of
+   a template, as these were joined by the blocks of other bands) meet all blocks of the
+   bucket; so each pair of different components is compared, and a class with n texts in
+   a bucket isn't compared n^2 times.
    A pair is left out only when its nodes are joined already, and a group of n nodes
    sends under n links.
 
@@ -295,20 +296,13 @@ def _verify(threshold: float, weighted: bool):
     return run
 
 
-def _blocks_of(node: str, c: Column) -> Column:
-    """The block of a node, where ``c`` nodes are dealt into blocks."""
-    return F.pmod(F.xxhash64(node), F.ceil(c / BLOCK)).cast("int")
-
-
 def _groups(buckets: DataFrame) -> DataFrame:
     """(g, band, members): the nodes of a bucket, or of a block of it; array<struct<node, side>>.
 
     A set that several bands have alike is one group, that of the first band.
     """
-    rows = buckets.withColumn("block", _blocks_of("node", F.col("c")))
-    # each block of a large bucket has the bucket's smallest node
-    every = F.when((F.col("c") > BLOCK) & (F.col("node") == F.col("least")), F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1)).otherwise(F.array("block"))
-    rows = rows.select("band", "value", "node", F.explode(every).alias("block")).groupBy("band", "value", "block")
+    block = F.pmod(F.xxhash64("node", F.when(F.col("c") > BLOCK, F.col("band"))), F.ceil(F.col("c") / BLOCK)).alias("block")
+    rows = buckets.select("band", "value", "node", block).groupBy("band", "value", "block")
     rows = rows.agg(F.sort_array(F.collect_list(F.struct("node", F.lit(0).alias("side")))).alias("members")).where(F.size("members") > 1)
     rows = rows.groupBy(F.xxhash64("members.node").alias("h1"), F.xxhash64(F.lit(3), "members.node").alias("h2"))
     return rows.agg(F.min("band").alias("band"), F.first("members").alias("members")).select(F.monotonically_increasing_id().alias("g"), "band", "members")
@@ -321,7 +315,7 @@ def _crossed(large: DataFrame, comps: DataFrame) -> DataFrame:
     rows = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = rows.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("c")).where("top.n < c")
-    rows = rows.drop("c", "least").join(sizes, ["band", "value"]).withColumn("few", F.col("comp") != F.col("top.comp"))
+    rows = rows.drop("c").join(sizes, ["band", "value"]).withColumn("few", F.col("comp") != F.col("top.comp"))
     number = lambda c: F.ceil(c / BLOCK).cast("int")
     n_few, n_many = number(F.col("c") - F.col("top.n")), number(F.col("top.n"))
     rows = rows.select("band", "value", "node", "comp", "few", n_few.alias("nf"), n_many.alias("nm"))
@@ -331,9 +325,7 @@ def _crossed(large: DataFrame, comps: DataFrame) -> DataFrame:
     few = F.transform(F.sequence(F.lit(0), F.col("nf") + F.col("nm") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     many = F.transform(F.sequence(F.lit(0), F.col("nf") - 1), lambda k: F.struct(k.alias("i"), (F.col("nf") + F.col("own")).alias("j")))
     rows = rows.select("band", "value", "node", "comp", F.when(F.col("few"), F.col("own")).otherwise(F.col("nf") + F.col("own")).alias("side"), F.explode(F.when(F.col("few"), few).otherwise(many)).alias("x"))
-    # negative, to keep clear of the other groups' numbers
-    g = -1 - F.shiftrightunsigned(F.xxhash64("band", "value", "x.i", "x.j"), 1)
-    return rows.select(g.alias("g"), "band", "node", "side", "comp")
+    return rows.select(F.xxhash64("band", "value", "x.i", "x.j").alias("g"), "band", "node", "side", "comp")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
@@ -384,7 +376,7 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, weig
     nodes = stored(one.select(F.monotonically_increasing_id().alias("node"), "id", "t1", "t2", "x.*"), "nodes")
 
     placed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = placed.groupBy("band", "value").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1")
+    shared = placed.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1")
     buckets = placed.join(shared, ["band", "value"])
     groups = stored(_groups(buckets), "groups")
     large = stored(buckets.where(F.col("c") > BLOCK), "large")
@@ -406,16 +398,23 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str, weig
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     comps = components(stored(both.select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, weighted), "a long, b long"), "links"))
 
-    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
-    rows = rows.join(split, "g").select("g", "band", "node", "side", "comp").unionByName(_crossed(large, comps))
-    rows = stored(rows.join(sigs, "node"), "rows")
-    left = stored(gathered(rows, member).mapInArrow(_open(least), "g long, band int, node long"), "open")
-    last = gathered(rows.join(left, ["g", "band", "node"]).join(texts, "node"), [*member, "text"])
-    links = last.select("band", "members").mapInArrow(_judged(threshold, weighted, least), "a long, b long")
-    links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    named = stored(nodes.select("node", "id", "t1", "t2").join(components(links), "node", "left").select("id", "t1", "t2", F.coalesce("comp", "node").alias("comp")), "classes")
-    for spent in (nodes, groups, large, texts, rows, left):
+    def judged(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """Components once all pairs in the groups of (g, band, node, side, comp) are judged."""
+        split = rows.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
+        rows = stored(rows.join(split, "g").join(sigs, "node"), "rows")
+        left = stored(gathered(rows, member).mapInArrow(_open(least), "g long, band int, node long"), "open")
+        last = gathered(rows.join(left, ["g", "band", "node"]).join(texts, "node"), [*member, "text"])
+        links = last.select("band", "members").mapInArrow(_judged(threshold, weighted, least), "a long, b long")
+        out = components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        discard(rows)
+        discard(left)
+        return out
+
+    comps = judged(rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), comps)
+    if not large.isEmpty():
+        comps = judged(_crossed(large, comps), comps)
+    named = stored(nodes.select("node", "id", "t1", "t2").join(comps, "node", "left").select("id", "t1", "t2", F.coalesce("comp", "node").alias("comp")), "classes")
+    for spent in (nodes, groups, large, texts):
         discard(spent)
     return named
 
