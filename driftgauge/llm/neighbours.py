@@ -3,43 +3,57 @@
 Index
 1. Equal vectors are one node; a node keeps its ``k + 1`` smallest ids, which is all that
    a list of k can need of it, so a hot vector is as cheap as any other.
-2. For largest inner product, vectors get one more component that makes all lengths
-   equal; neighbours in the graph are those of the lengthened vectors.
+2. For largest inner product, vectors get one more component e that makes all lengths
+   equal to the longest, R; neighbours in the graph are those of the lengthened vectors.
+   Similarities are kept less R^2, from e - R, so that one vector of a thousand times the
+   length doesn't drown the differences of all others.
 3. First lists: nodes are sorted by the signs of random projections, in several orders;
    within each stretch of an order all pairs are compared.
 4. NN-descent: around every node its neighbours, and the best of those that name it, are
    compared with each other, and each takes what is better than its worst neighbour.
    Nodes are joined stretch by stretch: a stretch receives each vector it needs once,
    and sends back only improvements. Lists hold ``degree`` neighbours, so what a node
-   sends and receives is bounded.
-
-Search: from a start node, each query's best unexpanded nodes are joined with their
-neighbours, these with their vectors, and the best ``beam`` stay; it ends when no query
-has an unexpanded node among its best. Scores are inner products of the given vectors in
-double precision.
+   sends and receives is bounded. Steps are repeated until under ``QUIET`` of all list
+   places change in one.
+
+Search: from a start node, the best ``EXPANDED`` of each query's unexpanded nodes are
+joined with their neighbours, and of what these score the best ``beam`` stay; it goes on
+until no query has an unexpanded node among its best, however many hops that takes. (It
+ends: what falls out of the best never comes back.) Candidates are scored stretch by
+stretch: a cell, a stretch and up to ``CELL`` queries, receives each vector and each query
+it needs once, and sends back only what is better than a query's worst. The hops score
+in single precision; scores and ranks of the result are inner products of the given
+vectors in double precision.
 
 Nothing is compared outside stretches and neighbourhoods, hence recall below 1; the
 tests measure it against brute force (0.9 or more is asked for).
 
 Nulls: vectors that are null, empty, zero, of another length than most, or hold null or
-non-finite components take no part; rows with a null id neither.
+non-finite components take no part; rows with a null id neither. Repeated rows are one,
+and only the id and the vector are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
-DEGREE = 32
-ORDERS = 6
-STRETCH = 256
-STEPS = 5
-BEAM = 48
+DEGREE = 40
+ORDERS = 8
+STRETCH = 512
+QUIET = 0.002
+BEAM = 224
+EXPANDED = 32
+CELL = 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -52,15 +66,17 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (usual.d if usual else 0)).distinct()
 
 
-def _prepare(longest: float, dim: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((ORDERS, dim + 1, 20)).astype(np.float32)
+def _prepare(longest: float, middle: list[float], seed: int):
+    dim, middle = len(middle), np.array(middle)
+    turns = np.random.default_rng(seed).standard_normal((ORDERS, dim, 20))
 
     def run(batches):
         for batch in batches:
             x = np.array(batch.column("v").to_pylist(), np.float64).reshape(len(batch), dim)
-            more = np.sqrt(np.maximum(longest * longest - (x * x).sum(1), 0))[:, None]
-            y = np.hstack([x, more]).astype(np.float32)
-            codes = [((y @ p > 0) @ (1 << np.arange(20)[::-1])).astype(np.int32) for p in planes]
+            n2 = (x * x).sum(1)
+            short = -n2 / (longest + np.sqrt(np.maximum(longest * longest - n2, 0)))  # e - R
+            y = np.hstack([x, short[:, None], longest * short[:, None]]).astype(np.float32)
+            codes = [(((x - middle) @ p > 0) @ (1 << np.arange(20)[::-1])).astype(np.int32) for p in turns]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary()), pa.array(list(np.stack(codes, 1)), pa.list_(pa.int32()))],
                 names=["node", "x", "y", "codes"],
@@ -69,6 +85,11 @@ def _prepare(longest: float, dim: int, seed: int):
     return run
 
 
+def similarities(y: np.ndarray) -> np.ndarray:
+    """Inner products of all lengthened vectors, less the square of their length."""
+    return y[:, :-1] @ y[:, :-1].T + y[:, -1:] + y[:, -1]
+
+
 def _best(sims: np.ndarray, degree: int) -> np.ndarray:
     """Column numbers of the best of each row, the best first."""
     k = min(degree, sims.shape[1])
@@ -97,30 +118,34 @@ def _stretches(batches):
     node = np.array(node, np.int64)
     y = np.frombuffer(b"".join(y), np.float32).reshape(len(node), -1)
     for at, rows in enumerate(np.array_split(np.arange(len(node)), max(1, len(node) // STRETCH))):
-        sims = y[rows] @ y[rows].T
+        sims = similarities(y[rows])
         np.fill_diagonal(sims, -np.inf)
         top = _best(sims, min(DEGREE, len(rows) - 1)) if len(rows) > 1 else np.zeros((len(rows), 0), np.int64)
-        yield _lists(node[rows], list(node[rows][top]), list(np.take_along_axis(sims, top, 1)), stretch=pa.array([(part << 20) + at // 4] * len(rows), pa.int64()))
+        yield _lists(node[rows], list(node[rows][top]), list(np.take_along_axis(sims, top, 1)), stretch=pa.array([(part << 20) + at // 2] * len(rows), pa.int64()))
 
 
 def _merge(batches):
-    """One list of the best distinct neighbours from several."""
+    """One list of the best distinct neighbours from several, and how many of them are new."""
     for batch in batches:
-        nbrs, sims = [], []
-        for many, scores in zip(batch.column("nbrs").to_pylist(), batch.column("sims").to_pylist(), strict=True):
-            n = np.array([x for m in many for x in m], np.int64)
-            s = np.array([x for m in scores for x in m], np.float32)
-            order = np.lexsort((n, -s))
+        nbrs, sims, news = [], [], []
+        for lists in batch.column("lists").to_pylist():
+            n = np.array([x for m in lists for x in m["nbrs"]], np.int64)
+            s = np.array([x for m in lists for x in m["sims"]], np.float32)
+            new = np.repeat([m["found"] for m in lists], [len(m["nbrs"]) for m in lists]).astype(bool)
+            order = np.lexsort((new, n, -s))
             _, first = np.unique(n[order], return_index=True)
             keep = order[np.sort(first)[:DEGREE]]
             nbrs.append(n[keep])
             sims.append(s[keep])
-        yield _lists(batch.column("node"), nbrs, sims)
+            news.append(int(new[keep].sum()))
+        yield _lists(batch.column("node"), nbrs, sims, news=pa.array(news, pa.int64()))
 
 
-def merged(lists: DataFrame) -> DataFrame:
-    many = lists.groupBy("node").agg(F.collect_list("nbrs").alias("nbrs"), F.collect_list("sims").alias("sims"))
-    return many.mapInArrow(_merge, LISTS)
+def merged(known: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    lists = known.select("node", "nbrs", "sims", F.lit(False).alias("found"))
+    if found is not None:
+        lists = lists.unionByName(found.withColumn("found", F.lit(True)))
+    return lists.groupBy("node").agg(F.collect_list(F.struct("nbrs", "sims", "found")).alias("lists")).mapInArrow(_merge, LISTS + ", news long")
 
 
 def _join(around: pa.Table, vectors: pa.Table) -> pa.Table:
@@ -135,7 +160,7 @@ def _join(around: pa.Table, vectors: pa.Table) -> pa.Table:
     us, ws, ss = [], [], []
     for members in around.column("members").to_pylist():
         m = np.searchsorted(node, np.unique(np.array(members, np.int64)))
-        sims = y[m] @ y[m].T
+        sims = similarities(y[m])
         np.fill_diagonal(sims, -np.inf)
         i, j = np.nonzero(sims > worst[m][:, None])
         us.append(m[i])
@@ -154,8 +179,16 @@ def _join(around: pa.Table, vectors: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_lists(node[u[starts]], [node[w[a:b]] for a, b in zip(starts, ends, strict=True)], [s[a:b] for a, b in zip(starts, ends, strict=True)])])
 
 
+def around_each(graph: DataFrame) -> DataFrame:
+    """(node, m): the neighbours of each node, and the best ``DEGREE`` of those that name it."""
+    edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.sims").alias("sim"))
+    namers = Window.partitionBy("nbr").orderBy(F.desc("sim"), "node")
+    back = edges.withColumn("r", F.row_number().over(namers)).where(F.col("r") <= DEGREE).select(F.col("nbr").alias("node"), F.col("node").alias("m"))
+    return edges.select("node", F.col("nbr").alias("m")).unionByName(back)
+
+
 class Index:
-    """``nodes`` (node, x, y), ``members`` (node, id, own) and ``graph`` (node, nbrs)."""
+    """``nodes`` (node, x, y), ``members`` (node, id) and ``graph`` (node, nbrs)."""
 
     def __init__(self, vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7):
         rows = usable(vectors, id_col, vec_col)
@@ -166,9 +199,11 @@ class Index:
         lowest = Window.partitionBy("h1", "h2").orderBy("id")
         few = named.select("id", "h1", "h2").withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k + 1)
         self.members = stored(few.join(self.nodes_by_hash, ["h1", "h2"]).select("node", "id"), "members")
-        stats = one.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n2"), F.size("v").alias("d")).agg(F.max("n2"), F.max("d"), F.count("*")).first()
-        self.size, self.dim = stats[2], stats[1] or 0
-        prepared = one.select("node", "v").mapInArrow(_prepare(float(np.sqrt(stats[0] or 0.0)), self.dim, seed), "node long, x binary, y binary, codes array<int>")
+        stats = one.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n2"), array_to_vector("v").alias("v")).agg(F.max("n2").alias("n2"), Summarizer.mean(F.col("v")).alias("m"), F.count("*").alias("n"))
+        stats = stats.select("n2", F.when(F.col("n") > 0, vector_to_array("m")).alias("m"), "n").first()
+        self.size, middle = stats.n, list(stats.m or [])
+        self.dim = len(middle)
+        prepared = one.select("node", "v").mapInArrow(_prepare(float(np.sqrt(stats.n2 or 0.0)), middle, seed), "node long, x binary, y binary, codes array<int>")
         nodes = stored(prepared, "nodes")
         self.nodes = nodes.select("node", "x", "y")
         parts = max(1, self.size // 4096)
@@ -180,25 +215,30 @@ class Index:
             if o == 0:
                 places = lists.select("node", "stretch")
             first = lists.drop("stretch") if first is None else first.unionByName(lists.drop("stretch"))
-        graph = stored(merged(first), "graph")
-        for _ in range(STEPS):
-            graph = self.improved(graph, places)
-        self.graph = graph
+        graph, news = stored(merged(first), "graph"), self.size
+        while news > QUIET * DEGREE * self.size:
+            graph, last = self.improved(graph, places), graph
+            discard(last)
+            news = graph.agg(F.sum("news")).first()[0] or 0
+        # a search also goes from a node to the best of those that name it
+        self.places = stored(places.withColumnsRenamed({"node": "m", "stretch": "at"}), "places")
+        ways = around_each(graph).distinct().join(self.places, "m")
+        self.graph = stored(ways.groupBy("node").agg(F.collect_list(F.struct("m", "at")).alias("nbrs")), "ways")
+        discard(graph)
 
     def improved(self, graph: DataFrame, places: DataFrame) -> DataFrame:
         """One step of NN-descent."""
-        edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.sims").alias("sim"))
-        namers = Window.partitionBy("nbr").orderBy(F.desc("sim"), "node")
-        back = edges.withColumn("r", F.row_number().over(namers)).where(F.col("r") <= DEGREE).select(F.col("nbr").alias("node"), F.col("node").alias("m"))
-        around = edges.select("node", F.col("nbr").alias("m")).unionByName(back).groupBy("node").agg(F.collect_set("m").alias("members"))
+        around = around_each(graph).groupBy("node").agg(F.collect_set("m").alias("members"))
         around = stored(around.join(places, "node").select("stretch", "members"), "around")
         worst = F.when(F.size("sims") < DEGREE, F.lit(float("-inf"))).otherwise(F.array_min("sims")).cast("float")
         wanted = around.select(F.col("stretch").alias("at"), F.explode("members").alias("node")).distinct()
         vectors = wanted.join(self.nodes.select("node", "y").join(graph.select("node", worst.alias("worst")), "node"), "node")
         found = around.groupBy("stretch").cogroup(vectors.groupBy("at")).applyInArrow(_join, LISTS)
-        return stored(merged(graph.unionByName(found)), "graph")
+        out = stored(merged(graph, found), "graph")
+        discard(around)
+        return out
 
-    def search(self, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", hops: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM) -> DataFrame:
         """(query_id, rank, id, score): the k best rows found for each query, its own id apart."""
         q = usable(queries, id_col, vec_col).where(F.size("v") == self.dim)
         q = q.select(F.col("id").alias("q"), "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(9), "v").alias("h2"))
@@ -207,51 +247,88 @@ class Index:
         q = q.join(self.nodes_by_hash, ["h1", "h2"], "left")
         starts = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.array(*[F.lit(e) for e in entries]) if entries else F.array().cast("array<long>"))
         q = q.select("q", "v", starts.alias("starts"))
-        state = stored(q.select("q", "v", F.col("starts").alias("fresh"), F.array().cast("array<long>").alias("nodes"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("done")), "queries")
-        for hop in range(hops + 1):
-            cand = state.select("q", "nodes", F.explode("fresh").alias("node"))
-            if hop:
-                cand = cand.join(self.graph.select("node", "nbrs"), "node").select("q", "nodes", F.explode("nbrs").alias("node"))
-            cand = cand.where(~F.array_contains("nodes", F.col("node"))).select("q", "node").distinct()
-            got = cand.join(self.nodes.select("node", "x"), "node").groupBy("q").agg(F.collect_list(F.struct("node", "x")).alias("cand"))
-            state = stored(state.join(got, "q", "left").select("q", "v", "nodes", "scores", "done", "fresh", "cand").mapInArrow(_hop(k), state.schema), "beam")
-            if state.where(F.size("fresh") > 0).isEmpty():
-                break
-        best = state.select("q", F.explode(F.arrays_zip("nodes", "scores")).alias("x")).select("q", F.col("x.nodes").alias("node"), F.col("x.scores").alias("score"))
-        rows = best.join(self.members, "node").where("q <> id")
+        queries = stored(q.withColumn("n", F.monotonically_increasing_id()), "queries")
+        salts = max(1, ceil(queries.count() / CELL))
+        beam = max(beam, k + 1)
+        empty = [F.array().cast(f"array<{t}>").alias(n) for n, t in (("nodes", "long"), ("scores", "float"), ("done", "boolean"))]
+        state, hop = stored(queries.select("n", F.col("starts").alias("fresh"), *empty), "beam"), 0
+        while not state.where(F.size("fresh") > 0).isEmpty():
+            pairs = state.select("n", F.explode("fresh").alias("node"))
+            pairs = pairs.withColumnRenamed("node", "m").join(self.places, "m") if not hop else pairs.join(self.graph, "node").select("n", F.inline("nbrs"))
+            cell = F.xxhash64("at", F.pmod(F.xxhash64("n"), F.lit(salts)))
+            cells = stored(pairs.groupBy(cell.alias("cell"), "n").agg(F.collect_set("m").alias("ms")), "cells")
+            needed = cells.select(F.col("cell").alias("of"), F.explode("ms").alias("node")).distinct().join(self.nodes.select("node", "y"), "node")
+            worst = F.when(F.size("scores") >= beam, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float")
+            asking = cells.join(state.select("n", worst.alias("worst")), "n").join(queries.select("n", "v"), "n")
+            found = asking.groupBy("cell").cogroup(needed.groupBy("of")).applyInArrow(_score_cell(beam), "n long, nodes array<long>, scores array<float>")
+            got = found.groupBy("n").agg(F.collect_list(F.struct("nodes", "scores")).alias("found"))
+            last, state = state, stored(state.join(got, "n", "left").mapInArrow(_hop(beam), state.schema), "beam")
+            discard(last)
+            discard(cells)
+            hop += 1
+        best = state.select("n", F.explode("nodes").alias("node")).join(self.nodes.select("node", "x"), "node").join(queries.select("n", "q", "v"), "n")
+        exact = best.select("q", "node", "v", "x").mapInArrow(_exact, "q " + q.schema["q"].dataType.simpleString() + ", node long, score double")
+        rows = exact.join(self.members, "node").where("q <> id")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
         return rows.select(F.col("q").alias("query_id"), rank.alias("rank"), F.col("id").alias(id_col), "score").where(F.col("rank") <= k)
 
 
-def _hop(k: int):
-    """Score the candidates, keep the best and choose what to expand next."""
-    names = ["q", "v", "fresh", "nodes", "scores", "done"]
+def _score_cell(beam: int):
+    """For each query of a cell the best of its candidates there that beat its worst."""
+
+    def run(asking: pa.Table, needed: pa.Table) -> pa.Table:
+        node = needed.column("node").to_numpy()
+        y = np.frombuffer(b"".join(needed.column("y").to_pylist()), np.float32).reshape(len(node), -1)[:, :-2]
+        order = np.argsort(node)
+        node, y = node[order], y[order]
+        ns, nodes, scores = [], [], []
+        for n, ms, worst, v in zip(*[asking.column(c).to_pylist() for c in ("n", "ms", "worst", "v")], strict=True):
+            at = np.searchsorted(node, np.array(ms, np.int64))
+            s = y[at] @ np.array(v, np.float32)
+            keep = np.flatnonzero(s > worst)
+            keep = keep[np.lexsort((at[keep], -s[keep]))[:beam]]
+            if len(keep):
+                ns.append(n)
+                nodes.append(node[at[keep]])
+                scores.append(s[keep])
+        return pa.table({"n": pa.array(ns, pa.int64()), "nodes": pa.array(nodes, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float32()))})
+
+    return run
+
+
+def _hop(beam: int):
+    """Merge what was found into the best of each query, and choose what to expand next."""
+    names = ["n", "fresh", "nodes", "scores", "done"]
 
     def run(batches):
         for batch in batches:
-            out = {n: [] for n in names[2:]}
-            for v, nodes, scores, done, fresh, cand in zip(*[batch.column(n).to_pylist() for n in ("v", "nodes", "scores", "done", "fresh", "cand")], strict=True):
-                expanded = set(fresh) if nodes else set()
-                n, s = np.array(nodes, np.int64), np.array(scores, np.float64)
-                d = np.array([x or i in expanded for x, i in zip(done, nodes, strict=True)], bool)
-                if cand:
-                    x = np.frombuffer(b"".join(c["x"] for c in cand), np.float64).reshape(len(cand), -1)
-                    v = np.array(v)
-                    n = np.concatenate([n, [c["node"] for c in cand]])
-                    s = np.concatenate([s, [float(np.dot(r, v)) for r in x]])
-                    d = np.concatenate([d, np.zeros(len(cand), bool)])
-                keep = np.lexsort((n, -s))[: max(BEAM, k + 1)]
-                n, s, d = n[keep].astype(np.int64), s[keep], d[keep].astype(bool)
+            out = {c: [] for c in names[1:]}
+            for nodes, scores, done, fresh, found in zip(*[batch.column(c).to_pylist() for c in ("nodes", "scores", "done", "fresh", "found")], strict=True):
+                expanded = np.array(fresh if nodes else [], np.int64)
+                n = np.concatenate([np.array(nodes, np.int64), *[np.array(f["nodes"], np.int64) for f in found or []]])
+                s = np.concatenate([np.array(scores, np.float32), *[np.array(f["scores"], np.float32) for f in found or []]])
+                d = np.zeros(len(n), bool)
+                d[: len(nodes)] = np.array(done, bool)
+                n, first = np.unique(n, return_index=True)  # the first of equal ones is that of the beam
+                s, d = s[first], d[first] | np.isin(n, expanded)
+                keep = np.lexsort((n, -s))[:beam]
+                n, s, d = n[keep], s[keep], d[keep]
                 out["nodes"].append(n)
                 out["scores"].append(s)
                 out["done"].append(d)
-                out["fresh"].append(n[~d])
-            kinds = {"fresh": pa.int64(), "nodes": pa.int64(), "scores": pa.float64(), "done": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), *[pa.array(out[c], pa.list_(t)) for c, t in kinds.items()]], names=names)
+                out["fresh"].append(n[~d][:EXPANDED])
+            kinds = {"fresh": pa.int64(), "nodes": pa.int64(), "scores": pa.float32(), "done": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([batch.column("n"), *[pa.array(out[c], pa.list_(t)) for c, t in kinds.items()]], names=names)
 
     return run
 
 
+def _exact(batches):
+    for batch in batches:
+        score = [float(np.dot(np.frombuffer(x, np.float64), np.array(v))) for x, v in zip(batch.column("x").to_pylist(), batch.column("v").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(score, pa.float64())], names=["q", "node", "score"])
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return Index(vectors).search(vectors.where("vec_id % 20 = 0"))

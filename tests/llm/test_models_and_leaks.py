@@ -153,9 +153,38 @@ def test_neighbours_recall_and_contract(spark):
     assert hit / total >= 0.9
 
 
+def brute_recall(rows, k=20):
+    """Recall of result rows (query_id, vec_id) against vectors {id: vector}."""
+    def of(vectors, got):
+        ids = np.array(sorted(vectors))
+        x = np.array([vectors[i] for i in ids])
+        hit = total = 0
+        for q, found in got.items():
+            s = x @ vectors[q]
+            best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:k]
+            hit, total = hit + len(set(best) & found), total + len(best)
+        return hit / total
+
+    return of(*rows)
+
+
+def test_neighbours_recall_on_ten_thousand_and_a_giant(spark):
+    """Five vectors near each of the given ones, and one of a thousand times their length."""
+    rng = np.random.default_rng(3)
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.array(e.embedding.tolist(), np.float64)
+    x = np.repeat(x, 5, axis=0) + 0.05 * rng.standard_normal((5 * len(x), x.shape[1]))
+    x[1] = x[1] * 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in Index(df).search(df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == len(x) // 50 and brute_recall((dict(enumerate(x)), got)) >= 0.95
+
+
 def test_neighbours_edges(spark):
-    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100, [0.0, 2.0]), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [1.0, None]), (105, [1.0]), (None, [1.0, 1.0]), (106, [-1.0, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(3, [1.0, 0.0])] + [(100, [0.0, 2.0]), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [1.0, None]), (105, [1.0]), (None, [1.0, 1.0]), (106, [-1.0, 0.5])]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "vec_id long, embedding array<double>, node string, q int")
     out = Index(df).search(df.where("vec_id in (0, 100, 101)")).collect()
     by = {}
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
