@@ -199,9 +199,9 @@ class Index:
         lowest = Window.partitionBy("h1", "h2").orderBy("id")
         few = named.select("id", "h1", "h2").withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= k + 1)
         self.members = stored(few.join(self.nodes_by_hash, ["h1", "h2"]).select("node", "id"), "members")
-        stats = one.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n2"), array_to_vector("v").alias("v")).agg(F.max("n2").alias("n2"), Summarizer.mean(F.col("v")).alias("m"), F.count("*").alias("n"))
-        stats = stats.select("n2", F.when(F.col("n") > 0, vector_to_array("m")).alias("m"), "n").first()
-        self.size, middle = stats.n, list(stats.m or [])
+        stats = one.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("n2"), F.count("*").alias("n")).first()
+        self.size = stats.n
+        middle = one.agg(vector_to_array(Summarizer.mean(array_to_vector("v")))).first()[0] if self.size else []
         self.dim = len(middle)
         prepared = one.select("node", "v").mapInArrow(_prepare(float(np.sqrt(stats.n2 or 0.0)), middle, seed), "node long, x binary, y binary, codes array<int>")
         nodes = stored(prepared, "nodes")
