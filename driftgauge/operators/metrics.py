@@ -24,20 +24,20 @@ def score_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
     return usable(scores).groupBy(*keys, "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
-def prefix_table(scores: DataFrame, keys: list[str], ranges: int = 32) -> DataFrame:
+def prefix_table(scores: DataFrame, keys: list[str]) -> DataFrame:
     """W1's base: per distinct score, falling, the cumulated tp and fp."""
-    t = prefix_sums(score_counts(scores, keys), keys, "score", ["pos", "neg"], head=["pos", "neg"], ranges=ranges)
+    t = prefix_sums(score_counts(scores, keys), keys, "score", ["pos", "neg"], head=["pos", "neg"])
     return t.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "all_pos": "p", "all_neg": "n"})
 
 
-def roc_curve(scores: DataFrame, keys: list[str], drop_intermediate: bool = True, ranges: int = 32) -> DataFrame:
+def roc_curve(scores: DataFrame, keys: list[str], drop_intermediate: bool = True) -> DataFrame:
     """(keys, threshold, tpr, fpr, tp, fp): points by falling threshold, from (inf, 0, 0) on.
 
     With ``drop_intermediate`` a point goes when it lies within a straight stretch of
     equal steps: the next distinct score has the same positives and negatives. The first
     and last score stay.
     """
-    t = prefix_table(scores, keys, ranges)
+    t = prefix_table(scores, keys)
     if drop_intermediate:
         first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -130,6 +130,24 @@ def _z(tau: Column, mean: Column, std: Column, how: str) -> Column:
     return (tau - mean) / (F.coalesce(std, F.lit(0.0)) + 1e-8)
 
 
+def negative_quantiles(scores: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles of the negatives' scores, from cumulated counts of distinct scores.
+
+    The wanted ranks are looked up in the prefix table, so no group is held in one buffer.
+    """
+    counts = scores.where("y = 0").groupBy(*keys, "score").agg(F.count("*").alias("n"))
+    t = prefix_sums(counts, keys, "score", ["n"])
+    before = F.col("all_n") - F.col("cum_n")  # negatives below this score
+    out, values = [], {}
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("all_n") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            out.append(F.max(F.when((before <= rank) & (rank < before + F.col("n")), F.col("score"))).alias(f"_{name}_{side}"))
+        lo, hi, place = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.lit(float(share)) * (F.col("_all") - 1)
+        values[name] = F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
+    return t.groupBy(*keys).agg(*out, F.max("all_n").alias("_all")).select(*keys, *[v.alias(n) for n, v in values.items()])
+
+
 def quantile_threshold(scores: DataFrame, keys: list[str], target_fpr: float = 0.01, adjust: bool = False, z: str = "eps") -> DataFrame:
     """(keys, tau, fpr, tpr, z_neg, z_all, valid): tau is the linear quantile of the negatives at 1 - target.
 
@@ -140,9 +158,10 @@ def quantile_threshold(scores: DataFrame, keys: list[str], target_fpr: float = 0
     rows = usable(scores)
     neg = F.when(F.col("y") == 0, F.col("score"))
     stats = rows.groupBy(*keys).agg(
-        F.percentile(neg, 1 - target_fpr).alias("tau"), F.percentile(neg, 1 - 0.9 * target_fpr).alias("_tight"), F.avg(neg).alias("_mn"), F.stddev_samp(neg).alias("_sn"), F.avg("score").alias("_ma"), F.stddev_samp("score").alias("_sa"),
+        F.avg(neg).alias("_mn"), F.stddev_samp(neg).alias("_sn"), F.avg("score").alias("_ma"), F.stddev_samp("score").alias("_sa"),
         ((F.min("y") == 0) & (F.max("y") == 1)).alias("valid"),
     )
+    stats = join_on(stats, negative_quantiles(rows, keys, {"tau": 1 - target_fpr, "_tight": 1 - 0.9 * target_fpr}), keys, "left")
     if adjust:
         steps = F.transform(F.array(*[F.lit(s) for s in (0.0, 1.0, 1.5, 2.0, 3.0, 5.0)]), lambda s: F.col("tau") + 0.001 * F.col("_sn") * s)
         tried = join_on(rows.where("y = 0"), stats.select(*keys, steps.alias("_try")), keys)

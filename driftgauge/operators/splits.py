@@ -1,8 +1,8 @@
 """Splits and samples of keyed rows. Order is md5("seed:id"), never a random generator.
 
-Ranks are taken in ranges of the hash, so one large class isn't sorted in one task.
-Rows with a null key column form a group of their own; ids should be distinct, and equal
-ids share their hash and keep the order of the tie column.
+Ranks are taken in ranges of the hash, of keys and ids alone, so one large class isn't
+sorted in one task and wide rows aren't sorted at all. Rows with a null key column form a
+group of their own; ids should be distinct, and rows with equal ids stay together.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_order, join_on
-from .prefix import hash_rank
+from .prefix import hash_parts, hash_rank
 
 
 def time_split(df: DataFrame, train_end, val_end, ts: str = "first_seen") -> DataFrame:
@@ -22,6 +22,14 @@ def time_split(df: DataFrame, train_end, val_end, ts: str = "first_seen") -> Dat
     return df.where(at.isNotNull()).withColumn("split", F.when(at <= F.lit(train_end), "train").when(at <= F.lit(val_end), "val").otherwise("test"))
 
 
+def _few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast, after a count: a list of folds or families is a short one."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows in a table that each task has to hold")
+    return F.broadcast(df)
+
+
 def _cut(rank: Column, ends: list[tuple[str, Column]]) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, end in ends:
@@ -35,15 +43,15 @@ def ratio_split(df: DataFrame, parts: DataFrame, id_col: str, seed: int = 42) ->
     Sizes are the floors of the shares; what is left over is dealt one each from train on.
     """
     names = ["train", "val", "test"]
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    ranked = hash_rank(df, [], hash_order(id_col, seed), id_col).crossJoin(F.broadcast(parts.select(*[F.col(n).alias(f"_{n}") for n in names], total.alias("_total")).limit(1)))
-    floors = [F.floor(F.col("group_size") * F.col(f"_{n}") / F.col("_total")) for n in names]
+    given = parts.select(*names).first()
+    total = sum(given)
+    floors = [F.floor(F.col("group_size") * g / total) for g in given]
     left = F.col("group_size") - sum(floors[1:], floors[0])
     ends, end = [], F.lit(0)
     for k, n in enumerate(names):
         end = end + floors[k] + F.when(left > k, 1).otherwise(0)
         ends.append((n, end))
-    return ranked.withColumn("split", _cut(F.col("rank"), ends)).select(*df.columns, "split")
+    return hash_parts(df, [], hash_order(id_col, seed), id_col, ends, "split")
 
 
 def largest_remainder(size: Column, weights: dict[str, float]) -> list[tuple[str, Column]]:
@@ -63,12 +71,11 @@ def largest_remainder(size: Column, weights: dict[str, float]) -> list[tuple[str
 
 def stratified_split(df: DataFrame, weights: dict[str, float], label: str, id_col: str, seed: int = 42, name: str = "split") -> DataFrame:
     """``split`` in given proportions within each label."""
-    ranked = hash_rank(df, [label], hash_order(id_col, seed), id_col)
     ends, end = [], F.lit(0)
     for n, size in largest_remainder(F.col("group_size"), weights):
         end = end + size
         ends.append((n, end))
-    return ranked.withColumn(name, _cut(F.col("rank"), ends)).select(*df.columns, name)
+    return hash_parts(df, [label], hash_order(id_col, seed), id_col, ends, name)
 
 
 def stratified_holdout(df: DataFrame, val: float, test: float, label: str, id_col: str, seed: int = 42) -> DataFrame:
@@ -81,10 +88,11 @@ def stratified_holdout(df: DataFrame, val: float, test: float, label: str, id_co
 
 def stratified_kfold(df: DataFrame, k: int, label: str, id_col: str, seed: int = 42) -> DataFrame:
     """``fold`` from 0, dealt in turn within each label; k is cut to the smallest class, 2 at least."""
-    ranked = hash_rank(df, [label], hash_order(id_col, seed), id_col)
+    ranked = hash_rank(df.select(*dict.fromkeys([label, id_col])).distinct(), [label], hash_order(id_col, seed), id_col)
     least = ranked.agg(F.min("group_size").alias("_least"))
     folds = F.greatest(F.lit(2), F.least(F.lit(k), F.col("_least")))
-    return ranked.crossJoin(F.broadcast(least)).withColumn("fold", ((F.col("rank") - 1) % folds).cast("int")).select(*df.columns, "fold")
+    dealt = ranked.crossJoin(F.broadcast(least)).withColumn("fold", ((F.col("rank") - 1) % folds).cast("int"))  # one row
+    return join_on(df, dealt.select(*dict.fromkeys([label, id_col]), "fold"), list(dict.fromkeys([label, id_col]))).select(*df.columns, "fold")
 
 
 def stratified_limit(df: DataFrame, limit: int, label: str, id_col: str, seed: int = 42) -> DataFrame:
@@ -92,15 +100,17 @@ def stratified_limit(df: DataFrame, limit: int, label: str, id_col: str, seed: i
 
     A class keeps the floor of its share, and the largest fractions one more each.
     """
-    ranked = hash_rank(df, [label], hash_order(id_col, seed), id_col)
-    classes = ranked.groupBy(label).agg(F.max("group_size").alias("_n"))
+    classes = df.groupBy(label).agg(F.count("*").alias("_n"))
     every = Window.partitionBy()
     share = F.col("_n") * limit / F.sum("_n").over(every)
     classes = classes.select(label, F.sum("_n").over(every).alias("_total"), share.alias("_share"))
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.col("_share") - F.floor("_share"), 9)), F.desc(label)))
     left = limit - F.sum(F.floor("_share")).over(every)
     classes = classes.select(label, F.when(F.col("_total") <= limit, F.col("_total")).otherwise(F.floor("_share") + (place <= left).cast("long")).alias("_keep"))
-    return join_on(ranked, F.broadcast(classes), [label]).where(F.col("rank") <= F.col("_keep")).select(*df.columns)
+    ranked = hash_rank(df.select(*dict.fromkeys([label, id_col])), [label], hash_order(id_col, seed), id_col)
+    at = F.max(F.when(F.col("rank") <= F.col("_keep"), F.struct(F.col("hash").alias("h"), F.col(id_col).alias("i")))).alias("_last")
+    last = join_on(ranked, classes, [label]).groupBy(label).agg(at)
+    return join_on(df, last, [label]).where(F.struct(hash_order(id_col, seed).alias("h"), F.col(id_col).alias("i")) <= F.col("_last")).select(*df.columns)
 
 
 def limit_per_class(df: DataFrame, n: int, label: str, order: str) -> DataFrame:
@@ -133,11 +143,11 @@ def lofo_folds(mal: DataFrame, families: DataFrame, val_ratio: float, id_col: st
     test is the held-out family. Of any other, round-half-even(n * ratio) rows, 1 to n - 1,
     are val; a family of one row is all train.
     """
-    held = F.broadcast(families.select(F.col(family).alias("held_out_family")).distinct())
+    held = _few(families.select(F.col(family).alias("held_out_family")).distinct())
     rows = mal.select(id_col, family).where(F.col(family).isNotNull()).crossJoin(held)
     rows = rows.withColumn("_seed", fold_seed(F.col("held_out_family"), seed))
     order = F.md5(F.concat(F.col("_seed").cast("string"), F.lit(":"), F.col(id_col).cast("string")))
-    ranked = hash_rank(rows, ["held_out_family", family], order, id_col, bits=1)
+    ranked = hash_rank(rows, ["held_out_family", family], order, id_col)
     n = F.col("group_size")
     val = F.when(n <= 1, 0).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.bround(n * val_ratio).cast("long"))))
     split = F.when(F.col(family) == F.col("held_out_family"), "test").when(F.col("rank") <= val, "val").otherwise("train")
@@ -150,16 +160,27 @@ def balanced_negatives(benign: DataFrame, counts: DataFrame, id_col: str, seed:
     ``counts`` has held_out_family, train, val and test. A fold whose pool is too small has
     one row with a null id and the split ``missing``.
     """
-    few = F.broadcast(counts.select("held_out_family", *[F.col(c).alias(f"_{c}") for c in ("train", "val", "test")]))
-    rows = benign.select(id_col).crossJoin(few).withColumn("_seed", fold_seed(F.col("held_out_family"), seed))
-    order = F.md5(F.concat(F.col("_seed").cast("string"), F.lit(":"), F.col(id_col).cast("string")))
-    ranked = hash_rank(rows, ["held_out_family"], order, id_col)
+    few = _few(counts.select("held_out_family", *[F.col(c).alias(f"_{c}") for c in ("train", "val", "test")]))
     need = F.col("_train") + F.col("_val") + F.col("_test")
-    cut = _cut(F.col("rank"), [("train", F.col("_train")), ("val", F.col("_train") + F.col("_val")), ("test", need)])
-    drawn = ranked.where((F.col("rank") <= need) & (F.col("group_size") >= need)).select("held_out_family", id_col, cut.alias("split"))
-    pool = benign.agg(F.count("*").alias("_pool"))
-    short = few.crossJoin(F.broadcast(pool)).where(need > F.col("_pool")).select("held_out_family", F.lit(None).cast(benign.schema[id_col].dataType).alias(id_col), F.lit("missing").alias("split"))
-    return drawn.unionByName(short)
+    pool = benign.agg(F.count("*").alias("_pool"))  # one row
+    few = few.crossJoin(F.broadcast(pool)).select("*", need.alias("_need"))
+
+    def ranked(folds: DataFrame, share: Column) -> DataFrame:
+        """Ranks of the rows whose hash is in the first ``share`` of all."""
+        rows = benign.select(id_col).crossJoin(F.broadcast(folds))
+        order = F.md5(F.concat(fold_seed(F.col("held_out_family"), seed).cast("string"), F.lit(":"), F.col(id_col).cast("string")))
+        rows = rows.withColumn("_o", order).where(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") < share * 2.0**32)
+        return hash_rank(rows, ["held_out_family"], F.col("_o"), id_col)
+
+    # a draw takes the smallest hashes: those in twice the share wanted, and some more, nearly always hold it
+    share = F.least(F.lit(1.0), (2 * F.col("_need") + 50) / F.greatest(F.col("_pool"), F.lit(1)))
+    enough = few.where("_need <= _pool")
+    first = ranked(enough, share).where("group_size >= _need and rank <= _need")
+    missed = enough.join(first.select("held_out_family").distinct(), "held_out_family", "left_anti").where("_need > 0")
+    drawn = first.unionByName(ranked(missed, F.lit(1.0)).where("rank <= _need"))
+    cut = _cut(F.col("rank"), [("train", F.col("_train")), ("val", F.col("_train") + F.col("_val")), ("test", F.col("_need"))])
+    short = few.where("_need > _pool").select("held_out_family", F.lit(None).cast(benign.schema[id_col].dataType).alias(id_col), F.lit("missing").alias("split"))
+    return drawn.select("held_out_family", id_col, cut.alias("split")).unionByName(short)
 
 
 def apply_split(docs: DataFrame, folds: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
