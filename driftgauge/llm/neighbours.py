@@ -16,14 +16,14 @@ Index
    sends and receives is bounded. Steps are repeated until under ``QUIET`` of all list
    places change in one.
 
-Search: from a start node, the best ``EXPANDED`` of each query's unexpanded nodes are
-joined with their neighbours, and of what these score the best ``beam`` stay; it goes on
-until no query has an unexpanded node among its best, however many hops that takes. (It
-ends: what falls out of the best never comes back.) Candidates are scored stretch by
-stretch: a cell, a stretch and up to ``CELL`` queries, receives each vector and each query
-it needs once, and sends back only what is better than a query's worst. The hops score
-in single precision; scores and ranks of the result are inner products of the given
-vectors in double precision.
+Search: equal queries are one. From a start node, the best ``EXPANDED`` of each query's
+unexpanded nodes are joined with their neighbours, and of what these score the best
+``beam`` stay; it goes on until no query has an unexpanded node among its best, however
+many hops that takes. (It ends: what falls out of the best never comes back.) Candidates
+are scored in cells: the queries of a stretch, and an ``PARTS``-th of all nodes. A cell
+receives each vector and each query it needs once, and sends back only what is better
+than a query's worst. The hops score in single precision; scores and ranks of the result
+are inner products of the given vectors in double precision.
 
 Nothing is compared outside stretches and neighbourhoods, hence recall below 1; the
 tests measure it against brute force (0.9 or more is asked for).
@@ -53,7 +53,7 @@ STRETCH = 512
 QUIET = 0.002
 BEAM = 224
 EXPANDED = 32
-CELL = 4096
+PARTS = 8
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -221,9 +221,8 @@ class Index:
             discard(last)
             news = graph.agg(F.sum("news")).first()[0] or 0
         # a search also goes from a node to the best of those that name it
-        self.places = stored(places.withColumnsRenamed({"node": "m", "stretch": "at"}), "places")
-        ways = around_each(graph).distinct().join(self.places, "m")
-        self.graph = stored(ways.groupBy("node").agg(F.collect_list(F.struct("m", "at")).alias("nbrs")), "ways")
+        self.places = stored(places, "places")
+        self.graph = stored(around_each(graph).groupBy("node").agg(F.collect_set("m").alias("nbrs")), "ways")
         discard(graph)
 
     def improved(self, graph: DataFrame, places: DataFrame) -> DataFrame:
@@ -244,19 +243,20 @@ class Index:
         q = q.select(F.col("id").alias("q"), "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(9), "v").alias("h2"))
         # an indexed vector starts at its own node, any other at a few fixed ones
         entries = [r.node for r in self.nodes.select("node").orderBy(F.xxhash64("node")).limit(8).collect()]
-        q = q.join(self.nodes_by_hash, ["h1", "h2"], "left")
+        one = q.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(self.nodes_by_hash, ["h1", "h2"], "left").join(self.places, "node", "left")
         starts = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.array(*[F.lit(e) for e in entries]) if entries else F.array().cast("array<long>"))
-        q = q.select("q", "v", starts.alias("starts"))
-        queries = stored(q.withColumn("n", F.monotonically_increasing_id()), "queries")
-        salts = max(1, ceil(queries.count() / CELL))
+        queries = stored(one.select("h1", "h2", "v", starts.alias("starts"), "stretch", F.monotonically_increasing_id().alias("n")), "queries")
+        blocks = max(1, ceil(queries.count() / STRETCH))
+        block = F.coalesce("stretch", F.pmod(F.xxhash64("n"), F.lit(blocks)))
         beam = max(beam, k + 1)
         empty = [F.array().cast(f"array<{t}>").alias(n) for n, t in (("nodes", "long"), ("scores", "float"), ("done", "boolean"))]
-        state, hop = stored(queries.select("n", F.col("starts").alias("fresh"), *empty), "beam"), 0
+        state, hop = stored(queries.select("n", block.alias("block"), F.col("starts").alias("fresh"), *empty), "beam"), 0
         while not state.where(F.size("fresh") > 0).isEmpty():
-            pairs = state.select("n", F.explode("fresh").alias("node"))
-            pairs = pairs.withColumnRenamed("node", "m").join(self.places, "m") if not hop else pairs.join(self.graph, "node").select("n", F.inline("nbrs"))
-            cell = F.xxhash64("at", F.pmod(F.xxhash64("n"), F.lit(salts)))
-            cells = stored(pairs.groupBy(cell.alias("cell"), "n").agg(F.collect_set("m").alias("ms")), "cells")
+            pairs = state.select("n", "block", F.explode("fresh").alias("node"))
+            if hop:
+                pairs = pairs.join(self.graph, "node").select("n", "block", F.explode("nbrs").alias("node"))
+            cell = F.xxhash64("block", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+            cells = stored(pairs.groupBy(cell.alias("cell"), "n").agg(F.collect_set("node").alias("ms")), "cells")
             needed = cells.select(F.col("cell").alias("of"), F.explode("ms").alias("node")).distinct().join(self.nodes.select("node", "y"), "node")
             worst = F.when(F.size("scores") >= beam, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float")
             asking = cells.join(state.select("n", worst.alias("worst")), "n").join(queries.select("n", "v"), "n")
@@ -266,10 +266,12 @@ class Index:
             discard(last)
             discard(cells)
             hop += 1
-        best = state.select("n", F.explode("nodes").alias("node")).join(self.nodes.select("node", "x"), "node").join(queries.select("n", "q", "v"), "n")
-        exact = best.select("q", "node", "v", "x").mapInArrow(_exact, "q " + q.schema["q"].dataType.simpleString() + ", node long, score double")
-        rows = exact.join(self.members, "node").where("q <> id")
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+        best = state.select("n", F.explode("nodes").alias("node")).join(self.nodes.select("node", "x"), "node").join(queries.select("n", "v"), "n")
+        exact = best.select("n", "node", "v", "x").mapInArrow(_exact, "n long, node long, score double")
+        order = [F.desc("score"), "id"]
+        rows = exact.join(self.members, "node").withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(*order))).where(F.col("r") <= k + 1)
+        rows = q.select("q", "h1", "h2").join(queries.select("h1", "h2", "n"), ["h1", "h2"]).join(rows.select("n", "id", "score"), "n").where("q <> id")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(*order))
         return rows.select(F.col("q").alias("query_id"), rank.alias("rank"), F.col("id").alias(id_col), "score").where(F.col("rank") <= k)
 
 
@@ -298,11 +300,11 @@ def _score_cell(beam: int):
 
 def _hop(beam: int):
     """Merge what was found into the best of each query, and choose what to expand next."""
-    names = ["n", "fresh", "nodes", "scores", "done"]
+    names = ["n", "block", "fresh", "nodes", "scores", "done"]
 
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in names[1:]}
+            out = {c: [] for c in names[2:]}
             for nodes, scores, done, fresh, found in zip(*[batch.column(c).to_pylist() for c in ("nodes", "scores", "done", "fresh", "found")], strict=True):
                 expanded = np.array(fresh if nodes else [], np.int64)
                 n = np.concatenate([np.array(nodes, np.int64), *[np.array(f["nodes"], np.int64) for f in found or []]])
@@ -318,7 +320,7 @@ def _hop(beam: int):
                 out["done"].append(d)
                 out["fresh"].append(n[~d][:EXPANDED])
             kinds = {"fresh": pa.int64(), "nodes": pa.int64(), "scores": pa.float32(), "done": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([batch.column("n"), *[pa.array(out[c], pa.list_(t)) for c, t in kinds.items()]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("block"), *[pa.array(out[c], pa.list_(t)) for c, t in kinds.items()]], names=names)
 
     return run
 
@@ -326,7 +328,7 @@ def _hop(beam: int):
 def _exact(batches):
     for batch in batches:
         score = [float(np.dot(np.frombuffer(x, np.float64), np.array(v))) for x, v in zip(batch.column("x").to_pylist(), batch.column("v").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(score, pa.float64())], names=["q", "node", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("node"), pa.array(score, pa.float64())], names=["n", "node", "score"])
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
