@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import div, join_on
-from .prefix import prefix_sums
+from .prefix import RANGE_ROWS, prefix_sums
 
 
 def usable(scores: DataFrame) -> DataFrame:
@@ -24,20 +24,20 @@ def score_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
     return usable(scores).groupBy(*keys, "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
-def prefix_table(scores: DataFrame, keys: list[str]) -> DataFrame:
+def prefix_table(scores: DataFrame, keys: list[str], rows: int = RANGE_ROWS) -> DataFrame:
     """W1's base: per distinct score, falling, the cumulated tp and fp."""
-    t = prefix_sums(score_counts(scores, keys), keys, "score", ["pos", "neg"], head=["pos", "neg"])
+    t = prefix_sums(score_counts(scores, keys), keys, "score", ["pos", "neg"], head=["pos", "neg"], rows=rows)
     return t.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "all_pos": "p", "all_neg": "n"})
 
 
-def roc_curve(scores: DataFrame, keys: list[str], drop_intermediate: bool = True) -> DataFrame:
+def roc_curve(scores: DataFrame, keys: list[str], drop_intermediate: bool = True, rows: int = RANGE_ROWS) -> DataFrame:
     """(keys, threshold, tpr, fpr, tp, fp): points by falling threshold, from (inf, 0, 0) on.
 
     With ``drop_intermediate`` a point goes when it lies within a straight stretch of
     equal steps: the next distinct score has the same positives and negatives. The first
     and last score stay.
     """
-    t = prefix_table(scores, keys)
+    t = prefix_table(scores, keys, rows)
     if drop_intermediate:
         first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,17 @@ from ..operators import models as L
 from ..operators import splits as P
 from ..sources import corpus as S
 from . import jobs as J
+from . import metric_queries as MQ
 from . import views as V
 from .registry import query, table
 
 
 def scratch(spark) -> str:
-    """A new folder below the shared one (spark.checkpoint.dir); a temporary one only where none is set."""
+    """A new folder below the shared one (spark.checkpoint.dir); a temporary one only on one machine, where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="driftgauge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
@@ -98,11 +102,28 @@ def profile(spark, d):
     return J.layer_profile(*emb_split(spark, d))
 
 
-@query("e2_select_layer")
+_S2 = V.scores_sql().replace("s AS (", "s0 AS (", 1) + ", s AS (SELECT * REPLACE (CASE split WHEN 'val' THEN 'val_id' WHEN 'train' THEN 'val_ood' ELSE 'test' END AS split) FROM s0)"
+_KL2 = re.sub(r"\bb\b", "kb", MQ._KL).replace("split = 'val')", "split = 'val_id')").replace("split = 'test')", "split = 'val_ood')").replace("IN ('val', 'test')", "IN ('val_id', 'val_ood')")
+_CM2 = "count(*) FILTER (y = 0 AND score < tau) AS tn, count(*) FILTER (y = 0 AND score >= tau) AS fp, count(*) FILTER (y = 1 AND score < tau) AS fn, count(*) FILTER (y = 1 AND score >= tau) AS tp"
+
+
+@query(
+    "e2_select_layer",
+    f"""WITH {_S2}, {MQ._Q}, {MQ._ADJ}, {_KL2}, a AS (SELECT layer, tau FROM qa WHERE split = 'val_id'),
+r AS (SELECT s.layer, s.split, tau, {_CM2}, (tau - avg(score)) / (stddev_samp(score) + 1e-8) AS z FROM s JOIN a ON a.layer = s.layer GROUP BY s.layer, s.split, tau),
+v AS (SELECT layer, split, tau, z, tp / (tp + fn) AS tpr, fp / (fp + tn) AS fpr, {MQ._F1} AS macro_f1 FROM r),
+o AS (SELECT i.layer, i.tau, i.tpr AS tpr_id, i.fpr AS fpr_id, i.z AS z_id, x.tpr AS tpr_ood, x.fpr AS fpr_ood, x.z AS z_ood, t.tpr AS tpr_test, t.fpr AS fpr_test, i.macro_f1, kl.kl,
+ least(i.tpr, x.tpr) - 0.1 * abs(i.z - x.z) AS selection_score FROM v i JOIN v x ON x.layer = i.layer AND x.split = 'val_ood' JOIN v t ON t.layer = i.layer AND t.split = 'test' JOIN kl ON kl.layer = i.layer AND kl.part = 'all' WHERE i.split = 'val_id'),
+w AS (SELECT *, avg(kl) OVER () + 1.5 * coalesce(stddev_samp(kl) OVER (), 0) AS kl_threshold, row_number() OVER (ORDER BY selection_score DESC, layer) = 1 AS chosen FROM o)
+SELECT layer, round(tau, 6) AS tau, round(tpr_id, 6) AS tpr_id, round(fpr_id, 6) AS fpr_id, round(z_id, 5) AS z_id, round(tpr_ood, 6) AS tpr_ood, round(fpr_ood, 6) AS fpr_ood, round(z_ood, 5) AS z_ood, round(tpr_test, 6) AS tpr_test, round(fpr_test, 6) AS fpr_test,
+ round(kl, 6) AS kl, round(macro_f1, 6) AS macro_f1, round(selection_score, 5) AS selection_score, round(kl_threshold, 6) AS kl_threshold, kl > kl_threshold AS kl_alert, chosen FROM w""",
+)
 def choose(spark, d):
     s = V.scores(spark, d)
     half = F.when(F.col("split") == "val", "val_id").when(F.col("split") == "train", "val_ood").otherwise("test")
-    return J.select_layer(s.withColumn("split", half), [])
+    out = J.select_layer(s.withColumn("split", half), [])
+    out = MQ.r6(out, "tau", "tpr_id", "fpr_id", "tpr_ood", "fpr_ood", "tpr_test", "fpr_test", "kl", "macro_f1", "kl_threshold")
+    return out.withColumns({c: F.round(c, 5) for c in ("z_id", "z_ood", "selection_score")})
 
 
 def _folds(spark, d):
@@ -130,15 +151,30 @@ def cv_layers(spark, d):
     return J.cv_layers(V.layer_emb(spark, d), k=3)
 
 
-@query("e5_evaluate_scores")
+@query(
+    "e5_evaluate_scores",
+    f"""WITH {MQ.S}, {MQ._Q}, {MQ.CURVE}, x AS ({MQ._AFTER.format(**MQ._SAFE)}), au AS (SELECT layer, split, sum(neg * (tp - pos + pos / 2)) / (max(p) * max(n)) AS auroc, sum(pos * (tp / (tp + fp))) / max(p) AS ap FROM p GROUP BY ALL),
+m AS (SELECT s.layer, s.split, {_CM2} FROM s JOIN q ON s.layer = q.layer AND s.split = q.split GROUP BY s.layer, s.split)
+SELECT x.*, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, round({MQ._F1}, 6) AS macro_f1, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM x JOIN m ON m.layer = x.layer AND m.split = x.split JOIN au ON au.layer = x.layer AND au.split = x.split""",
+)
 def evaluate(spark, d):
-    return J.evaluate_scores(V.scores(spark, d), ["layer", "split"], z="safe", adjust=False)
-
-
-@query("e6_fold_thresholds")
+    out = J.evaluate_scores(V.scores(spark, d), ["layer", "split"], z="safe", adjust=False)
+    return MQ.z5(MQ.r6(out, "accuracy", "macro_f1", "auroc", "average_precision"))
+
+
+@query(
+    "e6_fold_thresholds",
+    """WITH s AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, value / 1000 AS score FROM events),
+f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('42:' || event_id), event_id) - 1) % 5 AS fold FROM s), h AS (SELECT unnest(range(5)) AS held),
+t AS (SELECT held, quantile_cont(score, 0.99) FILTER (y = 0) AS tau FROM f, h WHERE fold <> held GROUP BY held),
+g AS (SELECT held, tau, count(*) FILTER (y = 1 AND score >= tau) / greatest(count(*) FILTER (y = 1), 1) AS tpr, count(*) FILTER (y = 0 AND score >= tau) / greatest(count(*) FILTER (y = 0), 1) AS fpr, (tau - avg(score)) / stddev_samp(score) AS z_all FROM f JOIN t ON fold = held GROUP BY held, tau),
+u AS (SELECT 'tau' AS metric, tau AS v FROM g UNION ALL SELECT 'tpr', tpr FROM g UNION ALL SELECT 'fpr', fpr FROM g UNION ALL SELECT 'z_all', z_all FROM g)
+SELECT metric, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std, round(stddev_pop(v), 5) AS std_pop, round(min(v), 5) AS min, round(max(v), 5) AS max, count(*) AS n FROM u GROUP BY metric""",
+)
 def folds(spark, d):
     s = table(spark, d, "events").select(F.col("event_id").alias("sample_id"), (F.col("event_type") == "error").cast("int").alias("y"), (F.col("value") / 1000).alias("score"))
-    return J.fold_thresholds(s, 5, "sample_id")
+    out = J.fold_thresholds(s, 5, "sample_id")
+    return out.select("metric", *[F.round(c, 5).alias(c) for c in ("mean", "std", "std_pop", "min", "max")], F.size("values").cast("long").alias("n"))
 
 
 @query("e7_identifier_ablation")
@@ -148,9 +184,9 @@ def ablation(spark, d):
     return J.identifier_ablation(r, split, width=64, max_features=300)
 
 
-@query("e8_masking_report")
+@query("e8_masking_report", V.VARIANTS_SQL + f", {V.COUNTED_SQL} SELECT sample_id, variant, approx_tokens, token_delta, {V.INDICATORS_SQL} FROM counted")
 def masking(spark, d):
-    return J.masking_report(V.md_reports(spark, d))
+    return J.masking_report(V.section_reports(spark, d))
 
 
 _PREP = """r AS (SELECT doc_id AS sample_id, lang || '/' || source || '/' || doc_id || '.md' AS path, toxic FROM documents JOIN labels USING (doc_id)),
@@ -174,14 +210,51 @@ def read_manifest(spark, d):
     return rows.select(MF.coalesce_aliases(rows, MF.ID_KEYS).alias("sample_id"), MF.normalise_timestamp(MF.coalesce_aliases(rows, MF.TIMESTAMP_KEYS)).alias("first_seen"), F.col("event_type").alias("family"))
 
 
+@query("s1_read_reports", "SELECT lang, source, count(*)::BIGINT AS n_documents, (sum(strlen(text)) + count(*))::BIGINT AS size_bytes FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def read_reports(spark, d):
+    """A file for each language and source, read back with its size; each text ends with a line break."""
+    at = scratch(spark)
+    docs = table(spark, d, "documents").where("text is not null")
+    docs.select("lang", "source", "text").repartition("lang", "source").write.partitionBy("lang", "source").text(at)
+    files = S.read_reports(spark, at, "*.txt")
+    part = lambda c: F.regexp_extract("path", rf"/{c}=([^/]+)", 1)
+    counts = docs.groupBy("lang", "source").agg(F.count("*").alias("n_documents"))
+    per = files.groupBy(part("lang").alias("lang"), part("source").alias("source")).agg(F.sum("size_bytes").alias("size_bytes"))
+    return counts.join(per, ["lang", "source"], "left").select("lang", "source", "n_documents", "size_bytes")
+
+
 @query("s2_read_json_reports", "SELECT conv_id AS sample_id, count(*) AS n_calls FROM conversations GROUP BY conv_id")
 def read_json(spark, d):
+    """A JSON file for each conversation, read back by the reader of reports."""
     from ..operators import behavior as B
 
-    rows = B.parsed(V.sandbox(spark, d))
+    at = scratch(spark)
+    V.sandbox(spark, d).select("sample_id", "raw").write.partitionBy("sample_id").text(at)
+    rows = S.read_json_reports(spark, at, "*.txt").withColumn("sample_id", F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("long"))
     return B.extract_api_calls(rows).groupBy("sample_id").agg(F.count("*").alias("n_calls"))
 
 
+@query(
+    "s6_split_spec",
+    """WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), f AS (SELECT unnest(['web', 'books']) AS fold, unnest([0, 1]) AS k)
+SELECT fold, k::INT AS fold_index, CASE (i + k) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(doc_id)::BIGINT AS ids, count(DISTINCT source) AS families FROM d, f GROUP BY ALL""",
+)
+def split_spec(spark, d):
+    """A split file of all documents, written and read back."""
+    from ..operators.prefix import hash_rank
+
+    at = scratch(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    ranked = hash_rank(docs.select("doc_id"), [], F.lpad(F.hex("doc_id"), 16, "0"), "doc_id").select("doc_id", (F.col("rank") - 1).alias("i"))
+    k = F.explode(F.array(F.struct(F.lit("web").alias("fold"), F.lit(0).alias("fold_index")), F.struct(F.lit("books").alias("fold"), F.lit(1).alias("fold_index"))))
+    folds = ranked.select("doc_id", "i", k.alias("f")).select("doc_id", "f.*", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), ((F.col("i") + F.col("f.fold_index")) % 3 + 1).cast("int")).alias("split"))
+    path = F.concat(F.lit("/r/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    S.write_split_spec(docs.select("doc_id", path.alias("path"), F.lit(0).alias("label"), F.md5(F.col("doc_id").cast("string")).alias("sha256"), F.col("source").alias("family"), "source", F.lit("2024-01-01").alias("first_seen")), folds, at)
+    known, read = S.read_split_spec(spark, at)
+    rows = read.join(known.select("doc_id", "family"), "doc_id")
+    return rows.groupBy("fold", "fold_index", "split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.count_distinct("family").alias("families"))
+
+
 @query("s4_drift_labels", "SELECT md5(doc_id::VARCHAR) AS sha256, source AS family, toxic AS label, CASE WHEN doc_id % 2 = 0 THEN 'pre-drift' ELSE 'post-drift' END AS state FROM documents JOIN labels USING (doc_id)")
 def drift_labels(spark, d):
     at = f"{scratch(spark)}.csv"
@@ -221,6 +294,10 @@ def results(spark, d):
     return S.read_results(spark, at).select("condition", "layer", "metric", F.round("value", 6).alias("value"))
 
 
-@query("a17_mean_all_layers")
+@query(
+    "a17_mean_all_layers",
+    f"WITH {V.EMB}, x AS (SELECT sample_id, layer, unnest(range(16)) AS i, unnest(embedding) AS v FROM e) SELECT sample_id, array_to_string(list(printf('%.4f', v) ORDER BY i), ' ') AS embedding FROM (SELECT sample_id, i, avg(v) AS v FROM x GROUP BY ALL) GROUP BY sample_id",
+)
 def mean_all(spark, d):
-    return X.pool_layers(V.layer_emb(spark, d), ["sample_id"])
+    out = X.pool_layers(V.layer_emb(spark, d), ["sample_id"])
+    return out.withColumn("embedding", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), " "))

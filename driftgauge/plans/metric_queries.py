@@ -209,10 +209,13 @@ def shift(spark, d):
     return r6(M.delta_tau(V.scores(spark, d), ["layer"], "val", "test"), "tau_base", "tau_target", "delta_tau")
 
 
-@query("w10_bootstrap_ci")
+@query("w10_bootstrap_ci", f"WITH {S}, {_TAUS} SELECT s.layer, y, count(*) AS m, round(avg(CASE WHEN score >= tau THEN 1 ELSE 0 END), 6) AS rate, true AS covers FROM s JOIN t ON s.layer = t.layer WHERE split = 'test' GROUP BY s.layer, y")
 def bootstrap(spark, d):
+    """The interval is drawn; what is fixed is that it holds the rate and is as wide as the binomial's."""
     s, t = taus(spark, d)
-    return M.bootstrap_ci(s.where("split = 'test'"), t, ["layer"])
+    out = M.bootstrap_ci(s.where("split = 'test'"), t, ["layer"])
+    wide = 2 * 1.96 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("m")) + 2 / F.col("m")
+    return out.select("layer", "y", "m", F.round("rate", 6).alias("rate"), ((F.col("lo") <= F.col("rate")) & (F.col("rate") <= F.col("hi")) & (F.col("hi") - F.col("lo") <= 1.5 * wide)).alias("covers"))
 
 
 @query("p8_false_positives", f"WITH x AS (SELECT doc_id AS sample_id, toxic AS y, (n_chars % 1000) / 1000.0::DOUBLE AS score, source AS family, n_chars FROM documents JOIN labels USING (doc_id)) SELECT sample_id, y, round(score, 6) AS score, family, n_chars FROM x WHERE y = 0 AND score >= 0.8")

@@ -17,7 +17,7 @@ MIX = ["", " see http://a.example/x?y=1 now", " from 10.0.0.7:8080 to evil.top",
 
 def _sql_mix() -> str:
     cases = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MIX))
-    return f"mix AS (SELECT doc_id AS sample_id, substr(text, 1, 400) || (CASE doc_id % 5 {cases} END) || (CASE doc_id % 4 WHEN 0 THEN ' h ' || md5(doc_id::VARCHAR) || ' x' WHEN 1 THEN ' h ' || sha256(doc_id::VARCHAR) ELSE '' END) AS text FROM documents)"
+    return f"mix AS (SELECT doc_id AS sample_id, text || (CASE doc_id % 5 {cases} END) || (CASE doc_id % 4 WHEN 0 THEN ' h ' || md5(doc_id::VARCHAR) || ' x' WHEN 1 THEN ' h ' || sha256(doc_id::VARCHAR) ELSE '' END) AS text FROM documents)"
 
 
 def mixed(spark, d):
@@ -31,7 +31,7 @@ def mixed(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.concat("text", tail, h).alias("text"))
 
 
-MX = _sql_mix().replace("substr(text, 1, 400)", "text")
+MX = _sql_mix()
 _SUB = lambda t, p, r, f="g": f"regexp_replace({t}, '{p}', '{r}', '{f}')"
 _HASH = _SUB(_SUB(_SUB("text", "\\b[0-9a-fA-F]{64}\\b", "[HASH]"), "\\b[0-9a-fA-F]{40}\\b", "[HASH]"), "\\b[0-9a-fA-F]{32}\\b", "[HASH]")
 _IDS = _SUB(_SUB(_HASH, "\\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\b", "[ID]"), "\\b[0-9a-fA-F]{48,}\\b", "[ID]")
@@ -57,6 +57,16 @@ def conditions(spark, d):
     return T.ablation_conditions(mixed(spark, d)).select("sample_id", "condition", "text")
 
 
+@query(
+    "u1_transform_registry",
+    f"WITH {MX}, c AS (SELECT sample_id, 'with_hash' AS condition, text FROM mix UNION ALL SELECT sample_id, 'without_hash', {_HASH} FROM mix UNION ALL SELECT sample_id, 'without_strong_ids', {_IDS} FROM mix UNION ALL SELECT sample_id, 'digits_out', regexp_replace(text, '[0-9]+', '#', 'g') FROM mix) SELECT sample_id, condition, md5(text) AS text_md5 FROM c",
+)
+def registered(spark, d):
+    """Conditions of the registry, and one of the user's own."""
+    own = {n: T.CONDITIONS[n] for n in ("with_hash", "without_hash", "without_strong_ids")} | {"digits_out": lambda t: F.regexp_replace(t, "[0-9]+", "#")}
+    return T.ablation_conditions(mixed(spark, d), conditions=own).select("sample_id", "condition", F.md5("text").alias("text_md5"))
+
+
 @query("t5_split_sections", "WITH c AS (SELECT conv_id AS sample_id, role AS heading, '## ' || role || chr(10) || text || chr(10) AS block, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) SELECT sample_id, pos::INT AS pos, heading, block FROM c")
 def sections(spark, d):
     return T.split_sections(V.md_reports(spark, d))
@@ -67,9 +77,9 @@ def mask(spark, d):
     return T.mask_sections(V.md_reports(spark, d), ["user"])
 
 
-@query("t7_masking_variants")
+@query("t7_masking_variants", f"{V.VARIANTS_SQL} SELECT sample_id, variant, md5(text) AS text_md5 FROM v")
 def variants(spark, d):
-    return T.masking_variants(V.md_reports(spark, d)).select("sample_id", "variant", F.md5("text").alias("text_md5"))
+    return T.masking_variants(V.section_reports(spark, d)).select("sample_id", "variant", F.md5("text").alias("text_md5"))
 
 
 _C = lambda p, f="": f"len(regexp_extract_all(text, '{p}', 0{f}))"
@@ -94,9 +104,9 @@ def tokens(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), T.approx_tokens(F.col("text")).alias("approx_tokens"))
 
 
-@query("t9_token_deltas")
+@query("t9_token_deltas", f"{V.VARIANTS_SQL}, {V.COUNTED_SQL} SELECT sample_id, variant, approx_tokens, token_delta FROM counted")
 def deltas(spark, d):
-    return T.token_deltas(T.masking_variants(V.md_reports(spark, d)), ["sample_id"]).drop("text")
+    return T.token_deltas(T.masking_variants(V.section_reports(spark, d)), ["sample_id"]).drop("text")
 
 
 def _tfidf_sql(n: int, sub: bool) -> str:
@@ -120,10 +130,16 @@ def tfidf_sub(spark, d):
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
-@query("t10_tfidf_char_wb")
+@query(
+    "t10_tfidf_char_wb",
+    """WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM conversations),
+g AS (SELECT doc_id, substr(w, i::BIGINT, n) AS gram FROM t, (SELECT unnest([3, 4, 5]) AS n), LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i)), c AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM conversations), v AS (SELECT gram, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM c, n GROUP BY gram, n ORDER BY sum(tf) DESC, gram LIMIT 1000),
+w AS (SELECT doc_id, gram, tf * idf AS w FROM c JOIN v USING (gram)) SELECT doc_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""",
+)
 def tfidf_wb(spark, d):
     docs = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return X.tfidf(docs, docs, "doc_id", max_features=1000, analyzer="char_wb", ngram=(3, 5))
+    return X.tfidf(docs, docs, "doc_id", max_features=1000, analyzer="char_wb", ngram=(3, 5)).withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query(

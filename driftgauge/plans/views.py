@@ -56,6 +56,60 @@ def md_reports(spark: SparkSession, d: str) -> DataFrame:
 MD = "md AS (SELECT conv_id AS sample_id, string_agg('## ' || role || chr(10) || text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 
 
+_HEADS = {"user": "Executed Commands", "assistant": "Network Activity", "system": "Summary Statistics"}
+_TAILS = [" see http://a.example/x?y=1 now", " from 10.0.0.7:8080 to evil.top", " HKLM\\Software\\Run and C:\\Temp\\a.exe"]
+
+
+def section_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as Markdown with the headings of behaviour reports, and an indicator in each section."""
+    c = table(spark, d, "conversations")
+    head = F.create_map(*[F.lit(x) for kv in _HEADS.items() for x in kv])[F.col("role")]
+    tail = F.element_at(F.array(*[F.lit(t) for t in _TAILS]), (F.col("turn") % 3 + 1).cast("int"))
+    rows = c.select("conv_id", F.struct("turn", F.concat(F.lit("## "), head, F.lit("\n"), "text", tail, F.lit("\n")).alias("b")).alias("t"))
+    return rows.groupBy(F.col("conv_id").alias("sample_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["b"]), "").alias("text"))
+
+
+def _variants_sql() -> str:
+    from ..functions.text import SECTION_GROUPS
+
+    b = "\\"
+    red = "body"
+    for pattern, mark in ((f"{b}bhttps?://[^{b}s`|<>)]+", "[URL]"), (f"{b}b(?:{b}d{{1,3}}{b}.){{3}}{b}d{{1,3}}(?::{b}d{{1,5}})?{b}b", "[IP]"), (f"{b}bevil{b}.top{b}b", "[DOMAIN]"), (f"HKLM{b}{b}[^{b}s`|]+", "[REGISTRY]"), (f"C:{b}{b}[^{b}s`|]+", "[PATH]")):
+        red = f"regexp_replace({red}, '{pattern}', '{mark}', 'g')"
+    case = lambda col, values: f"CASE {col} " + " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in values) + " END"
+    out = f"""WITH b AS (SELECT conv_id, turn, {case("role", _HEADS.items())} AS h, text || ({case("turn % 3", list(enumerate(_TAILS)))}) AS body FROM conversations),
+k AS (SELECT conv_id, turn, h, '## ' || h || chr(10) || body || chr(10) AS raw, '## ' || h || chr(10) || {red} || chr(10) AS red, '## ' || h || chr(10) || '[MASKED_' || upper(replace(h, ' ', '_')) || ']' || chr(10) AS hid FROM b), v AS ("""
+    parts = []
+    for name, col in (("original", "raw"), ("redact_ioc_identifiers", "red")):
+        parts.append(f"SELECT conv_id AS sample_id, '{name}' AS variant, string_agg({col}, '' ORDER BY turn) AS text FROM k GROUP BY conv_id")
+    for prefix, col in (("mask", "raw"), ("redact_ioc_mask", "red")):
+        for group, heads in SECTION_GROUPS.items():
+            names = ", ".join(f"'{h}'" for h in heads)
+            parts.append(f"SELECT conv_id, '{prefix}_{group}', string_agg(CASE WHEN h IN ({names}) THEN hid ELSE {col} END, '' ORDER BY turn) FROM k GROUP BY conv_id")
+    return out + " UNION ALL ".join(parts) + ")"
+
+
+def _count_sql(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, '{pattern}'))"
+
+
+#: All 18 variants of ``section_reports``: v (sample_id, variant, text).
+VARIANTS_SQL = _variants_sql()
+COUNTED_SQL = f"""n AS (SELECT sample_id, variant, text, {_count_sql("[A-Za-z0-9_]+|[^" + chr(92) + "s]")} AS approx_tokens FROM v),
+counted AS (SELECT *, approx_tokens - max(CASE WHEN variant = 'original' THEN approx_tokens END) OVER (PARTITION BY sample_id) AS token_delta FROM n)"""
+INDICATORS_SQL = ", ".join(
+    f"{_count_sql(p)} AS {n}"
+    for n, p in (
+        ("sha256", r"\b[0-9a-fA-F]{64}\b"),
+        ("md5", r"\b[0-9a-fA-F]{32}\b"),
+        ("url", r"\bhttps?://[^\s`|<>)]+"),
+        ("ipv4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?\b"),
+        ("registry", r"\bHKLM\\[^\s`|]+"),
+        ("windows_path", r"[A-Za-z]:\\[^\s`|]+"),
+    )
+)
+
+
 def sandbox(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as sandbox JSON: a process per role, a call per turn."""
     rows = table(spark, d, "conversations")

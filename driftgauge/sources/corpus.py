@@ -20,10 +20,10 @@ def _whole(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return raw.select("path", F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"))
 
 
-def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """(sample_id, path, size_bytes, text) of all *.md below root; empty files are left out."""
+def read_reports(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """(sample_id, path, size_bytes, text) of all files of a pattern below root; empty files are left out."""
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
-    rows = _whole(spark, root, "*.md").where("size_bytes > 0")
+    rows = _whole(spark, root, pattern).where("size_bytes > 0")
     return rows.select(stem(F.col("path")).alias("sample_id"), "path", "size_bytes", "text")
 
 
@@ -32,9 +32,9 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     return _whole(spark, root, "*.label").select(stem(F.col("path")).alias("sample_id"), F.col("text").alias("sidecar"))
 
 
-def read_json_reports(spark: SparkSession, root: str) -> DataFrame:
-    """(sample_id, path, raw, report) of all *.json that hold an object."""
-    rows = _whole(spark, root, "*.json").where("size_bytes > 0")
+def read_json_reports(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(sample_id, path, raw, report) of all files of a pattern that hold an object."""
+    rows = _whole(spark, root, pattern).where("size_bytes > 0")
     return parsed(rows.select(stem(F.col("path")).alias("sample_id"), "path", F.col("text").alias("raw")))
 
 
@@ -87,13 +87,19 @@ def read_embeddings(spark: SparkSession, path: str, layers: list[int] | None = N
     return rows if layers is None else rows.where(F.col("layer").isin(layers))
 
 
-_DOC = "array<struct<path:string,label:int,sha256:string,family:string,source:string,first_seen:string>>"
+_DOC = "array<struct<doc_id:bigint,path:string,label:int,sha256:string,family:string,source:string,first_seen:string>>"
 
 
 def read_split_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(docs, folds) of a split file: folds as a list or by name, ``*_ids`` or ``*_indices``."""
-    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    docs = v.select(F.posexplode(F.try_variant_get("v", "$.docs", _DOC)).alias("doc_id", "d")).select(F.col("doc_id").cast("long").alias("doc_id"), "d.*")
+    """(docs, folds) of a split file, or of a folder of its parts: folds as a list or by name, ``*_ids`` or ``*_indices``.
+
+    A document is numbered by ``doc_id``, or by its place in the list.
+    """
+    # a part has an object in each line; another file is one object, in as many lines as it likes
+    lines = F.split("value", "\n")
+    each = F.when(F.try_parse_json(F.get(lines, F.lit(0))).isNotNull(), lines).otherwise(F.array("value"))
+    v = spark.read.text(path, wholetext=True).select(F.explode(each).alias("value")).select(F.try_parse_json("value").alias("v")).where("v is not null")
+    docs = v.select(F.posexplode(F.try_variant_get("v", "$.docs", _DOC)).alias("doc_id", "d")).select(F.coalesce("d.doc_id", F.col("doc_id").cast("long")).alias("doc_id"), "d.path", "d.label", "d.sha256", "d.family", "d.source", "d.first_seen")
     listed = v.select(F.posexplode(F.try_variant_get("v", "$.folds", "array<variant>")).alias("i", "f"))
     listed = listed.select(F.coalesce(F.try_variant_get("f", "$.name", "string"), F.col("i").cast("string")).alias("fold"), F.coalesce(F.try_variant_get("f", "$.fold_index", "int"), F.col("i")).alias("fold_index"), F.try_variant_get("f", "$.held_out_family", "string").alias("held_out_family"), "f")
     named = v.select(F.explode(F.try_variant_get("v", "$.folds", "map<string,variant>")).alias("fold", "f"))
@@ -104,10 +110,21 @@ def read_split_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return docs, folds.select("fold", "fold_index", "held_out_family", "split", F.explode("ids").alias("doc_id"))
 
 
-def write_split_spec(docs: DataFrame, folds: DataFrame, path: str) -> None:
-    """The tables as Parquet, ids gathered by fold and split only in the reader that needs them."""
-    docs.write.parquet(f"{path}/docs")
-    folds.write.partitionBy("fold").parquet(f"{path}/folds")
+def write_split_spec(docs: DataFrame, folds: DataFrame, path: str, part: int = 10_000) -> None:
+    """A split file in parts that ``read_split_spec`` reads: JSON objects of up to about ``part`` documents or ids each.
+
+    ``docs`` has doc_id and what else a document is described by; ``folds`` has fold,
+    fold_index, split, doc_id, and perhaps held_out_family.
+    """
+    held = F.col("held_out_family") if "held_out_family" in folds.columns else F.lit(None).cast("string")
+    dealt = lambda df: df.withColumn("_part", F.floor(F.rand(7) * F.lit(max(1, -(-df.count() // part)))))
+    listed = dealt(docs).groupBy("_part").agg(F.collect_list(F.struct(*docs.columns)).alias("docs"))
+    ids = lambda s: F.collect_list(F.when(F.col("split") == s, F.col("doc_id"))).alias(f"{s}_ids")
+    per = dealt(folds.select("fold", "fold_index", held.alias("held_out_family"), "split", "doc_id")).groupBy("_part", "fold", "fold_index", "held_out_family").agg(*[ids(s) for s in ("train", "val", "test")])
+    fold = F.struct(F.col("fold").alias("name"), "fold_index", "held_out_family", "train_ids", "val_ids", "test_ids")
+    out = listed.select(F.to_json(F.struct(F.lit(1).alias("version"), "docs")).alias("value"))
+    out = out.unionByName(per.select(F.to_json(F.struct(F.lit(1).alias("version"), F.array(fold).alias("folds"))).alias("value")))
+    out.write.text(path)
 
 
 def export_subsets(df: DataFrame, path: str) -> None:
