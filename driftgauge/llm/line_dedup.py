@@ -5,25 +5,27 @@ so that a passage inside a paragraph is seen too. Lines are compared without out
 white space. A piece without a word, or equal to the line before it, belongs to that
 line and shares its fate, so a word said a hundred times in a row is one line.
 
-A run is three lines or more in which every three neighbours hold ``min_words`` words, or
-one line of ``long_words``. A run whose whole content stands already at an earlier place,
-by (doc_id, place), is deleted. Earlier places may be in the same document and may
-overlap the run, so a passage repeated over and over leaves one copy. Nothing shorter is
-ever deleted.
+A run is any number of lines that a *window* covers: one line of ``long_words``, or 3, 9 or
+27 neighbours that hold ``min_words`` words together. Any passage of over 50 words holds
+one, be it a paragraph, or a list, verse or code in lines of a word or two. A window whose
+whole content stands already at an earlier place, by (doc_id, place), is deleted. Earlier
+places may be in the same document and may overlap the run, so a passage repeated over and
+over leaves one copy. Nothing shorter is ever deleted.
 
 1. Winnowing: of the two pairs of neighbours in each such three lines the pair with the
-   smaller hash is the fingerprint, and each long line is one of its own. Equal runs hold
-   equal threes or an equal long line, so they share a fingerprint at the same place (the
-   guarantee of winnowing), while a line is in few of them.
-2. Fingerprints that occur more than once are joined back to their documents.
-3. Extension: in these all threes and long lines are taken, forwards and backwards from
-   the fingerprints. Their union is the whole of each maximal repeated run, and their
-   content hashes (two, of independent line hashes) tell the first place of each.
+   smaller hash is the fingerprint, so equal runs share a fingerprint at the same place
+   (the guarantee of winnowing), while a line is in few of them. Each long line, and each
+   window of 9 or 27 that isn't all of shorter ones, is a fingerprint of its own.
+2. Fingerprints are joined by content; the places (document, line) of those that occur
+   more than once go back to their documents.
+3. Extension: from each such place the match is extended to the windows around it, to the
+   left and to the right of a pair, and to the next ones as long as these have repeated
+   fingerprints too. Content hashes (two, of independent line hashes) tell each window's
+   first place, so the union of later ones is the whole of each maximal repeated run.
 4. Those whose content has an earlier place merge into runs and are cut out.
 
-With ``run_words`` a run is also any number of lines that hold so many words together, so
-lists, verse and code in lines of a few words are seen (op1_line_dedup_words; the SQL of
-op1_line_dedup and the brute force of the pipeline hold the rule without). Then winnowing
+With ``run_words`` windows are of 1 or 3 lines, and a run is also any number of lines that
+hold so many words together (op1_line_dedup_words). Then winnowing
 is over all threes, and two neighbours that hold ``run_words`` are a fingerprint too: equal
 runs hold equal threes, or are two lines or one. The shortest such spans, from each
 line forwards and backwards, join the threes and long lines in step 3.
@@ -98,17 +100,59 @@ def _two(i: Column) -> Column:
     return F.xxhash64(F.get("h1", i), F.get("h1", i + 1))
 
 
-def _selected(min_words: int, long_words: int, run_words: int | None = None) -> Column:
-    """Fingerprints chosen by winnowing: of the two line pairs in each three lines the one with the smaller hash."""
-    if run_words is not None:
-        # three lines of few words can be part of a run, and a run can be two lines or one
-        min_words, long_words = 0, min(long_words, run_words)
-    lower = lambda _x, i: F.when(_words_of_three(i) >= min_words, F.when(_two(i) <= _two(i + 1), i).otherwise(i + 1))
-    places = F.transform("wc", lower)
-    if run_words is not None:
-        places = F.concat(places, F.transform("wc", lambda x, i: F.when(x + F.get("wc", i + 1) >= run_words, i)))
+def _sums(x: str, step: int) -> Column:
+    """Sums of three neighbours at a distance of ``step``; null near the end."""
+    return F.transform(x, lambda v, i: v + F.get(x, i + step) + F.get(x, i + 2 * step))
+
+
+def _fewer(sums: Column, i: Column, n: int, words: int) -> Column:
+    """Whether any of n windows from i on holds fewer words."""
+    return F.exists(F.slice(sums, i + 1, F.lit(n)), lambda w: w < words)
+
+
+def _choice(i: Column, min_words: int) -> Column:
+    """The pair that winnowing takes of three lines from i on; null where they hold too few words."""
+    return F.when(_words_of_three(i) >= min_words, F.when(_two(i) <= _two(i + 1), i).otherwise(i + 1))
+
+
+def _fingerprints(min_words: int, long_words: int) -> Column:
+    """array<struct<h, p, n>>: pairs of lines (n = 2) chosen by winnowing, and whole windows of 1, 9 and 27 lines at p."""
+    mark = lambda h, p, n: F.struct(h.alias("h"), p.alias("p"), F.lit(n).alias("n"))
+    pairs = F.array_distinct(F.filter(F.transform("wc", lambda _x, i: _choice(i, min_words)), lambda p: p.isNotNull()))
+    pairs = F.transform(pairs, lambda p: mark(_two(p), p, 2))
+    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, mark(F.xxhash64(F.lit(13), F.get("h1", i)), i, 1)))
+    window = lambda i, n: mark(F.xxhash64(F.lit(n), F.slice("h1", i + 1, F.lit(n))), i, n)
+    nine = F.transform("t9", lambda w, i: F.when((w >= min_words) & _fewer(F.col("t3"), i, 7, min_words), window(i, 9)))
+    many = F.transform(_sums("t9", 9), lambda w, i: F.when((w >= min_words) & _fewer(F.col("t9"), i, 19, min_words), window(i, 27)))
+    return F.concat(pairs, F.filter(F.concat(alone, nine, many), lambda m: m.isNotNull()))
+
+
+def _span(p: Column, n: Column) -> Column:
+    """struct<a, b, w1, w2>: the pieces of n lines from p on, and two hashes of their content."""
+    return F.struct(
+        F.get("pos", p).alias("a"),
+        (F.coalesce(F.get("pos", p + n), F.col("n")) - 1).alias("b"),
+        F.xxhash64(F.slice("h1", p + 1, n)).alias("w1"),
+        F.xxhash64(F.lit(7), F.slice("h2", p + 1, n)).alias("w2"),
+    )
+
+
+def _around(places: Column, min_words: int) -> Column:
+    """The windows that the fingerprints at ``places`` stand for: left and right of a pair, or itself."""
+
+    def of(x: Column) -> Column:
+        p = x["p"]
+        sides = F.filter(F.array(p - 1, p), lambda i: _choice(i, min_words) == p)
+        return F.when(x["n"] == 2, F.transform(sides, lambda i: _span(i, F.lit(3)))).otherwise(F.array(_span(p, x["n"])))
+
+    return F.flatten(F.transform(places, of))
+
+
+def _selected(long_words: int, run_words: int) -> Column:
+    """Fingerprints for runs of ``run_words``: three lines of few words can be part of a run, and a run can be two lines or one."""
+    places = F.concat(F.transform("wc", lambda _x, i: _choice(i, 0)), F.transform("wc", lambda x, i: F.when(x + F.get("wc", i + 1) >= run_words, i)))
     places = F.array_distinct(F.filter(places, lambda p: p.isNotNull()))
-    alone = F.filter(F.transform("wc", lambda x, i: F.when(x >= long_words, F.xxhash64(F.lit(13), F.get("h1", i)))), lambda h: h.isNotNull())
+    alone = F.filter(F.transform("wc", lambda x, i: F.when(x >= min(long_words, run_words), F.xxhash64(F.lit(13), F.get("h1", i)))), lambda h: h.isNotNull())
     return F.concat(F.transform(places, _two), alone)
 
 
@@ -137,24 +181,12 @@ def _run_spans(run_words: int) -> Column:
     return F.concat(F.transform("wc", ahead), F.transform("wc", behind))
 
 
-def _spans(min_words: int, long_words: int, run_words: int | None = None) -> Column:
-    """array<struct<a, b, w1, w2>>: every three lines with ``min_words`` words, every line with ``long_words`` and the spans of ``run_words``."""
+def _spans(min_words: int, long_words: int, run_words: int) -> Column:
+    """Every three lines with ``min_words`` words, every line with ``long_words`` and the spans of ``run_words``."""
     three = F.transform("wc", lambda _x, i: F.when(_words_of_three(i) >= min_words, F.struct(i.alias("p"), F.lit(3).alias("n"))))
     alone = F.transform("wc", lambda x, i: F.when(x >= long_words, F.struct(i.alias("p"), F.lit(1).alias("n"))))
-
-    def span(s: Column) -> Column:
-        p, n = s["p"], s["n"]
-        return F.struct(
-            F.get("pos", p).alias("a"),
-            (F.coalesce(F.get("pos", p + n), F.col("n")) - 1).alias("b"),
-            F.xxhash64(F.slice("h1", p + 1, n)).alias("w1"),
-            F.xxhash64(F.lit(7), F.slice("h2", p + 1, n)).alias("w2"),
-        )
-
-    found = F.concat(three, alone)
-    if run_words is not None:
-        found = F.array_distinct(F.concat(found, _run_spans(run_words)))
-    return F.transform(F.filter(found, lambda s: s.isNotNull()), span)
+    found = F.array_distinct(F.concat(three, alone, _run_spans(run_words)))
+    return F.transform(F.filter(found, lambda s: s.isNotNull()), lambda s: _span(s["p"], s["n"]))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25, run_words: int | None = None) -> DataFrame:
@@ -162,14 +194,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("u"))
     base = stored(base.select(F.monotonically_increasing_id().alias("d"), "k1", "k2", "_id", "u.*"), "lines")
 
-    chosen = base.select("d", F.explode(_selected(min_words, long_words, run_words)).alias("h"))
-    twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = chosen.join(twice, "h").select("d").distinct()
-
     # rows alike in id and text stand for one document, the first of them
     one = base.groupBy("k1", "k2").agg(F.min("d").alias("d")).select("d")
+    if run_words is None:
+        chosen = base.withColumn("t3", _sums("wc", 1)).withColumn("t9", _sums("t3", 3)).select("d", F.inline(_fingerprints(min_words, long_words)))
+    else:
+        chosen = base.select("d", F.explode(_selected(long_words, run_words)).alias("h"), F.lit(0).alias("p"), F.lit(0).alias("n"))
+    twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    places = chosen.join(twice, "h").groupBy("d").agg(F.collect_set(F.struct("p", "n")).alias("places"))
     near = base.drop("k1", "k2").join(places, "d").join(one, "d")
-    spans = near.select("d", "_id", F.inline(_spans(min_words, long_words, run_words)))
+    spans = near.select("d", "_id", F.inline(_around(F.col("places"), min_words) if run_words is None else _spans(min_words, long_words, run_words)))
     where = F.struct("_id", "d", "a")
     first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select("d", "a", "b")
@@ -229,7 +263,9 @@ u2 AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY pos) AS l0 FROM u WHE
 n0 AS (SELECT doc_id, len(ps) AS n FROM d),
 v AS (SELECT doc_id, pos, l, wc, coalesce(lead(pos) OVER o, n) - 1 AS fin, row_number() OVER o - 1 AS p, 0 AS e FROM u2 JOIN n0 USING (doc_id) WHERE l IS DISTINCT FROM l0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 s3 AS (SELECT doc_id, p, p + 2 AS q, wc + lead(wc) OVER o + lead(wc, 2) OVER o AS words, [l, lead(l) OVER o, lead(l, 2) OVER o] AS c FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-s AS (SELECT doc_id, p, q, c FROM s3 WHERE words >= 15 UNION ALL SELECT doc_id, p, p, [l] FROM v WHERE wc >= 25),
+s9 AS (SELECT doc_id, p, count(*) OVER nine AS n9, sum(wc) OVER nine AS w9, list(l) OVER nine AS c9, count(*) OVER many AS n27, sum(wc) OVER many AS w27, list(l) OVER many AS c27 FROM v
+ WINDOW nine AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), many AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 26 FOLLOWING)),
+s AS (SELECT doc_id, p, q, c FROM s3 WHERE words >= 15 UNION ALL SELECT doc_id, p, p, [l] FROM v WHERE wc >= 25 UNION ALL SELECT doc_id, p, p + 8, c9 FROM s9 WHERE n9 = 9 AND w9 >= 15 UNION ALL SELECT doc_id, p, p + 26, c27 FROM s9 WHERE n27 = 27 AND w27 >= 15),
 later AS (SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, p) AS rn FROM s) WHERE rn > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM later),
 gp AS (SELECT g.doc_id, g.p, v.pos, v.fin FROM gone g JOIN v USING (doc_id, p)),
@@ -247,5 +283,5 @@ b AS (SELECT doc_id, min(p) OVER r AS p, p AS q, sum(wc) OVER r AS words, list(l
 sr AS (SELECT * FROM s UNION SELECT doc_id, p, q, c FROM f WHERE words >= 25 UNION SELECT doc_id, p, q, c FROM b WHERE words >= 25),
 later AS"""
 
-#: The rule with ``run_words``: the spans of 25 words besides those of ORACLE.
-ORACLE_WORDS = ORACLE.replace("\nlater AS", _RUNS).replace("FROM s) WHERE rn > 1", "FROM sr) WHERE rn > 1")
+#: The rule with ``run_words``: windows of 1 and 3 lines, and the spans of 25 words.
+ORACLE_WORDS = ORACLE.replace(" UNION ALL SELECT doc_id, p, p + 8, c9 FROM s9 WHERE n9 = 9 AND w9 >= 15 UNION ALL SELECT doc_id, p, p + 26, c27 FROM s9 WHERE n27 = 27 AND w27 >= 15", "").replace("\nlater AS", _RUNS).replace("FROM s) WHERE rn > 1", "FROM sr) WHERE rn > 1")

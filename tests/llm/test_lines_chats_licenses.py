@@ -27,8 +27,9 @@ def brute(rows):
     spans = []
     for d, ps, ls in docs:
         for p in range(len(ls)):
-            if p + 3 <= len(ls) and sum(x[2] for x in ls[p : p + 3]) >= 15:
-                spans.append((d, p, 3, tuple(x[1] for x in ls[p : p + 3])))
+            for n in (3, 9, 27):
+                if p + n <= len(ls) and sum(x[2] for x in ls[p : p + n]) >= 15:
+                    spans.append((d, p, n, tuple(x[1] for x in ls[p : p + n])))
             if ls[p][2] >= 25:
                 spans.append((d, p, 1, (ls[p][1],)))
     gone = {}
@@ -50,12 +51,20 @@ def test_line_dedup_equals_brute_force(spark, sf):
         (1, f"Alone here. {P} Tail one."), (2, f"Other words stand before it. {P} Another tail."), (3, P), (4, "x. y. z."), (5, "x. y. z."),
         (6, "Say it. " * 40), (7, "Say it. Now go on. Do come back soon. " * 30), (8, "w " * 30 + "end"), (9, "w " * 30 + "end"), (10, ""), (11, "\n\n \n"), (12, f"{P}\n\n{P}"), (13, "a\x1eb. " + P), (14, "long. " * 3000),
     ]
+    verse, steps = "".join(f"Go {i}!\n" for i in range(30)), "".join(f"w{i}\n" for i in range(60))
+    uneven = "one two three four five six seven eight nine ten eleven twelve\n" + "".join(f"x{i} y{i}\n" for i in range(12))
+    rows += [(20, f"Before.\n{verse}"), (21, f"Other.\n{verse}More then."), (22, f"{steps}Tail"), (23, f"Head\n{steps}"), (24, uneven), (25, f"Lead.\n{uneven}Close."), (26, "Go 1!\nGo 2!\nGo 3!\nGo 4!"), (27, " ".join(f"v{i}!" for i in range(51))), (28, "Odd. " + " ".join(f"v{i}!" for i in range(51)))]
     rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     df = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, _id string")
     got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
     want = brute(rows)
     assert {d for d in got if got[d] != want[d]} == set()
     assert P not in got[2] and P in got[1] and got[4] == got[5]
+    assert got[21] == "Other.\nMore then." and got[23] == "Head\n" and got[25] == "Lead.\nClose." and got[26] != "" and got[28] == "Odd. "
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    # the SQL marks cuts with a character that text 13 holds
+    assert {r[0]: r[1] for r in con.execute(ORACLE).fetchall() if r[0] != 13} == {d: t for d, t in want.items() if d != 13}
 
 
 def test_line_dedup_finds_runs_of_short_lines(spark):
