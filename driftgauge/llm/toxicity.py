@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stored, table
+from .common import discard, stored, table
 
 BITS = 18
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
@@ -138,25 +138,32 @@ REPLY = "idx binary, value binary, bias double, n long"
 
 def _frequency(batches):
     """For each label the documents that have a feature."""
-    y, _, feats = _load(batches)
+    df, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
+    for batch in batches:
+        y, _, feats = _load([batch])
+        for label, f in zip(y.astype(int), feats, strict=True):
+            df[label][np.unique(f)] += 1
+            n[label] += 1
     for label in (0, 1):
-        own = [np.unique(f) for f, v in zip(feats, y, strict=True) if v == label]
-        if own:
-            df = np.bincount(np.concatenate(own), minlength=1 << BITS)
-            idx = np.flatnonzero(df)
-            yield _reply(idx, df[idx], label, len(own))
+        if n[label]:
+            idx = np.flatnonzero(df[label])
+            yield _reply(idx, df[label][idx], label, n[label])
 
 
 def gradient(y, ends, feats, weights, bias):
-    """Gradient of the log loss of the noisy-or, summed over the documents."""
+    """Gradient of the log loss of the noisy-or, summed over the documents.
+
+    A sentence in which no word has a weight is clean, in training as in scoring.
+    """
     width = np.array([len(e) for e in ends])
     doc = np.repeat(np.arange(len(ends)), width)
     words = np.concatenate([np.diff(e, prepend=0) for e in ends])
     sentence = np.repeat(np.arange(len(words)), words)
     f = np.concatenate(feats)
     z = np.bincount(sentence, weights=weights[f], minlength=len(words)) + bias
-    p = 1 / (1 + np.exp(-z))
-    clean = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=len(y))
+    open_ = np.bincount(sentence, weights=weights[f] != 0, minlength=len(words)) > 0
+    p = np.where(open_, 1 / (1 + np.exp(-z)), 0.0)
+    clean = np.bincount(doc, weights=np.where(open_, -np.logaddexp(0, z), 0.0), minlength=len(y))
     toxic = np.maximum(-np.expm1(clean), 1e-12)
     pull = np.where(y == 1, -np.exp(clean) / toxic, 1.0)
     d = pull[doc] * p
@@ -184,10 +191,12 @@ def train(examples: DataFrame, steps: int = 30, rate: float = 0.3, l2: float = 0
     The bias stays: a sentence without a weighted word is clean, however many there are.
     """
     spark = examples.sparkSession
-    bags = stored(examples.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(_bags, "y int, ends binary, feats binary"), "bags").coalesce(12)
+    kept = stored(examples.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(_bags, "y int, ends binary, feats binary"), "bags")
+    bags = kept.coalesce(12)
     counts = bags.mapInArrow(_frequency, REPLY).collect()
     (clean, n), (toxic, p) = (_sum([r for r in counts if r.bias == label]) for label in (0, 1))
     if not n or not p:
+        discard(kept)
         return np.zeros(1 << BITS, np.float32), bias
     w = screened(toxic, p, clean, n, least_z, min_docs)
     use, m, v = w != 0, np.zeros_like(w), np.zeros_like(w)
@@ -195,17 +204,22 @@ def train(examples: DataFrame, steps: int = 30, rate: float = 0.3, l2: float = 0
         sent = spark.sparkContext.broadcast((w.astype(np.float32), bias))
 
         def part(batches, sent=sent):
-            y, ends, feats = _load(batches)
-            if len(y):
-                g = gradient(y, ends, feats, *sent.value)
+            g, n = np.zeros(1 << BITS), 0
+            for batch in batches:  # a batch of documents at a time, however long they are
+                y, ends, feats = _load([batch])
+                if len(y):
+                    g += gradient(y, ends, feats, *sent.value)
+                    n += len(y)
+            if n:
                 idx = np.flatnonzero(g * (sent.value[0] != 0))
-                yield _reply(idx, g[idx], 0, len(y))
+                yield _reply(idx, g[idx], 0, n)
 
         g = _sum(bags.mapInArrow(part, REPLY).collect())[0]
         sent.unpersist()
         g = np.where(use, (g + l2 * w) / (n + p), 0.0)
         m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
         w = np.where(use, w - rate * (m / (1 - 0.8**t)) / (np.sqrt(v / (1 - 0.95**t)) + 1e-5), 0.0)
+    discard(kept)
     return w.astype(np.float32), bias
 
 

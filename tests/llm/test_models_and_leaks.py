@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -116,6 +117,39 @@ def test_toxicity_locates_and_edges(spark):
     assert T.score_toxicity(df, nothing).where("toxicity > 0").count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcé", k=rng.randint(1, 6))) for _ in range(60)]
+    weights = np.zeros(1 << T.BITS, np.float32)
+    for w in vocabulary[:20]:
+        weights[T.features(w)[-1]] = rng.choice([-1.5, 0.75, 6.5, 9.25])
+    docs = [(i, "".join(rng.choice([" ", " ", ". ", "! ", "\n", "?? "]) + rng.choice([str.upper, str, str.title])(rng.choice(vocabulary)) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    docs += [(100, None), (101, ""), (102, "İ. " + vocabulary[0] + ".\n\n"), (103, (vocabulary[1] + ". ") * 20_000)]
+
+    def plain(text):
+        clean, sentence = 1.0, ""
+        for c, follows in zip(text, [*text[1:], ""]):
+            sentence += c
+            if c in ".!?\n" and (follows == "" or follows not in ".!?\n") or follows == "":
+                own, word = set(), ""
+                for x in sentence.lower() + " ":
+                    if x.isalnum() or x == "_":
+                        word += x
+                    else:
+                        own |= {word} if word else set()
+                        word = ""
+                z = sum(float(sum(weights[k] for k in T.features(w))) for w in own)
+                if z:
+                    clean *= 1 - 1 / (1 + math.exp(8 - z))
+                sentence = ""
+        return 1 - clean
+
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in T.score_toxicity(df, (weights, -8.0)).collect()}
+    want = {d: plain((t or "").replace("İ", "i")) for d, t in docs}
+    assert max(got.values()) > 0.5 and got == {d: pytest.approx(p, abs=1e-6) for d, p in want.items()}
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(0)
     w = rng.standard_normal(6) * 0.3
