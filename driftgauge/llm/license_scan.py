@@ -9,13 +9,15 @@ Words that stand twice in a text are no anchors, so each text is also cut into s
 up to three template lengths that hold enough template words. In a stretch the
 longest common subsequence is taken, at the place where it is shortest, and what lies
 before and behind is searched again. All places are reported; the best coverage counts.
+An alignment whose words lie scattered, over more than ``SPREAD`` template lengths of text,
+is none: only what stands within a stretch counts.
 
 A template is aligned only with texts that hold a given share of its distinct words,
 counted, not sampled: coverage can't reach ``least`` otherwise, as each aligned word is
 a word of the text. Stretches are filtered in the same way; both filters are exact.
 
-One narrow pass over all whole texts; templates are parameters of the job, a handful of
-short texts. The alignment works on the part of the text that lies between the first and
+One narrow pass over all whole texts; templates are parameters of the job, a dictionary or
+a table (name, text) of up to ``MOST_TEMPLATES`` rows, which is checked. The alignment works on the part of the text that lies between the first and
 last template word, with a stack and no recursion limit.
 
 Nulls: a null or blank text, or a template without words, has no rows. Repeated rows are
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+SPREAD = 3
+MOST_TEMPLATES = 10_000
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 _GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -136,7 +140,7 @@ def places(own: list[str], template: list[str], least: float) -> list[tuple[int,
     found: list[tuple[int, int, int]] = []
     a = 0
     while a < len(own):
-        b = min(a + 3 * n, len(own))
+        b = min(a + SPREAD * n, len(own))
         have = Counter(w for w in own[a:b] if w in count)
         best, end = lcs_ends(own[a:b], ahead, n) if sum(min(c, count[w]) for w, c in have.items()) >= need else (0, 0)
         if best < need:
@@ -171,19 +175,25 @@ class Scanner:
                 continue
             at = [i for i, w in enumerate(own) if w in count]
             pairs = patience(own[at[0] : at[-1] + 1], template)
+            close = bool(pairs) and pairs[-1][0] - pairs[0][0] < SPREAD * len(template)
             where = places(own, template, self.least)
-            n = max([len(pairs), *[k for _, _, k in where]])
+            n = max([len(pairs) if close else 0, *[k for _, _, k in where]])
             if n >= self.least * len(template):
                 where = where or [(at[0] + pairs[0][0], at[0] + pairs[-1][0] + 1, n)]
                 found.append((name, n / len(template), n, [{"begin": a, "end": b} for a, b, _ in where]))
         return found
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, coverage, n_words, places) of each text and template with a coverage of ``least`` or more.
 
     ``places`` are ranges of the text's words.
     """
+    if isinstance(templates, DataFrame):
+        rows = templates.select("name", "text").where("name is not null and text is not null").limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = {str(r["name"]): r["text"] for r in rows}
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 

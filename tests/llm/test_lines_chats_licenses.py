@@ -143,3 +143,39 @@ def test_licenses(spark):
     assert words("The GNU-GPL, v3.0.") == ["the", "gnu-gpl", "v3.0"]
     assert scan_licenses(df.limit(0)).count() == 0
     assert scan_licenses(df, {"t": "  "}).count() == 0
+
+
+def test_license_coverage_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"word{k}" for k in range(30)]
+    templates = spark.createDataFrame([("a", " ".join(rng.choices(vocabulary, k=40))), ("b", " ".join(rng.choices(vocabulary, k=25))), ("none", None)], "name string, text string")
+    known = {r["name"]: words(r.text) for r in templates.collect() if r.text}
+    docs = []
+    for i in range(60):
+        t = list(known["ab"[i % 2]])
+        for _ in range(rng.choice([0, 2, 5, 9])):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], ["other"], [rng.choice(vocabulary), t[k]]])
+        docs.append((i, " ".join(["before"] * rng.randint(0, 5) + t + ["after"] * rng.randint(0, 5))))
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            new = [0]
+            for j, v in enumerate(y):
+                new.append(row[j] + 1 if w == v else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    want = {(d, n): lcs(words(t), w) for d, t in docs for n, w in known.items()}
+    want = {k: v for k, v in want.items() if v >= 0.8 * len(known[k[1]])}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.license): r.n_words for r in scan_licenses(df, templates).collect()} == want
+
+
+def test_license_words_that_lie_scattered():
+    scan = Scanner(TEMPLATES, 0.8)
+    far = "Released " + "x " * 3000 + "under " + "y " * 3000 + "the " + "z " * 2000 + "MIT license"
+    assert [x[0] for x in scan(far)] == [] and [x[0] for x in scan("so. Released under the MIT License. ok")] == ["mit"]
