@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, is a temporary one set.
+    Only where the session names none and runs on one machine, as in tests, is a temporary one set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="driftgauge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
