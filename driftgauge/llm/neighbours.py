@@ -11,8 +11,8 @@ Index
    within each stretch of an order all pairs are compared.
 4. NN-descent: around every node its neighbours, and the best of those that name it, are
    compared with each other, and each takes what is better than its worst neighbour.
-   Nodes are joined stretch by stretch: a stretch receives each vector it needs once,
-   and sends back only improvements. Lists hold ``degree`` neighbours, so what a node
+   Nodes are joined area by area, some neighbouring stretches of the first order: an area
+   receives each vector it needs once, and sends back only improvements. Lists hold ``degree`` neighbours, so what a node
    sends and receives is bounded. Steps are repeated until under ``QUIET`` of all list
    places change in one.
 
@@ -20,7 +20,7 @@ Search: equal queries are one. From a start node, the best ``EXPANDED`` of each
 unexpanded nodes are joined with their neighbours, and of what these score the best
 ``beam`` stay; it goes on until no query has an unexpanded node among its best, however
 many hops that takes. (It ends: what falls out of the best never comes back.) Candidates
-are scored in cells: the queries of a stretch, and an ``PARTS``-th of all nodes. A cell
+are scored in cells: the queries of two stretches, and an ``PARTS``-th of all nodes. A cell
 receives each vector and each query it needs once, and sends back only what is better
 than a query's worst. The hops score in single precision; scores and ranks of the result
 are inner products of the given vectors in double precision.
@@ -48,11 +48,13 @@ from pyspark.sql import functions as F
 from .common import discard, stored, table
 
 DEGREE = 40
-ORDERS = 8
+ORDERS = 5
 STRETCH = 512
-QUIET = 0.002
+#: Nodes of a sorted part, and the least and most of an area.
+SPAN, AREA = 4096, (1024, 250_000)
+QUIET = 0.02
 BEAM = 224
-EXPANDED = 32
+EXPANDED = 64
 PARTS = 8
 
 
@@ -107,7 +109,7 @@ def _lists(node, nbrs, sims, **more):
 
 
 def _stretches(batches):
-    """All pairs within each stretch of the sorted rows."""
+    """All pairs within each stretch of the sorted rows, and the number of the stretch along all of them."""
     part = TaskContext.get().partitionId()
     node, y = [], []
     for b in batches:
@@ -121,7 +123,7 @@ def _stretches(batches):
         sims = similarities(y[rows])
         np.fill_diagonal(sims, -np.inf)
         top = _best(sims, min(DEGREE, len(rows) - 1)) if len(rows) > 1 else np.zeros((len(rows), 0), np.int64)
-        yield _lists(node[rows], list(node[rows][top]), list(np.take_along_axis(sims, top, 1)), stretch=pa.array([(part << 20) + at // 2] * len(rows), pa.int64()))
+        yield _lists(node[rows], list(node[rows][top]), list(np.take_along_axis(sims, top, 1)), stretch=pa.array([part * SPAN // STRETCH + min(at, SPAN // STRETCH - 1)] * len(rows), pa.int64()))
 
 
 def _merge(batches):
@@ -206,14 +208,17 @@ class Index:
         prepared = one.select("node", "v").mapInArrow(_prepare(float(np.sqrt(stats.n2 or 0.0)), middle, seed), "node long, x binary, y binary, codes array<int>")
         nodes = stored(prepared, "nodes")
         self.nodes = nodes.select("node", "x", "y")
-        parts = max(1, self.size // 4096)
+        parts = max(1, self.size // SPAN)
+        # areas grow with the nodes, by less than these, so that a node's neighbourhood is spread over few of them
+        area = min(max(AREA[0] * (self.size / 10_000) ** (2 / 3), AREA[0]), AREA[1])
         first = None
         for o in range(ORDERS):
             spread = nodes.select("node", "y", F.element_at("codes", o + 1).alias("c"), F.xxhash64("node").alias("h"))
             lists = spread.repartitionByRange(parts, "c", "h").sortWithinPartitions("c", "h").select("node", "y").mapInArrow(_stretches, LISTS + ", stretch long")
             lists = stored(lists, "lists")
             if o == 0:
-                places = lists.select("node", "stretch")
+                near = lists.select("node", F.floor(F.col("stretch") / 2).cast("long").alias("stretch"))
+                places = lists.select("node", F.floor(F.col("stretch") / max(1, round(area / STRETCH))).cast("long").alias("stretch"))
             first = lists.drop("stretch") if first is None else first.unionByName(lists.drop("stretch"))
         graph, news = stored(merged(first), "graph"), self.size
         while news > QUIET * DEGREE * self.size:
@@ -221,7 +226,7 @@ class Index:
             discard(last)
             news = graph.agg(F.sum("news")).first()[0] or 0
         # a search also goes from a node to the best of those that name it
-        self.places = stored(places, "places")
+        self.places = stored(near, "places")
         self.graph = stored(around_each(graph).groupBy("node").agg(F.collect_set("m").alias("nbrs")), "ways")
         discard(graph)
 
