@@ -14,8 +14,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
@@ -24,6 +25,9 @@ from .splits import stratified_kfold
 
 
 def _vectors(df: DataFrame) -> DataFrame:
+    """``_v`` and ``label``; features that are vectors, as those of texts, stay as they are."""
+    if isinstance(df.schema["features"].dataType, VectorUDT):
+        return df.withColumns({"_v": F.col("features"), "label": F.col("y").cast("double")})
     return df.withColumns({"_v": array_to_vector(F.col("features").cast("array<double>")), "label": F.col("y").cast("double")})
 
 
@@ -53,11 +57,15 @@ class Head:
 
 
 def fit_logreg(train: DataFrame, c: float = 1.0, balanced: bool = True) -> Head:
-    """Standardised logistic regression with L2 strength 1 / C, as a mean loss: regParam = 1 / (C n)."""
+    """Standardised logistic regression with L2 strength 1 / C, as a mean loss: regParam = 1 / (C n).
+
+    Sparse vectors are not standardised, which would fill them.
+    """
+    sparse = isinstance(train.schema["features"].dataType, VectorUDT)
     rows, n = balanced_weights(train) if balanced else (train.withColumn("w", F.lit(1.0)), train.count())
     scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True)
-    lr = LogisticRegression(featuresCol="_s", labelCol="label", weightCol="w", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=200, tol=1e-8)
-    return Head(Pipeline(stages=[scaler, lr]).fit(_vectors(rows)))
+    lr = LogisticRegression(featuresCol="_v" if sparse else "_s", labelCol="label", weightCol="w", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=200, tol=1e-8)
+    return Head(Pipeline(stages=[lr] if sparse else [scaler, lr]).fit(_vectors(rows)))
 
 
 def fit_ridge(train: DataFrame, alpha: float = 1.0) -> Head:
@@ -238,21 +246,47 @@ def family_drift(pre: DataFrame, post: DataFrame, k: int = 5, family: str = "fam
     return M.classification_report(both, ["part"])
 
 
-def text_features(weights: DataFrame, ids: DataFrame, id_col: str, width: int = 1024) -> DataFrame:
-    """Dense features (array<double>) from (id, gram, tfidf) by hashing grams into ``width`` columns."""
-    rows = weights.groupBy(id_col, F.pmod(F.xxhash64("gram"), F.lit(width)).cast("int").alias("i")).agg(F.sum("tfidf").alias("v"))
-    maps = rows.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return ids.join(maps, id_col, "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>"))).withColumn("features", dense).drop("m")
+def text_features(weights: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``ids`` with ``features``, a sparse vector over the vocabulary of (id, gram, tfidf), in gram order.
+
+    The vocabulary is bounded by ``max_features`` of ``tfidf``, so its numbers are broadcast.
+    """
+    grams = weights.select("gram").distinct()
+    numbers = grams.select("gram", (F.row_number().over(Window.orderBy("gram")) - 1).alias("i"))
+    size = max(grams.count(), 1)
+    vector = F.udf(lambda i, v: Vectors.sparse(size, i or [], v or []), VectorUDT())
+    rows = weights.join(F.broadcast(numbers), "gram").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "tfidf"))).alias("x"))
+    return ids.join(rows, id_col, "left").withColumn("features", vector("x.i", "x.tfidf")).drop("x")
 
 
-def text_baseline(train: DataFrame, test: DataFrame, id_col: str, max_features: int = 2000, width: int = 256, clf: str = "lr", **how) -> DataFrame:
+def text_baseline(train: DataFrame, test: DataFrame, id_col: str, max_features: int = 50_000, clf: str = "lr", **how) -> DataFrame:
     """Scores of ``test`` (id, y, text) by TF-IDF and a logistic or boosted head; vocabulary from train alone."""
     from .features import tfidf
 
     both = train.withColumn("_p", F.lit("train")).unionByName(test.withColumn("_p", F.lit("test")))
     weights = tfidf(train, both.select(id_col, "text"), id_col, max_features=max_features, **how)
-    rows = text_features(weights, both.select(id_col, "y", "_p"), id_col, width).cache()
+    rows = text_features(weights, both.select(id_col, "y", "_p"), id_col).cache()
     fit = rows.where("_p = 'train'")
     head = fit_logreg(fit) if clf == "lr" else Head(GBTClassifier(featuresCol="_v", labelCol="label", maxIter=50, maxDepth=5, stepSize=0.1, seed=42).fit(_vectors(fit)))
     return head.score(rows.where("_p = 'test'")).select(id_col, "y", "score")
+
+
+def text_cv(docs: DataFrame, id_col: str, k: int = 5, seed: int = 42, **how) -> DataFrame:
+    """Out-of-fold scores (id, y, score, fold) of (id, y, text): each fold by a vocabulary and head of the others."""
+    folded = stratified_kfold(docs, k, "y", id_col, seed)
+    parts = []
+    for r in folded.select("fold").distinct().orderBy("fold").collect():
+        inside = F.col("fold") == r.fold
+        parts.append(text_baseline(folded.where(~inside).drop("fold"), folded.where(inside).drop("fold"), id_col, **how).withColumn("fold", F.lit(r.fold)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def text_folds(docs: DataFrame, folds: DataFrame, id_col: str, **how) -> DataFrame:
+    """Scores (fold, id, y, score) of the test rows of given folds (fold, id, split), each by its own train rows."""
+    rows = docs.join(folds.select("fold", id_col, "split"), id_col)
+    parts = []
+    for r in folds.select("fold").distinct().orderBy("fold").collect():
+        own = rows.where(F.col("fold") == r.fold).select(id_col, "y", "text", "split")
+        scored = text_baseline(own.where("split = 'train'").drop("split"), own.where("split = 'test'").drop("split"), id_col, **how)
+        parts.append(scored.withColumn("fold", F.lit(r.fold)))
+    return reduce(DataFrame.unionByName, parts)

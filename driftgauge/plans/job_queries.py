@@ -59,7 +59,7 @@ def select_c(spark, d):
 @query("m2_select_gamma_cv")
 def select_gamma(spark, d):
     rows = one_layer(spark, d)
-    return rows.groupBy("y").agg(F.count("*").alias("n")).withColumn("gamma", F.lit(L.select_gamma_cv(rows.select("sample_id", "y", "features"), k=3)))
+    return rows.groupBy("y").agg(F.count("*").alias("n")).withColumn("gamma", F.lit(L.select_gamma_cv(rows.select("sample_id", "y", "features"))))
 
 
 @query("m3_fit_ridge")
@@ -70,7 +70,7 @@ def ridge(spark, d):
 
 @query("m4_cv_scores")
 def cv(spark, d):
-    return L.cv_scores(one_layer(spark, d).drop("split"), [], k=3)
+    return L.cv_scores(one_layer(spark, d).drop("split"), [])
 
 
 @query("m5_compare_classifiers")
@@ -82,19 +82,32 @@ def classifiers(spark, d):
 @query("m6_fit_mlp")
 def mlp(spark, d):
     rows = one_layer(spark, d)
-    return L.fit_mlp(rows.where("split = 'train'"), (32, 16), 30).score(rows.where("split = 'test'")).select("sample_id", "y", "score")
+    return L.fit_mlp(rows.where("split = 'train'")).score(rows.where("split = 'test'")).select("sample_id", "y", "score")
 
 
 @query("m7_family_drift")
 def drift(spark, d):
     e = V.layer_emb(spark, d).where("layer = 1").select("sample_id", "family", F.col("embedding").alias("features"))
-    return L.family_drift(e.where("sample_id % 2 = 0"), e.where("sample_id % 2 = 1"), k=2)
+    return L.family_drift(e.where("sample_id % 2 = 0"), e.where("sample_id % 2 = 1"))
 
 
 @query("m8_text_baseline")
 def text(spark, d):
     r = V.reports(spark, d).select("sample_id", F.col("label").alias("y"), "text")
-    return L.text_baseline(r.where("sample_id % 5 > 0"), r.where("sample_id % 5 = 0"), "sample_id", max_features=500, width=64)
+    return L.text_baseline(r.where("sample_id % 5 > 0"), r.where("sample_id % 5 = 0"), "sample_id")
+
+
+@query("m8_text_cv")
+def text_cv(spark, d):
+    return L.text_cv(V.reports(spark, d).select("sample_id", F.col("label").alias("y"), "text"), "sample_id")
+
+
+@query("m8_text_folds")
+def text_folds(spark, d):
+    r = V.reports(spark, d).select("sample_id", F.col("label").alias("y"), "text", "lang")
+    held = r.select(F.col("lang").alias("fold")).distinct()
+    folds = r.select("sample_id", "lang").crossJoin(held).select("fold", "sample_id", F.when(F.col("lang") == F.col("fold"), "test").otherwise("train").alias("split"))
+    return L.text_folds(r.drop("lang"), folds, "sample_id")
 
 
 @query("e1_layer_profile")
@@ -148,7 +161,7 @@ def family_stability(spark, d):
 
 @query("e4_cv_layers")
 def cv_layers(spark, d):
-    return J.cv_layers(V.layer_emb(spark, d), k=3)
+    return J.cv_layers(V.layer_emb(spark, d))
 
 
 @query(
@@ -181,7 +194,15 @@ def folds(spark, d):
 def ablation(spark, d):
     r = V.reports(spark, d).select("sample_id", F.col("label").alias("y"), "text")
     split = r.select("sample_id", F.when(F.col("sample_id") % 5 == 0, "test").otherwise("train").alias("split"))
-    return J.identifier_ablation(r, split, width=64, max_features=300)
+    return J.identifier_ablation(r, split)
+
+
+@query("e7_identifier_ablation_layers")
+def ablation_layers(spark, d):
+    r = V.reports(spark, d).select("sample_id", F.col("label").alias("y"), "text")
+    k = F.col("sample_id") % 5
+    split = r.select("sample_id", F.when(k == 0, "test").when(k == 1, "val").otherwise("train").alias("split"))
+    return J.identifier_ablation_layers(r, split, X.hash_encoder())
 
 
 @query("e8_masking_report", V.VARIANTS_SQL + f", {V.COUNTED_SQL} SELECT sample_id, variant, approx_tokens, token_delta, {V.INDICATORS_SQL} FROM counted")
@@ -201,6 +222,24 @@ def prepare(spark, d):
     return J.prepare_dataset(man, V.reports(spark, d), T1, T2)[1].withColumn("rate", F.round("rate", 6))
 
 
+@query(
+    "e9_prepare_drift_dataset",
+    """WITH r AS (SELECT source AS family, CASE WHEN doc_id % 2 = 0 THEN 'pre-drift' ELSE 'post-drift' END AS state FROM documents JOIN labels USING (doc_id))
+SELECT state, family, count(*) AS n, grouping(state, family)::BIGINT AS level FROM r GROUP BY GROUPING SETS ((state), (family, state), ())""",
+)
+def prepare_drift(spark, d):
+    r = V.reports(spark, d)
+    state = F.when(F.col("sample_id") % 2 == 0, "pre-drift").otherwise("post-drift")
+    labels = r.select(F.col("sample_id").cast("string").alias("sha256"), "family", "label", state.alias("state"))
+    return J.prepare_drift_dataset(labels, r)[1]
+
+
+@query("e9_prepare_family_dataset")
+def prepare_family(spark, d):
+    m = V.manifest(spark, d)
+    return J.prepare_family_dataset(m.withColumn("label", 1 - F.col("label")), ratio=0.02)[1]
+
+
 @query("s3_read_manifest", "SELECT event_id::VARCHAR AS sample_id, date_trunc('second', ts) AS first_seen, event_type AS family FROM events")
 def read_manifest(spark, d):
     at = f"{scratch(spark)}.csv"

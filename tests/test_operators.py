@@ -269,3 +269,17 @@ def test_large_groups_are_fitted_too(spark):
         assert np.allclose(np.array([r.c, r.score], float), np.array([want[k].c, want[k].score], float), atol=0.01, equal_nan=True)
     scores = L.cv_scores(df.where("layer = 1"), ["layer"], k=2, max_train=50)
     assert scores.count() == 240
+
+
+def test_text_baseline_over_sparse_vectors(spark):
+    docs = [(i, i % 2, f"{'bad grub' if i % 2 else 'good day'} word{i % 7} and more w{i}") for i in range(60)] + [(60, 0, None), (61, 1, "")]
+    df = spark.createDataFrame(docs, "sample_id long, y int, text string")
+    train, test = df.where("sample_id % 3 > 0"), df.where("sample_id % 3 = 0")
+    from driftgauge.operators import features as X
+
+    weights = X.tfidf(train, df.select("sample_id", "text"), "sample_id")
+    rows = {r.sample_id: r.features for r in L.text_features(weights, df.select("sample_id", "y"), "sample_id").collect()}
+    assert len(rows) == 62 and rows[60].numNonzeros() == 0 and len({v.size for v in rows.values()}) == 1
+    assert abs(rows[1].norm(2) - 1) < 1e-9
+    got = {r.sample_id: r.score for r in L.text_baseline(train, test, "sample_id").collect()}
+    assert all((got[i] > 0.5) == bool(y) for i, y, _ in docs if i in got and i < 60)
