@@ -124,7 +124,9 @@ def _fingerprints(min_words: int, long_words: int) -> Column:
     window = lambda i, n: mark(F.xxhash64(F.lit(n), F.slice("h1", i + 1, F.lit(n))), i, n)
     nine = F.transform("t9", lambda w, i: F.when((w >= min_words) & _fewer(F.col("t3"), i, 7, min_words), window(i, 9)))
     many = F.transform(_sums("t9", 9), lambda w, i: F.when((w >= min_words) & _fewer(F.col("t9"), i, 19, min_words), window(i, 27)))
-    return F.concat(pairs, F.filter(F.concat(alone, nine, many), lambda m: m.isNotNull()))
+    # where every three lines hold enough, longer windows add nothing
+    windows = F.when(F.array_min("t3") < min_words, F.concat(alone, nine, many)).otherwise(alone)
+    return F.concat(pairs, F.filter(windows, lambda m: m.isNotNull()))
 
 
 def _span(p: Column, n: Column) -> Column:

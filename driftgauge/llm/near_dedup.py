@@ -339,7 +339,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
 
 def one_of_each_class(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
     """``docs`` with one row of each class: the smallest id, a null id last, and of rows alike in id the
-    first text by hash. Rows without a word all stay, as each is a class of its own.
+    first text by hash. Texts without a word have no shingles, but equal ones are exact copies,
+    of which one row stays too (null, empty and blank texts differ).
     """
     named = _classes(docs, threshold, id_col, text_col, weighted)
     chosen = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")).alias("x")).select("x.id", "x.t1", "x.t2")
@@ -350,7 +351,8 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8, id_col: str = "do
     twice = kept.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2")
     once = kept.join(twice, ["t1", "t2"], "left_anti").select("_row")
     one = kept.join(twice, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("_row").alias("_row")).select("_row")
-    blank = keyed.where(~F.coalesce(F.col("_row")[text_col].cast("string").rlike("\\S"), F.lit(False))).select("_row")
+    blank = keyed.where(~F.coalesce(F.col("_row")[text_col].cast("string").rlike("\\S"), F.lit(False)))
+    blank = blank.groupBy("t1", "t2", F.col("_row")[text_col].isNull()).agg(F.min_by("_row", F.struct(F.col("_id").isNull(), F.col("_id"))).alias("_row")).select("_row")
     return once.unionByName(one).unionByName(blank).select("_row.*")
 
 

@@ -91,7 +91,7 @@ def test_one_row_of_each_class_stays(spark):
     out = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
     first = [x for x in out if x[0] == "1"]
     assert len(first) == 1 and first[0][1] in (text, near)
-    assert [x for x in out if x[0] != "1"] == sorted([("3", rows[4][1]), ("None", rows[6][1]), ("4", "None"), ("4", "None"), ("5", " "), ("6", "x y")])
+    assert [x for x in out if x[0] != "1"] == sorted([("3", rows[4][1]), ("None", rows[6][1]), ("4", "None"), ("5", " "), ("6", "x y")])
     assert nd.one_of_each_class(df.limit(0)).count() == 0
 
 

@@ -35,7 +35,9 @@ def test_stages_equal_brute_force(spark, sf):
 
     near = step("near_dedup", lines)
     rows = sorted(texts(lines).items())
-    assert set(texts(near)) == {int(d) for d, c in classes(rows) if d == c}
+    # of equal texts without a word the first stays
+    blank = {t: d for d, t in reversed(rows) if not (t or "").split()}
+    assert set(texts(near)) == {int(d) for d, c in classes(rows) if d == c and ((t := dict(rows)[int(d)]) not in blank or blank[t] == int(d))}
 
     items = [D.plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     free = step("decontamination", near)
