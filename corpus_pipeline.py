@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class, that with the smallest id; all rows without a word."""
+    """One row of each class, that with the smallest id; of equal texts without a word one too."""
     return one_of_each_class(docs)
 
 
