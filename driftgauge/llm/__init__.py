@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat_format, decontamination, license_scan, line_dedup, lm_scoring, near_dedup, neighbours, packing, token_counts, token_files, toxicity
+    from . import chat_format, decontamination, license_scan, line_dedup, lm_scoring, near_dedup, neighbours, packing, token_alignment, token_counts, token_files, toxicity, whitening
 
     import corpus_pipeline
 
@@ -25,7 +25,9 @@ def queries() -> dict:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
         "op12_token_files": token_files.op12_token_files,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
