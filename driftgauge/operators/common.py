@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one (spark.checkpoint.dir); a temporary one only on one machine, where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="driftgauge-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: it is computed once, and lost executors don't matter."""
+    spark = df.sparkSession
+    at = scratch(spark)
+    df.write.parquet(at)
+    return spark.read.schema(schema or df.schema).parquet(at)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -6,22 +6,24 @@ the probability of class 1, or a value that rises with it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from . import heads as H
 from . import metrics as M
-from .common import join_on
+from . import solvers as S
+from .common import join_on, stored
+from .features import tfidf
 from .splits import stratified_kfold
+from .text_heads import fit_text_folds, text_cv, text_folds  # noqa: F401
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -68,11 +70,33 @@ def fit_logreg(train: DataFrame, c: float = 1.0, balanced: bool = True) -> Head:
     return Head(Pipeline(stages=[lr] if sparse else [scaler, lr]).fit(_vectors(rows)))
 
 
-def fit_ridge(train: DataFrame, alpha: float = 1.0) -> Head:
-    """Ridge on +-1 targets, balanced; score tables are min-max normalised by ``normalize_scores``."""
-    rows, n = balanced_weights(train)
-    rows = _vectors(rows).withColumn("label", 2.0 * F.col("label") - 1)
-    return Head(LinearRegression(featuresCol="_v", labelCol="label", weightCol="w", regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False).fit(rows))
+class LinearHead:
+    """One row of weights and intercept."""
+
+    def __init__(self, head: DataFrame):
+        self.head = head
+
+    def score(self, df: DataFrame) -> DataFrame:
+        both = df.drop("score").crossJoin(F.broadcast(self.head.select(F.col("weights").alias("_w"), F.col("intercept").alias("_b"))))  # one row
+        return both.withColumn("score", H.linear_score("features", "_w", "_b")).drop("_w", "_b")
+
+
+def fit_ridge(train: DataFrame, alpha: float = 1.0, scaled: bool = True) -> LinearHead:
+    """Ridge on +-1 targets, balanced, over standardised columns; score tables are min-max normalised by ``normalize_scores``.
+
+    Solved from sums over the rows, in one pass after their mean.
+    """
+    member = F.array(F.struct(F.lit(0).alias("k"), F.lit("train").alias("split")))
+    return LinearHead(stored(H.ridge_heads(train.select("y", "features", member.alias("m"), F.lit(0).alias(H.ALL)), [H.ALL], alpha, scaled=scaled)))
+
+
+def cv_ridge(df: DataFrame, keys: list[str], k: int = 5, alpha: float = 1.0, seed: int = 42, scaled: bool = True) -> DataFrame:
+    """Out-of-fold ridge scores; a fold's training sums are those of all other folds."""
+    own = keys or [H.ALL]
+    rows = _folded(df if keys else df.withColumn(H.ALL, F.lit(0)), k, seed)
+    heads = H.ridge_heads(rows, own, alpha, scaled=scaled).withColumnRenamed("k", "fold")
+    out = join_on(rows, heads, [*own, "fold"])
+    return out.select(*keys, F.col("fold").alias("held"), "sample_id", "y", H.linear_score("features", "weights", "intercept").alias("score"))
 
 
 def compare_classifiers(train: DataFrame, test: DataFrame, trees: int = 200, target_fpr: float = 0.01) -> DataFrame:
@@ -121,106 +145,57 @@ def select_c(train: DataFrame, val: DataFrame, metric: str = "macro_f1", grid=(0
     return best[1], best[2]
 
 
-def newton_logreg(x: np.ndarray, y: np.ndarray, c: float, balanced: bool = True, steps: int = 50) -> tuple[np.ndarray, float]:
-    """The minimum of |w|^2 / 2 + C * weighted log loss, by Newton steps with halving."""
-    n, d = x.shape
-    s = np.where(y == 1, n / (2 * max(y.sum(), 1)), n / (2 * max((1 - y).sum(), 1))) if balanced else np.ones(n)
-    z = np.hstack([x, np.ones((n, 1))])
-    w = np.zeros(d + 1)
-    ridge = np.r_[np.ones(d), 0.0]
-    loss = lambda w: 0.5 * (ridge * w * w).sum() + c * (s * (np.logaddexp(0, z @ w) - y * (z @ w))).sum()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        g = ridge * w + c * z.T @ (s * (p - y))
-        h = np.diag(ridge + 1e-10) + c * (z * (s * p * (1 - p))[:, None]).T @ z
-        move, size, now = np.linalg.solve(h, g), 1.0, loss(w)
-        while size > 1e-6 and loss(w - size * move) > now:
-            size /= 2
-        w = w - size * move
-        if np.abs(size * move).max() < 1e-9:
-            break
-    return w[:d], float(w[d])
-
-
-def _large_logreg(df: DataFrame, keys: list[str], grid) -> DataFrame:
-    """``grouped_logreg`` of one large group: a distributed fit for each C."""
-    rows = df.select(*keys, "sample_id", "split", F.col("y").cast("int").alias("y"), "features").cache()
-    train, val, rest = rows.where("split = 'train'"), rows.where("split = 'val'"), rows.where(~F.col("split").eqNullSafe("train"))
-    columns = [*keys, "sample_id", "split", "y", "c", "score"]
-    if train.select("y").distinct().count() < 2:
-        out = rest.withColumns({"c": F.lit(None).cast("double"), "score": F.lit(None).cast("double")})
-    else:
-        best = None
-        for c in grid:
-            head = fit_logreg(train, c)
-            row = M.confusion(head.score(val), [], 0.5).first() if len(grid) > 1 else None
-            f1 = (row.macro_f1 if row else None) or 0.0
-            if best is None or f1 > best[0]:
-                best = (f1, c, head)
-        out = best[2].score(rest).withColumn("c", F.lit(float(best[1])))
-    rows.unpersist()
-    return out.select(*columns)
-
-
-def grouped_logreg(df: DataFrame, keys: list[str], grid=(0.01, 0.1, 1.0), max_train: int = 20_000) -> DataFrame:
+def newton_logreg(x: np.ndarray, y: np.ndarray, c: float, balanced: bool = True) -> tuple[np.ndarray, float]:
+    """The minimum of |w|^2 / 2 + C * weighted log loss."""
+    n1 = int((y == 1).sum())
+    w0, w1 = S.class_weights(len(y) - n1, n1, balanced)
+    s = np.where(y == 1, w1, w0)
+    w = S.run(S.newton(x.shape[1]), lambda w: S.direction(w, c, *H.derivatives(x, y, s, w)))
+    return w[:-1], float(w[-1])
+
+
+def grouped_logreg(df: DataFrame, keys: list[str], grid=(0.01, 0.1, 1.0), max_train: int = 20_000, balanced: bool = True, metric: str = "macro_f1") -> DataFrame:
     """Scores of the val and test rows of each group (say, layer and fold) from a head of its own.
 
-    Needs columns sample_id, split, y, features. C is the first of the grid with the best
-    macro F1 on val. Small groups are one grouped job, each fitted in one task; the rows
-    are counted first, and a group of more than ``max_train`` is fitted by ``fit_logreg``,
-    over the whole cluster, with the same columns.
+    Needs columns sample_id, split, y, features. C is the first of the grid with the best ``metric`` (macro_f1, or
+    a tpr such as tpr_0_001) on val. Groups of up to ``max_train`` rows are each fitted in a task, larger
+    ones over the whole cluster, all at once; the optimum is the same.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_train).collect()
-    if large:
-        own = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys], F.lit(True)) for r in large]
-        small = df.where(~reduce(lambda a, b: a | b, own))
-        return reduce(DataFrame.unionByName, [_large_logreg(df.where(o), keys, grid) for o in own], grouped_logreg(small, keys, grid, max_train))
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    kind = df.schema["sample_id"].dataType.simpleString()
-
-    def macro(y: np.ndarray, hit: np.ndarray) -> float:
-        f = lambda a, b: 2 * (a & b).sum() / max(a.sum() + b.sum(), 1)
-        return (f(y == 1, hit) + f(y == 0, ~hit)) / 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["features"].tolist(), np.float64)
-        y, part = pdf["y"].to_numpy(), pdf["split"].to_numpy()
-        t = part == "train"
-        out = pdf[[*keys, "sample_id", "split", "y"]].copy()
-        if len(set(y[t])) < 2:
-            return out.assign(c=np.nan, score=np.nan)[~t]
-        mean, std = x[t].mean(0), x[t].std(0)
-        x = (x - mean) / np.where(std == 0, 1, std)
-        best = None
-        for c in grid:
-            w, b = newton_logreg(x[t], y[t], c)
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500)))
-            v = part == "val"
-            f1 = macro(y[v], p[v] > 0.5)
-            if best is None or f1 > best[0]:
-                best = (f1, c, p)
-        return out.assign(c=best[1], score=best[2])[~t]
-
-    return df.select(*keys, "sample_id", "split", "y", "features").groupBy(*keys).applyInPandas(run, f"{fields}, sample_id {kind}, split string, y int, c double, score double")
+    own = keys or [H.ALL]
+    rows = (df if keys else df.withColumn(H.ALL, F.lit(0))).withColumn("m", F.array(F.struct(F.lit(0).alias("k"), "split")))
+    scores = H.choose_c(H.fit_heads(rows, own, tuple(grid), balanced, max_train), own, tuple(grid), metric)
+    return scores.select(*keys, "sample_id", "split", "y", "c", "score")
 
 
-def cv_scores(df: DataFrame, keys: list[str], k: int = 5, c: float = 1.0, seed: int = 42, **limits) -> DataFrame:
-    """Out-of-fold scores: every row is scored by the head of the folds it isn't in."""
+def _folded(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """``df`` with ``m``: a row is val for its own fold's head and trains the others'."""
     folded = stratified_kfold(df, k, "y", "sample_id", seed)
-    folds = folded.select("fold").distinct().withColumnRenamed("fold", "held")
-    rows = folded.crossJoin(F.broadcast(folds)).withColumn("split", F.when(F.col("fold") == F.col("held"), "val").otherwise("train"))
-    return grouped_logreg(rows, [*keys, "held"], grid=(c,), **limits).drop("split", "c")
+    last = folded.agg(F.max("fold")).first()[0]
+    split = lambda f: F.struct(f.cast("int").alias("k"), F.when(f == F.col("fold"), "val").otherwise("train").alias("split"))
+    return folded.withColumn("m", F.transform(F.sequence(F.lit(0), F.lit(last or 0)), split))
+
+
+def cv_scores(df: DataFrame, keys: list[str], k: int = 5, c: float = 1.0, seed: int = 42, **limits) -> DataFrame:
+    """Out-of-fold scores: every row is scored by the head of the folds it isn't in (``held``). Rows aren't copied for the folds."""
+    own = keys or [H.ALL]
+    rows = _folded(df if keys else df.withColumn(H.ALL, F.lit(0)), k, seed)
+    scores = H.choose_c(H.fit_heads(rows, own, (c,), **limits), own, (c,))
+    return scores.select(*keys, F.col("k").alias("held"), "sample_id", "y", "score")
 
 
-def select_gamma_cv(df: DataFrame, grid=(0.01, 0.1, 1.0), k: int = 5, seed: int = 42) -> float:
-    """The gamma (1 / C) with the best cross-validated macro F1; close scores give the smaller, too few rows the last."""
+def select_gamma_cv(df: DataFrame, grid=(0.01, 0.1, 1.0), k: int = 5, seed: int = 42, **limits) -> float:
+    """The gamma (1 / C) with the best mean of the folds' macro F1; close means give the smaller, too few rows the last."""
     least = df.groupBy("y").count().agg(F.min("count"), F.count("*")).first()
     if least[1] < 2 or least[0] < 2:
         return grid[-1]
+    tried = sorted(grid)
+    scores = H.fit_heads(_folded(df.withColumn(H.ALL, F.lit(0)), k, seed), [H.ALL], tuple(1.0 / g for g in tried), **limits)
+    each = scores.where("scores is not null").select("k", "y", F.posexplode("scores").alias("i", "score"))
+    means = {r.i: r.f1 for r in M.confusion(each, ["k", "i"], 0.5).groupBy("i").agg(F.avg("macro_f1").alias("f1")).collect()}
     best = None
-    for g in sorted(grid):
-        f1 = M.confusion(cv_scores(df, [], k, 1.0 / g, seed), [], 0.5).first().macro_f1
-        if best is None or f1 > best[0] + 1e-12:
+    for i, g in enumerate(tried):
+        f1 = means.get(i, 0.0)
+        if best is None or f1 > best[0] + 1e-8 + 1e-5 * abs(best[0]):
             best = (f1, g)
     return best[1]
 
@@ -249,44 +224,32 @@ def family_drift(pre: DataFrame, post: DataFrame, k: int = 5, family: str = "fam
 def text_features(weights: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``ids`` with ``features``, a sparse vector over the vocabulary of (id, gram, tfidf), in gram order.
 
-    The vocabulary is bounded by ``max_features`` of ``tfidf``, so its numbers are broadcast.
+    The vocabulary is bounded by ``max_features`` of ``tfidf``, so the driver numbers it and it is broadcast. A vector is
+    written as the columns that it consists of and read as a vector, so none passes through Python.
     """
-    grams = weights.select("gram").distinct()
-    numbers = grams.select("gram", (F.row_number().over(Window.orderBy("gram")) - 1).alias("i"))
-    size = max(grams.count(), 1)
-    vector = F.udf(lambda i, v: Vectors.sparse(size, i or [], v or []), VectorUDT())
+    spark = ids.sparkSession
+    weights = stored(weights)
+    grams = sorted(r.gram for r in weights.select("gram").distinct().collect())
+    numbers = spark.createDataFrame(pd.DataFrame({"gram": grams, "i": np.arange(len(grams), dtype=np.int32)}), "gram string, i int")
     rows = weights.join(F.broadcast(numbers), "gram").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "tfidf"))).alias("x"))
-    return ids.join(rows, id_col, "left").withColumn("features", vector("x.i", "x.tfidf")).drop("x")
+    empty = F.array().cast("array<struct<i:int,tfidf:double>>")
+    x = F.coalesce("x", empty)
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(max(len(grams), 1)).alias("size"), x["i"].alias("indices"), x["tfidf"].alias("values"))
+    out = ids.join(rows, id_col, "left").withColumn("features", parts).drop("x")
+    return stored(out, StructType([*[f for f in out.schema.fields if f.name != "features"], StructField("features", VectorUDT())]))
 
 
 def text_baseline(train: DataFrame, test: DataFrame, id_col: str, max_features: int = 50_000, clf: str = "lr", **how) -> DataFrame:
-    """Scores of ``test`` (id, y, text) by TF-IDF and a logistic or boosted head; vocabulary from train alone."""
-    from .features import tfidf
+    """Scores of ``test`` (id, y, text) by TF-IDF and a logistic or boosted head; vocabulary from train alone.
 
-    both = train.withColumn("_p", F.lit("train")).unionByName(test.withColumn("_p", F.lit("test")))
+    The logistic head's columns are scaled, not centred (``scaled=False`` leaves them).
+    """
+    part = lambda d, t: d.select(id_col, "y", "text", F.array(F.struct(F.lit(0).alias("k"), F.lit(t).alias("train"))).alias("m"))
+    both = part(train, True).unionByName(part(test, False))
+    if clf == "lr":
+        return fit_text_folds(both, id_col, [0], max_features, **how).drop("fold")
+    both = both.withColumn("_p", F.col("m")[0]["train"])
     weights = tfidf(train, both.select(id_col, "text"), id_col, max_features=max_features, **how)
-    rows = text_features(weights, both.select(id_col, "y", "_p"), id_col).cache()
-    fit = rows.where("_p = 'train'")
-    head = fit_logreg(fit) if clf == "lr" else Head(GBTClassifier(featuresCol="_v", labelCol="label", maxIter=50, maxDepth=5, stepSize=0.1, seed=42).fit(_vectors(fit)))
-    return head.score(rows.where("_p = 'test'")).select(id_col, "y", "score")
-
-
-def text_cv(docs: DataFrame, id_col: str, k: int = 5, seed: int = 42, **how) -> DataFrame:
-    """Out-of-fold scores (id, y, score, fold) of (id, y, text): each fold by a vocabulary and head of the others."""
-    folded = stratified_kfold(docs, k, "y", id_col, seed)
-    parts = []
-    for r in folded.select("fold").distinct().orderBy("fold").collect():
-        inside = F.col("fold") == r.fold
-        parts.append(text_baseline(folded.where(~inside).drop("fold"), folded.where(inside).drop("fold"), id_col, **how).withColumn("fold", F.lit(r.fold)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def text_folds(docs: DataFrame, folds: DataFrame, id_col: str, **how) -> DataFrame:
-    """Scores (fold, id, y, score) of the test rows of given folds (fold, id, split), each by its own train rows."""
-    rows = docs.join(folds.select("fold", id_col, "split"), id_col)
-    parts = []
-    for r in folds.select("fold").distinct().orderBy("fold").collect():
-        own = rows.where(F.col("fold") == r.fold).select(id_col, "y", "text", "split")
-        scored = text_baseline(own.where("split = 'train'").drop("split"), own.where("split = 'test'").drop("split"), id_col, **how)
-        parts.append(scored.withColumn("fold", F.lit(r.fold)))
-    return reduce(DataFrame.unionByName, parts)
+    rows = text_features(weights, both.select(id_col, "y", "_p"), id_col)
+    head = Head(GBTClassifier(featuresCol="_v", labelCol="label", maxIter=50, maxDepth=5, stepSize=0.1, seed=42).fit(_vectors(rows.where("_p"))))
+    return head.score(rows.where("not _p")).select(id_col, "y", "score")

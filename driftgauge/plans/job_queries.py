@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import splits as P
+from ..operators.common import scratch
 from ..sources import corpus as S
 from . import jobs as J
 from . import metric_queries as MQ
@@ -20,17 +19,6 @@ from . import views as V
 from .registry import query, table
 
 
-def scratch(spark) -> str:
-    """A new folder below the shared one (spark.checkpoint.dir); a temporary one only on one machine, where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="driftgauge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def emb_split(spark, d):
     """Embedding layers and a train/val/test split of their samples."""
     e = V.layer_emb(spark, d)
