@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,23 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of these names renamed, and what selects ``df``'s columns, by their own names, of a result.
+
+    For operators that add columns of these names. As everywhere in Spark, case doesn't tell names apart.
+    """
+    lower, fresh = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            k = 0
+            while (new := f"_{c}_{k}").lower() in lower:
+                k += 1
+            lower.add(new.lower())
+            fresh[c] = new
+    back = lambda out: out.select(*[F.col(f"`{fresh.get(c, c)}`").alias(c) for c in df.columns])
+    return df.withColumnsRenamed(fresh), back
+
+
 def doc_key(doc_id: str, text: str) -> list[Column]:
     """128 bits that stand for one (id, text); rows alike in both are one document."""
     whole = [F.col(doc_id).isNull(), F.col(doc_id).cast("string"), F.col(text).isNull(), F.col(text)]
