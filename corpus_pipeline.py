@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm.common import stored, table
+from driftgauge.llm.common import set_aside, stored, table
 from driftgauge.llm.decontamination import without_leaks
 from driftgauge.llm.line_dedup import dedup_lines
 from driftgauge.llm.near_dedup import one_of_each_class
@@ -19,14 +19,15 @@ from driftgauge.llm.toxicity import fitted, score_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity under 0.7."""
-    scored = score_toxicity(docs, fitted(spark, docs, sf_dir))
-    return scored.where(F.col("toxicity") < 0.7).select(*docs.columns)
+    own, back = set_aside(docs, "toxicity", "offending")
+    return back(score_toxicity(own, fitted(spark, docs, sf_dir)).where(F.col("toxicity") < 0.7))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, later repeats of runs of lines cut out; n_chars follows."""
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own, back = set_aside(docs, "lines_deleted", "runs_deleted")
+    out = dedup_lines(own)
+    return back(out.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
