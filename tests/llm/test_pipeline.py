@@ -62,3 +62,17 @@ def test_run_keeps_odd_rows(spark, sf):
     for name, stage in P.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_columns_of_any_name_stay(spark, sf):
+    names = ["toxicity", "Offending", "lines_deleted", "runs_deleted", "k1", "k2", "_row", "t1", "t2", "_toxicity_0", "id", "comp", "_cuts"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    for n, c in enumerate(names):
+        docs = docs.withColumn(c, (docs.doc_id * 100 + n).cast("string" if n % 2 else "double"))
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = P.stored(stage(spark, out, sf))
+        assert out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert rows and all(float(r[c]) == r.doc_id * 100 + n for r in rows for n, c in enumerate(names))
+    assert P.packing(spark, out, sf).count() >= len(rows)
