@@ -2,33 +2,37 @@
 
 The words unique to both text and template are anchors; of these the longest subsequence
 that rises in both is kept. Between neighbouring anchors, equal words next to an anchor
-are taken first, then the gap is aligned in the same way, until a gap has no anchors.
-Coverage is the share of the template's words that are aligned.
+are taken first, then the gap is aligned in the same way, until a gap has no anchors; a gap of
+few words gets its longest common subsequence then.
 
-Words that stand twice in a text are no anchors, so each text is also cut into stretches of
-up to three template lengths that hold enough template words. In a stretch the
-longest common subsequence is taken, at the place where it is shortest, and what lies
-before and behind is searched again. All places are reported; the best coverage counts.
-An alignment whose words lie scattered, over more than ``SPREAD`` template lengths of text,
-is none: only what stands within a stretch counts.
+Words that stand twice are no anchors, so a text is searched in windows: of one and a half
+template lengths, so that some window holds one copy of a notice and of no other copy more than half, and, where
+nothing was found, of more, for notices with up to twice their words of other text between. Windows that hold too few of the
+template's words are left out; that is exact, as each aligned word is a word of the window. A window in which
+patience aligns ``FOUND`` of what is asked for is a place; its coverage is measured exactly, by the
+longest common subsequence, where that is shortest. Places don't overlap: the best are
+chosen, and all are reported. The coverage of the best counts. Words that lie scattered, over more than
+``SPREAD`` template lengths, are no place.
 
-A template is aligned only with texts that hold a given share of its distinct words,
-counted, not sampled: coverage can't reach ``least`` otherwise, as each aligned word is
-a word of the text. Stretches are filtered in the same way; both filters are exact.
+Templates that a text can reach are found by their rarest words: a template may miss so many words,
+and one more than these, the rarest among all templates, are its keys; a text without any of them can't cover
+it. So a text meets few templates, however many there are.
 
-One narrow pass over all whole texts; templates are parameters of the job, a dictionary or
-a table (name, text) of up to ``MOST_TEMPLATES`` rows, which is checked. The alignment works on the part of the text that lies between the first and
-last template word, with a stack and no recursion limit.
+One narrow pass over all whole texts for each ``MOST_TEMPLATES`` templates, which are a dictionary or
+a table (name, text); templates of one name are each on their own.
 
 Nulls: a null or blank text, or a template without words, has no rows. Repeated rows are
-scanned each on their own. The best rows are not thinned: a text may match many templates.
+scanned each on their own; an empty table gives no rows. Only id and text are read, so other columns can't
+clash. The rows are not thinned: a text may match many templates.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import reduce
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,10 @@ from .common import table
 
 SPREAD = 3
 MOST_TEMPLATES = 10_000
+#: The share of the asked coverage that patience must align in a place.
+FOUND = 0.75
+#: Words of text and template between anchors that are still aligned where there is no anchor.
+GAP = 48
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 _GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -85,6 +93,24 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of the longest common subsequence of few words."""
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif size[i + 1][j] >= size[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Aligned places of equal words, rising in both."""
     out: list[tuple[int, int]] = []
@@ -103,6 +129,8 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         where = {w: i for i, w in enumerate(b[b0:b1], b0) if once_b[w] == 1}
         anchors = rising([(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if w in where and once_a[w] == 1])
         if not anchors:
+            if a1 - a0 <= GAP and b1 - b0 <= GAP:
+                out += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
             continue
         out += anchors
         ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -133,67 +161,92 @@ def masks_of(template: list[str]) -> dict[str, int]:
     return out
 
 
-def places(own: list[str], template: list[str], least: float) -> list[tuple[int, int, int]]:
-    """(begin, end, aligned words) of the places of ``own`` that cover the template enough."""
-    n, count, need = len(template), Counter(template), least * len(template)
-    ahead, back = masks_of(template), masks_of(template[::-1])
-    found: list[tuple[int, int, int]] = []
-    a = 0
-    while a < len(own):
-        b = min(a + SPREAD * n, len(own))
-        have = Counter(w for w in own[a:b] if w in count)
-        best, end = lcs_ends(own[a:b], ahead, n) if sum(min(c, count[w]) for w, c in have.items()) >= need else (0, 0)
-        if best < need:
-            a += n
-            continue
-        begin = a + end - lcs_ends(own[a : a + end][::-1], back, n)[1]
-        before = [(a + x, a + y, k) for x, y, k in places(own[a:begin], template, least)]
-        found += before
-        if begin < a + n or b == len(own):
-            found.append((begin, a + end, best))
-            a += end
-        else:  # it may go on behind b; the next stretch holds the whole of it
-            a = max([a + n, *[y for _, y, _ in before]])
-    return found
+class Template:
+    def __init__(self, name: str, own: list[str], least: float):
+        self.name, self.words, self.count, self.n = name, own, Counter(own), len(own)
+        self.need = least * len(own)
+        self.ahead, self.back = masks_of(own), masks_of(own[::-1])
+
+    def held(self, own: Counter) -> int:
+        return sum(min(c, own[w]) for w, c in self.count.items() if w in own)
+
+    def place(self, own: list[str], a: int, b: int) -> tuple[int, int, int] | None:
+        """(begin, end, aligned words) of the place in own[a:b] that patience finds and the exact measure confirms."""
+        if self.held(Counter(w for w in own[a:b] if w in self.count)) < self.need or len(patience(own[a:b], self.words)) < FOUND * self.need:
+            return None
+        best, end = lcs_ends(own[a:b], self.ahead, self.n)
+        if best < self.need:
+            return None
+        begin = a + end - lcs_ends(own[a : a + end][::-1], self.back, self.n)[1]
+        return (begin, a + end, best) if a + end - begin <= SPREAD * self.n else None
+
+    def windows(self, at: list[int], width: int, step: int) -> list[tuple[int, int]]:
+        """Windows, at every ``step``, in which enough of the places ``at`` of template words lie."""
+        hits: Counter = Counter()
+        for i in at:
+            for k in range(max(0, (i - width) // step + 1), i // step + 1):
+                hits[k] += 1
+        return [(k * step, k * step + width) for k, c in sorted(hits.items()) if c >= self.need]
+
+    def places(self, own: list[str]) -> list[tuple[int, int, int]]:
+        """Places that don't overlap, in order of the text."""
+        chosen: list[tuple[int, int, int]] = []
+        left = [i for i, w in enumerate(own) if w in self.count]
+        for wide in (1.5, 1.5 * SPREAD):
+            width, step = -int(-wide * self.n // 1) + 1, max(1, int(wide * self.n / 3))
+            found = set()
+            ends = [0, *[e for _, e, _ in chosen]]
+            begins = [*[b for b, _, _ in chosen], len(own)]
+            for a, b in self.windows(left, width, step):
+                k = bisect_right(ends, a) - 1  # what was found before is no part of a window
+                if (p := self.place(own, max(a, ends[k]), min(b, begins[k]))) is not None:
+                    found.add(p)
+            for p in sorted(found, key=lambda p: (-p[2], p[1] - p[0], p[0])):
+                if all(p[1] <= b or e <= p[0] for b, e, _ in chosen):
+                    chosen.append(p)
+            chosen.sort()
+            left = [i for i in left if not any(b <= i < e for b, e, _ in chosen)]
+        return chosen
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], least: float):
-        self.least = least
-        self.templates = [(n, w, Counter(w)) for n, w in ((n, words(t)) for n, t in sorted(templates.items())) if w]
+    def __init__(self, templates: dict[str, str] | list[tuple[str, str]], least: float):
+        pairs = templates.items() if isinstance(templates, dict) else templates
+        self.templates = [Template(n, w, least) for n, w in ((n, words(t)) for n, t in sorted(pairs)) if w]
+        common = Counter(w for t in self.templates for w in t.count)
+        self.keys: dict[str, list[int]] = {}
+        for k, t in enumerate(self.templates):
+            spare = t.n - t.need
+            for w in sorted(t.count, key=lambda w: (common[w], w)):
+                self.keys.setdefault(w, []).append(k)
+                spare -= t.count[w]
+                if spare < 0:  # a text without any of these words misses too many
+                    break
 
     def __call__(self, text: str) -> list[tuple[str, float, int, list[dict]]]:
         """(template, coverage, aligned words, places by word) of each template covered enough."""
-        low = text.lower()
-        found, own = [], None
-        for name, template, count in self.templates:
-            if sum(n for x, n in count.items() if x in low) < self.least * len(template):
-                continue
-            own = words(text) if own is None else own
-            have = Counter(own)
-            if sum(min(n, have[x]) for x, n in count.items()) < self.least * len(template):
-                continue
-            at = [i for i, w in enumerate(own) if w in count]
-            pairs = patience(own[at[0] : at[-1] + 1], template)
-            close = bool(pairs) and pairs[-1][0] - pairs[0][0] < SPREAD * len(template)
-            where = places(own, template, self.least)
-            n = max([len(pairs) if close else 0, *[k for _, _, k in where]])
-            if n >= self.least * len(template):
-                where = where or [(at[0] + pairs[0][0], at[0] + pairs[-1][0] + 1, n)]
-                found.append((name, n / len(template), n, [{"begin": a, "end": b} for a, b, _ in where]))
+        own = words(text)
+        have = Counter(own)
+        found = []
+        for k in sorted({k for w in self.keys.keys() & have.keys() for k in self.keys[w]}):
+            t = self.templates[k]
+            if t.held(have) >= t.need and (where := t.places(own)):
+                n = max(x for _, _, x in where)
+                found.append((t.name, n / t.n, n, [{"begin": a, "end": b} for a, b, _ in where]))
         return found
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str]] | DataFrame = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, coverage, n_words, places) of each text and template with a coverage of ``least`` or more.
 
     ``places`` are ranges of the text's words.
     """
     if isinstance(templates, DataFrame):
-        rows = templates.select("name", "text").where("name is not null and text is not null").limit(MOST_TEMPLATES + 1).collect()
-        if len(rows) > MOST_TEMPLATES:
-            raise ValueError(f"more than {MOST_TEMPLATES} templates")
-        templates = {str(r["name"]): r["text"] for r in rows}
+        named = templates.select(F.col("name").cast("string").alias("name"), "text").where("name is not null and text is not null")
+        passes = ceil(named.count() / MOST_TEMPLATES)
+        part = lambda k: [(r["name"], r["text"]) for r in named.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k).collect()]
+        scans = [scan_licenses(docs, part(k), least, id_col, text_col) for k in range(passes)]
+        return reduce(DataFrame.unionByName, scans) if scans else scan_licenses(docs, {}, least, id_col, text_col)
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
