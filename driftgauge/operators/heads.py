@@ -214,7 +214,7 @@ def choice_metric(scores: DataFrame, keys: list[str], metric: str) -> DataFrame:
     if not metric.startswith("tpr_"):
         raise ValueError(f"no choice by {metric}")
     target = float(metric.removeprefix("tpr_").replace("_", "."))
-    return M.tpr_at_fpr(M.roc_curve(scores, keys), keys, [target]).select(*keys, F.col(metric).alias("value"))
+    return M.rank_metrics(M.prefix_table(scores, keys), keys, [target]).select(*keys, F.col(metric).alias("value"))
 
 
 def choose_c(scores: DataFrame, keys: list[str], grid: tuple[float, ...], metric: str = "macro_f1") -> DataFrame:

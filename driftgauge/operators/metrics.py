@@ -71,18 +71,46 @@ def nearest_fpr(curve: DataFrame, keys: list[str], target: float) -> DataFrame:
     return top.select(*keys, "threshold", "tpr", "fpr", F.coalesce(f1, F.lit(0.0)).alias("f1"))
 
 
+def _quantiles(shares: dict[str, float]) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates over a prefix table, and from these (and ``n``) linear quantiles of the negatives' scores."""
+    before = F.col("n") - F.col("fp")  # negatives below this score
+    found, values = [], {}
+    for name, share in shares.items():
+        at, place = F.lit(float(share)) * (F.col("n") - 1), F.lit(float(share)) * (F.col("_n") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found.append(F.max(F.when((before <= rank) & (rank < before + F.col("neg")), F.col("score"))).alias(f"_{name}_{side}"))
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        values[name] = F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
+    return found, values
+
+
+def rank_metrics(table: DataFrame, keys: list[str], targets=(), shares: dict[str, float] | None = None) -> DataFrame:
+    """Everything that one prefix table holds, in one aggregate: auroc, average_precision, tpr and threshold at each
+    target fpr (of the points that ``roc_curve`` keeps), and quantiles of the negatives by ``shares``.
+    """
+    above = F.col("tp") - F.col("pos")
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    kept = first | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    found, values = _quantiles(shares or {})
+    aggs = [F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("_a"), F.sum(F.col("pos") * div(F.col("tp"), F.col("tp") + F.col("fp"))).alias("_ap"), F.max("p").alias("_p"), F.max("n").alias("_n"), *found]
+    out = {"auroc": div(F.col("_a"), F.col("_p") * F.col("_n")), "average_precision": div(F.col("_ap"), F.col("_p"))}
+    for t in targets:
+        here = kept & (div(F.col("fp"), F.col("n")) <= t)
+        aggs += [F.max(F.when(here, F.col("tp"))).alias(f"_tp_{_name(t)}"), F.min(F.when(here, F.col("score"))).alias(f"_at_{_name(t)}")]
+        # the curve begins at an infinite threshold without a hit
+        out[f"tpr_{_name(t)}"] = F.when(F.col("_n") > 0, div(F.coalesce(f"_tp_{_name(t)}", F.lit(0)), F.col("_p")))
+        out[f"threshold_{_name(t)}"] = F.when(F.col("_n") > 0, F.coalesce(f"_at_{_name(t)}", F.lit(float("inf")))).otherwise(1.0)
+    return table.groupBy(*keys).agg(*aggs).select(*keys, *[v.alias(k) for k, v in (out | values).items()])
+
+
 def auroc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve with ties counted half."""
-    above = F.col("tp") - F.col("pos")
-    t = prefix_table(scores, keys).groupBy(*keys).agg(F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("a"), F.max("p").alias("p"), F.max("n").alias("n"))
-    return t.select(*keys, div(F.col("a"), F.col("p") * F.col("n")).alias("auroc"))
+    return rank_metrics(prefix_table(scores, keys), keys).select(*keys, "auroc")
 
 
 def average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Sum over distinct scores of the recall gained times the precision there."""
-    t = prefix_table(scores, keys)
-    gain = F.col("pos") * div(F.col("tp"), F.col("tp") + F.col("fp"))
-    return t.groupBy(*keys).agg(div(F.sum(gain), F.max("p")).alias("average_precision"))
+    return rank_metrics(prefix_table(scores, keys), keys).select(*keys, "average_precision")
 
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -135,44 +163,38 @@ def negative_quantiles(scores: DataFrame, keys: list[str], shares: dict[str, flo
 
     The wanted ranks are looked up in the prefix table, so no group is held in one buffer.
     """
-    counts = scores.where("y = 0").groupBy(*keys, "score").agg(F.count("*").alias("n"))
-    t = prefix_sums(counts, keys, "score", ["n"])
-    before = F.col("all_n") - F.col("cum_n")  # negatives below this score
-    out, values = [], {}
-    for name, share in shares.items():
-        at = F.lit(float(share)) * (F.col("all_n") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            out.append(F.max(F.when((before <= rank) & (rank < before + F.col("n")), F.col("score"))).alias(f"_{name}_{side}"))
-        lo, hi, place = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.lit(float(share)) * (F.col("_all") - 1)
-        values[name] = F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
-    return t.groupBy(*keys).agg(*out, F.max("all_n").alias("_all")).select(*keys, *[v.alias(n) for n, v in values.items()])
+    return rank_metrics(prefix_table(scores.where("y = 0"), keys), keys, shares=shares).select(*keys, *shares)
 
 
-def quantile_threshold(scores: DataFrame, keys: list[str], target_fpr: float = 0.01, adjust: bool = False, z: str = "eps") -> DataFrame:
+def quantile_threshold(scores: DataFrame, keys: list[str], target_fpr: float = 0.01, adjust: bool = False, z: str = "eps", table: DataFrame | None = None) -> DataFrame:
     """(keys, tau, fpr, tpr, z_neg, z_all, valid): tau is the linear quantile of the negatives at 1 - target.
 
     ``adjust``: where the fpr exceeds the target, tau + 0.001 std * {1, 1.5, 2, 3, 5}, the
     first that meets it, else the quantile at 1 - 0.9 target. ``z``: "eps" adds 1e-8 to
-    the std, "safe" takes a std of 0 as 1.
+    the std, "safe" takes a std of 0 as 1. Quantiles and rates are read from the prefix table of the scores (``table``, if
+    there is one already); the scores themselves are read for means and deviations alone.
     """
     rows = usable(scores)
+    table = prefix_table(scores, keys) if table is None else table
     neg = F.when(F.col("y") == 0, F.col("score"))
     stats = rows.groupBy(*keys).agg(
         F.avg(neg).alias("_mn"), F.stddev_samp(neg).alias("_sn"), F.avg("score").alias("_ma"), F.stddev_samp("score").alias("_sa"),
         ((F.min("y") == 0) & (F.max("y") == 1)).alias("valid"),
     )
-    stats = join_on(stats, negative_quantiles(rows, keys, {"tau": 1 - target_fpr, "_tight": 1 - 0.9 * target_fpr}), keys, "left")
+    stats = join_on(stats, rank_metrics(table, keys, shares={"tau": 1 - target_fpr, "_tight": 1 - 0.9 * target_fpr}).select(*keys, "tau", "_tight"), keys, "left")
+    steps = (0.0, 1.0, 1.5, 2.0, 3.0, 5.0) if adjust else (0.0,)
+    tries = F.array(*[F.when(F.lit(s) == 0.0, F.col("tau")).otherwise(F.col("tau") + 0.001 * F.col("_sn") * s) for s in steps], "_tight")
+    tried = join_on(table, stats.select(*keys, tries.alias("_try")), keys)
+    at = lambda c, k: F.coalesce(F.max(F.when(F.col("score") >= F.col("_try")[k], F.col(c))), F.lit(0))
+    rates = [F.struct(div(at("tp", k), F.max("p")).alias("tpr"), div(at("fp", k), F.max("n")).alias("fpr"), F.max(F.col("_try")[k]).alias("tau")) for k in range(len(steps) + 1)]
+    tried = tried.groupBy(*keys).agg(*[r.alias(f"_r{k}") for k, r in enumerate(rates)])
+    chosen = F.col("_r0")
     if adjust:
-        steps = F.transform(F.array(*[F.lit(s) for s in (0.0, 1.0, 1.5, 2.0, 3.0, 5.0)]), lambda s: F.col("tau") + 0.001 * F.col("_sn") * s)
-        tried = join_on(rows.where("y = 0"), stats.select(*keys, steps.alias("_try")), keys)
-        tried = tried.groupBy(*keys).agg(*[div(F.count_if(F.col("score") >= F.col("_try")[k]), F.count("*")).alias(f"_f{k}") for k in range(6)])
-        stats = join_on(stats.withColumn("_try", steps), tried, keys, "left")
-        chosen = F.when(F.col("_f0") <= target_fpr, F.col("tau"))
-        for k in range(1, 6):
-            chosen = chosen.when(F.col(f"_f{k}") <= target_fpr, F.col("_try")[k])
-        stats = stats.withColumn("tau", chosen.otherwise(F.col("_tight")))
-    at = join_on(rows, stats.select(*keys, "tau"), keys).groupBy(*keys).agg(*_rates(F.col("tau")))
-    out = join_on(stats, at, keys, "left")
+        chosen = F.when(F.col("_r0.fpr") <= target_fpr, F.col("_r0"))
+        for k in range(1, len(steps)):
+            chosen = chosen.when(F.col(f"_r{k}.fpr") <= target_fpr, F.col(f"_r{k}"))
+        chosen = chosen.otherwise(F.col(f"_r{len(steps)}"))
+    out = join_on(stats.drop("tau"), tried.select(*keys, chosen.alias("_c")).select(*keys, "_c.*"), keys, "left")
     null = F.lit(None).cast("double")
     values = {"tau": F.col("tau"), "fpr": F.col("fpr"), "tpr": F.col("tpr"), "z_neg": _z(F.col("tau"), F.col("_mn"), F.col("_sn"), z), "z_all": _z(F.col("tau"), F.col("_ma"), F.col("_sa"), z)}
     return out.select(*keys, *[F.when(F.col("valid"), v).otherwise(null).alias(k) for k, v in values.items()], "valid")

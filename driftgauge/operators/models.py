@@ -6,6 +6,8 @@ the probability of class 1, or a value that rises with it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -20,8 +22,9 @@ from pyspark.sql.types import StructField, StructType
 from . import heads as H
 from . import metrics as M
 from . import solvers as S
-from .common import join_on, stored
+from .common import hash_order, join_on, stored
 from .features import tfidf
+from .prefix import hash_rank
 from .splits import stratified_kfold
 from .text_heads import fit_text_folds, text_cv, text_folds  # noqa: F401
 
@@ -99,31 +102,68 @@ def cv_ridge(df: DataFrame, keys: list[str], k: int = 5, alpha: float = 1.0, see
     return out.select(*keys, F.col("fold").alias("held"), "sample_id", "y", H.linear_score("features", "weights", "intercept").alias("score"))
 
 
+def platt(margins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): probabilities 1 / (1 + exp(-(a score + b))) fitted to y of each group, its targets drawn in from 0 and 1.
+
+    Every Newton step of all groups is one aggregate; groups are few, as folds are.
+    """
+    sizes = [(tuple(r[k] for k in keys), r.n0, r.n1) for r in margins.groupBy(*keys).agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).collect()]
+    spark, fields = margins.sparkSession, ", ".join(f"`{k}` {margins.schema[k].dataType.simpleString()}" for k in keys)
+    rows = stored(margins.select(*keys, "y", F.col("score").alias("s")))
+
+    def evaluate(asked: dict) -> dict:
+        at = spark.createDataFrame([(*sizes[g][0], g, float(w[0]), float(w[1]), 1.0 / (sizes[g][1] + 2), (sizes[g][2] + 1.0) / (sizes[g][2] + 2)) for g, w in asked.items()], f"{fields}, _g int, _a double, _b double, _t0 double, _t1 double")
+        x = join_on(rows, F.broadcast(at), keys).withColumns({"_z": F.col("_a") * F.col("s") + F.col("_b"), "_t": F.when(F.col("y") == 1, F.col("_t1")).otherwise(F.col("_t0"))})
+        x = x.withColumn("_p", 1 / (1 + F.exp(-F.col("_z"))))
+        d, h = F.col("_p") - F.col("_t"), F.col("_p") * (1 - F.col("_p"))
+        loss = F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - F.col("_t") * F.col("_z")
+        sums = x.groupBy("_g").agg(F.sum(loss).alias("f"), F.sum(d * F.col("s")).alias("g0"), F.sum(d).alias("g1"), F.sum(h * F.col("s") ** 2).alias("h00"), F.sum(h * F.col("s")).alias("h01"), F.sum(h).alias("h11"))
+        return {r._g: (r.f, -np.linalg.solve(np.array([[r.h00, r.h01], [r.h01, r.h11]]) + 1e-12 * np.eye(2), np.array([r.g0, r.g1]))) for r in sums.collect()}
+
+    found = S.run_together({g: S.newton(1, tol=1e-9) for g in range(len(sizes))}, evaluate)
+    return spark.createDataFrame([(*sizes[g][0], float(w[0]), float(w[1])) for g, w in found.items()], f"{fields}, a double, b double")
+
+
+def calibrated_svm(train: DataFrame, test: DataFrame, k: int = 3, c: float = 1.0, seed: int = 42) -> DataFrame:
+    """(y, score) of ``test``: the mean of k linear SVMs' probabilities, each calibrated on the fold that it wasn't trained on."""
+    folded = stored(stratified_kfold(train, k, "y", "sample_id", seed))
+    held, told = [], []
+    for f in range((folded.agg(F.max("fold")).first()[0] or 0) + 1):  # k fits
+        own = _vectors(folded.where(F.col("fold") != f))
+        scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True)
+        head = Head(Pipeline(stages=[scaler, LinearSVC(featuresCol="_s", labelCol="label", regParam=1.0 / (c * max(own.count(), 1)), standardization=False, maxIter=200)]).fit(own))
+        held.append(head.score(folded.where(F.col("fold") == f)).select("fold", "y", "score"))
+        told.append(head.score(test).select("sample_id", "y", F.lit(f).alias("fold"), "score"))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    at = F.broadcast(platt(union(held), ["fold"]))  # one row for each fold
+    each = union(told).join(at, "fold").select("sample_id", "y", (1 / (1 + F.exp(-(F.col("a") * F.col("score") + F.col("b"))))).alias("score"))
+    return each.groupBy("sample_id", "y").agg(F.avg("score").alias("score")).select("y", "score")
+
+
 def compare_classifiers(train: DataFrame, test: DataFrame, trees: int = 200, target_fpr: float = 0.01) -> DataFrame:
-    """One row per classifier (lr, rf, gbdt, svm) with auroc, macro_f1 and tpr at the target on ``test``."""
-    common = {"featuresCol": "_v", "labelCol": "label"}
-    rows = _vectors(train).cache()
+    """One row per classifier (lr, rf, gbdt, svm) with auroc, macro_f1 and tpr at the target on ``test``.
+
+    Needs sample_id, y, features. Classes are not weighted, the forest is as deep as Spark allows, the SVM is calibrated out of fold.
+    """
+    common = {"featuresCol": "_v", "labelCol": "label", "seed": 42}
+    kept = stored(train.select("sample_id", "y", "features"))
+    # trees are grown in very many short jobs: no more tasks than the rows ask for
+    rows = _vectors(kept.coalesce(max(1, kept.count() // 20_000)))
     made = {
-        "lr": fit_logreg(train),
-        "rf": Head(RandomForestClassifier(numTrees=trees, seed=42, **common).fit(rows)),
-        "gbdt": Head(GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.1, seed=42, **common).fit(rows)),
+        "lr": fit_logreg(rows, balanced=False),
+        "rf": Head(RandomForestClassifier(numTrees=trees, maxDepth=30, **common).fit(rows)),
+        "gbdt": Head(GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.1, **common).fit(rows)),
     }
-    svm = Head(LinearSVC(regParam=1e-3, **common).fit(rows))
-    margins = svm.score(train).select(F.array("score").alias("features"), "y")
-    calibrated = fit_logreg(margins, balanced=False)
     scored = [h.score(test).select("y", "score").withColumn("classifier", F.lit(n)) for n, h in made.items()]
-    scored.append(calibrated.score(svm.score(test).select(F.array("score").alias("features"), "y")).select("y", "score").withColumn("classifier", F.lit("svm")))
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return summary(out, ["classifier"], target_fpr)
+    scored.append(calibrated_svm(train, test).withColumn("classifier", F.lit("svm")))
+    return summary(stored(reduce(DataFrame.unionByName, scored)), ["classifier"], target_fpr)
 
 
 def summary(scores: DataFrame, keys: list[str], target_fpr: float = 0.01, tau: float = 0.5) -> DataFrame:
     """auroc, average_precision, accuracy, macro_f1 at tau and tpr at the target fpr of each group."""
-    at = M.tpr_at_fpr(M.roc_curve(scores, keys), keys, [target_fpr])
-    out = join_on(M.confusion(scores, keys, tau), M.auroc(scores, keys), keys)
-    return join_on(join_on(out, M.average_precision(scores, keys), keys), at, keys)
+    ranks = M.rank_metrics(M.prefix_table(scores, keys), keys, [target_fpr])
+    ranks = ranks.select(*keys, "auroc", "average_precision", *[c for c in ranks.columns if c.startswith("tpr_")])
+    return join_on(M.confusion(scores, keys, tau), ranks, keys)
 
 
 def fit_mlp(train: DataFrame, hidden: tuple[int, ...] = (256, 64), steps: int = 100) -> Head:
@@ -201,24 +241,23 @@ def select_gamma_cv(df: DataFrame, grid=(0.01, 0.1, 1.0), k: int = 5, seed: int
 
 
 def family_drift(pre: DataFrame, post: DataFrame, k: int = 5, family: str = "family", seed: int = 42) -> DataFrame:
-    """Reports (part = pre k-fold, post) of a multinomial head over families."""
-    names = {r[family]: i for i, r in enumerate(pre.select(family).distinct().orderBy(family).collect())}
-    number = F.create_map(*[F.lit(x) for n, i in names.items() for x in (n, float(i))])
-    back = F.create_map(*[F.lit(x) for n, i in names.items() for x in (float(i), str(n))])
+    """Reports (part = pre k-fold, post) of a multinomial head over families.
+
+    Families are numbered in a table that is joined in, so the plan doesn't grow with them. Rows without a family are left out.
+    """
+    names = stored(hash_rank(pre.select(F.col(family).alias("_name")).where("_name is not null").distinct(), [], hash_order("_name", seed), "_name").select("_name", (F.col("rank") - 1).cast("double").alias("_y")))
+    back = names.select(F.col("_y").alias("prediction"), F.col("_name").cast("string").alias("pred"))
     lr = LogisticRegression(featuresCol="_v", labelCol="_y", family="multinomial", regParam=1e-3)
-    ready = lambda d: d.withColumns({"_v": array_to_vector(F.col("features").cast("array<double>")), "_y": F.try_element_at(number, F.col(family))})
-    told = lambda d, m: m.transform(ready(d)).select(F.col(family).cast("string").alias("y"), back[F.col("prediction")].alias("pred"))
-    folded = stratified_kfold(pre, k, family, "sample_id", seed)
-    parts = []
-    for r in folded.select("fold").distinct().orderBy("fold").collect():
-        model = lr.fit(ready(folded.where(F.col("fold") != r.fold)))
-        parts.append(told(folded.where(F.col("fold") == r.fold), model))
-    inside = parts[0]
-    for p in parts[1:]:
-        inside = inside.unionByName(p)
-    outside = told(post, lr.fit(ready(pre)))
-    both = inside.withColumn("part", F.lit("pre")).unionByName(outside.withColumn("part", F.lit("post")))
-    return M.classification_report(both, ["part"])
+    ready = lambda d: d.withColumn("_v", array_to_vector(F.col("features").cast("array<double>"))).join(names, F.col(family) == F.col("_name"), "left")
+    told = lambda d, m: m.transform(ready(d)).select(F.col(family).cast("string").alias("y"), "prediction").join(back, "prediction").select("y", "pred")
+    folded = stored(stratified_kfold(pre.where(F.col(family).isNotNull()), k, family, "sample_id", seed))
+    inside = []
+    for f in range((folded.agg(F.max("fold")).first()[0] or 0) + 1):  # k fits
+        model = lr.fit(ready(folded.where(F.col("fold") != f)))
+        inside.append(told(folded.where(F.col("fold") == f), model))
+    outside = told(post, lr.fit(ready(folded)))
+    both = reduce(DataFrame.unionByName, inside).withColumn("part", F.lit("pre")).unionByName(outside.withColumn("part", F.lit("post")))
+    return M.classification_report(stored(both), ["part"])
 
 
 def text_features(weights: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

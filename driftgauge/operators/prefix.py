@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_on
+from .common import join_on, stored
 
 
 #: Rows that one window should sort, and the most ranges that a group is cut into.
@@ -35,9 +35,18 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, values: list[str], h
     """Per row, sums of ``values`` up to it (``cum_*``) and over its group (``all_*``), by falling ``order``.
 
     ``order`` is distinct within a group. ``head`` columns of the next row come as
-    ``next_*`` (null behind the last).
+    ``next_*`` (null behind the last). ``df`` is stored and counted: where no group has over ``rows``
+    rows, each is one plain window.
     """
     head = head or []
+    df = stored(df)
+    largest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= rows:
+        w, whole = Window.partitionBy(*keys).orderBy(F.desc(order)), Window.partitionBy(*keys)
+        up = w.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            "*", *[F.sum(v).over(up).alias(f"cum_{v}") for v in values], *[F.sum(v).over(whole).alias(f"all_{v}") for v in values], *[F.lead(h).over(w).alias(f"next_{h}") for h in head]
+        )
     cut = ranged(df, keys, order, rows)
     w = Window.partitionBy(*keys, "_range").orderBy(F.desc(order))
     up = w.rowsBetween(Window.unboundedPreceding, 0)

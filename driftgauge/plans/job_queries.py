@@ -64,7 +64,7 @@ def cv(spark, d):
 @query("m5_compare_classifiers")
 def classifiers(spark, d):
     rows = one_layer(spark, d)
-    return L.compare_classifiers(rows.where("split = 'train'"), rows.where("split = 'test'"), trees=10)
+    return L.compare_classifiers(rows.where("split = 'train'"), rows.where("split = 'test'"))
 
 
 @query("m6_fit_mlp")
@@ -222,10 +222,18 @@ def prepare_drift(spark, d):
     return J.prepare_drift_dataset(labels, r)[1]
 
 
-@query("e9_prepare_family_dataset")
+@query(
+    "e9_prepare_family_dataset",
+    """WITH f AS (SELECT event_type AS family, count(*) AS n, min(event_id) AS first FROM events WHERE event_type <> 'error' GROUP BY 1),
+h AS (SELECT family AS held FROM f ORDER BY n DESC, first, family LIMIT 3),
+v AS (SELECT family, n, CASE WHEN n <= 1 THEN 0 ELSE greatest(1, least(n - 1, round_even(n * 0.1, 0)::BIGINT)) END AS val FROM f),
+c AS (SELECT held, 'test' AS split, n FROM h JOIN f ON family = held UNION ALL SELECT held, 'val', sum(val) FROM h, v WHERE family <> held GROUP BY held UNION ALL SELECT held, 'train', sum(n - val) FROM h, v WHERE family <> held GROUP BY held)
+SELECT held AS held_out_family, split, 1 AS label, n::BIGINT AS n FROM c WHERE n > 0 UNION ALL SELECT held, split, 0, floor(n * 0.2)::BIGINT FROM c WHERE floor(n * 0.2) > 0""",
+)
 def prepare_family(spark, d):
+    """A fifth as many benign rows: the pool of these is a quarter of the malicious ones here."""
     m = V.manifest(spark, d)
-    return J.prepare_family_dataset(m.withColumn("label", 1 - F.col("label")), ratio=0.02)[1]
+    return J.prepare_family_dataset(m.withColumn("label", 1 - F.col("label")), ratio=0.2)[1]
 
 
 @query("s3_read_manifest", "SELECT event_id::VARCHAR AS sample_id, date_trunc('second', ts) AS first_seen, event_type AS family FROM events")

@@ -178,3 +178,73 @@ def test_texts_without_words(spark):
     df = spark.createDataFrame([(1, 0, None), (2, 1, ""), (3, 0, "?"), (4, 1, None)], "sample_id long, y int, text string")
     assert {r.score for r in T.text_cv(df, "sample_id", 2).collect()} == {0.5}
     assert T.text_cv(df.limit(0), "sample_id", 2).count() == 0
+
+
+def test_platt_finds_the_optimum(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, int(rng.random() < 1 / (1 + np.exp(-2 * s - g))), float(s)) for g in (0, 1) for s in rng.normal(size=150)]
+    got = {r.fold: (r.a, r.b) for r in L.platt(spark.createDataFrame(rows, "fold int, y int, score double"), ["fold"]).collect()}
+    for g in (0, 1):
+        y, s = (np.array([r[k] for r in rows if r[0] == g], float) for k in (1, 2))
+        t = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
+        d = S.sigmoid(got[g][0] * s + got[g][1]) - t
+        assert abs((d * s).sum()) < 1e-6 and abs(d.sum()) < 1e-6
+
+
+def test_rank_metrics_equal_each_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(rng.random() < 0.4) if g < 3 else 0, float(rng.integers(0, 12)) / 12) for g in range(4) for _ in range(200)]
+    df = spark.createDataFrame(rows, "layer int, y int, score double")
+    targets = (0.001, 0.05, 0.3)
+    for n in (100_000, 3):
+        table = M.prefix_table(df, ["layer"], n)
+        got = {r.layer: r for r in M.rank_metrics(table, ["layer"], targets, {"q": 0.9}).collect()}
+        curve = M.roc_curve(df, ["layer"], rows=n)
+        tpr = {r.layer: r for r in M.tpr_at_fpr(curve, ["layer"], targets).collect()}
+        at = {r.layer: r for r in M.threshold_at_fpr(curve, ["layer"], targets).collect()}
+        for g in range(4):
+            for c in tpr[g].__fields__[1:]:
+                assert got[g][c] == tpr[g][c]
+            for c in at[g].__fields__[1:]:
+                assert got[g][c] == at[g][c]
+            neg = [s for k, y, s in rows if k == g and y == 0]
+            assert abs(got[g].q - np.quantile(neg, 0.9)) < 1e-12
+            pos = [s for k, y, s in rows if k == g and y == 1]
+            if pos:
+                area = np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg])
+                assert abs(got[g].auroc - area) < 1e-12
+
+
+def test_ablation_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from driftgauge.operators import features as X
+    from driftgauge.plans import jobs as J
+
+    rows = [(i, i % 2, f"{'bad' if i % 3 else 'good'} word{i % 5} {'0' * 40} http://a.example.com/{i}") for i in range(40)]
+    reports = spark.createDataFrame(rows, "sample_id long, y int, text string")
+    split = reports.select("sample_id", F.element_at(F.array(F.lit("train"), F.lit("train"), F.lit("val"), F.lit("test")), (F.floor(F.col("sample_id") / 2) % 4 + 1).cast("int")).alias("split"))
+    fits, fit = [], L.grouped_logreg
+    at = str(tmp_path / "results")
+
+    def counted(df, *a, **k):
+        fits.append([tuple(r) for r in df.select("condition", "layer").distinct().collect()])
+        if len(fits) == 3:
+            raise RuntimeError("stopped")
+        return fit(df, *a, **k)
+
+    monkeypatch.setattr(L, "grouped_logreg", counted)
+    run = lambda layers: J.identifier_ablation_layers(reports, split, X.hash_encoder(4, 3), layers=layers, results=at)
+    with pytest.raises(RuntimeError):
+        run([0, 1])
+    first = fits[:2]
+    del fits[:]
+    fits.append([])  # the second run fits what is left, and does not stop
+    fits.append([])
+    fits.append([])
+    out = sorted(map(tuple, run([0, 1]).collect()))
+    again = [x for f in fits for x in f]
+    assert len(again) == 4 and not set(again) & {x for f in first for x in f}
+    del fits[3:]
+    run([0, 1, 2]).collect()
+    assert {x for f in fits[3:] for x in f} == {(c, 2) for c in ("with_hash", "without_hash", "without_strong_ids", "without_iocs")}
+    monkeypatch.setattr(L, "grouped_logreg", fit)
+    assert out == sorted(map(tuple, J.identifier_ablation_layers(reports, split, X.hash_encoder(4, 3), layers=[0, 1]).collect()))
