@@ -20,7 +20,7 @@ Search: equal queries are one. From a start node, the best ``EXPANDED`` of each
 unexpanded nodes are joined with their neighbours, and of what these score the best
 ``beam`` stay; it goes on until no query has an unexpanded node among its best, however
 many hops that takes. (It ends: what falls out of the best never comes back.) Candidates
-are scored in cells: the queries of two stretches, and an ``PARTS``-th of all nodes. A cell
+are scored in cells: the queries of an area, and a ``PARTS``-th of all nodes. A cell
 receives each vector and each query it needs once, and sends back only what is better
 than a query's worst. The hops score in single precision; scores and ranks of the result
 are inner products of the given vectors in double precision.
@@ -50,8 +50,11 @@ from .common import discard, stored, table
 DEGREE = 40
 ORDERS = 5
 STRETCH = 512
-#: Nodes of a sorted part, and the least and most of an area.
-SPAN, AREA = 4096, (1024, 250_000)
+#: Nodes of a sorted part, and the least and most of an area, a tenth of all nodes between. What an area receives is at most
+#: its nodes' neighbourhoods, ``2 * DEGREE`` vectors a node, and in fact far fewer different ones.
+SPAN, AREA = 4096, (1024, 25_000)
+#: New improvements of an area between two cuts.
+HELD = 2_000_000
 QUIET = 0.02
 BEAM = 224
 EXPANDED = 64
@@ -159,7 +162,19 @@ def _join(around: pa.Table, vectors: pa.Table) -> pa.Table:
     worst = vectors.column("worst").to_numpy()
     order = np.argsort(node)
     node, y, worst = node[order], y[order], worst[order]
-    us, ws, ss = [], [], []
+    us, ws, ss, held = [], [], [], 0
+
+    def best(us, ws, ss):
+        """The best ``DEGREE`` different improvements of each node."""
+        u, w, s = np.concatenate(us), np.concatenate(ws), np.concatenate(ss)
+        _, first = np.unique(u.astype(np.int64) * len(node) + w, return_index=True)
+        u, w, s = u[first], w[first], s[first]
+        order = np.lexsort((w, -s, u))
+        u, w, s = u[order], w[order], s[order]
+        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
+        keep = np.arange(len(u)) - np.repeat(starts, np.diff(np.r_[starts, len(u)])) < DEGREE
+        return u[keep], w[keep], s[keep]
+
     for members in around.column("members").to_pylist():
         m = np.searchsorted(node, np.unique(np.array(members, np.int64)))
         sims = similarities(y[m])
@@ -168,16 +183,15 @@ def _join(around: pa.Table, vectors: pa.Table) -> pa.Table:
         us.append(m[i])
         ws.append(m[j])
         ss.append(sims[i, j])
-    u, w, s = np.concatenate(us), np.concatenate(ws), np.concatenate(ss)
+        held += len(i)
+        if held > HELD:  # cut as they come: what is held doesn't grow with the area's improvements
+            us, ws, ss = ([x] for x in best(us, ws, ss))
+            held = 0
+    u, w, s = best(us, ws, ss)
     if not len(u):
         return pa.table(_lists([], [], []).to_pydict(), schema=_lists([], [], []).schema)
-    key = u.astype(np.int64) * len(node) + w
-    _, first = np.unique(key, return_index=True)
-    u, w, s = u[first], w[first], s[first]
-    order = np.lexsort((-s, u))
-    u, w, s = u[order], w[order], s[order]
     starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-    ends = np.minimum(np.r_[starts[1:], len(u)], starts + DEGREE)
+    ends = np.r_[starts[1:], len(u)]
     return pa.Table.from_batches([_lists(node[u[starts]], [node[w[a:b]] for a, b in zip(starts, ends, strict=True)], [s[a:b] for a, b in zip(starts, ends, strict=True)])])
 
 
@@ -209,16 +223,15 @@ class Index:
         nodes = stored(prepared, "nodes")
         self.nodes = nodes.select("node", "x", "y")
         parts = max(1, self.size // SPAN)
-        # areas grow with the nodes, by less than these, so that a node's neighbourhood is spread over few of them
-        area = min(max(AREA[0] * (self.size / 10_000) ** (2 / 3), AREA[0]), AREA[1])
+        # areas grow with the nodes, so that a node's neighbourhood is spread over as few of them
+        self.area = min(max(self.size / 10, AREA[0]), AREA[1])
         first = None
         for o in range(ORDERS):
             spread = nodes.select("node", "y", F.element_at("codes", o + 1).alias("c"), F.xxhash64("node").alias("h"))
             lists = spread.repartitionByRange(parts, "c", "h").sortWithinPartitions("c", "h").select("node", "y").mapInArrow(_stretches, LISTS + ", stretch long")
             lists = stored(lists, "lists")
             if o == 0:
-                near = lists.select("node", F.floor(F.col("stretch") / 2).cast("long").alias("stretch"))
-                places = lists.select("node", F.floor(F.col("stretch") / max(1, round(area / STRETCH))).cast("long").alias("stretch"))
+                places = lists.select("node", F.floor(F.col("stretch") / max(1, round(self.area / STRETCH))).cast("long").alias("stretch"))
             first = lists.drop("stretch") if first is None else first.unionByName(lists.drop("stretch"))
         graph, news = stored(merged(first), "graph"), self.size
         while news > QUIET * DEGREE * self.size:
@@ -226,7 +239,7 @@ class Index:
             discard(last)
             news = graph.agg(F.sum("news")).first()[0] or 0
         # a search also goes from a node to the best of those that name it
-        self.places = stored(near, "places")
+        self.places = stored(places, "places")
         self.graph = stored(around_each(graph).groupBy("node").agg(F.collect_set("m").alias("nbrs")), "ways")
         discard(graph)
 
@@ -251,7 +264,7 @@ class Index:
         one = q.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(self.nodes_by_hash, ["h1", "h2"], "left").join(self.places, "node", "left")
         starts = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.array(*[F.lit(e) for e in entries]) if entries else F.array().cast("array<long>"))
         queries = stored(one.select("h1", "h2", "v", starts.alias("starts"), "stretch", F.monotonically_increasing_id().alias("n")), "queries")
-        blocks = max(1, ceil(queries.count() / STRETCH))
+        blocks = max(1, ceil(queries.count() / self.area))
         block = F.coalesce("stretch", F.pmod(F.xxhash64("n"), F.lit(blocks)))
         beam = max(beam, k + 1)
         empty = [F.array().cast(f"array<{t}>").alias(n) for n, t in (("nodes", "long"), ("scores", "float"), ("done", "boolean"))]
