@@ -23,11 +23,8 @@ def time_split(df: DataFrame, train_end, val_end, ts: str = "first_seen") -> Dat
 
 
 def _few(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """``df`` to be broadcast, after a count: a list of folds or families is a short one."""
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} rows in a table that each task has to hold")
-    return F.broadcast(df)
+    """``df``, to be broadcast if a count says that it is short, as a list of folds or families is; else Spark pairs partitions."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _cut(rank: Column, ends: list[tuple[str, Column]]) -> Column:

@@ -56,6 +56,19 @@ def ridge(spark, d):
     return M.normalize_scores(L.fit_ridge(rows.where("split = 'train'")).score(rows.where("split = 'test'")).select("split", "sample_id", "y", "score"), ["split"])
 
 
+@query("m3_cv_ridge")
+def ridge_cv(spark, d):
+    return L.cv_ridge(one_layer(spark, d).drop("split"), [])
+
+
+@query("m2_select_c_groups")
+def select_c_groups(spark, d):
+    """Every layer's C by the rate at a low false-positive rate, all layers at once."""
+    e, s = emb_split(spark, d)
+    rows = e.join(s, "sample_id").select("layer", "sample_id", "y", "split", F.col("embedding").alias("features"))
+    return L.grouped_logreg(rows, ["layer"], balanced=False, metric="tpr_0_001").where("split = 'test'").select("layer", "sample_id", "y", "c", "score")
+
+
 @query("m4_cv_scores")
 def cv(spark, d):
     return L.cv_scores(one_layer(spark, d).drop("split"), [])

@@ -117,7 +117,7 @@ def write_split_spec(docs: DataFrame, folds: DataFrame, path: str, part: int = 1
     fold_index, split, doc_id, and perhaps held_out_family.
     """
     held = F.col("held_out_family") if "held_out_family" in folds.columns else F.lit(None).cast("string")
-    dealt = lambda df: df.withColumn("_part", F.floor(F.rand(7) * F.lit(max(1, -(-df.count() // part)))))
+    dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-df.count() // part)))))
     listed = dealt(docs).groupBy("_part").agg(F.collect_list(F.struct(*docs.columns)).alias("docs"))
     ids = lambda s: F.collect_list(F.when(F.col("split") == s, F.col("doc_id"))).alias(f"{s}_ids")
     per = dealt(folds.select("fold", "fold_index", held.alias("held_out_family"), "split", "doc_id")).groupBy("_part", "fold", "fold_index", "held_out_family").agg(*[ids(s) for s in ("train", "val", "test")])
