@@ -15,7 +15,8 @@ over leaves one copy. Nothing shorter is ever deleted.
 1. Winnowing: of the two pairs of neighbours in each such three lines the pair with the
    smaller hash is the fingerprint, so equal runs share a fingerprint at the same place
    (the guarantee of winnowing), while a line is in few of them. Each long line, and each
-   window of 9 or 27 that isn't all of shorter ones, is a fingerprint of its own.
+   window of 9 or 27 that isn't all of shorter ones, is a fingerprint of its own; the first
+   long line of three stands for them too, in place of a pair.
 2. Fingerprints are joined by content; the places (document, line) of those that occur
    more than once go back to their documents.
 3. Extension: from each such place the match is extended to the windows around it, to the
@@ -115,11 +116,18 @@ def _choice(i: Column, min_words: int) -> Column:
     return F.when(_words_of_three(i) >= min_words, F.when(_two(i) <= _two(i + 1), i).otherwise(i + 1))
 
 
+def _pair(t: Column, i: Column, min_words: int, long_words: int) -> Column:
+    """The pair that winnowing takes of three lines from i on, of which ``t`` holds the words; null where
+    they hold too few, or where a long line, which is a fingerprint already, stands for them."""
+    short = F.greatest(F.get("wc", i), F.get("wc", i + 1), F.get("wc", i + 2)) < long_words
+    return F.when((t >= min_words) & short, F.when(F.get("two", i) <= F.get("two", i + 1), i).otherwise(i + 1))
+
+
 def _fingerprints(min_words: int, long_words: int) -> Column:
     """array<struct<h, p, n>>: pairs of lines (n = 2) chosen by winnowing, and whole windows of 1, 9 and 27 lines at p."""
     mark = lambda h, p, n: F.struct(h.alias("h"), p.alias("p"), F.lit(n).alias("n"))
-    pairs = F.array_distinct(F.filter(F.transform("wc", lambda _x, i: _choice(i, min_words)), lambda p: p.isNotNull()))
-    pairs = F.transform(pairs, lambda p: mark(_two(p), p, 2))
+    pairs = F.array_distinct(F.filter(F.transform("t3", lambda t, i: _pair(t, i, min_words, long_words)), lambda p: p.isNotNull()))
+    pairs = F.transform(pairs, lambda p: mark(F.get("two", p), p, 2))
     alone = F.transform("wc", lambda x, i: F.when(x >= long_words, mark(F.xxhash64(F.lit(13), F.get("h1", i)), i, 1)))
     window = lambda i, n: mark(F.xxhash64(F.lit(n), F.slice("h1", i + 1, F.lit(n))), i, n)
     nine = F.transform("t9", lambda w, i: F.when((w >= min_words) & _fewer(F.col("t3"), i, 7, min_words), window(i, 9)))
@@ -139,13 +147,16 @@ def _span(p: Column, n: Column) -> Column:
     )
 
 
-def _around(places: Column, min_words: int) -> Column:
-    """The windows that the fingerprints at ``places`` stand for: left and right of a pair, or itself."""
+def _around(places: Column, min_words: int, long_words: int) -> Column:
+    """The windows that the fingerprints at ``places`` stand for: three lines to the left and right of a
+    pair, or with a long line as their first such one; and a window itself."""
 
     def of(x: Column) -> Column:
         p = x["p"]
-        sides = F.filter(F.array(p - 1, p), lambda i: _choice(i, min_words) == p)
-        return F.when(x["n"] == 2, F.transform(sides, lambda i: _span(i, F.lit(3)))).otherwise(F.array(_span(p, x["n"])))
+        sides = F.filter(F.array(p - 1, p), lambda i: _pair(F.get("t3", i), i, min_words, long_words) == p)
+        near = F.filter(F.array(p, p - 1, p - 2), lambda i: F.when(F.get("t3", i) >= min_words, ~F.exists(F.slice("wc", i + 1, p - i), lambda w: w >= long_words)))
+        threes = F.transform(F.when(x["n"] == 2, sides).when(x["n"] == 1, near).otherwise(F.array().cast("array<int>")), lambda i: _span(i, F.lit(3)))
+        return F.when(x["n"] == 2, threes).otherwise(F.concat(threes, F.array(_span(p, x["n"]))))
 
     return F.flatten(F.transform(places, of))
 
@@ -199,13 +210,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # rows alike in id and text stand for one document, the first of them
     one = base.groupBy("k1", "k2").agg(F.min("d").alias("d")).select("d")
     if run_words is None:
-        chosen = base.withColumn("t3", _sums("wc", 1)).withColumn("t9", _sums("t3", 3)).select("d", F.inline(_fingerprints(min_words, long_words)))
+        sums = base.withColumn("t3", _sums("wc", 1)).withColumn("t9", _sums("t3", 3)).withColumn("two", F.transform("h1", lambda _x, i: _two(i)))
+        chosen = sums.select("d", F.inline(_fingerprints(min_words, long_words)))
     else:
         chosen = base.select("d", F.explode(_selected(long_words, run_words)).alias("h"), F.lit(0).alias("p"), F.lit(0).alias("n"))
     twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     places = chosen.join(twice, "h").groupBy("d").agg(F.collect_set(F.struct("p", "n")).alias("places"))
     near = base.drop("k1", "k2").join(places, "d").join(one, "d")
-    spans = near.select("d", "_id", F.inline(_around(F.col("places"), min_words) if run_words is None else _spans(min_words, long_words, run_words)))
+    if run_words is None:
+        near = near.withColumn("t3", _sums("wc", 1)).withColumn("two", F.transform("h1", lambda _x, i: _two(i)))
+        spans = near.select("d", "_id", F.inline(_around(F.col("places"), min_words, long_words)))
+    else:
+        spans = near.select("d", "_id", F.inline(_spans(min_words, long_words, run_words)))
     where = F.struct("_id", "d", "a")
     first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select("d", "a", "b")
