@@ -37,6 +37,18 @@ _HASH = _SUB(_SUB(_SUB("text", "\\b[0-9a-fA-F]{64}\\b", "[HASH]"), "\\b[0-9a-fA-
 _IDS = _SUB(_SUB(_HASH, "\\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\b", "[ID]"), "\\b[0-9a-fA-F]{48,}\\b", "[ID]")
 
 
+_IOCS = _IDS
+for _p, _r in T.IOC_RULES:
+    _IOCS = _SUB(_IOCS, _p.replace("(?iuUd)", "(?i)").replace("(?Ud)", ""), _r)
+#: ``iocs`` (sample_id, text): random ids by the runs of each line and what follows them in it.
+_RUNS = "regexp_extract_all(line, '[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+')"
+IOCS_SQL = f"""{MX}, il AS (SELECT sample_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS ln FROM (SELECT sample_id, {_IOCS} AS t FROM mix)),
+ir AS (SELECT sample_id, ln, unnest({_RUNS}) AS s, generate_subscripts({_RUNS}, 1) AS i FROM il),
+ie AS (SELECT *, bool_or(regexp_matches(s, '[0-9]')) OVER w AND bool_or(regexp_matches(s, '[A-Za-z]')) OVER w AS follow FROM ir WINDOW w AS (PARTITION BY sample_id, ln ORDER BY i DESC ROWS UNBOUNDED PRECEDING)),
+im AS (SELECT sample_id, ln, string_agg(CASE WHEN follow THEN regexp_replace(s, '{T.RANDOM_ID}', '[RANDOM_ID]') ELSE s END, '' ORDER BY i) AS line FROM ie GROUP BY sample_id, ln),
+iocs AS (SELECT sample_id, string_agg(coalesce(im.line, ''), chr(10) ORDER BY ln) AS text FROM il LEFT JOIN im USING (sample_id, ln) GROUP BY sample_id)"""
+
+
 @query("t1_redact_hashes", f"WITH {MX} SELECT sample_id, {_HASH} AS text FROM mix")
 def hashes(spark, d):
     return mixed(spark, d).withColumn("text", T.redact_hashes(F.col("text")))
@@ -47,12 +59,15 @@ def ids(spark, d):
     return mixed(spark, d).withColumn("text", T.redact_strong_ids(F.col("text")))
 
 
-@query("t3_redact_iocs")
+@query("t3_redact_iocs", f"WITH {IOCS_SQL} SELECT sample_id, text FROM iocs UNION ALL SELECT sample_id, text FROM mix WHERE text IS NULL")
 def iocs(spark, d):
     return mixed(spark, d).withColumn("text", T.redact_iocs(F.col("text")))
 
 
-@query("t4_ablation_conditions")
+@query(
+    "t4_ablation_conditions",
+    f"WITH {IOCS_SQL} SELECT sample_id, 'with_hash' AS condition, text FROM mix UNION ALL SELECT sample_id, 'without_hash', {_HASH} FROM mix UNION ALL SELECT sample_id, 'without_strong_ids', {_IDS} FROM mix UNION ALL SELECT sample_id, 'without_iocs', text FROM iocs UNION ALL SELECT sample_id, 'without_iocs', text FROM mix WHERE text IS NULL",
+)
 def conditions(spark, d):
     return T.ablation_conditions(mixed(spark, d)).select("sample_id", "condition", "text")
 

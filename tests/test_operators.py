@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -137,6 +138,21 @@ def test_redaction_equals_python(spark):
     assert got[2].i == re.sub(*PY["random"], texts[2])
 
 
+def test_random_ids_equal_python_and_take_linear_time(spark):
+    rng = random.Random(5)
+    signs = ["a", "B", "-", "_", " ", "é", "\u0663", "\n", "1", "abcdefghijklmnop", "-abcdefghi-jklmn-", "1234567890123456", "\r", "😀"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(3000)] + ["", "\n\n", "1-abcdefghijklmnopqr", "é1-abcdefghijklmnopqr", "1234567890123456 a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.t for r in df.select("id", T._random_ids(F.col("text")).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == re.sub(*PY["random"], t), t
+    long = ["abcdefghijklmnopq " * 60_000, "abcdefghijklmnopq " * 60_000 + "1", "1234567890123456 " * 60_000]
+    start = time.monotonic()
+    out = [r.t for r in spark.createDataFrame(list(enumerate(long)), "id int, t string").select("id", T._random_ids(F.col("t")).alias("t")).orderBy("id").collect()]
+    assert time.monotonic() - start < 20  # with a look ahead at each token: minutes
+    assert out == [long[0], "[RANDOM_ID] " * 60_000 + "1", long[2]]
+
+
 def test_sections(spark):
     rows = [(1, "pre\n## A B\nx\n\n### C\ny"), (2, "# one\nplain"), (3, "## A B\n\n## A B \nz"), (4, None)]
     df = spark.createDataFrame(rows, "id int, text string")
