@@ -68,8 +68,7 @@ def _let(value: Column, body) -> Column:
 def _lines(text: Column) -> Column:
     """struct<pos, h1, h2, wc, n>: piece indexes, hashes and words of the lines, and the pieces' number."""
 
-    def line(x: Column, i: Column) -> Column:
-        bare = F.btrim(x, F.lit(BLANK))
+    def line(bare: Column, i: Column) -> Column:
         words = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
         return F.struct(i.alias("pos"), bare.alias("l"), F.xxhash64(bare).alias("h1"), F.when(bare == "", 0).otherwise(words).alias("wc"))
 
@@ -86,7 +85,8 @@ def _lines(text: Column) -> Column:
         )
 
     def whole(parts: Column) -> Column:
-        worded = F.filter(F.transform(parts, line), lambda u: u["wc"] > 0)
+        bare = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK)))  # once, as lambdas repeat what they hold
+        worded = F.filter(F.transform(bare, line), lambda u: u["wc"] > 0)
         return _let(_let(worded, fresh), lambda u: split(u, F.size(parts)))
 
     return _let(pieces(text), whole)
@@ -210,7 +210,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # rows alike in id and text stand for one document, the first of them
     one = base.groupBy("k1", "k2").agg(F.min("d").alias("d")).select("d")
     if run_words is None:
-        sums = base.withColumn("t3", _sums("wc", 1)).withColumn("t9", _sums("t3", 3)).withColumn("two", F.transform("h1", lambda _x, i: _two(i)))
+        sums = base.withColumn("t3", _sums("wc", 1)).withColumn("t9", F.when(F.array_min("t3") < min_words, _sums("t3", 3))).withColumn("two", F.transform("h1", lambda _x, i: _two(i)))
         chosen = sums.select("d", F.inline(_fingerprints(min_words, long_words)))
     else:
         chosen = base.select("d", F.explode(_selected(long_words, run_words)).alias("h"), F.lit(0).alias("p"), F.lit(0).alias("n"))
