@@ -87,16 +87,16 @@ def vector_mean(df: DataFrame, keys: list[str], vec: str = "embedding", weight:
     return df.groupBy(*keys).agg(vector_to_array(mean).alias(vec), F.count("*").alias("n"))
 
 
-def mean_word_vectors(docs: DataFrame, vectors: DataFrame, id_col: str, dim: int, text: str = "text", max_broadcast: int = 200_000) -> DataFrame:
-    """Mean vector of a document's known words, counted as often as they stand; zeros without any.
+def mean_word_vectors(docs: DataFrame, vectors: DataFrame, id_col: str, dim: int, text: str = "text", max_broadcast: int = 200_000, zeros: bool = True) -> DataFrame:
+    """Mean vector of a document's known words, counted as often as they stand; zeros without any, or null.
 
     ``vectors`` (token, vector) is broadcast only when it has ``max_broadcast`` rows at most.
     """
     words = docs.select(id_col, F.explode(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("w"))
     table = F.broadcast(vectors) if vectors.limit(max_broadcast + 1).count() <= max_broadcast else vectors
     mean = vector_mean(words.join(table, "token"), [id_col], "vector", "w").drop("n")
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return docs.select(id_col).join(mean, id_col, "left").select(id_col, F.coalesce("vector", zeros).alias("vector"))
+    out = docs.select(id_col).join(mean, id_col, "left").select(id_col, "vector")
+    return out.withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim))) if zeros else out
 
 
 def sanitize(col: Column, policy: str = "clip") -> Column:
