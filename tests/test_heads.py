@@ -248,3 +248,14 @@ def test_ablation_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert {x for f in fits[3:] for x in f} == {(c, 2) for c in ("with_hash", "without_hash", "without_strong_ids", "without_iocs")}
     monkeypatch.setattr(L, "grouped_logreg", fit)
     assert out == sorted(map(tuple, J.identifier_ablation_layers(reports, split, X.hash_encoder(4, 3), layers=[0, 1]).collect()))
+
+
+def test_steps_read_packed_rows(spark, monkeypatch):
+    """A step reads blocks of documents that train the same folds, not a row for each document."""
+    docs = spark.createDataFrame(texts(200), "sample_id long, y int, text string").coalesce(2)
+    kept = []
+    packed = T._packed
+    monkeypatch.setattr(T, "_packed", lambda *a: kept.append(packed(*a)) or kept[-1])
+    assert T.text_cv(docs, "sample_id", 3, max_rows=0).count() == 202
+    blocks = kept[0].collect()
+    assert len(blocks) < 100 and sum(len(b.y) // 8 for b in blocks) == 202 and all(len(b.trains) == 2 for b in blocks)
