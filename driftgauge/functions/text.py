@@ -7,7 +7,7 @@ stays null; counts of a null text are null.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,8 +62,19 @@ SECTION_GROUPS = {
 }
 
 
-def _apply(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
+#: A word's edge where only ASCII signs make words; Java's own \b also takes other letters.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def _ascii(pattern: str) -> str:
+    """``pattern`` with digits, blanks and words of ASCII alone, as Python's re.ASCII and RE2 read it."""
+    for a, b in (("(?iuUd)", "(?iud)"), ("(?sUd)", "(?sd)"), ("(?Ud)", "(?d)"), (r"\b", _EDGE), (r"_\d-", "_0-9-"), (r"\d", "[0-9]"), (r"[^\s", r"[^\t\n\f\r ")):
+        pattern = pattern.replace(a, b)
+    return pattern
+
+
+def _apply(text: Column, rules: list[tuple[str, str]], ascii: bool = False) -> Column:
+    return reduce(lambda t, r: F.regexp_replace(t, _ascii(r[0]) if ascii else r[0], r[1]), rules, text)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,18 +82,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _random_ids(text: Column) -> Column:
+def _random_ids(text: Column, ascii: bool = False) -> Column:
     """Random ids to placeholders, in time that grows with a line's length alone.
 
     Ids can begin up to the last digit and the last letter of a line, whichever comes first.
     The line is read up to there, with the run it stands in; what begins behind it, where
     that run has no more digits (or letters), is no id.
     """
+    kind = _ascii if ascii else str
     last_digit = r"(?Ud)\b(?![A-Za-z_-]*+[^A-Za-z0-9_\d-]?\z)"
     last_letter = r"(?Ud)\b(?![0-9_-]*+[^A-Za-z0-9_-]?\z)"
 
     def ends(line: Column) -> Column:
-        upto = lambda p: F.length(F.regexp_extract(line, p, 0))
+        upto = lambda p: F.length(F.regexp_extract(line, kind(p), 0))
         return F.struct(line.alias("t"), upto(r"(?sUd)\A.*\d").alias("digit"), upto(r"(?sd)\A.*[A-Za-z]").alias("letter"))
 
     def cut(e: Column) -> Column:
@@ -92,7 +104,7 @@ def _random_ids(text: Column) -> Column:
 
     def marked(c: Column) -> Column:
         live = F.left(c["t"], c["n"])
-        new = F.when(c["by_digit"], F.regexp_replace(live, last_digit + RANDOM_ID, "[RANDOM_ID]")).otherwise(F.regexp_replace(live, last_letter + RANDOM_ID, "[RANDOM_ID]"))
+        new = F.when(c["by_digit"], F.regexp_replace(live, kind(last_digit + RANDOM_ID), "[RANDOM_ID]")).otherwise(F.regexp_replace(live, kind(last_letter + RANDOM_ID), "[RANDOM_ID]"))
         return F.when(c["q"] > 0, F.concat(new, F.substr(c["t"], c["n"] + 1))).otherwise(c["t"])
 
     def redacted(line: Column) -> Column:
@@ -101,16 +113,17 @@ def _random_ids(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), redacted), "\n")
 
 
-def redact_hashes(text: Column) -> Column:
-    return _apply(text, HASH_RULES)
+def redact_hashes(text: Column, ascii: bool = False) -> Column:
+    """As all redactions: ``ascii`` takes words, digits and blanks of ASCII alone, so that an id ends before an accented letter."""
+    return _apply(text, HASH_RULES, ascii)
 
 
-def redact_strong_ids(text: Column) -> Column:
-    return _apply(text, HASH_RULES + ID_RULES)
+def redact_strong_ids(text: Column, ascii: bool = False) -> Column:
+    return _apply(text, HASH_RULES + ID_RULES, ascii)
 
 
-def redact_iocs(text: Column) -> Column:
-    return _random_ids(_apply(text, HASH_RULES + ID_RULES + IOC_RULES))
+def redact_iocs(text: Column, ascii: bool = False) -> Column:
+    return _random_ids(_apply(text, HASH_RULES + ID_RULES + IOC_RULES, ascii), ascii)
 
 
 #: Named text transforms; users may add their own Column -> Column.
@@ -120,6 +133,8 @@ CONDITIONS: dict[str, Callable[[Column], Column]] = {
     "without_strong_ids": redact_strong_ids,
     "without_iocs": redact_iocs,
 }
+#: The same with words, digits and blanks of ASCII alone.
+ASCII_CONDITIONS: dict[str, Callable[[Column], Column]] = {n: f if n == "with_hash" else partial(f, ascii=True) for n, f in CONDITIONS.items()}
 
 
 def ablation_conditions(df: DataFrame, text: str = "text", conditions: dict | None = None) -> DataFrame:

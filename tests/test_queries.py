@@ -26,3 +26,9 @@ def test_pages_without_a_known_word(equal):
     urls = ["https://example.org/es.html", "https://www.example.org/en/1", "", "///", None]
     got = dict(equal("j9_mean_word_vectors", "pages", list(enumerate(urls)), "page_id long, url string"))
     assert got[0] == "" and got[1] != ""
+
+
+@pytest.mark.parametrize("name", ["t1_redact_hashes", "t2_redact_strong_ids", "t3_redact_iocs", "t4_ablation_conditions"])
+def test_ids_beside_letters_beyond_ascii(equal, name):
+    texts = ["osado laesmentementeción 7 x", "ñlaesmentementeci7 x", "der schachtzheitenachlichä a1 b", "é" + "0a" * 16 + "é " + "0b" * 32 + "ü", "é" + "0c" * 25 + "ß 1", "éhttp://a.b/cü d 10.0.0.1ñ evil.topé", "abcdefghijklmnop ٣ q", "--abcdefghijklmno-1-- z", None, ""]
+    equal(name, "documents", [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
