@@ -73,8 +73,23 @@ def _ascii(pattern: str) -> str:
     return pattern
 
 
+#: What a text must hold for a rule to find anything; placeholders hold none of it, so no rule makes it.
+_NEEDS = [(HASH_RULES + ID_RULES, r"[0-9a-fA-F]{32}|[0-9a-fA-F]-[0-9a-fA-F]{4}-")] + [
+    ([rule], need) for rule, need in zip(IOC_RULES, ["://", r"(?U)\d\.\d", r"\.[0-9\p{L}]", r"\\", r"\\", r"[\\/]"], strict=True)
+]
+
+
 def _apply(text: Column, rules: list[tuple[str, str]], ascii: bool = False) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, _ascii(r[0]) if ascii else r[0], r[1]), rules, text)
+    """The rules in turn, each only where its need is met: most texts hold few of the identifiers."""
+
+    def where_needed(own: list[tuple[str, str]], need: str) -> Callable[[Column], Column]:
+        made = lambda t: reduce(lambda t, r: F.regexp_replace(t, _ascii(r[0]) if ascii else r[0], r[1]), own, t)
+        return lambda t: F.when(t.rlike(need), made(t)).otherwise(t)
+
+    for some, need in _NEEDS:
+        if own := [r for r in some if r in rules]:
+            text = _let(text, where_needed(own, need))
+    return text
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,8 +105,8 @@ def _random_ids(text: Column, ascii: bool = False) -> Column:
     that run has no more digits (or letters), is no id.
     """
     kind = _ascii if ascii else str
-    last_digit = r"(?Ud)\b(?![A-Za-z_-]*+[^A-Za-z0-9_\d-]?\z)"
-    last_letter = r"(?Ud)\b(?![0-9_-]*+[^A-Za-z0-9_-]?\z)"
+    last_digit = r"(?Ud)(?=[A-Za-z0-9_-]{16})\b(?![A-Za-z_-]*+[^A-Za-z0-9_\d-]?\z)"
+    last_letter = r"(?Ud)(?=[A-Za-z0-9_-]{16})\b(?![0-9_-]*+[^A-Za-z0-9_-]?\z)"
 
     def ends(line: Column) -> Column:
         upto = lambda p: F.length(F.regexp_extract(line, kind(p), 0))
@@ -110,7 +125,8 @@ def _random_ids(text: Column, ascii: bool = False) -> Column:
     def redacted(line: Column) -> Column:
         return F.when(line.rlike("[A-Za-z0-9_-]{16}"), _let(_let(ends(line), cut), marked)).otherwise(line)
 
-    return F.array_join(F.transform(F.split(text, "\n", -1), redacted), "\n")
+    lines = lambda t: F.array_join(F.transform(F.split(t, "\n", -1), redacted), "\n")
+    return _let(text, lambda t: F.when(t.rlike("[A-Za-z0-9_-]{16}"), lines(t)).otherwise(t))
 
 
 def redact_hashes(text: Column, ascii: bool = False) -> Column:
