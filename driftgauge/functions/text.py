@@ -160,6 +160,18 @@ def ablation_conditions(df: DataFrame, text: str = "text", conditions: dict | No
     return out.select(*[F.col("_c._t").alias(text) if c == text else F.col(c) for c in df.columns], F.col("_c.condition").alias("condition"))
 
 
+def ablation_texts(df: DataFrame, text: str = "text", conditions: dict | None = None) -> DataFrame:
+    """As ``ablation_conditions`` with a row per document and different text, and ``conditions``, the list of those that give it."""
+    made = F.array(*[F.struct(F.lit(n).alias("condition"), f(F.col(text)).alias("_t")) for n, f in (conditions or CONDITIONS).items()])
+
+    def grouped(m: Column) -> Column:
+        same = lambda t: F.transform(F.filter(m, lambda x: x["_t"].eqNullSafe(t)), lambda x: x["condition"])
+        return F.transform(F.array_distinct(F.transform(m, lambda x: x["_t"])), lambda t: F.struct(t.alias("_t"), same(t).alias("conditions")))
+
+    out = df.withColumn("_c", F.explode(_let(made, grouped)))
+    return out.select(*[F.col("_c._t").alias(text) if c == text else F.col(c) for c in df.columns], F.col("_c.conditions").alias("conditions"))
+
+
 # White space, a heading, and a line's end, as Python's regular expressions and strings have them.
 _BLANK = r"[\s\x1c-\x1f]"
 _HEADING = rf"^##+{_BLANK}+(.+?){_BLANK}*$"

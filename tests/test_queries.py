@@ -32,3 +32,33 @@ def test_pages_without_a_known_word(equal):
 def test_ids_beside_letters_beyond_ascii(equal, name):
     texts = ["osado laesmentementeción 7 x", "ñlaesmentementeci7 x", "der schachtzheitenachlichä a1 b", "é" + "0a" * 16 + "é " + "0b" * 32 + "ü", "é" + "0c" * 25 + "ß 1", "éhttp://a.b/cü d 10.0.0.1ñ evil.topé", "abcdefghijklmnop ٣ q", "--abcdefghijklmno-1-- z", None, ""]
     equal(name, "documents", [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_encoder_reads_a_text_once(spark, tmp_path):
+    """Conditions that leave a text as it is share its windows, and neither counts of groups nor samples of rows encode again."""
+    from pyspark.sql import functions as F
+
+    from driftgauge.operators import features as X
+    from driftgauge.plans import jobs as J
+
+    seen, inner = spark.sparkContext.accumulator(0), X.hash_encoder(2, 2)
+
+    def encoder(token_lists):
+        seen.add(len(token_lists))
+        return inner(token_lists)
+
+    rows = [(i, i % 2, f"{'bad' if i % 3 else 'good'} word{i % 5}" + (f" {'0' * 40}" if i < 10 else "")) for i in range(40)]
+    reports = spark.createDataFrame(rows, "sample_id long, y int, text string")
+    split = reports.select("sample_id", F.element_at(F.array(F.lit("train"), F.lit("train"), F.lit("val"), F.lit("test")), (F.floor(F.col("sample_id") / 2) % 4 + 1).cast("int")).alias("split"))
+    assert J.identifier_ablation_layers(reports, split, encoder).count() == 6
+    assert seen.value == 50
+
+
+def test_hash_encoder_is_sums_of_signs():
+    import zlib
+
+    from driftgauge.operators import features as X
+
+    got = X.hash_encoder(3, 2)([["a", "b", "a"], ["é"], []])
+    for tokens, own in zip([["a", "b", "a"], ["é"], []], got, strict=True):
+        assert own.tolist() == [[sum(1.0 if zlib.crc32(f"{k}:{h}:{t}".encode()) & 1 else -1.0 for t in tokens) for h in range(3)] for k in range(2)]
