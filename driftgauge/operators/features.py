@@ -42,14 +42,39 @@ def grams(text: Column, analyzer: str = "word", ngram: tuple[int, int] = (1, 1),
     if analyzer == "char":
         return _grams(F.split(F.regexp_replace(low, r"(?U)\s\s+", " "), ""), *ngram, "")
     words = F.filter(F.split(low, r"(?U)\s+"), lambda w: w != "")
+    # grams are made once for each different word
+    return F.flatten(F.transform(_tally(words), lambda w: F.flatten(F.array_repeat(_of_word(w["item"], *ngram), w["n"].cast("int")))))
 
-    def of_word(w: Column) -> Column:
-        # a padded word shorter than the least n gives itself once
-        units = F.split(F.concat(F.lit(" "), w, F.lit(" ")), "")
-        short = F.when(F.length(w) + 2 < ngram[0], F.array(F.concat(F.lit(" "), w, F.lit(" ")))).otherwise(F.array().cast("array<string>"))
-        return F.concat(short, _grams(units, *ngram, ""))
 
-    return F.flatten(F.transform(words, of_word))
+def _of_word(word: Column, low: int, high: int, short: int = 100) -> Column:
+    """Runs of characters of the padded word; one shorter than the least n gives itself once."""
+
+    def runs(p: Column, k: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))
+        return F.when(F.length(p) >= k, some).otherwise(F.array().cast("array<string>"))
+
+    def cut(p: Column) -> Column:
+        # to cut a run out of a text takes time as its place, so long words are split first
+        made = F.concat(*[runs(p, k) for k in range(low, high + 1)])
+        return F.when(F.length(p) < low, F.array(p)).when(F.length(p) <= short, made).otherwise(_grams(F.split(p, ""), low, high, ""))
+
+    return _let(F.concat(F.lit(" "), word, F.lit(" ")), cut)
+
+
+def _tally(items: Column) -> Column:
+    """array<struct<item, n>>: how often each item stands in an array, by sorting it; empty for null."""
+
+    def ends(s: Column) -> Column:
+        """The sorted array and the places at which runs of equal items end."""
+        last = lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.get(s, i))
+        return F.struct(s.alias("s"), F.filter(F.sequence(F.lit(1), F.size(s)), last).alias("e"))
+
+    def counts(x: Column) -> Column:
+        before = lambda j: F.coalesce(F.when(j > 0, F.get(x["e"], j - 1)), F.lit(0))
+        return F.transform(x["e"], lambda e, j: F.struct(F.element_at(x["s"], e).alias("item"), (e - before(j)).cast("long").alias("n")))
+
+    none = F.array().cast("array<struct<item:string,n:bigint>>")
+    return F.when(F.size(items) > 0, _let(_let(F.sort_array(items), ends), counts)).otherwise(none)
 
 
 def gram_counts(docs: DataFrame, id_col: str, text: str = "text", **how) -> DataFrame:
@@ -57,6 +82,18 @@ def gram_counts(docs: DataFrame, id_col: str, text: str = "text", **how) -> Data
     return docs.select(id_col, F.explode(grams(F.col(text), **how)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
 
 
+def gram_totals(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """(gram, total) over all documents."""
+    return docs.select(F.explode(grams(F.col(text), **how)).alias("gram")).groupBy("gram").agg(F.count("*").alias("total"))
+
+
+def _row_counts(docs: DataFrame, id_col: str, text: str, **how) -> DataFrame:
+    """``gram_counts``, counted within the rows; only where an id has several rows are they added up by a shuffle."""
+    counts = docs.select(id_col, F.inline(_let(grams(F.col(text), **how), _tally))).select(id_col, F.col("item").alias("gram"), F.col("n").alias("tf"))
+    one_each = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return counts if one_each else counts.groupBy(id_col, "gram").agg(F.sum("tf").alias("tf"))
+
+
 def top_vocabulary(counts: DataFrame, n: int, by: str = "total", key: str = "gram") -> DataFrame:
     """The n most frequent grams, in gram order on ties."""
     return counts.orderBy(F.desc(by), key).limit(n)
@@ -72,14 +109,15 @@ def vocabulary(train_counts: DataFrame, n_docs: Column, max_features: int) -> Da
 def tfidf(train: DataFrame, docs: DataFrame, id_col: str, text: str = "text", max_features: int = 50_000, sublinear: bool = False, **how) -> DataFrame:
     """(id, gram, tfidf), each document of length 1; vocabulary and idf come from ``train`` alone.
 
-    The vocabulary has ``max_features`` rows at most, so it is broadcast.
+    The vocabulary has ``max_features`` rows at most, so it is broadcast. What is shuffled of a document is its
+    grams of the vocabulary, once.
     """
     n = train.agg(F.count("*").alias("_n"))
-    counts = gram_counts(train, id_col, text, **how)
+    counts = _row_counts(train, id_col, text, **how)
     top = top_vocabulary(counts.groupBy("gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df")), max_features)
     vocab = top.crossJoin(F.broadcast(n)).select("gram", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = 1 + F.ln("tf") if sublinear else F.col("tf").cast("double")
-    rows = gram_counts(docs, id_col, text, **how).join(F.broadcast(vocab), "gram").withColumn("w", tf * F.col("idf"))
+    rows = _row_counts(docs, id_col, text, **how).join(F.broadcast(vocab), "gram").select(id_col, "gram", (tf * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return rows.select(id_col, "gram", (F.col("w") / norm).alias("tfidf"))
 

@@ -1,5 +1,7 @@
 """Registered queries against their SQL on rows that the given tables rarely hold."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -62,3 +64,31 @@ def test_hash_encoder_is_sums_of_signs():
     got = X.hash_encoder(3, 2)([["a", "b", "a"], ["é"], []])
     for tokens, own in zip([["a", "b", "a"], ["é"], []], got, strict=True):
         assert own.tolist() == [[sum(1.0 if zlib.crc32(f"{k}:{h}:{t}".encode()) & 1 else -1.0 for t in tokens) for h in range(3)] for k in range(2)]
+
+
+@pytest.mark.parametrize("analyzer", ["word", "char_wb"])
+def test_tfidf_counts_within_rows(spark, analyzer):
+    """Grams of a document are shuffled once, and counts of an id with two rows are added up."""
+    from driftgauge.operators import features as X
+
+    long = "x" * 150
+    docs = [(1, f"aa bb aa é {long}"), (2, "bb cc"), (3, f"dd aa {long}"), (4, None), (5, "")]
+    split = docs[:3] + [(6, "aa"), (6, "bb aa")]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    how = {"analyzer": "char_wb", "ngram": (2, 4)} if analyzer == "char_wb" else {}
+    out = lambda rows: X.tfidf(frame(rows), frame(rows), "id", **how)
+    got = out(docs)
+    assert "hashpartitioning(id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and not any("gram" in x.split(")")[0] for x in plan.split("hashpartitioning(id")[1:])
+    whole = {(r.id, r.gram): r.tfidf for r in out(docs[:3] + [(6, "aa bb aa")]).collect()}
+    two = {(r.id, r.gram): r.tfidf for r in out(split).collect()}
+    idf = {g: math.log(5 / (1 + len({i for i, x in whole if x == g}))) + 1 for _, g in whole}
+    counts = {(r.id, r.gram): r.tf for r in X.gram_counts(frame(docs[:3] + [(6, "aa bb aa")]), "id", **how).collect()}
+    for i in {i for i, _ in counts}:
+        norm = math.sqrt(sum((n * idf[g]) ** 2 for (j, g), n in counts.items() if j == i))
+        for (j, g), n in counts.items():
+            if j == i:
+                assert whole[j, g] == pytest.approx(n * idf[g] / norm)
+    if analyzer == "char_wb":  # n documents are rows
+        assert set(two) == set(whole)
+    else:
+        assert two.keys() == whole.keys() and two[6, "aa"] > two[6, "bb"]
