@@ -156,7 +156,7 @@ ASCII_CONDITIONS: dict[str, Callable[[Column], Column]] = {n: f if n == "with_ha
 def ablation_conditions(df: DataFrame, text: str = "text", conditions: dict | None = None) -> DataFrame:
     """One row per document and condition, with the transformed text."""
     made = [F.struct(F.lit(n).alias("condition"), f(F.col(text)).alias("_t")) for n, f in (conditions or CONDITIONS).items()]
-    out = df.withColumn("_c", F.explode(F.array(*made)))
+    out = df.withColumn("_c", F.explode_outer(F.array(*made)))
     return out.select(*[F.col("_c._t").alias(text) if c == text else F.col(c) for c in df.columns], F.col("_c.condition").alias("condition"))
 
 
@@ -168,7 +168,7 @@ def ablation_texts(df: DataFrame, text: str = "text", conditions: dict | None =
         same = lambda t: F.transform(F.filter(m, lambda x: x["_t"].eqNullSafe(t)), lambda x: x["condition"])
         return F.transform(F.array_distinct(F.transform(m, lambda x: x["_t"])), lambda t: F.struct(t.alias("_t"), same(t).alias("conditions")))
 
-    out = df.withColumn("_c", F.explode(_let(made, grouped)))
+    out = df.withColumn("_c", F.explode_outer(_let(made, grouped)))
     return out.select(*[F.col("_c._t").alias(text) if c == text else F.col(c) for c in df.columns], F.col("_c.conditions").alias("conditions"))
 
 
@@ -206,10 +206,15 @@ def split_sections(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*keep, F.inline(sections(F.col(text))))
 
 
+def _hidden(headings: list[str]) -> Callable[[Column], Column]:
+    """Of a section with one of the headings: its heading line, and a mark."""
+    marks = F.create_map(*[F.lit(x) for h in headings for x in (h, f"$1\n[MASKED_{'_'.join(h.upper().split(' '))}]\n")])
+    return lambda s: F.regexp_replace(s["block"], F.lit(rf"(?s)\A({_LINE}).*"), F.element_at(marks, s["heading"]))
+
+
 def masked(parts: Column, headings: list[str]) -> Column:
     """The text again; of sections with the given headings the heading line stays, and a mark."""
-    marks = F.create_map(*[F.lit(x) for h in headings for x in (h, f"$1\n[MASKED_{'_'.join(h.upper().split(' '))}]\n")])
-    hidden = lambda s: F.regexp_replace(s["block"], F.lit(rf"(?s)\A({_LINE}).*"), F.element_at(marks, s["heading"]))
+    hidden = _hidden(headings)
     return F.array_join(F.transform(parts, lambda s: F.when(s["heading"].isin(headings), hidden(s)).otherwise(s["block"])), "")
 
 
@@ -217,19 +222,54 @@ def mask_sections(df: DataFrame, headings: list[str], text: str = "text") -> Dat
     return df.withColumn(text, masked(sections(F.col(text)), headings))
 
 
+def _raw_and_redacted(df: DataFrame, text: str, made: Callable[[Column], Column]) -> DataFrame:
+    """``_raw`` and ``_red``: what ``made`` gives for the sections of the text, and of the redacted text."""
+    return df.withColumns({"_raw": made(sections(F.col(text))), "_red": made(_let(redact_iocs(F.col(text)), sections))})
+
+
 def masking_variants(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per document and variant: original, redacted, each section group masked in both."""
-    rows = df.withColumn("_raw", sections(F.col(text))).withColumn("_red", sections(redact_iocs(F.col(text))))
-    made = {"original": F.col(text), "redact_ioc_identifiers": redact_iocs(F.col(text))}
+    rows = _raw_and_redacted(df, text, lambda parts: parts)
+    made = {"original": F.col(text), "redact_ioc_identifiers": F.array_join(F.transform("_red", lambda s: s["block"]), "")}
     for group, headings in SECTION_GROUPS.items():
         made[f"mask_{group}"] = masked(F.col("_raw"), headings)
         made[f"redact_ioc_mask_{group}"] = masked(F.col("_red"), headings)
-    rows = rows.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("t")) for n, t in made.items()])))
+    rows = rows.withColumn("_v", F.explode_outer(F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("t")) for n, t in made.items()])))
     return rows.select(*[F.col("_v.t").alias(text) if c == text else F.col(c) for c in df.columns], F.col("_v.variant").alias("variant"))
 
 
+def masking_counts(df: DataFrame, counters: dict[str, Callable[[Column], Column]], text: str = "text") -> DataFrame:
+    """``counters`` of all masking variants in place of the text, and ``original``, those of the text as it is.
+
+    Every section is counted as it is, redacted and masked, and the variants are sums: what is counted must not reach over a line's end.
+    """
+    every = [h for headings in SECTION_GROUPS.values() for h in headings]
+    hidden = _hidden(every)
+    per = lambda t: F.struct(*[f(t).cast("long").alias(n) for n, f in counters.items()])
+
+    def counted(parts: Column) -> Column:
+        return F.transform(parts, lambda s: F.struct(s["heading"].alias("heading"), per(s["block"]).alias("own"), F.when(s["heading"].isin(every), _let(hidden(s), per)).alias("hid")))
+
+    def total(parts: str, headings: list[str]) -> Column:
+        of = lambda s, n: F.when(s["heading"].isin(headings), s["hid"][n]).otherwise(s["own"][n])
+        return F.struct(*[F.aggregate(parts, F.lit(0).cast("long"), lambda a, s: a + of(s, n)).alias(n) for n in counters])  # noqa: B023
+
+    made = {"original": total("_raw", []), "redact_ioc_identifiers": total("_red", [])}
+    for group, headings in SECTION_GROUPS.items():
+        made[f"mask_{group}"], made[f"redact_ioc_mask_{group}"] = total("_raw", headings), total("_red", headings)
+    keep = [c for c in df.columns if c != text]
+    rows = _raw_and_redacted(df, text, counted).select(*keep, F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("c")) for n, t in made.items()]).alias("_v"))
+    # not ``explode``: for that Spark first asks whether the array has elements, which computes all of it once more
+    rows = rows.select(*keep, F.col("_v")[0]["c"].alias("original"), F.explode_outer("_v").alias("_v"))
+    return rows.select(*keep, "original", "_v.variant", "_v.c.*")
+
+
+#: How often each indicator stands in a text.
+INDICATOR_COUNTS: dict[str, Callable[[Column], Column]] = {n: lambda t, p=p: F.regexp_count(t, F.lit(p)).cast("long") for n, p in INDICATORS.items()}
+
+
 def count_indicators(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumns({n: F.regexp_count(F.col(text), F.lit(p)).cast("long") for n, p in INDICATORS.items()})
+    return df.withColumns({n: f(F.col(text)) for n, f in INDICATOR_COUNTS.items()})
 
 
 # What counts as an indicator, and as a token.

@@ -92,3 +92,22 @@ def test_tfidf_counts_within_rows(spark, analyzer):
         assert set(two) == set(whole)
     else:
         assert two.keys() == whole.keys() and two[6, "aa"] > two[6, "bb"]
+
+
+def test_masking_report_sums_sections(spark):
+    """No text is shuffled, and sums over sections are counts of the variants' texts."""
+    from driftgauge.functions import text as T
+    from driftgauge.plans import jobs as J
+
+    h = "0a" * 16
+    texts = [
+        f"pre {h}\n## Network Activity\nGET http://a.example/x\r  10.0.0.7:80\n\n## Executed Commands  \nC:\\Temp\\a.exe {h}",
+        f"## Summary Statistics\n## Network Activity {h}\nx\n### DNS Requests\nevil.top\x85HKLM\\Soft\\Run\n## Network Activity\n漢字 é_1",
+        f"no heading HKLM\\A\n{h}", "## Process Tree", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string").coalesce(1)
+    out = J.masking_report(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = T.count_indicators(T.token_deltas(T.masking_variants(df), ["sample_id"])).select(*out.columns)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert out.where("md5 > 0 and url > 0").count() > 0
