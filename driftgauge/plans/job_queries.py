@@ -274,12 +274,14 @@ def read_reports(spark, d):
 
 @query("s2_read_json_reports", "SELECT conv_id AS sample_id, count(*) AS n_calls FROM conversations GROUP BY conv_id")
 def read_json(spark, d):
-    """A JSON file for each conversation, read back by the reader of reports."""
+    """A JSON file for each conversation, read back by the reader of reports; about a hundred of them share a folder."""
     from ..operators import behavior as B
 
     at = scratch(spark)
-    V.sandbox(spark, d).select("sample_id", "raw").write.partitionBy("sample_id").text(at)
-    rows = S.read_json_reports(spark, at, "*.txt").withColumn("sample_id", F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("long"))
+    # a folder is written by one task, so that it is moved as a whole
+    dealt = V.sandbox(spark, d).select(F.floor(F.col("sample_id") / 100).alias("folder"), "raw").repartition("folder")
+    dealt.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(at)
+    rows = S.read_json_reports(spark, at, "*.txt").withColumn("sample_id", F.get_json_object("raw", "$.info.id").cast("long"))
     return B.extract_api_calls(rows).groupBy("sample_id").agg(F.count("*").alias("n_calls"))
 
 

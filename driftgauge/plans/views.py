@@ -111,12 +111,12 @@ INDICATORS_SQL = ", ".join(
 
 
 def sandbox(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as sandbox JSON: a process per role, a call per turn."""
+    """Conversations as sandbox JSON: a process per role, a call per turn, and the conversation as ``info.id``."""
     rows = table(spark, d, "conversations")
     call = F.struct(F.concat("role", F.col("turn").cast("string")).alias("api"), F.array("text").alias("arguments"), (F.col("turn") % 3).alias("return"))
     per = rows.groupBy("conv_id", "role").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", call.alias("c")))), lambda t: t["c"]).alias("calls"))
     per = per.groupBy(F.col("conv_id").alias("sample_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("role", "calls"))), lambda p: F.struct(p["calls"].alias("calls"))).alias("processes"))
-    return per.select("sample_id", F.to_json(F.struct(F.struct("processes").alias("behavior"))).alias("raw"))
+    return per.select("sample_id", F.to_json(F.struct(F.struct(F.col("sample_id").alias("id")).alias("info"), F.struct("processes").alias("behavior"))).alias("raw"))
 
 
 def layer_emb(spark: SparkSession, d: str) -> DataFrame:

@@ -111,3 +111,13 @@ def test_masking_report_sums_sections(spark):
     want = T.count_indicators(T.token_deltas(T.masking_variants(df), ["sample_id"])).select(*out.columns)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert out.where("md5 > 0 and url > 0").count() > 0
+
+
+def test_json_reports_share_folders(spark, sf, tmp_path, monkeypatch):
+    """A file for each conversation, and a folder for about a hundred of them, not for each."""
+    from driftgauge.plans import job_queries as Q
+
+    monkeypatch.setattr(Q, "scratch", lambda spark: f"{tmp_path}/reports")
+    n = E.queries()["s2_read_json_reports"](spark, sf).count()
+    assert n > 0 and len(list(tmp_path.glob("reports/folder=*/*.txt"))) == n
+    assert len(list(tmp_path.glob("reports/folder=*"))) < n
