@@ -121,3 +121,13 @@ def test_json_reports_share_folders(spark, sf, tmp_path, monkeypatch):
     n = E.queries()["s2_read_json_reports"](spark, sf).count()
     assert n > 0 and len(list(tmp_path.glob("reports/folder=*/*.txt"))) == n
     assert len(list(tmp_path.glob("reports/folder=*"))) < n
+
+
+def test_trees_are_grown_by_tasks_of_bounded_size(spark):
+    """Files of few bytes hold many rows: tasks follow the rows, not the files."""
+    from pyspark.sql import functions as F
+
+    from driftgauge.operators import models as L
+
+    rows = L._dealt(spark.range(20_000).select(F.col("id").alias("sample_id")).coalesce(1)).rdd.glom().map(lambda x: [r[0] for r in x]).collect()
+    assert len(rows) == 4 and max(map(len, rows)) < 6_000 and all(r == sorted(r) for r in rows)
