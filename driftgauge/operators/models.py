@@ -153,7 +153,7 @@ def compare_classifiers(train: DataFrame, test: DataFrame, trees: int = 200, tar
     common = {"featuresCol": "_v", "labelCol": "label", "seed": 42}
     rows = _vectors(_dealt(stored(train.select("sample_id", "y", "features"))))
     # a deep forest has about as many nodes as rows: with more memory for their sums it is grown in fewer passes,
-    # and a pass doesn't lead each row down all trees again; neither changes what is grown
+    # and a pass doesn't lead each row down all trees again
     forest = {"maxMemoryInMB": 512, "cacheNodeIds": True}
     made = {
         "lr": fit_logreg(rows, balanced=False),
