@@ -32,7 +32,8 @@ runs hold equal threes, or are two lines or one. The shortest such spans, from e
 line forwards and backwards, join the threes and long lines in step 3.
 
 Texts are read twice and moved once, to be cut; lines are moved only as hashes, and
-never per pair of places, so a passage of n copies makes n rows.
+never per pair of places, so a passage of n copies makes n rows. Lines, fingerprints and
+windows are made once and stored until the runs are known; they are deleted before texts move.
 
 Nulls: a null text stays null with no lines. Rows alike in id and text are one
 document and get the same result each. A null id orders before all others; documents
@@ -66,28 +67,19 @@ def _let(value: Column, body) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """struct<pos, h1, h2, wc, n>: piece indexes, hashes and words of the lines, and the pieces' number."""
+    """struct<l: array<struct<pos, h1, h2, wc>>, n>: piece indexes, hashes and words of the lines, and the pieces' number."""
 
     def line(bare: Column, i: Column) -> Column:
         words = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-        return F.struct(i.alias("pos"), bare.alias("l"), F.xxhash64(bare).alias("h1"), F.when(bare == "", 0).otherwise(words).alias("wc"))
+        return F.struct(i.alias("pos"), F.xxhash64(bare).alias("h1"), F.hash(bare).alias("h2"), F.when(bare == "", 0).otherwise(words).alias("wc"))
 
     def fresh(u: Column) -> Column:
         return F.filter(u, lambda x, i: (i == 0) | (x["h1"] != F.get(u, i - 1)["h1"]))
 
-    def split(u: Column, n: Column) -> Column:
-        return F.struct(
-            F.transform(u, lambda x: x["pos"]).alias("pos"),
-            F.transform(u, lambda x: x["h1"]).alias("h1"),
-            F.transform(u, lambda x: F.hash(x["l"])).alias("h2"),
-            F.transform(u, lambda x: x["wc"]).alias("wc"),
-            n.alias("n"),
-        )
-
     def whole(parts: Column) -> Column:
         bare = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK)))  # once, as lambdas repeat what they hold
         worded = F.filter(F.transform(bare, line), lambda u: u["wc"] > 0)
-        return _let(_let(worded, fresh), lambda u: split(u, F.size(parts)))
+        return F.struct(_let(worded, fresh).alias("l"), F.size(parts).alias("n"))
 
     return _let(pieces(text), whole)
 
@@ -101,14 +93,19 @@ def _two(i: Column) -> Column:
     return F.xxhash64(F.get("h1", i), F.get("h1", i + 1))
 
 
-def _sums(x: str, step: int) -> Column:
-    """Sums of three neighbours at a distance of ``step``; null near the end."""
-    return F.transform(x, lambda v, i: v + F.get(x, i + step) + F.get(x, i + 2 * step))
+def _threes(x: str, step: int, of) -> Column:
+    """What ``of`` makes of three neighbours of a column at a distance of ``step``; also at the end, where some are null."""
+    return F.transform(x, lambda v, i: of(v, F.get(x, i + step), F.get(x, i + 2 * step)))
+
+
+def _sum(a: Column, b: Column, c: Column) -> Column:
+    return a + b + c
 
 
-def _fewer(sums: Column, i: Column, n: int, words: int) -> Column:
-    """Whether any of n windows from i on holds fewer words."""
-    return F.exists(F.slice(sums, i + 1, F.lit(n)), lambda w: w < words)
+def _shifted(x: str, k: int, kind: str) -> Column:
+    """x[i + k] at i, null outside."""
+    moved = F.slice(x, k + 1, F.size(x)) if k >= 0 else F.concat(F.array_repeat(F.lit(None).cast(kind), -k), x)
+    return F.coalesce(moved, F.array().cast(f"array<{kind}>")).alias(f"{x}_{k}")
 
 
 def _choice(i: Column, min_words: int) -> Column:
@@ -116,25 +113,44 @@ def _choice(i: Column, min_words: int) -> Column:
     return F.when(_words_of_three(i) >= min_words, F.when(_two(i) <= _two(i + 1), i).otherwise(i + 1))
 
 
-def _pair(t: Column, i: Column, min_words: int, long_words: int) -> Column:
-    """The pair that winnowing takes of three lines from i on, of which ``t`` holds the words; null where
-    they hold too few, or where a long line, which is a fingerprint already, stands for them."""
-    short = F.greatest(F.get("wc", i), F.get("wc", i + 1), F.get("wc", i + 2)) < long_words
-    return F.when((t >= min_words) & short, F.when(F.get("two", i) <= F.get("two", i + 1), i).otherwise(i + 1))
+def _fingerprints(base: DataFrame, min_words: int, long_words: int) -> DataFrame:
+    """(d, p, h, m): pairs of lines chosen by winnowing, and whole windows of 1, 9 and 27 lines at p; m holds the bits of the ``COVERED``
+    windows that each stands for: three lines to the left and right of a pair, or with a long line as their first such one; and a window itself.
 
-
-def _fingerprints(min_words: int, long_words: int) -> Column:
-    """array<struct<h, p, n>>: pairs of lines (n = 2) chosen by winnowing, and whole windows of 1, 9 and 27 lines at p."""
-    mark = lambda h, p, n: F.struct(h.alias("h"), p.alias("p"), F.lit(n).alias("n"))
-    pairs = F.array_distinct(F.filter(F.transform("t3", lambda t, i: _pair(t, i, min_words, long_words)), lambda p: p.isNotNull()))
-    pairs = F.transform(pairs, lambda p: mark(F.get("two", p), p, 2))
-    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, mark(F.xxhash64(F.lit(13), F.get("h1", i)), i, 1)))
-    window = lambda i, n: mark(F.xxhash64(F.lit(n), F.slice("h1", i + 1, F.lit(n))), i, n)
-    nine = F.transform("t9", lambda w, i: F.when((w >= min_words) & _fewer(F.col("t3"), i, 7, min_words), window(i, 9)))
-    many = F.transform(_sums("t9", 9), lambda w, i: F.when((w >= min_words) & _fewer(F.col("t9"), i, 19, min_words), window(i, 27)))
-    # where every three lines hold enough, longer windows add nothing
-    windows = F.when(F.array_min("t3") < min_words, F.concat(alone, nine, many)).otherwise(alone)
-    return F.concat(pairs, F.filter(windows, lambda m: m.isNotNull()))
+    What reaches over many lines is made of arrays by threes, the rest is decided line by line: lambdas are interpreted, rows compiled.
+    """
+    short = F.array_min("t3") < min_words  # where every three lines hold enough, longer windows add nothing
+    a = base.select("d", "h1", "wc").withColumn("t3", _threes("wc", 1, _sum))
+    a = a.withColumns({"t9": F.when(short, _threes("t3", 3, _sum)), "low3": F.when(short, _threes("t3", 1, F.least)), "h3": F.when(short, _threes("h1", 1, F.xxhash64))})
+    a = a.withColumns({"h9": _threes("h3", 3, F.xxhash64), "low": _threes("t9", 1, F.least)}).withColumn("low9", _threes("low", 3, F.least))
+    beside = {("wc", "int"): range(-2, 3), ("h1", "long"): range(-1, 3), ("t9", "int"): (0, 9, 18), ("h9", "long"): (0, 9, 18), ("low3", "int"): (0, 3, 4), ("low9", "int"): (0, 9, 10)}
+    rows = a.select("d", F.posexplode(F.arrays_zip(*[_shifted(x, k, kind) for (x, kind), ks in beside.items() for k in ks])).alias("p", "x"))
+    at = lambda x, k: F.col("x")[f"{x}_{k}"]
+    bit = lambda which, b: F.when(which, b).otherwise(0)
+
+    long = lambda k: at("wc", k) >= long_words
+    enough = lambda k: _sum(*[at("wc", k + j) for j in range(3)]) >= min_words
+    plain = lambda k: enough(k) & (F.greatest(*[at("wc", k + j) for j in range(3)]) < long_words)
+    two = lambda k: F.xxhash64(at("h1", k), at("h1", k + 1))
+    pair = bit(plain(0) & (two(0) <= two(1)), 1) + bit(plain(-1) & (two(-1) > two(0)), 2)
+    alone = 8 + bit(enough(0), 1) + bit(enough(-1) & ~long(-1), 2) + bit(enough(-2) & ~long(-2) & ~long(-1), 4)
+    one = F.when(long(0), F.struct(F.xxhash64(F.lit(13), at("h1", 0)).alias("h"), alone.alias("m"))).when(pair > 0, F.struct(two(0).alias("h"), pair.alias("m")))
+    # whole windows, if any shorter ones in them hold too few words
+    fewer = lambda low, *ks: F.least(*[at(low, k) for k in ks]) < min_words
+    nine = F.when((at("t9", 0) >= min_words) & fewer("low3", 0, 3, 4), F.struct(at("h9", 0).alias("h"), F.lit(16).alias("m")))
+    enough_many = _sum(at("t9", 0), at("t9", 9), at("t9", 18)) >= min_words
+    many = F.when(enough_many & fewer("low9", 0, 9, 10), F.struct(F.xxhash64(at("h9", 0), at("h9", 9), at("h9", 18)).alias("h"), F.lit(32).alias("m")))
+    return rows.select("d", "p", F.explode(F.array(one, nine, many)).alias("f")).where("f is not null").select("d", "p", "f.h", "f.m")
+
+
+#: The bits of a fingerprint: where, from its place on, the windows begin that it stands for, and their lines.
+COVERED = {1: (0, 3), 2: (-1, 3), 4: (-2, 3), 8: (0, 1), 16: (0, 9), 32: (0, 27)}
+
+
+def _covered() -> Column:
+    """struct<p, n> of a window that a fingerprint (p, m) stands for, one for each row; null for the other bits."""
+    window = lambda by, n: F.struct((F.col("p") + by).alias("p"), F.lit(n).alias("n"))
+    return F.explode(F.array(*[F.when(F.col("m").bitwiseAND(b) > 0, window(by, n)) for b, (by, n) in COVERED.items()]))
 
 
 def _span(p: Column, n: Column) -> Column:
@@ -147,20 +163,6 @@ def _span(p: Column, n: Column) -> Column:
     )
 
 
-def _around(places: Column, min_words: int, long_words: int) -> Column:
-    """The windows that the fingerprints at ``places`` stand for: three lines to the left and right of a
-    pair, or with a long line as their first such one; and a window itself."""
-
-    def of(x: Column) -> Column:
-        p = x["p"]
-        sides = F.filter(F.array(p - 1, p), lambda i: _pair(F.get("t3", i), i, min_words, long_words) == p)
-        near = F.filter(F.array(p, p - 1, p - 2), lambda i: F.when(F.get("t3", i) >= min_words, ~F.exists(F.slice("wc", i + 1, p - i), lambda w: w >= long_words)))
-        threes = F.transform(F.when(x["n"] == 2, sides).when(x["n"] == 1, near).otherwise(F.array().cast("array<int>")), lambda i: _span(i, F.lit(3)))
-        return F.when(x["n"] == 2, threes).otherwise(F.concat(threes, F.array(_span(p, x["n"]))))
-
-    return F.flatten(F.transform(places, of))
-
-
 def _selected(long_words: int, run_words: int) -> Column:
     """Fingerprints for runs of ``run_words``: three lines of few words can be part of a run, and a run can be two lines or one."""
     places = F.concat(F.transform("wc", lambda _x, i: _choice(i, 0)), F.transform("wc", lambda x, i: F.when(x + F.get("wc", i + 1) >= run_words, i)))
@@ -205,23 +207,26 @@ def _spans(min_words: int, long_words: int, run_words: int) -> Column:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25, run_words: int | None = None) -> DataFrame:
     """(k1, k2, a, b): the pieces a..b of each run to delete."""
     base = docs.select(*doc_key(id_col, text_col), F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("u"))
-    base = stored(base.select(F.monotonically_increasing_id().alias("d"), "k1", "k2", "_id", "u.*"), "lines")
+    base = stored(base.select(F.monotonically_increasing_id().alias("d"), "k1", "k2", "_id", *[F.col(f"u.l.{c}").alias(c) for c in ("pos", "h1", "h2", "wc")], "u.n"), "lines")
 
     # rows alike in id and text stand for one document, the first of them
     one = base.groupBy("k1", "k2").agg(F.min("d").alias("d")).select("d")
     if run_words is None:
-        sums = base.withColumn("t3", _sums("wc", 1)).withColumn("t9", F.when(F.array_min("t3") < min_words, _sums("t3", 3))).withColumn("two", F.transform("h1", lambda _x, i: _two(i)))
-        chosen = sums.select("d", F.inline(_fingerprints(min_words, long_words)))
+        chosen = _fingerprints(base, min_words, long_words)
     else:
-        chosen = base.select("d", F.explode(_selected(long_words, run_words)).alias("h"), F.lit(0).alias("p"), F.lit(0).alias("n"))
+        chosen = base.select("d", F.explode(_selected(long_words, run_words)).alias("h"))
+    chosen = stored(chosen, "fingerprints")  # both sides of the join need them
     twice = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = chosen.join(twice, "h").groupBy("d").agg(F.collect_set(F.struct("p", "n")).alias("places"))
-    near = base.drop("k1", "k2").join(places, "d").join(one, "d")
+    again = chosen.join(twice, "h")
+    near = base.drop("k1", "k2").join(one, "d")
     if run_words is None:
-        near = near.withColumn("t3", _sums("wc", 1)).withColumn("two", F.transform("h1", lambda _x, i: _two(i)))
-        spans = near.select("d", "_id", F.inline(_around(F.col("places"), min_words, long_words)))
+        places = again.select("d", _covered().alias("w")).where("w is not null").groupBy("d").agg(F.collect_list("w").alias("places"))
+        windows = F.transform("places", lambda w: _span(w["p"], w["n"]))
     else:
-        spans = near.select("d", "_id", F.inline(_spans(min_words, long_words, run_words)))
+        places = again.select("d").distinct()
+        windows = _spans(min_words, long_words, run_words)
+    spans = stored(near.join(places, "d").select("d", "_id", F.inline(windows)), "spans")  # here too
+    discard(chosen)
     where = F.struct("_id", "d", "a")
     first = spans.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = spans.join(first, ["w1", "w2"]).where(where > F.col("first")).select("d", "a", "b")
@@ -232,6 +237,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = later.withColumn("new", fresh).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("d", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     out = stored(runs.join(base.select("d", "k1", "k2"), "d").select("k1", "k2", "a", "b"), "runs")
+    discard(spans)
     discard(base)
     return out
 

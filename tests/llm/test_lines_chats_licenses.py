@@ -1,5 +1,9 @@
+import random
+import re
+
 import duckdb
 
+from driftgauge.llm import line_dedup
 from driftgauge.llm.chat_format import ORACLE as CHAT_SQL
 from driftgauge.llm.chat_format import render_chats
 from driftgauge.llm.license_scan import TEMPLATES, Scanner, patience, rising, scan_licenses, words
@@ -85,6 +89,40 @@ def test_line_dedup_words_equals_sql(spark):
     assert {tuple(r) for r in op1_line_dedup_words(spark, d).collect()} == set(con.execute(ORACLE_WORDS).fetchall())
 
 
+def test_line_dedup_makes_fingerprints_and_windows_once(spark, sf, monkeypatch):
+    plans, stored = [], line_dedup.stored
+
+    def noted(df, *names):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, *names)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for words in (None, 25):
+        plans.clear()
+        dedup_lines(docs, run_words=words)
+        made = [re.sub(r"#\d+L?|_\d+", "", x).strip(" +-:") for p in plans for x in p.splitlines() if "Generate " in x]
+        assert made and len(made) == len(set(made))
+
+
+def test_line_dedup_of_shared_stretches_equals_brute_force(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(rng.choices("abcdefgh", k=n)) + "\n"
+    # line lengths about the bounds of 15 and 25 words, and of windows of 3, 9 and 27 lines
+    kinds = [[1], [1, 2], [1, 1, 1, 6], [4, 5, 6], [1, 14, 15], [2, 24, 25, 26], [1, 1, 1, 1, 25], list(range(1, 30))]
+    pool = [[line(rng.choice(k)) for _ in range(rng.choice([1, 2, 3, 4, 9, 10, 26, 27, 28, 60]))] for k in kinds for _ in range(12)]
+    rows = []
+    for i in range(300):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            part = rng.choice(pool)
+            a = rng.randrange(len(part))
+            text += part[a : rng.randint(a, len(part))] + [line(rng.randint(1, 4)) for _ in range(rng.randint(0, 2))]
+        rows.append((i, "".join(text)))
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (t, got[d]) for d, t in brute(rows).items() if t != got[d]} == {} and got != dict(rows)
+
+
 def test_line_dedup_edge_rows(spark):
     rows = [(1, P), (1, P), (None, P), (None, None), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as runs_deleted", "2 as k1")
