@@ -171,37 +171,53 @@ def _selected(long_words: int, run_words: int) -> Column:
     return F.concat(F.transform(places, _two), alone)
 
 
+def _code(p: Column, n: Column) -> Column:
+    """(p, n) in one number: array_distinct compares numbers by hash, but each struct with all before it."""
+    return F.shiftleft(p.cast("long"), 32) + n
+
+
+def _steps(run_words: int) -> list[int]:
+    return [1 << b for b in reversed(range(run_words.bit_length()))]
+
+
+def _with_sums(df: DataFrame, run_words: int) -> DataFrame:
+    """The words of 1, 2, 4, ... lines from each on, as columns sum1, sum2, ...; null near the end."""
+    df = df.withColumn("sum1", F.col("wc"))
+    for k in _steps(run_words)[-2::-1]:
+        df = df.withColumn(f"sum{k}", F.transform(f"sum{k // 2}", lambda v, i: v + F.get(f"sum{k // 2}", i + k // 2)))
+    return df
+
+
 def _run_spans(run_words: int) -> Column:
-    """array<struct<p, n>>: the shortest spans of ``run_words`` words that begin or end at each line."""
+    """Codes of the shortest spans of ``run_words`` words that begin or end at each line."""
 
     def reach(i: Column, way: int) -> Column:
-        """How many further lines it takes, or null."""
-        total = F.get("wc", i)
-        out = F.when(total >= run_words, F.lit(0))
-        for m in range(1, run_words):
-            total = total + F.get("wc", i + way * m)
-            out = out.when(total >= run_words, F.lit(m))
-        return out
+        """struct<m, t>: how many lines hold fewer words at the most, and these words, by halving steps."""
+
+        def further(s: Column, k: int) -> Column:
+            first = i + s["m"] if way > 0 else i - s["m"] - (k - 1)
+            return _let(s["t"] + F.get(f"sum{k}", first), lambda t: F.when(t < run_words, F.struct((s["m"] + k).alias("m"), t.alias("t"))).otherwise(s))
 
-    def words(p: Column, n: Column) -> Column:
-        return F.aggregate(F.slice("wc", p + 1, n), F.lit(0), lambda t, x: t + x)
+        none = F.struct(F.lit(0).alias("m"), F.lit(0).alias("t"))
+        return reduce(lambda state, k: _let(state, lambda s: further(s, k)), _steps(run_words), none)
 
     def ahead(_x: Column, i: Column) -> Column:
-        return _let(reach(i, 1), lambda m: F.when(m.isNotNull(), F.struct(i.alias("p"), (m + 1).alias("n"))))
+        return _let(reach(i, 1)["m"], lambda m: F.when(i + m < F.size("wc"), _code(i, m + 1)))
 
     def behind(_x: Column, i: Column) -> Column:
         # a span that has enough words without its last line isn't a forward span
-        return _let(reach(i, -1), lambda m: F.when((m > 0) & (words(i - m, m) >= run_words), F.struct((i - m).alias("p"), (m + 1).alias("n"))))
+        return _let(reach(i, -1), lambda s: F.when((s["m"] > 0) & (i >= s["m"]) & (s["t"] - F.get("wc", i) + F.get("wc", i - s["m"]) >= run_words), _code(i - s["m"], s["m"] + 1)))
 
     return F.concat(F.transform("wc", ahead), F.transform("wc", behind))
 
 
 def _spans(min_words: int, long_words: int, run_words: int) -> Column:
     """Every three lines with ``min_words`` words, every line with ``long_words`` and the spans of ``run_words``."""
-    three = F.transform("wc", lambda _x, i: F.when(_words_of_three(i) >= min_words, F.struct(i.alias("p"), F.lit(3).alias("n"))))
-    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, F.struct(i.alias("p"), F.lit(1).alias("n"))))
-    found = F.array_distinct(F.concat(three, alone, _run_spans(run_words)))
-    return F.transform(F.filter(found, lambda s: s.isNotNull()), lambda s: _span(s["p"], s["n"]))
+    three = F.transform("wc", lambda _x, i: F.when(_words_of_three(i) >= min_words, _code(i, F.lit(3))))
+    alone = F.transform("wc", lambda x, i: F.when(x >= long_words, _code(i, F.lit(1))))
+    found = F.filter(F.array_distinct(F.concat(three, alone, _run_spans(run_words))), lambda c: c.isNotNull())
+    found = F.transform(found, lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("p"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")))
+    return F.transform(found, lambda s: _span(s["p"], s["n"]))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, long_words: int = 25, run_words: int | None = None) -> DataFrame:
@@ -224,6 +240,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         windows = F.transform("places", lambda w: _span(w["p"], w["n"]))
     else:
         places = again.select("d").distinct()
+        near = _with_sums(near, run_words)
         windows = _spans(min_words, long_words, run_words)
     spans = stored(near.join(places, "d").select("d", "_id", F.inline(windows)), "spans")  # here too
     discard(chosen)

@@ -119,8 +119,21 @@ def test_line_dedup_of_shared_stretches_equals_brute_force(spark):
             a = rng.randrange(len(part))
             text += part[a : rng.randint(a, len(part))] + [line(rng.randint(1, 4)) for _ in range(rng.randint(0, 2))]
         rows.append((i, "".join(text)))
-    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
     assert {d: (t, got[d]) for d, t in brute(rows).items() if t != got[d]} == {} and got != dict(rows)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    words = {r.doc_id: r.text for r in dedup_lines(df, run_words=25).collect()}
+    assert {r[0]: r[1] for r in con.execute(ORACLE_WORDS).fetchall()} == words and words != got
+
+
+def test_line_dedup_words_compares_spans_as_numbers(spark):
+    # array_distinct compares structs each with all before it
+    lines = spark.sql("SELECT array(9, 20, 3) AS wc")
+    codes = line_dedup._with_sums(lines, 25).select(line_dedup._run_spans(25).alias("c"))
+    assert codes.schema["c"].dataType.simpleString() == "array<bigint>"
+    assert {(c >> 32, c & 255) for c in codes.first().c if c is not None} == {(0, 2), (0, 3)}
 
 
 def test_line_dedup_edge_rows(spark):
