@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .near_dedup import powers
 
 KEYS = (16, 8, 4, 2, 1)
+#: Bytes of texts that Python works on at a time.
+SLICE = 1 << 20
 _U = np.uint64
 
 
@@ -246,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
 
         def run(batches, sent=sent, name=name):
             find = finder(name, sent, rate)
-            for batch in batches:
+            for batch in slices(batches, 1, SLICE):
                 rows = [(r, str(n), a, b, d) for r, t in enumerate(batch.column(1).to_pylist()) if t for n, a, b, d in find(t)]
                 if rows:
                     at, item, a, b, d = zip(*rows, strict=True)
@@ -267,7 +269,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, tex
 
         def run(batches, sent=sent, name=name):
             find = finder(name, sent, rate)
-            for batch in batches:
+            for batch in slices(batches, place, SLICE):
                 yield batch.filter(pa.array([not (t and find(t)) for t in batch.column(place).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -46,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table
+from .common import discard, slices, stored, table
 from .components import components
 
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 LOW = 0.6
 BLOCK = 512
+#: Bytes of texts, and nodes of groups, that Python works on at a time.
+SLICE, NODES = 1 << 20, 2048
 _U = np.uint64
 
 
@@ -142,7 +144,7 @@ def _signatures(weighted: bool):
     salt = mix(np.arange(100, 100 + BANDS, dtype=_U))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE):
             size, sig, band = [], [], []
             for text in batch.column("text").to_pylist():
                 items, counts = shingles(text or "")
@@ -198,7 +200,7 @@ def _closest(least: float):
     """For each node of a group the node closest to it: pairs (a, b)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "members", NODES):
             a, b = [], []
             for rows, band in zip(batch.column("members").to_pylist(), batch.column("band").to_pylist(), strict=True):
                 g = Group(rows, band, least)
@@ -225,7 +227,7 @@ def _open(least: float):
     """(g, band, node) of nodes that still have a pair to be judged in their group."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "members", NODES):
             names, bands, nodes = [], [], []
             for g, rows, band in zip(*[batch.column(c).to_pylist() for c in ("g", "members", "band")], strict=True):
                 x = Group(rows, band, least)
@@ -249,7 +251,7 @@ def _judged(threshold: float, weighted: bool, least: float):
     but for those whose nodes are joined already, so that n nodes give under n links."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "members", NODES):
             a, b = [], []
             for rows, band in zip(batch.column("members").to_pylist(), batch.column("band").to_pylist(), strict=True):
                 g = Group(rows, band, least)
@@ -285,8 +287,9 @@ def _judged(threshold: float, weighted: bool, least: float):
 
 def _verify(threshold: float, weighted: bool):
     def run(batches):
-        for batch in batches:
-            last, keep, x = None, [], None
+        last, x = None, None
+        for batch in slices(batches, "ta", SLICE):
+            keep = []
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 if ta != last:
                     last, x = ta, shingles(ta)

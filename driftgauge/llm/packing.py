@@ -30,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 from .token_counts import tokenizer
 
-CACHE = 1_000_000
+#: Words that a worker remembers, and as many of before; bytes of texts that are split at a time.
+CACHE = 300_000
+SLICE = 1 << 21
 MARK = b"\xff"
 
 
@@ -77,6 +79,7 @@ class WordIds:
         self.word = word_encoder(self.tok)
         self.end = np.uint32(end).tobytes()
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.marks = {m: self.ids([m])[0] for m in ",."}
 
     def ids(self, words: list[str]) -> list[bytes]:
@@ -84,7 +87,9 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         known, marks, word, slow = self.known, self.marks, self.word, []
-        for w in words:
+        again = words.intersection(self.older)
+        known.update((w, self.older[w]) for w in again)
+        for w in words - again:
             tail = w[-1] if w[-1] in marks else ""
             low = (w[:-1] if tail else w).lower()
             if word is None or not low.isalpha() or len(low) != len(w) - len(tail):
@@ -92,11 +97,10 @@ class WordIds:
                 continue
             ids = known.get(low)
             if ids is None:
-                try:
-                    raw = low.encode("latin-1").decode("latin-1").encode()
-                except UnicodeEncodeError:
+                if not (low.isascii() or max(low) <= "\xff"):
                     slow.append(w)
                     continue
+                raw = low.encode()
                 ids = known[low] = array("I", word(raw + MARK)).tobytes()
             known[w] = ids + marks[tail] if tail else ids
         for i in range(0, len(slow), 8192):
@@ -105,7 +109,7 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.older, self.known = self.known, {"": b""}
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new: set[str] = set()
         for words in split:
@@ -127,27 +131,22 @@ def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
 def _pieces(path: str, end: int, capacity: int, grain: int):
     def run(batches):
         key = (path, end)
-        encode = _encoders.setdefault(key, WordIds(path, end))
+        if key not in _encoders:
+            _encoders[key] = WordIds(path, end)
+        encode = _encoders[key]
         task, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, 1, SLICE):
+            rows = []
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and size < 4_000_000:
-                    size += len(texts[stop] or "")
-                    stop += 1
-                rows = []
-                for doc, ids in zip(docs[at:stop], encode([t or "" for t in texts[at:stop]]), strict=True):
-                    n = len(ids) // 4
-                    for s, k in cuts(n, capacity, grain):
-                        rows.append((doc, s, k, n, (task << 36) + count, ids[4 * s : 4 * (s + k)]))
-                        count += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *[pa.int64()] * 4, pa.binary()], strict=True)],
-                    names=["doc_id", "start", "length", "doc_tokens", "piece", "ids"],
-                )
-                at = stop
+            for doc, ids in zip(docs, encode([t or "" for t in texts]), strict=True):
+                n = len(ids) // 4
+                for s, k in cuts(n, capacity, grain):
+                    rows.append((doc, s, k, n, (task << 36) + count, ids[4 * s : 4 * (s + k)]))
+                    count += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *[pa.int64()] * 4, pa.binary()], strict=True)],
+                names=["doc_id", "start", "length", "doc_tokens", "piece", "ids"],
+            )
 
     return run
 

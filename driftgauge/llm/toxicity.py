@@ -32,14 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, stored, table
+from .common import Remembered, discard, slices, stored, table
 
 BITS = 18
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 WORD = re.compile(r"\w+")
+#: Bytes of texts, or of features, that Python works on at a time.
+SLICE = 1 << 20
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=1 << 15)
 def features(word: str) -> tuple[int, ...]:
     """Numbers of a word and of its beginnings."""
     parts = [f"={word}", *[f"^{word[:k]}" for k in range(3, 8) if k <= len(word)]]
@@ -65,24 +67,24 @@ def worded(text: str, low: str) -> list[tuple[int, int, set[str]]]:
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.known: dict[str, float] = {}
-        self.chunks: dict[str, bool] = {}
+        self.weighted = set(np.flatnonzero(weights).tolist())
+        self.known = Remembered(150_000)
+        self.chunks = Remembered(150_000)
 
     def word(self, word: str) -> float:
         s = self.known.get(word)
-        if s is None:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            s = self.known[word] = float(self.weights[list(features(word))].sum())
+        if s is None and (s := self.known.find(word)) is None:
+            own = features.__wrapped__(word)
+            s = 0.0 if self.weighted.isdisjoint(own) else float(self.weights[list(own)].sum())
+            self.known.put(word, s)
         return s
 
     def chunk(self, chunk: str) -> float:
         """Whether any word between two blanks has a weight."""
         s = self.chunks.get(chunk)
-        if s is None:
-            if len(self.chunks) > 500_000:
-                self.chunks.clear()
-            s = self.chunks[chunk] = any(self.word(w) for w in WORD.findall(chunk))
+        if s is None and (s := self.chunks.find(chunk)) is None:
+            s = any(self.word(w) for w in WORD.findall(chunk))
+            self.chunks.put(chunk, s)
         return s
 
     def __call__(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
@@ -103,7 +105,7 @@ class Scorer:
 
 def _bags(batches):
     """Distinct (sentence, feature) pairs of each labelled text."""
-    for batch in batches:
+    for batch in slices(batches, 1, SLICE):
         ends, feats = [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
@@ -139,7 +141,7 @@ REPLY = "idx binary, value binary, bias double, n long"
 def _frequency(batches):
     """For each label the documents that have a feature."""
     df, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for batch in batches:
+    for batch in slices(batches, 2, SLICE):
         y, _, feats = _load([batch])
         for label, f in zip(y.astype(int), feats, strict=True):
             df[label][np.unique(f)] += 1
@@ -205,7 +207,7 @@ def train(examples: DataFrame, steps: int = 30, rate: float = 0.3, l2: float = 0
 
         def part(batches, sent=sent):
             g, n = np.zeros(1 << BITS), 0
-            for batch in batches:  # a batch of documents at a time, however long they are
+            for batch in slices(batches, 2, SLICE):  # some documents at a time, however long they are
                 y, ends, feats = _load([batch])
                 if len(y):
                     g += gradient(y, ends, feats, *sent.value)
@@ -247,7 +249,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text_col: s
 
     def run(batches):
         score = Scorer(*sent.value)
-        for batch in batches:
+        for batch in slices(batches, place, SLICE):
             got = [score(t or "") for t in batch.column(place).to_pylist()]
             found = [[{"begin": a, "end": b, "p": p} for a, b, p in f] for _, f in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in got], pa.float64()), pa.array(found, spans)], names=out.names)
