@@ -259,3 +259,12 @@ def test_steps_read_packed_rows(spark, monkeypatch):
     assert T.text_cv(docs, "sample_id", 3, max_rows=0).count() == 202
     blocks = kept[0].collect()
     assert len(blocks) < 100 and sum(len(b.y) // 8 for b in blocks) == 202 and all(len(b.trains) == 2 for b in blocks)
+
+
+def test_steps_plan_no_query(spark, monkeypatch):
+    """Steps of large folds are jobs on persisted blocks: no query plans them, and no plan's sums."""
+    docs = spark.createDataFrame(texts(120), "sample_id long, y int, text string")
+    want = {r.sample_id: r.score for r in T.text_cv(docs, "sample_id", 3).collect()}
+    monkeypatch.setattr(S, "added", None)
+    same({r.sample_id: r.score for r in T.text_cv(docs, "sample_id", 3, max_rows=0).collect()}, want)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
