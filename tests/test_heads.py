@@ -268,3 +268,15 @@ def test_steps_plan_no_query(spark, monkeypatch):
     monkeypatch.setattr(S, "added", None)
     same({r.sample_id: r.score for r in T.text_cv(docs, "sample_id", 3, max_rows=0).collect()}, want)
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_ablation_counts_a_text_once(spark, monkeypatch):
+    """Conditions that leave a text as it is share its row."""
+    from driftgauge.plans import jobs as J
+
+    docs = spark.createDataFrame(texts(120), "sample_id long, y int, text string")
+    split = docs.select("sample_id", F.when(F.col("sample_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    hashed = docs.withColumn("text", F.when(F.col("sample_id") < 10, F.concat("text", F.lit(f" {'0' * 40}"))).otherwise(F.col("text")))
+    seen, fit = [], L.fit_text_folds
+    monkeypatch.setattr(L, "fit_text_folds", lambda d, *a, **k: seen.append(d.count()) or fit(d, *a, **k))
+    assert J.identifier_ablation(hashed, split).count() == 3 and seen == [132]
