@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -24,6 +24,7 @@ from . import metrics as M
 from . import solvers as S
 from .common import hash_order, join_on, stored
 from .features import tfidf
+from .forests import forest_scores
 from .prefix import hash_rank
 from .splits import stratified_kfold
 from .text_heads import fit_text_folds, text_cv, text_folds  # noqa: F401
@@ -141,26 +142,26 @@ def calibrated_svm(train: DataFrame, test: DataFrame, k: int = 3, c: float = 1.0
 
 
 def _dealt(kept: DataFrame, rows: int = 5_000) -> DataFrame:
-    """``kept`` in tasks of about ``rows`` rows, in a fixed order: trees are grown in very many short jobs, with no more tasks than the rows ask for."""
-    return kept.repartition(max(1, kept.count() // rows), "sample_id").sortWithinPartitions("sample_id")
+    """``kept`` in tasks of about ``rows`` rows, in a fixed order: trees are grown in very many short jobs, with no more tasks than the rows ask for.
+
+    There are no more tasks than cores, until a task has forty times as many rows."""
+    n, cores = kept.count(), kept.sparkSession.sparkContext.defaultParallelism
+    return kept.repartition(max(1, min(n // rows, max(cores, n // (40 * rows)))), "sample_id").sortWithinPartitions("sample_id")
 
 
 def compare_classifiers(train: DataFrame, test: DataFrame, trees: int = 200, target_fpr: float = 0.01) -> DataFrame:
     """One row per classifier (lr, rf, gbdt, svm) with auroc, macro_f1 and tpr at the target on ``test``.
 
-    Needs sample_id, y, features. Classes are not weighted, the forest is as deep as Spark allows, the SVM is calibrated out of fold.
+    Needs sample_id, y, features. Classes are not weighted, the forest is as deep as Spark allows and its trees never reach the driver, the SVM is calibrated out of fold.
     """
     common = {"featuresCol": "_v", "labelCol": "label", "seed": 42}
     rows = _vectors(_dealt(stored(train.select("sample_id", "y", "features"))))
-    # a deep forest has about as many nodes as rows: with more memory for their sums it is grown in fewer passes,
-    # and a pass doesn't lead each row down all trees again
-    forest = {"maxMemoryInMB": 512, "cacheNodeIds": True}
     made = {
         "lr": fit_logreg(rows, balanced=False),
-        "rf": Head(RandomForestClassifier(numTrees=trees, maxDepth=30, **forest, **common).fit(rows)),
         "gbdt": Head(GBTClassifier(maxIter=trees, maxDepth=5, stepSize=0.1, **common).fit(rows)),
     }
     scored = [h.score(test).select("y", "score").withColumn("classifier", F.lit(n)) for n, h in made.items()]
+    scored.append(forest_scores(train, test, trees).withColumn("classifier", F.lit("rf")))
     scored.append(calibrated_svm(train, test).withColumn("classifier", F.lit("svm")))
     return summary(stored(reduce(DataFrame.unionByName, scored)), ["classifier"], target_fpr)
 

@@ -280,3 +280,25 @@ def test_ablation_counts_a_text_once(spark, monkeypatch):
     seen, fit = [], L.fit_text_folds
     monkeypatch.setattr(L, "fit_text_folds", lambda d, *a, **k: seen.append(d.count()) or fit(d, *a, **k))
     assert J.identifier_ablation(hashed, split).count() == 3 and seen == [132]
+
+
+def test_forest_stays_in_tasks(spark):
+    """A dealt forest finds what rows show, is the same however rows and trees are dealt, and agrees with that of Spark ML."""
+    from driftgauge.operators import forests as R
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 5))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(1500)], "sample_id long, y int, features array<double>")
+    train, test = df.where("sample_id % 4 > 0"), df.where("sample_id % 4 = 0")
+    read = lambda out: sorted((r.y, r.score) for r in out.collect())
+    got = read(R.forest_scores(train, test, 9))
+    again = read(R.forest_scores(train.repartition(5), test.repartition(3), 9))
+    assert np.allclose(got, again, atol=1e-12) and len(got) == 375
+    large = read(R.forest_scores(train, test, 9, max_cells=0))
+    named = read(R.forest_scores(train.withColumn("sample_id", F.col("sample_id").cast("string")), test.withColumn("sample_id", F.col("sample_id").cast("string")), 9))
+    for scores in (got, large, named):
+        assert np.mean([(s > 0.5) == y for y, s in scores]) > 0.9
+    # each leaf of a tree without a bound of depth is pure where bins tell rows apart
+    bins, own = np.arange(30).reshape(-1, 1).astype(np.uint8), np.arange(30) % 2.0
+    assert (R.grow(bins, own, np.ones(30), rng) == own).all()
