@@ -302,3 +302,16 @@ def test_forest_stays_in_tasks(spark):
     # each leaf of a tree without a bound of depth is pure where bins tell rows apart
     bins, own = np.arange(30).reshape(-1, 1).astype(np.uint8), np.arange(30) % 2.0
     assert (R.grow(bins, own, np.ones(30), rng) == own).all()
+
+
+def test_query_fits_all_trees(spark, sf, monkeypatch):
+    """``m5_compare_classifiers`` asks for no fewer trees than the operator's 200."""
+    import inspect
+
+    from driftgauge.plans import registered
+
+    asked, whole = [], inspect.signature(L.compare_classifiers)
+    monkeypatch.setattr(L, "compare_classifiers", lambda *a, **k: asked.append(whole.bind(*a, **k)))
+    registered.QUERIES["m5_compare_classifiers"](spark, sf)
+    asked[0].apply_defaults()
+    assert asked[0].arguments["trees"] == 200
