@@ -3,7 +3,7 @@
 A forest without a bound of depth has about as many nodes as rows and trees. Spark ML holds them all on the
 driver. Here rows are cut into bins, packed in blocks and broadcast, as long as they take ``max_cells`` bytes at
 most. Trees are dealt over tasks: a task grows a tree level by level, leads the test rows down with the others and adds
-up their scores, so that no tree leaves it. More rows are fitted by Spark ML, few trees at a time, so that the driver holds no more nodes than a bound.
+up their scores, so that no tree leaves it. More rows are fitted by Spark ML, few trees at a time: the driver holds ``max_nodes``, or one tree where it has more.
 
 A tree draws its rows by a hash of their ids (Poisson of mean 1), each node the square root of the columns. Bins, Gini gain,
 depth and the mean of the leaves' shares are those of Spark ML.
